@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.llm import mixing, packing
+from citewell.llm import mixing, order_minhash, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fair_mix": mixing.op2,
+        "op5_order_minhash": order_minhash.op5,
         "op10_bin_completion": packing.op10,
     }
 
