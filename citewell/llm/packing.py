@@ -14,17 +14,16 @@ one slice of one length, so a length that a third of all documents have is sprea
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from functools import partial
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewell.llm.common import keep
+from citewell.llm.shingles import span_hashes
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -33,8 +32,10 @@ RESIDUAL = 96
 NODE_LIMIT = 20_000
 #: Rows of one window, about.
 ROWS_A_SLICE = 20_000
-#: Words and characters that a worker remembers in each of two generations.
-CACHE_WORDS, CACHE_CHARS = 250_000, 8_000_000
+#: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
+CACHE_BITS, CACHE_IDS = 22, 16_000_000
+#: Characters that are encoded at once, about.
+BLOCK = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,71 +48,139 @@ def default_tokenizer() -> str:
 
 # ---------------------------------------------------------------- tokens
 
-#: str.split() splits at these; the tokenizer's \s does not.
-_ODD = re.compile("[\x1c-\x1f]")
+#: What a byte is to the tokenizer's pattern: 0 white space, 1 ASCII letter, 2 digit (a token of its own), 3 other
+#: printable ASCII (tokens are runs of these), 4 anything that needs the tokenizer's own view of the whole chunk.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 3
 
 
-class WordEncoder:
-    """Ids of whole texts, by way of their words: the tokenizer never joins across white space."""
+class UnitEncoder:
+    """Ids of whole texts, by way of their units: the tokenizer never joins across these.
+
+    A chunk between white space is one unit if it holds an apostrophe, a control character or anything beyond
+    ASCII, and is otherwise split where the tokenizer's pattern splits. Units are found, hashed (A-Z as a-z, as
+    the tokenizer lowers them) and looked up with numpy; the tokenizer itself sees each unit once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        missing = set(chain.from_iterable(s for s in split if s)) - self.young.keys()
-        if missing:
-            if len(self.young) + len(missing) > CACHE_WORDS or self.chars > CACHE_CHARS:
-                self.old, self.young, self.chars = self.young, {}, 0
-                missing = set(chain.from_iterable(s for s in split if s))
-            known = {w: v for w in missing if (v := self.old.get(w)) is not None}
-            fresh = [w for w in missing if w not in known]
-            self.young |= known
-            self.young.update(zip(fresh, self._ids(fresh), strict=True))
-            self.chars += sum(map(len, missing))
-        get = self.young.__getitem__
-        return [self._ids([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
+        self.start = np.zeros(1 << CACHE_BITS, np.int32)
+        self.size = np.zeros(1 << CACHE_BITS, np.int32)
+        self.pool = np.zeros(1 << 20, "<u4")
+        self.used = self.held = 0
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash is, or the empty slot where it would be."""
+        mask = np.uint64((1 << CACHE_BITS) - 1)
+        slots = (hashes >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        found = self.keys[slots]
+        open_ = np.flatnonzero((found != hashes) & (found != 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & int(mask)
+            found = self.keys[slots[open_]]
+            open_ = open_[(found != hashes[open_]) & (found != 0)]
+        return slots
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes], simple: np.ndarray) -> None:
+        model, texts = self.tokenizer.model, [u.decode("utf-8", "replace") for u in units]
+        whole = iter(self._ids([t for t, s in zip(texts, simple, strict=True) if not s]))
+        for h, text, plain in zip(hashes, texts, simple.tolist(), strict=True):
+            ids = [t.id for t in model.tokenize(text.lower())] if plain else next(whole)
+            slot = int(self._slots(np.array([h]))[0]) if self.keys[int(h) >> (64 - CACHE_BITS)] else int(h) >> (64 - CACHE_BITS)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
+            self.keys[slot], self.start[slot], self.size[slot] = h, self.used, len(ids)
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.held += 1
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text."""
+        alone = {i: t for i, t in enumerate(texts) if "<|" in t and any(s in t for s in self.specials)}
+        raw = [b"" if i in alone else t.encode("utf-8", "surrogatepass") for i, t in enumerate(texts)]
+        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        begins = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
+        kind = _CLASS[data]
+        inside = kind != 0
+        before = np.r_[np.uint8(0), kind[:-1]]
+        chunk = inside & (before == 0)
+        first = np.flatnonzero(chunk)
+        last = np.flatnonzero(inside & np.r_[kind[1:] == 0, True]) + 1
+        start = inside & ((kind != before) | (kind == 2))
+        odd = np.r_[0, np.cumsum(kind == 4)]
+        odd = odd[last] > odd[first]
+        edge = np.zeros(len(data) + 1, np.int8)
+        edge[first[odd]] = 1
+        edge[last[odd]] = -1
+        within = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        start &= ~within | chunk
+        starts = np.flatnonzero(start)
+        ends = np.flatnonzero(inside & np.r_[start[1:] | ~inside[1:], True]) + 1
+        hashes = span_hashes(data, starts, ends)
+        slots = self._slots(hashes)
+        new = np.flatnonzero(self.keys[slots] == 0)
+        if len(new):
+            if self.held + len(new) > (1 << CACHE_BITS) // 2 or self.used > CACHE_IDS:
+                self._clear()
+                new = np.arange(len(hashes))
+            fresh, at = np.unique(hashes[new], return_index=True)
+            if len(fresh) > (1 << CACHE_BITS) // 2:  # one enormous text of new units
+                return [np.array(x, "<u4") for x in self._ids(texts)]
+            at = new[at]
+            whole = data.tobytes()
+            self._learn(fresh, [whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], ~within[starts[at]])
+            slots = self._slots(hashes)
+        sizes = self.size[slots].astype(np.int64)
+        to = np.r_[0, np.cumsum(sizes)]
+        ids = self.pool[np.repeat(self.start[slots] - to[:-1], sizes) + np.arange(to[-1])]
+        cuts = to[np.searchsorted(starts, begins)]
+        out = [ids[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i, t in alone.items():
+            out[i] = np.array(self._ids([t])[0], "<u4")
+        return out
+
+
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def _encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = UnitEncoder(path)
     return _encoders[path]
 
 
 def _cut(batches, path: str, max_tokens: int, end_id: int, with_ids: bool):
     import pyarrow as pa
 
-    encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
-    width = 4 * max_tokens
+    encoder, end = _encoder(path), np.array([end_id], "<u4")
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 128):
+        for lo, part in _blocks(texts):
             doc_id, piece, start, length, crc, own = [], [], [], [], [], []
-            part = [t or "" for t in texts.slice(at, 128).to_pylist()]
-            for d, data in zip(ids[at : at + 128], encoder.encode(part), strict=True):
-                data += end
-                for k, lo in enumerate(range(0, len(data), width)):
-                    x = data[lo : lo + width]
+            for d, tokens in zip(ids[lo : lo + len(part)], encoder.encode(part), strict=True):
+                tokens = np.concatenate([tokens, end])
+                for k, at in enumerate(range(0, len(tokens), max_tokens)):
+                    x = tokens[at : at + max_tokens]
                     doc_id.append(d)
                     piece.append(k)
-                    start.append(lo // 4)
-                    length.append(len(x) // 4)
+                    start.append(at)
+                    length.append(len(x))
                     crc.append(zlib.crc32(x))
                     if with_ids:
-                        own.append(np.frombuffer(x, "<u4").astype("<i4"))
+                        own.append(x.astype("<i4"))
             columns = [pa.array(doc_id, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
@@ -119,6 +188,19 @@ def _cut(batches, path: str, max_tokens: int, end_id: int, with_ids: bool):
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
+def _blocks(texts):
+    """(index of the first, texts) of runs of texts with about BLOCK characters."""
+    lo, part, chars = 0, [], 0
+    for i in range(len(texts)):
+        part.append(texts[i].as_py() or "")
+        chars += len(part[-1])
+        if chars >= BLOCK:
+            yield lo, part
+            lo, part, chars = i + 1, [], 0
+    if part:
+        yield lo, part
+
+
 def tokenized_pieces(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False) -> DataFrame:
     """One row a piece: a document's ids and the end id, cut after every max_tokens ids. Null text is empty."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

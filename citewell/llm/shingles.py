@@ -33,6 +33,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], A-Z taken as a-z; equal bytes have equal hashes wherever they stand."""
+    up, down = _power_tables(len(data) + 1)
+    total = np.r_[_U(0), np.cumsum(_BYTE[data] * up[: len(data)])]
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)) | _U(1)
+
+
 def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles (with repeats) of all texts, and where each text's begin (one more number than texts).
 
@@ -49,9 +56,7 @@ def shingle_hashes(texts: list[str | None], words: int) -> tuple[np.ndarray, np.
     inside = ~space
     starts = np.flatnonzero(inside & np.r_[True, space[:-1]])
     ends = np.flatnonzero(inside & np.r_[space[1:], True]) + 1
-    up, down = _power_tables(n + 1)
-    total = np.r_[_U(0), np.cumsum(_BYTE[data] * up[:n])]
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = span_hashes(data, starts, ends)
     first_word = np.searchsorted(starts, begins)  # of each text, and the end
     count = np.diff(first_word)
     shingles = np.where(count >= words, count - words + 1, np.minimum(count, 1))
