@@ -23,7 +23,7 @@ BUDGET_RATIO = 1.5
 MAX_COPIES = 2
 SEED = 20_240_607
 #: Rows of one window, about; and the most sources whose table is sent to every task.
-ROWS_A_RANGE = 20_000
+ROWS_A_RANGE = 2_000
 BROADCAST_SOURCES = 50_000
 
 
