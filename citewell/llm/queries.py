@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.llm import mixing, near_dedup, order_minhash, packing, quality
+from citewell.llm import language, mixing, near_dedup, order_minhash, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fair_mix": mixing.op2,
+        "op4_mixture_language": language.op4,
         "op5_order_minhash": order_minhash.op5,
         "op8_rule_ensemble": quality.op8,
         "op9_odd_sketch": near_dedup.op9,
