@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.llm import language, lattice_lm, mixing, near_dedup, order_minhash, packing, quality
+from citewell.llm import language, lattice_lm, mixing, near_dedup, order_minhash, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fair_mix": mixing.op2,
         "op4_mixture_language": language.op4,
         "op5_order_minhash": order_minhash.op5,
+        "op6_trigram_secrets": secrets.op6,
         "op7_lattice_likelihood": lattice_lm.op7,
         "op8_rule_ensemble": quality.op8,
         "op9_odd_sketch": near_dedup.op9,
