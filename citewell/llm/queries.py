@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.llm import language, lattice_lm, mixing, near_dedup, order_minhash, packing, quality, secrets
+import corpus_pipeline
+from citewell.llm import fixity, language, lattice_lm, mixing, near_dedup, order_minhash, packing, prefix_forest, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_audit": fixity.op1,
         "op2_fair_mix": mixing.op2,
+        "op3_prefix_forest": prefix_forest.op3,
         "op4_mixture_language": language.op4,
         "op5_order_minhash": order_minhash.op5,
         "op6_trigram_secrets": secrets.op6,
@@ -19,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_ensemble": quality.op8,
         "op9_odd_sketch": near_dedup.op9,
         "op10_bin_completion": packing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op1_merkle_audit": fixity.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in found.items() if v}
