@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from citewell.plans import maintenance, retrieval, texts  # noqa: E402
+
+MODULES: list = [texts, retrieval, maintenance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
