@@ -33,7 +33,7 @@ NODE_LIMIT = 20_000
 #: Rows of one window, about.
 ROWS_A_SLICE = 20_000
 #: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
-CACHE_BITS, CACHE_IDS = 22, 16_000_000
+CACHE_BITS, CACHE_IDS = 21, 8_000_000
 #: Characters that are encoded at once, about.
 BLOCK = 1_000_000
 

@@ -84,9 +84,11 @@ def _append(batches, at: int):
     import pyarrow as pa
 
     for batch in batches:
-        table = np.array([statistics_of(t or "") for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(STATISTICS))
-        columns = [pa.array(table[:, k]) for k in range(len(STATISTICS))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *map(_name, STATISTICS)])
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            table = np.array([statistics_of(t.as_py() or "") for t in part.column(at)], float).reshape(part.num_rows, len(STATISTICS))
+            columns = [pa.array(table[:, k]) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *map(_name, STATISTICS)])
 
 
 def _name(statistic: str) -> str:
@@ -173,20 +175,25 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
     return reduce(np.logical_and, [(x[:, f] > cut) if above else (x[:, f] <= cut) for f, above, cut in rule], np.ones(len(x), bool))
 
 
-def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, steps: int = 150) -> np.ndarray:
-    """Weights (the first is the intercept, not penalised) by accelerated proximal gradient steps."""
-    r1 = np.concatenate([np.ones((len(r), 1), np.float32), r.astype(np.float32)], axis=1)
+def lasso_logistic(r1: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, use: np.ndarray | None = None, steps: int = 150) -> np.ndarray:
+    """Weights by accelerated proximal gradient steps; the first column of r1 is all ones and not penalised.
+
+    `use`: rows that count (all by default); the matrix is never copied.
+    """
+    use = np.ones(len(y), np.float32) if use is None else use.astype(np.float32)
+    n = float(use.sum())
     v = np.random.RandomState(1).rand(r1.shape[1]).astype(np.float32)
+    norm = 1.0
     for _ in range(12):
-        v = r1.T @ (r1 @ v)
-        norm = np.linalg.norm(v)
+        v = r1.T @ (use * (r1 @ v))
+        norm = float(np.linalg.norm(v))
         v /= norm
-    rate = 4 * len(y) / (1.02 * float(norm))
+    rate = 4 * n / (1.02 * norm)
     w = np.zeros(r1.shape[1]) if start is None else start.copy()
     z, t = w.copy(), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(r1 @ z.astype(np.float32)).astype(float)))
-        step = z - rate * (r1.T @ (p - y).astype(np.float32)).astype(float) / len(y)
+        step = z - rate * (r1.T @ (use * (p - y).astype(np.float32))).astype(float) / n
         new = np.sign(step) * np.maximum(np.abs(step) - rate * penalty, 0)
         new[0] = step[0]
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -208,16 +215,18 @@ class RuleEnsemble:
             share = (y.sum() + 1) / (len(y) + 2)
             return cls([], [], float(np.log(share / (1 - share))))
         rules = grow_rules(x, y)
-        r = np.stack([holds(k, x) for k in rules], axis=1) if rules else np.zeros((len(y), 0))
+        r1 = np.ones((len(y), len(rules) + 1), np.float32)
+        for k, rule in enumerate(rules, 1):
+            r1[:, k] = holds(rule, x)
         back = np.random.RandomState(SEED).rand(len(y)) < 0.2
         best, w = (np.inf, PENALTIES[0]), None
         if back.any() and len(set(y[~back])) == 2:
             for penalty in PENALTIES:
-                w = lasso_logistic(r[~back], y[~back], penalty, w)
-                s = np.clip(1 / (1 + np.exp(-(w[0] + r[back] @ w[1:]))), 1e-9, 1 - 1e-9)
+                w = lasso_logistic(r1, y, penalty, w, ~back)
+                s = np.clip(1 / (1 + np.exp(-(r1 @ w.astype(np.float32))[back].astype(float))), 1e-9, 1 - 1e-9)
                 loss = -np.mean(np.where(y[back] > 0, np.log(s), np.log(1 - s)))
                 best = min(best, (loss, penalty))
-        w = lasso_logistic(r, y, best[1], w)
+        w = lasso_logistic(r1, y, best[1], w)
         live = [k for k in range(len(rules)) if abs(w[k + 1]) > 1e-4]
         return cls([rules[k] for k in live], [float(w[k + 1]) for k in live], float(w[0]))
 
