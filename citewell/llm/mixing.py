@@ -60,7 +60,9 @@ def _finish(copy: int | Column) -> Column:
 
 
 def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, budget_ratio=BUDGET_RATIO, max_copies=MAX_COPIES, seed=SEED) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken, first_finish.
+    """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken, first_finish, upto.
+
+    Rows are globally range-sorted by the finish time of their first copy (numbers only; no text is moved).
 
     Null text counts as empty (size 0; such documents are never taken: they have no words to give). Null
     sources are one source, ordered last. Repeated rows are separate documents. An empty table gives no rows.
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     cut = _cut(dealt, max_copies, spark)
     copies = sum((F.when(_taken(c, cut), 1).otherwise(0) for c in range(max_copies)), F.lit(0))
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return dealt.select(
+    decided = dealt.select(
         "doc_id",
         "source",
         "size",
@@ -104,6 +106,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
         F.when(F.col("target") > 0, _finish(0)).alias("first_finish"),
         "upto",
     )
+    return decided.repartitionByRange("first_finish", "doc_id").sortWithinPartitions("first_finish", "doc_id")
 
 
 def _taken(copy: int, cut: tuple | None) -> Column:
@@ -139,10 +142,11 @@ def _cut(dealt: DataFrame, max_copies: int, spark) -> tuple | None:
     return tuple(last) if last else None
 
 
-def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source", **parameters) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, globally range-sorted by finish time.
+def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source", ordered=True, **parameters) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken.
 
-    Keeps the columns of docs. Repeated rows are matched by their place among the equals, so none is lost.
+    ordered: globally range-sorted by finish time, which moves all texts once more; a step that deals documents
+    anew (such as packing) does not need it. Keeps the columns of docs. Repeated rows are matched by their place among the equals, so none is lost.
     """
     names = docs.columns
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
@@ -153,7 +157,8 @@ def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="sourc
     right = row_of(docs.select(F.to_json(F.struct(key[0].alias("a"), key[1].alias("b"), key[2].alias("c"))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc")), F.lit(0))
     copies = right.join(left, ["_key", "_row"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     copies = copies.withColumn("_finish", (F.col("source_size") * F.col("_copy") + F.col("upto")) / F.col("target"))
-    return copies.repartitionByRange("_finish", "_key").sortWithinPartitions("_finish", "_key").select("_doc.*")
+    copies = copies.repartitionByRange("_finish", "_key").sortWithinPartitions("_finish", "_key") if ordered else copies
+    return copies.select("_doc.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

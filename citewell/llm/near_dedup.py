@@ -286,9 +286,15 @@ def _links(docs, doc_id, text, classes, members, clusters, words, percent, dista
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", **parameters) -> DataFrame:
-    """The documents that stay: of each component, the rows with its id; keeps the columns of docs."""
-    gone = near_duplicates(docs, doc_id, text, **parameters).where("not kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)) == F.col("_gone"), "left_anti")
+    """The documents that stay: of each component, the rows with its id; keeps the columns of docs.
+
+    The ids that go are broadcast if they number at most BROADCAST_IDS, so texts are not shuffled for them; beyond
+    that the anti-join shuffles. An id that stands for several texts stays if one of them does.
+    """
+    rows = near_duplicates(docs, doc_id, text, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_gone"))
+    gone = keep(rows.agg(F.max(F.col("kept").cast("int")).alias("stays")).where("stays = 0").select("_gone"), "dedup-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)) == F.col("_gone"), "left_anti")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

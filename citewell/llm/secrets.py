@@ -263,9 +263,8 @@ def redacted(docs: DataFrame, text="text", mark="[SECRET]", rules=RULES) -> Data
 
     Texts without spans, and null texts, stay as they are.
     """
-    names = docs.columns
-    rows = scan(docs, text, rules)
-    t = F.col(f"`{text}`")
+    rows = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text")), "_text", rules)
+    t = F.col("_text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -274,7 +273,7 @@ def redacted(docs: DataFrame, text="text", mark="[SECRET]", rules=RULES) -> Data
 
     whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], t.substr(s["at"] + 1, F.length(t))))
     changed = F.when(F.size("spans") > 0, whole).otherwise(t)
-    return rows.withColumn(text, changed).select(*[F.col(f"`{c}`") for c in names])
+    return rows.select(*[(changed if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

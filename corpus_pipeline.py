@@ -36,8 +36,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix, each as often as the mix takes it."""
-    return mixing.mixed_documents(docs)
+    """Documents of the mix, each as often as the mix takes it; the next stage needs no order."""
+    return mixing.mixed_documents(docs, ordered=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
