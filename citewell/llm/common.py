@@ -38,6 +38,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where rows hold whole texts; the session's default of 10,000 puts no bound on its bytes.
+TEXTS_A_BATCH = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to TEXTS_A_BATCH rows, unless the user has set it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXTS_A_BATCH))
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:

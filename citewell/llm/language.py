@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import fold
+from citewell.llm.common import bounded_batches, fold
 
 BUCKET_BITS = 16
 SMOOTHING = 0.2
@@ -76,6 +76,7 @@ class Model:
 
 def learn(docs: DataFrame, text="text", lang="lang") -> Model:
     """Counts over all rows of docs whose lang is not null."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     found = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique(), key=lambda x: x.encode())
@@ -159,6 +160,7 @@ def predict(docs: DataFrame, model: Model, text="text") -> DataFrame:
     Null texts and texts without a letter are `und` with score 0, as is every text if nothing was learned.
     Columns of docs with these names are dropped first. Equal texts have equal predictions.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "mixture")
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 

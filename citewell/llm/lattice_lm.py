@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import fold, keep
+from citewell.llm.common import bounded_batches, fold, keep
 
 #: Words that every task gets; words that a counting task holds at once; smoothing of piece counts.
 HOT, HELD, SMOOTHING = 150_000, 400_000, 0.1
@@ -210,6 +210,7 @@ def score(docs: DataFrame, held_out, doc_id="doc_id", text="text", vocabulary: s
     gives no rows.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
+    bounded_batches(spark)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counted = source.select("text", ~F.col("held_out")).mapInArrow(_count, "word binary, c long")
     counted = keep(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-counts")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import keep
+from citewell.llm.common import bounded_batches, keep
 from citewell.llm.shingles import mix64, shingle_sets
 
 #: The contract of the query: shingles of four words, linked at 80 % of the union.
@@ -37,6 +37,8 @@ SKETCH_DISTANCE = 150
 BLOCK = 192
 BROADCAST_IDS = 500_000
 _NO_ID = -(2**63)
+#: Texts that are hashed at once.
+_TEXTS = 64
 
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"
 
@@ -86,8 +88,8 @@ def _sign(batches, words: int, sampler: Sampler):
 
     for batch in batches:
         ids = batch.column(0)
-        for at in range(0, len(ids), 256):
-            sets = shingle_sets(batch.column(1).slice(at, 256).to_pylist(), words)
+        for at in range(0, len(ids), _TEXTS):
+            sets = shingle_sets(batch.column(1).slice(at, _TEXTS).to_pylist(), words)
             full = [i for i, s in enumerate(sets) if len(s)]
             samples = np.array([sampler.samples(sets[i]) for i in full], np.uint32).reshape(len(full), -1)
             keys, sketches = [None] * len(sets), [None] * len(sets)
@@ -97,7 +99,7 @@ def _sign(batches, words: int, sampler: Sampler):
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(at, 256).cast(pa.int64()),
+                    ids.slice(at, _TEXTS).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
@@ -117,8 +119,8 @@ def _sets(batches, words: int):
     import pyarrow as pa
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            sets = shingle_sets(batch.column(0).slice(at, 256).to_pylist(), words)
+        for at in range(0, batch.num_rows, _TEXTS):
+            sets = shingle_sets(batch.column(0).slice(at, _TEXTS).to_pylist(), words)
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -243,6 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS,
     id while another id is in it, and is kept only where its component has no other. An empty table gives no rows.
     """
     sampler = sampler or Sampler()
+    bounded_batches(docs.sparkSession)
     signed = keep(signatures(docs, doc_id, text, words, sampler), "dedup-signed")
     classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.llm.common import keep
+from citewell.llm.common import bounded_batches, keep
 from citewell.llm.shingles import span_hashes
 
 MAX_TOKENS = 2048
@@ -33,9 +33,9 @@ NODE_LIMIT = 20_000
 #: Rows of one window, about.
 ROWS_A_SLICE = 20_000
 #: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
-CACHE_BITS, CACHE_IDS = 21, 8_000_000
+CACHE_BITS, CACHE_IDS = 20, 4_000_000
 #: Characters that are encoded at once, about.
-BLOCK = 1_000_000
+BLOCK = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -203,6 +203,7 @@ def _blocks(texts):
 
 def tokenized_pieces(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False) -> DataFrame:
     """One row a piece: a document's ids and the end id, cut after every max_tokens ids. Null text is empty."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     run = partial(_cut, path=tokenizer or default_tokenizer(), max_tokens=max_tokens, end_id=end_id, with_ids=with_ids)
     return source.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import fold
+from citewell.llm.common import bounded_batches, fold
 
 #: The most labelled rows to learn from, and their order.
 SAMPLE, SEED = 20_000, 31
@@ -99,6 +99,7 @@ def with_statistics(docs: DataFrame, text="text") -> DataFrame:
     """docs and a column _q_<statistic> for each statistic of the whole text (null: empty)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    bounded_batches(docs.sparkSession)
     schema = StructType([*docs.schema.fields, *(StructField(_name(s), DoubleType()) for s in STATISTICS)])
     return docs.mapInArrow(partial(_append, at=docs.columns.index(text)), schema)
 
