@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from citewell.llm import fixity, language, lattice_lm, mixing, near_dedup, order_minhash, packing, prefix_forest, quality, secrets
+from citewell.llm import fixity, language, lattice_lm, mixing, near_dedup, oracles, order_minhash, packing, prefix_forest, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,5 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_merkle_audit": fixity.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = oracles.oracle_sql() | {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}

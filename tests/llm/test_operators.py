@@ -1,0 +1,349 @@
+"""Operators against plain versions, exact round trips and held-out rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from citewell.llm import fixity, language, lattice_lm, mixing, near_dedup, order_minhash, packing, prefix_forest, quality, secrets
+from tests.llm.helpers import components, lower, words
+from tests.rows import rows
+
+
+@pytest.fixture(scope="module")
+def docs(sf):
+    return pd.read_parquet(f"{sf}/documents.parquet")
+
+
+# ---------------------------------------------------------------- 1
+
+
+def test_audit_matches_sql(spark, sf, duck):
+    assert rows(fixity.op1(spark, sf).toPandas()) == rows(duck.execute(fixity.ORACLE).df())
+
+
+def test_audit_descends_only_where_needed(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 40) for i in range(600)], "page_id long, url string, html string")
+    a = fixity.archived(pages)
+    b = a.withColumn("sha256", F.when(F.col("page_id") == 321, "0").otherwise(F.col("sha256")))
+    assert [(r["page_id"], r["kind"]) for r in fixity.audit(a, b).collect()] == [(321, "altered")]
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_targets_fill_like_water(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    left, weight, want, caps = 1.5 * 2110, {"a": 5, "b": 2, "c": 1, None: 5}, {}, {"a": 200, "b": 2000, "c": 2000, None: 20}
+    while True:
+        live = [s for s in weight if s not in want]
+        over = [s for s in live if left * weight[s] / sum(weight[x] for x in live) > caps[s]]
+        if not over:
+            want |= {s: left * weight[s] / sum(weight[x] for x in live) for s in live}
+            break
+        for s in over:
+            want[s] = caps[s]
+        left = 1.5 * 2110 - sum(caps[s] for s in want)
+    assert got == pytest.approx(want)
+
+
+def test_mix_meets_its_targets(spark, sf, docs):
+    got = mixing.op2(spark, sf).toPandas()
+    assert rows(got) == rows(mixing.op2(spark, sf).toPandas())
+    size = {i: len(words(t)) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == size and (got.taken <= 2 * got["size"]).all()
+    merged = got.merge(docs[["doc_id", "source"]])
+    for _, own in merged.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 1.5 * own["size"].max()
+    assert got.taken.sum() <= 1.5 * got["size"].sum() < got.taken.sum() + got["size"].max() + 1
+
+
+def test_mixed_documents_repeat_as_decided(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    decided = {r["doc_id"]: r["copies"] for r in mixing.mix(table).where("copies > 0").collect()}
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(table).select("doc_id").collect()) == decided
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_recall_and_scores(spark):
+    draw = np.random.RandomState(2)
+    x = draw.standard_normal((1200, 32)) * draw.uniform(0.5, 2, (1200, 1))
+    x[50:60] = x[40]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = prefix_forest.nearest(table, F.col("vec_id") % 20 == 0).toPandas()
+    hits = []
+    for q, own in got.groupby("query_id"):
+        own = own.sort_values("rank")
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1200), -s))[:20]
+        hits.append(len(set(best) & set(own.vec_id)) / 20)
+        assert np.allclose(own.score, s[own.vec_id]) and own["rank"].tolist() == list(range(1, 21))
+    assert np.mean(hits) >= 0.9
+    copies = got[(got.query_id == 40)].sort_values("rank").vec_id.tolist()
+    assert [c for c in copies if 50 <= c < 60] == list(range(50, 60))
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_languages_of_held_out_rows(spark, sf, docs):
+    got = language.op4(spark, sf).toPandas().merge(docs[["doc_id", "lang"]])
+    held = got[got.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+
+
+def test_mixture_of_two_languages(docs, spark, sf):
+    model = language.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    pick = lambda lang: docs[docs.lang == lang].text.str.slice(0, 1500).iloc[0]
+    found = language.mixtures([pick("en") + " " + pick("de"), pick("en"), "", "123 !"], model)
+    assert {x for x, _ in found[0]} == {"en", "de"} and [x for x, _ in found[1]] == ["en"] and found[2] == [] and found[3] == []
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_fingerprints_against_plain_order(spark, sf, docs):
+    got = order_minhash.op5(spark, sf).toPandas().set_index("doc_id")
+    own = docs.sort_values("doc_id", ascending=False)
+    texts, h = own.text.tolist(), order_minhash.OrderMinHash()
+    for k, (i, t) in enumerate(zip(own.doc_id, texts, strict=True)):
+        following = texts[(k + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        row = got.loc[i]
+        assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert row.near_next == order_minhash.likeness(h.signature(t), h.signature(following))
+
+
+def test_order_counts():
+    h = order_minhash.OrderMinHash()
+    a, b = "abcdefghij" * 30, "klmnopqrst" * 30
+    draw = random.Random(1)
+    text = "".join(draw.choice("abcdefgh ") for _ in range(600))
+    swapped = text[300:] + text[:300]
+    assert order_minhash.likeness(h.signature(a + b), h.signature(a + b)) == 1
+    assert order_minhash.likeness(h.signature(text), h.signature(swapped)) < 0.8
+    assert order_minhash.likeness(h.signature(text), h.signature(text[:590])) > 0.7
+    assert order_minhash.likeness(h.signature(a), h.signature(b)) < 0.1
+
+
+# ---------------------------------------------------------------- 6
+
+RULES = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def plain_spans(t: str) -> list[str]:
+    found = sorted((m.start(), k, m.end(), name) for k, (name, x, ok) in enumerate(RULES) for m in x.finditer(t) if ok(m))
+    return [f"{name}:{a}:{b}" for a, _, b, name in found]
+
+
+def test_spans_against_plain_matching(spark):
+    draw = random.Random(4)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abc", "abcdef", "x1+/_.=-", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "01234567", "é", "\n", "\U0001f600", "K"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan(table).select("doc_id", secrets.written(F.filter("spans", lambda s: s["rank"] < 3)).alias("s")).collect()}
+    assert got == {i: ",".join(plain_spans(t)) for i, t in enumerate(texts)}
+
+
+def test_trigram_queries():
+    q = secrets.trigram_query
+    assert q("[0-9a-f]+") is None and q("ab") is None and q("(abc)?") is None and q("abc|x") is None
+    assert q("abcd") == frozenset({frozenset({"abc", "bcd"})})
+    assert q("ab(c|d)e") == frozenset({frozenset({"abc", "bce"}), frozenset({"abd", "bde"})})
+    assert q("abc.*xyz") == frozenset({frozenset({"abc", "xyz"})})
+    assert q("ABC", True) == frozenset({frozenset({"abc"})})
+
+
+def test_index_inverts(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = secrets.TrigramIndex()
+    inverted = {(r["trigram"], r["folded"], r["doc_id"]) for r in secrets.postings(secrets.trigram_index(table)).collect()}
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    assert inverted == {(g, f, i) for i, t in texts.items() for g, f in index.grams if g in (t.lower() if f else t)}
+
+
+def test_extra_kinds(spark):
+    text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "z1" * 18 + " xoxb-1234567890ab"
+    got = secrets.scan(spark.createDataFrame([(text,)], "text string")).select(secrets.written(F.col("spans"))).first()[0]
+    assert [x.split(":")[0] for x in got.split(",")] == ["pem", "github", "slack"]
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_base_scores(spark, sf, docs):
+    got = lattice_lm.op7(spark, sf).toPandas().set_index("doc_id")
+    tokens = {i: [*words(lower(t)), None] for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    counts = Counter(x for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in t)
+    n, v = sum(counts.values()), len(counts)
+    for i, t in tokens.items():
+        row = got.loc[i]
+        assert row.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in t))
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(t), sum(counts[x] > 0 for x in t), n)
+    assert (got.score < 0).all()
+
+
+def test_few_hot_words_give_the_same(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    held = lambda: F.col("doc_id") % 7 == 2
+    a, b = (lattice_lm.score(table, held(), hot=h).toPandas().sort_values("doc_id") for h in (10, 1_000_000))
+    assert np.allclose(a.score, b.score) and np.allclose(a.base_score, b.base_score) and a.n_known.tolist() == b.n_known.tolist()
+
+
+def test_lattice_sums_over_all_segmentations():
+    path = lattice_lm.default_vocabulary()
+    sp = lattice_lm._processor(path)
+    size = sp.get_piece_size()
+    scores = np.log(np.random.RandomState(3).dirichlet(np.ones(size)))
+    lattice = lattice_lm.Lattice(path, scores, 0.0)
+
+    def total(text: str) -> float:
+        out = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            for i in range(j):
+                p = lattice.pieces.get(text[i:j])
+                if p is not None:
+                    out[j] += out[i] * math.exp(p)
+                elif j == i + 1 and text[i:j] not in lattice.pieces:
+                    out[j] += out[i] * math.exp(sum(lattice.byte[b] for b in text[i:j].encode()))
+        return out[-1]
+
+    for word in ("the", "straightforward", "été", "a", "\U0001f600x"):
+        assert lattice.word(word) == pytest.approx(math.log(total("▁" + word)))
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_quality_of_held_out_rows(spark, sf):
+    got = quality.op8(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"))
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() > 0.9 and got.score.between(0, 1).all()
+
+
+def test_column_equals_the_ensemble(spark):
+    draw = np.random.RandomState(5)
+    x = draw.rand(600, len(quality.STATISTICS))
+    y = ((x[:, 4] > 0.6) & (x[:, 11] < 0.5)).astype(float)
+    model = quality.RuleEnsemble.fit(x, y)
+    assert ((model.scores(x) >= 0.5) == (y == 1)).mean() > 0.97 and len(model.rules) < 200
+    table = spark.createDataFrame(pd.DataFrame(x, columns=[quality._name(s) for s in quality.STATISTICS]))
+    assert np.allclose(table.select(model.column().alias("s")).toPandas()["s"], model.scores(x))
+    assert quality.RuleEnsemble.fit(np.zeros((0, 21)), np.zeros(0)).scores(x)[0] == 0.5
+
+
+# ---------------------------------------------------------------- 9
+
+
+def test_components_against_all_pairs(spark, sf, docs):
+    got = near_dedup.op9(spark, sf).toPandas()
+    want = components(list(zip(docs.doc_id, docs.text, strict=True)), 4, 80)
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == want
+    assert (got.kept == (got.doc_id == got.component_id)).all()
+
+
+def test_large_groups_of_near_copies(spark):
+    draw = random.Random(7)
+    base = [f"w{draw.randint(0, 999)}" for _ in range(120)]
+    table = []
+    for i in range(500):
+        own = list(base)
+        for _ in range(draw.randint(0, 9)):
+            own[draw.randrange(120)] = f"x{draw.randint(0, 10**6)}"
+        table.append((i, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == components(table, 4, 80)
+
+
+def test_matrix_intersections():
+    draw = np.random.RandomState(6)
+    a, b = ([np.unique(draw.randint(0, 9000, draw.randint(1, 6000)).astype(np.uint64)) for _ in range(7)] for _ in range(2))
+    assert near_dedup.intersections(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+
+
+def test_odd_sketch_estimates():
+    s = near_dedup.Sampler()
+    a = np.random.RandomState(8).randint(0, 2**62, 1000).astype(np.uint64)
+    b = np.r_[a[:900], a[:100] + np.uint64(7)]
+    sa, sb = s.sketches(np.stack([s.samples(a), s.samples(b)]))
+    assert np.unpackbits(sa ^ sb).sum() <= near_dedup.SKETCH_DISTANCE
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_ids_and_places(spark, sf, docs):
+    got = packing.op10(spark, sf).toPandas()
+    encoder = packing._encoder(packing.default_tokenizer()).tokenizer
+    want = {}
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        ids = [*encoder.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048] = (k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want
+    ordered = got.sort_values(["sequence_id", "offset"])
+    before = ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"]
+    assert (before == ordered["offset"]).all() and ordered.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_ids_come_back(spark):
+    table = spark.createDataFrame([(1, "It's a test, isn't it? ÉTÉ 123 <|endoftext|> \x1c x")], "doc_id long, text string")
+    row = packing.pack(table, with_ids=True).first()
+    encoder = packing._encoder(packing.default_tokenizer()).tokenizer
+    assert row["ids"] == [*encoder.encode(table.first()["text"], add_special_tokens=False).ids, 0]
+
+
+def _fewest(lengths: list[int], cap: int) -> int:
+    best = len(lengths)
+
+    def go(i: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in sorted({r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values()):
+            go(i + 1, [*rooms[:k], rooms[k] - lengths[i], *rooms[k + 1 :]])
+        go(i + 1, [*rooms, cap - lengths[i]])
+
+    lengths.sort(reverse=True)
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_search_finds_the_fewest(seed):
+    draw = random.Random(seed)
+    lengths = [draw.randint(10, 70) for _ in range(11)]
+    found = packing.solve(Counter(lengths), 100)
+    assert sum(t for _, t in found) == _fewest(list(lengths), 100)
+
+
+@pytest.mark.parametrize("n,lo,hi", [(3000, 1, 2047), (3000, 300, 1500), (500, 1025, 2047), (1, 5, 5), (800, 1, 30)])
+def test_search_uses_every_piece_once(n, lo, hi):
+    draw = random.Random(n + lo)
+    lengths = Counter(draw.randint(lo, hi) for _ in range(n))
+    found, got = packing.solve(lengths, 2048), Counter()
+    for pattern, times in found:
+        assert sum(x * k for x, k in pattern) <= 2048
+        for x, k in pattern:
+            got[x] += k * times
+    assert got == lengths
+    assert sum(t for _, t in found) <= sum(t for _, t in packing.best_fit(lengths, 2048))
