@@ -31,7 +31,7 @@ END_ID = 0
 RESIDUAL = 96
 NODE_LIMIT = 20_000
 #: Rows of one window, about.
-ROWS_A_SLICE = 20_000
+ROWS_A_SLICE = 2_000
 #: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
 CACHE_BITS, CACHE_IDS = 20, 4_000_000
 #: Characters that are encoded at once, about.
