@@ -80,11 +80,13 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     n, n_sources = sized.count(), targets.count()
     small = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
     bits = power_of_two_at_least(max(1, n / ROWS_A_RANGE))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size").bitwiseAND(F.lit((1 << 62) - 1))
+    # 60 bits of a hash that SQL engines share; ties fall back to the id and the size
+    key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = F.conv(F.left(F.sha2(key.cast("binary"), 256), F.lit(15)), 16, 10).cast("long")
     rows = sized.join(small, sized["source"].eqNullSafe(targets["source"])).select(
         "doc_id", sized["source"], "size", "sid", "source_size", "target", order.alias("dealt")
     )
-    rows = rows.withColumn("range", F.shiftright("dealt", 62 - bits) if bits else F.lit(0).cast("long"))
+    rows = rows.withColumn("range", F.shiftright("dealt", 60 - bits) if bits else F.lit(0).cast("long"))
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("earlier"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from citewell.llm import fixity, near_dedup, secrets
+from citewell.llm import fixity, mixing, near_dedup, secrets
 from citewell.llm.common import WORD
 
 _SPACE = WORD.replace("[^", "[")
@@ -41,5 +41,22 @@ g AS (SELECT doc_id, {counts}, {joined} FILTER (WHERE rank < {len(secrets.BASE)}
 SELECT d.doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
 
+def fair_mix() -> str:
+    weights = f"[{', '.join(f'{float(w)}::DOUBLE' for w in mixing.WEIGHTS)}]"
+    copies = range(mixing.MAX_COPIES)
+    return f"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+per AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM per),
+weighed AS (SELECT *, {weights}[sid % {len(mixing.WEIGHTS)} + 1] AS weight, source_size * {float(mixing.MAX_COPIES)}::DOUBLE AS cap FROM ranked),
+levels AS (SELECT *, (sum(source_size) OVER () * {mixing.BUDGET_RATIO}::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here FROM weighed),
+targets AS (SELECT *, least(cap, max(CASE WHEN here <= cap / weight THEN here END) OVER () * weight) AS target FROM levels),
+dealt AS (SELECT doc_id, size, source_size, target, sid, sum(size) OVER (PARTITION BY sid ORDER BY ('0x' || left(sha256('{mixing.SEED}:' || doc_id), 15))::BIGINT, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM sized JOIN targets ON targets.source IS NOT DISTINCT FROM sized.source),
+copied AS (SELECT *, (source_size * copy + upto) / target AS finish FROM dealt, (VALUES {', '.join(f'({c})' for c in copies)}) v(copy) WHERE size > 0),
+summed AS (SELECT *, sum(size) OVER (ORDER BY finish, sid, upto, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM copied),
+taken AS (SELECT doc_id, count(*) AS copies FROM summed WHERE finish <= 1 OR total <= (SELECT sum(target) FROM targets) GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken, CAST(coalesce(copies, 0) AS INTEGER) AS copies, CASE WHEN target > 0 THEN upto / target END AS first_finish FROM dealt LEFT JOIN taken USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_audit": fixity.ORACLE, "op6_trigram_secrets": secret_spans(), "op9_odd_sketch": near_duplicates()}
+    return {"op1_merkle_audit": fixity.ORACLE, "op2_fair_mix": fair_mix(), "op6_trigram_secrets": secret_spans(), "op9_odd_sketch": near_duplicates()}
