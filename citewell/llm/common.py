@@ -49,6 +49,19 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXTS_A_BATCH))
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, keep
+from citewell.llm.common import bounded_batches, keep, release
 from citewell.llm.shingles import mix64, shingle_sets
 
 #: The contract of the query: shingles of four words, linked at 80 % of the union.
@@ -108,6 +108,7 @@ def _sign(batches, words: int, sampler: Sampler):
                 ],
                 ["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"],
             )
+    release()
 
 
 def signatures(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS, sampler: Sampler | None = None) -> DataFrame:
@@ -126,6 +127,7 @@ def _sets(batches, words: int):
                 [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["d1", "d2", "hashes"],
             )
+    release()
 
 
 def components(ties: DataFrame, name: str) -> DataFrame:
@@ -235,6 +237,7 @@ def _link(batches, percent: int, distance: int):
             held[side].append((node, sketch, np.frombuffer(hashes, np.uint64)))
         yield batch_of(links)
     yield batch_of(close())
+    release()
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS, percent=PERCENT, sampler: Sampler | None = None, distance=SKETCH_DISTANCE) -> DataFrame:

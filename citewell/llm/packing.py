@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, keep
+from citewell.llm.common import bounded_batches, keep, release
 from citewell.llm.shingles import span_hashes
 
 MAX_TOKENS = 2048
@@ -66,6 +66,9 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -186,6 +189,7 @@ def _cut(batches, path: str, max_tokens: int, end_id: int, with_ids: bool):
             if with_ids:
                 columns, names = [*columns, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+    release()
 
 
 def _blocks(texts):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, fold
+from citewell.llm.common import bounded_batches, fold, release
 
 #: The most labelled rows to learn from, and their order.
 SAMPLE, SEED = 20_000, 31
@@ -89,6 +89,7 @@ def _append(batches, at: int):
             table = np.array([statistics_of(t.as_py() or "") for t in part.column(at)], float).reshape(part.num_rows, len(STATISTICS))
             columns = [pa.array(table[:, k]) for k in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *map(_name, STATISTICS)])
+    release()
 
 
 def _name(statistic: str) -> str:
