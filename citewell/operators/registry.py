@@ -90,3 +90,17 @@ def evidence_with_pin(chunks: DataFrame, pins: DataFrame, versions: DataFrame) -
     pin = pins.where("version is not null").select(F.col("id").alias("source_id"), F.col("version").alias("_pin")).join(versions.select(F.col("id").alias("_pin"), F.col("content_hash").alias("_hash")), "_pin", "left")
     problem = F.when(F.col("_pin").isNull(), "no_pin").when(F.col("source_version") != F.col("_pin"), "version_differs").when(~F.col("source_version_hash").eqNullSafe(F.col("_hash")), "hash_differs")
     return chunks.join(pin, "source_id", "left").withColumn("problem", problem).drop("_pin", "_hash")
+
+
+def apply_record(tables: dict[str, DataFrame], record: DataFrame, file_hash: str, now) -> dict[str, DataFrame]:
+    """The next snapshots of sources, source_versions and documents_registry after a registry record is applied.
+
+    record: one row with the columns of `sources` and version_id, document_id, content_type, group_id, anchor_count.
+    The three rows replace those of their keys or are added; ingestion starts at not_started.
+    """
+    source = record.select(*[c for c in tables["sources"].columns if c not in ("ingestion_status", "ingested_at", "current_version")]).withColumns({"ingestion_status": F.lit("not_started"), "ingested_at": F.lit(None).cast("timestamp")})
+    source = source.join(record.select("id", F.col("version_id").alias("current_version")), "id")
+    version = record.select(F.col("version_id").alias("id"), F.col("id").alias("source_id"), "edition", F.col("edition").alias("version_label"), "raw_text_ref", F.lit(file_hash).alias("content_hash"), now.alias("created_at"))
+    document = record.select(F.col("document_id").alias("id"), F.col("version_id").alias("source_version_id"), "raw_text_ref", F.lit("not_started").alias("ingestion_status"), "content_type", "group_id", "anchor_count", now.alias("created_at"))
+    new = {"sources": source, "source_versions": version, "documents_registry": document}
+    return {name: old.join(new[name].select("id"), "id", "left_anti").select(*old.columns).unionByName(new[name].select(*old.columns)) for name, old in tables.items()}

@@ -46,3 +46,21 @@ def public(df: DataFrame, hidden: Callable[[str], bool] | set[str]) -> DataFrame
     """df without hidden columns."""
     hide = hidden if callable(hidden) else hidden.__contains__
     return df.select(*[c for c in df.columns if not hide(c)])
+
+
+def fields(schema, prefix: str = "") -> list[str]:
+    """Paths of all fields of a schema, through structs, arrays and maps."""
+    from pyspark.sql import types as t
+
+    if isinstance(schema, t.StructType):
+        return [p for f in schema.fields for p in (prefix + f.name, *fields(f.dataType, f"{prefix}{f.name}."))]
+    if isinstance(schema, t.ArrayType):
+        return fields(schema.elementType, prefix)
+    if isinstance(schema, t.MapType):
+        return fields(schema.valueType, prefix)
+    return []
+
+
+def forbidden(df: DataFrame, names: set[str]) -> list[str]:
+    """Paths of fields, at any depth, whose name must not be shown."""
+    return [p for p in fields(df.schema) if p.rpartition(".")[2] in names]

@@ -65,7 +65,7 @@ def missing_of_grid(left: DataFrame, right: DataFrame, present: DataFrame, on: l
 
     The grid of the two dimensions is what is asked for, so its size is theirs; present rows are made distinct first.
     """
-    return left.crossJoin(F.broadcast(right)).join(present.select(*on).distinct(), on, "left_anti")
+    return left.crossJoin(right).join(present.select(*on).distinct(), on, "left_anti")
 
 
 def grid_audit(present: DataFrame, on: list[str], url: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ SCHEMAS = {
     "source_versions": "id string, source_id string, edition string, version_label string, raw_text_ref string, content_hash string, created_at timestamp",
     "documents_registry": "id string, source_version_id string, raw_text_ref string, ingestion_status string, content_type string, group_id int, anchor_count int, created_at timestamp",
     "manifest": "id string, source_version string, language string, content_type string, group_id int, sections array<struct<ordinal:int,group_id:int,start:int,end:int,mapping_type:string,text:string>>",
+    "editions": "id int, name string, author_name string, language_name string, slug string",
+    "keyed_texts": "number int, text string",
     "reviews": "id string, item_id string, content_type string, reviewer_id string, decision string, comments string, created_at timestamp, source_version string, prompt_version string, model_version string",
     "media_items": "id string, media_source_id string, group_id int, anchor int, audio_url string, duration_seconds int",
 }
@@ -90,6 +92,20 @@ def positional_mismatches(records: DataFrame, group_id: int) -> DataFrame:
     return records.where(~F.col("key").eqNullSafe(F.concat(F.lit(f"{group_id}:"), F.col("position").cast("string"))))
 
 
+def read_editions(spark: SparkSession, path: str, edition_id: int | None = None) -> DataFrame:
+    """The list of editions, or the one asked for, from a file that was fetched before."""
+    rows = read_json(spark, path, "editions")
+    return rows.orderBy("id") if edition_id is None else rows.where(F.col("id") == edition_id)
+
+
+def read_secondary(spark: SparkSession, path: str) -> DataFrame:
+    """anchor, text of a second source keyed by number; an opening folded into the first text is taken off."""
+    from citewell.functions.text import strip_basmala
+
+    rows = read_json(spark, path, "keyed_texts")
+    return rows.select(F.col("number").alias("anchor"), F.when(F.col("number") == 1, strip_basmala(F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
 def group_sizes(spark: SparkSession, counts: list[int]) -> DataFrame:
     """The constant dimension of groups, numbered from 1."""
     return spark.createDataFrame(list(enumerate(counts, 1)), SCHEMAS["anchor_groups"])
