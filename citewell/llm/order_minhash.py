@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 #: k-mer length in code points; k-mers a tuple; tuples a fingerprint; the seed of the hash orders.
 K, L, M, SEED = 5, 2, 64, 11
-ROWS_A_RANGE = 1500
+#: Rows of a range: from the first number on, up to the second where there would be too many ranges.
+ROWS_A_RANGE, MOST_ROWS_A_RANGE = 1500, 20_000
+BROADCAST_RANGES = 100_000
 _BLOCK = 1 << 18  # numbers hashed at once
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -142,7 +144,7 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, s
     n = ids.count()
     if not n:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    ranges = -(-n // ROWS_A_RANGE)
+    ranges = -(-n // min(MOST_ROWS_A_RANGE, max(ROWS_A_RANGE, n // BROADCAST_RANGES)))
     shares = [i / ranges for i in range(1, ranges)]
     found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("b")).first()[0] if shares else []
     bounds = np.unique(np.array(found or [], np.int64))
@@ -158,7 +160,7 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, s
     heads = sorted((r["part"], r["head"]["id"], r["head"]["tie"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
     before = {head: heads[i - 1][0] for i, head in enumerate(heads)}
     table = docs.sparkSession.createDataFrame([(p, None if i is None else -i, t, q) for (p, i, t), q in before.items()], "part int, head_id long, head_tie long, goes_to int")
-    heads_of = F.broadcast(table)  # one row a range
+    heads_of = F.broadcast(table) if len(before) <= BROADCAST_RANGES else table  # one row a range
     joined = dealt.join(heads_of, "part")
     is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     copies = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))
