@@ -437,21 +437,24 @@ def _places(patterns: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "lo", "sequence", "each", "offset"), table.T.copy(), strict=True))
 
 
-def _place(frames, places: dict[str, np.ndarray]):
+def _place(batches, places: dict[str, np.ndarray]):
+    import pyarrow as pa
+
     first = {int(x): int(i) for x, i in zip(*np.unique(places["length"], return_index=True), strict=True)}
     last = {int(x): int(i) for x, i in zip(*np.unique(places["length"][::-1], return_index=True), strict=True)}
     n = len(places["length"])
-    for frame in frames:
-        at = np.zeros(len(frame), np.int64)
-        lengths, ranks = frame["length"].to_numpy(), frame["rank"].to_numpy()
+    for batch in batches:  # other columns pass through as they are: no id becomes a float
+        lengths, ranks = (batch.column(batch.schema.names.index(c)).to_numpy() for c in ("length", "rank"))
+        at = np.zeros(batch.num_rows, np.int64)
         for x in np.unique(lengths):
             own = lengths == x
             lo, hi = first[int(x)], n - last[int(x)]
             at[own] = lo + np.searchsorted(places["lo"][lo:hi], ranks[own], "right") - 1
         within = ranks - places["lo"][at]
-        frame["sequence_id"] = places["sequence"][at] + within // places["each"][at]
-        frame["offset"] = places["offset"][at] + within % places["each"][at] * lengths
-        yield frame.drop(columns=["rank"])
+        sequence = places["sequence"][at] + within // places["each"][at]
+        offset = places["offset"][at] + within % places["each"][at] * lengths
+        kept = [k for k, c in enumerate(batch.schema.names) if c != "rank"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[k] for k in kept), "sequence_id", "offset"])
 
 
 def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False) -> DataFrame:
@@ -475,7 +478,7 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_toke
     kinds = dict(pieces.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*columns, "length"]) + ", sequence_id long, offset long"
     order = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    return ranked.mapInPandas(partial(_place, places=places), schema.replace("bigint", "long")).select(*order)
+    return ranked.mapInArrow(partial(_place, places=places), schema.replace("bigint", "long")).select(*order)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
