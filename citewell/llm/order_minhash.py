@@ -108,7 +108,7 @@ def edited(text: str, following: str) -> str:
 
 def _pairs(frame: pd.DataFrame, hasher: OrderMinHash) -> pd.DataFrame:
     """Of one range: rows in the order of documents, then the first row of the range that follows."""
-    frame = frame.sort_values(["guest", "doc_id", "tie"], ascending=[True, False, True], na_position="last", kind="stable")
+    frame = frame.sort_values(["guest", "no_id", "id", "tie"], ascending=[True, True, False, True], kind="stable")
     n = int((~frame["guest"]).sum())
     texts = frame["text"].tolist()[: n + 1]
     out, following = [], hasher.signature(texts[n])
@@ -117,7 +117,7 @@ def _pairs(frame: pd.DataFrame, hasher: OrderMinHash) -> pd.DataFrame:
         own, changed = hasher.signature(texts[i]), hasher.signature(other)
         out.append(
             (
-                frame["doc_id"].iat[i],
+                None if frame["no_id"].iat[i] else int(frame["id"].iat[i]),
                 len(texts[i]),
                 hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
                 own.astype(">u4").tobytes().hex(),
@@ -127,8 +127,9 @@ def _pairs(frame: pd.DataFrame, hasher: OrderMinHash) -> pd.DataFrame:
             )
         )
         following = own
-    done = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-    return done.astype({"doc_id": "Int64"})
+    done = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], dtype=object)
+    # never by way of floats: ids may need all 64 bits
+    return done.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": float, "near_next": float})
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, seed=SEED) -> DataFrame:  # noqa: E741
@@ -139,7 +140,7 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, s
     Two empty texts are alike (1); an empty and another text are not (0). An empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    source = source.withColumn("tie", F.xxhash64("text"))
+    source = source.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text", F.xxhash64("text").alias("tie"))
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
     n = ids.count()
     if not n:
@@ -151,21 +152,20 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, s
 
     @F.pandas_udf("int")
     def range_of(x: pd.Series) -> pd.Series:
-        part = len(bounds) - np.searchsorted(bounds, x.fillna(0).to_numpy(np.int64), "left")
-        return pd.Series(np.where(x.isna(), len(bounds) + 1, part).astype(np.int32))
+        return pd.Series((len(bounds) - np.searchsorted(bounds, x.to_numpy(np.int64), "left")).astype(np.int32))
 
-    dealt = source.withColumn("part", range_of("doc_id"))
+    dealt = source.withColumn("part", F.when(F.col("no_id"), len(bounds) + 1).otherwise(range_of("id")))
     # largest doc_id first, then the smallest tie; a null id is below all others
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("id"), F.col("tie").alias("tie")))
-    heads = sorted((r["part"], r["head"]["id"], r["head"]["tie"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
+    first = F.max(F.struct(F.col("id").alias("id"), F.bitwise_not("tie").alias("rest")))
+    heads = sorted((r["part"], r["head"]["id"], ~r["head"]["rest"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
     before = {head: heads[i - 1][0] for i, head in enumerate(heads)}
-    table = docs.sparkSession.createDataFrame([(p, None if i is None else -i, t, q) for (p, i, t), q in before.items()], "part int, head_id long, head_tie long, goes_to int")
+    table = docs.sparkSession.createDataFrame([(*head, q) for head, q in before.items()], "part int, head_id long, head_tie long, goes_to int")
     heads_of = F.broadcast(table) if len(before) <= BROADCAST_RANGES else table  # one row a range
     joined = dealt.join(heads_of, "part")
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
+    is_head = (F.col("id") == F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
     copies = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))
     copies = F.when(is_head, F.concat(copies, F.array(F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("guest"))))).otherwise(copies)
-    rows = joined.select("doc_id", "text", "tie", F.explode(copies).alias("x")).select("doc_id", "text", "tie", "x.part", "x.guest")
+    rows = joined.select("no_id", "id", "text", "tie", F.explode(copies).alias("x")).select("no_id", "id", "text", "tie", "x.part", "x.guest")
     return rows.groupBy("part").applyInPandas(partial(_pairs, hasher=OrderMinHash(k, l, m, seed)), SCHEMA)
 
 

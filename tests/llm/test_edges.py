@@ -64,3 +64,21 @@ def test_fixity_edges(spark):
     empty = records.where("false")
     assert {r["kind"] for r in fixity.audit(records, empty).collect()} == {"missing"}
     assert {r["kind"] for r in fixity.audit(empty, records).collect()} == {"extra"} and fixity.audit(empty, empty).collect() == []
+
+
+def test_next_documents_of_large_ids_and_nulls(spark):
+    big = 2**62 + 1
+    rows = [(big + i, f"text number {i} and more words") for i in range(5)] + [(None, "no id"), (None, "no id"), (-(2**62), None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = order_minhash.fingerprints(table).collect()
+    h = order_minhash.OrderMinHash()
+    ordered = [t or "" for _, t in rows[4::-1]] + [""] + ["no id", "no id"]
+    want = {i: order_minhash.likeness(h.signature(ordered[k]), h.signature(ordered[(k + 1) % 8])) for k, i in enumerate([big + 4, big + 3, big + 2, big + 1, big, -(2**62)])}
+    assert {r["doc_id"]: r["near_next"] for r in got if r["doc_id"] is not None} == want
+    assert sorted(r["near_next"] for r in got if r["doc_id"] is None)[-1] == 1.0 and len(got) == 8
+
+
+def test_packing_keeps_large_ids_beside_nulls(spark):
+    big = 2**62 + 1
+    table = spark.createDataFrame([(big, "a b"), (None, "c d"), (big + 2, None)], "doc_id long, text string")
+    assert {r["doc_id"] for r in packing.pack(table).collect()} == {big, None, big + 2}
