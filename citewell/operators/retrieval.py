@@ -86,17 +86,19 @@ def evidence_chain(anchors: DataFrame, mappings: DataFrame, group_sizes: DataFra
     verified thematic chunks of their group; those left are one row `insufficient`. Without an embedder, or with a
     null or empty query vector, a gap is insufficient.
     """
-    exact = exact_hits(anchors, mappings, group_sizes)
-    gaps = anchors.join(exact.select("group_id", "anchor").distinct(), ["group_id", "anchor"], "left_anti")
+    hits = exact_hits(anchors, mappings, group_sizes)
+    served = anchors.join(hits, ["group_id", "anchor"], "left")
+    by_start = Window.partitionBy("group_id", "anchor").orderBy("start", "chunk_id")
+    none = F.lit(None).cast("double")
+    exact = served.where("chunk_id is not null").select("group_id", "anchor", F.lit("exact").alias("tier"), F.row_number().over(by_start).alias("rank"), "chunk_id", none.alias("score"))
+    gaps = served.where("chunk_id is null").select("group_id", "anchor", "v")
     asked = gaps.where(F.lit(embedder) & F.col("v").isNotNull() & (F.size("v") > 0))
     asked = asked.select(F.struct("group_id", "anchor").alias("query_id"), "group_id", "v")
     found = topk_in_group(asked, thematic.where("verified").select("chunk_id", "group_id", "v"), k)
-    found = found.select("query_id.group_id", "query_id.anchor", F.lit("thematic").alias("tier"), "rank", "chunk_id", "score")
-    by_start = Window.partitionBy("group_id", "anchor").orderBy("start", "chunk_id")
-    first = exact.select("group_id", "anchor", F.lit("exact").alias("tier"), F.row_number().over(by_start).alias("rank"), "chunk_id", F.lit(None).cast("double").alias("score"))
-    none = gaps.join(found.select("group_id", "anchor").distinct(), ["group_id", "anchor"], "left_anti")
-    none = none.select("group_id", "anchor", F.lit("insufficient").alias("tier"), F.lit(0).alias("rank"), F.lit(None).cast(dict(first.dtypes)["chunk_id"]).alias("chunk_id"), F.lit(None).cast("double").alias("score"))
-    return first.unionByName(found).unionByName(none)
+    found = found.select("query_id.group_id", "query_id.anchor", "rank", "chunk_id", "score")
+    fallback = gaps.select("group_id", "anchor").join(found, ["group_id", "anchor"], "left")
+    tier = F.when(F.col("chunk_id").isNull(), "insufficient").otherwise("thematic")
+    return exact.unionByName(fallback.select("group_id", "anchor", tier.alias("tier"), F.coalesce("rank", F.lit(0)).alias("rank"), "chunk_id", "score"))
 
 
 def retrieval_verdicts(chain: DataFrame, failed: DataFrame | None = None) -> DataFrame:
