@@ -14,9 +14,15 @@ MIN_RUN = 4
 INTRODUCING = ("يخبر تعالى", "يقول تعالى", "قال تعالى")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once: inner lambdas see a variable instead of the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def windows(folded: Column, k: int = WINDOW) -> Column:
     """All windows of k characters, repeats kept; none if the text is shorter."""
-    return F.when(F.length(folded) >= k, F.transform(F.sequence(F.lit(1), F.length(folded) - k + 1), lambda i: F.substring(folded, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    slid = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - k + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(k)))
+    return bound(folded, lambda t: F.when(F.length(t) >= k, slid(t)).otherwise(F.array().cast("array<string>")))
 
 
 def quote_coverage(verse: Column, passage: Column, k: int = WINDOW) -> Column:
@@ -25,10 +31,14 @@ def quote_coverage(verse: Column, passage: Column, k: int = WINDOW) -> Column:
     Both texts are folded first. An empty side gives 0.
     """
     v, p = match_form(F.coalesce(verse, F.lit(""))), match_form(F.coalesce(passage, F.lit("")))
-    own = windows(v, k)
-    share = F.aggregate(own, F.lit(0), lambda n, w: n + F.contains(p, w).cast("int")) / F.size(own)
-    short = F.contains(p, v).cast("double")
-    return F.when((v == "") | (p == ""), F.lit(0.0)).when(F.length(v) < k, short).otherwise(share)
+
+    def shared(v: Column, p: Column) -> Column:
+        own = windows(v, k)
+        share = bound(own, lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.contains(p, w).cast("int")) / F.size(ws))
+        short = F.contains(p, v).cast("double")
+        return F.when((v == "") | (p == ""), F.lit(0.0)).when(F.length(v) < k, short).otherwise(share)
+
+    return bound(v, lambda x: bound(p, lambda y: shared(x, y)))
 
 
 def longest_quoted_run(verse: Column, passage: Column) -> Column:
@@ -41,13 +51,13 @@ def longest_quoted_run(verse: Column, passage: Column) -> Column:
     words = F.filter(F.split(v, " +"), lambda w: w != "")
     start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("best"))
 
-    def step(state: Column, word: Column) -> Column:
+    def step(p: Column, state: Column, word: Column) -> Column:
         grown = F.concat(state["open"], F.array(word))
         fits = F.contains(p, F.array_join(grown, " "))
         kept = F.when(fits, grown).otherwise(F.slice(grown, 2, F.size(grown)))
         return F.struct(kept.alias("open"), F.when(fits, F.greatest(state["best"], F.size(grown))).otherwise(state["best"]).alias("best"))
 
-    return F.aggregate(words, start, step, lambda s: s["best"])
+    return bound(p, lambda t: F.aggregate(words, start, lambda state, word: step(t, state, word), lambda s: s["best"]))
 
 
 def has_introduction(passage: Column, phrases=INTRODUCING) -> Column:
