@@ -248,7 +248,11 @@ class RuleEnsemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", learn: Column | None = None, sample=SAMPLE) -> RuleEnsemble:
-    """Fits on documents with a non-null 0/1 label where `learn` holds, at most `sample` of them by hash of the id."""
+    """Fits on documents with a non-null 0/1 label where `learn` holds, at most `sample` of them by hash of the id.
+
+    An id with several labels counts as 1 if one of them is; repeated documents count as often as they occur. Without
+    labelled documents the score is 0.5; with one class it is the smoothed share of that class.
+    """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
@@ -259,7 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text="text", threshold=THRESHOLD) -> DataFrame:
-    """docs and the columns score (0 to 1) and predicted (1 from the threshold on); clashing columns are replaced."""
+    """docs and the columns score (0 to 1) and predicted (1 from the threshold on); clashing columns are replaced.
+
+    One row for each row of docs. Null and empty texts have statistics of zero and are scored from those; equal texts
+    have equal scores; an empty table gives no rows. Other columns, nulls included, pass through.
+    """
     rated = with_statistics(docs, text).withColumn("score", model.column())
     return rated.drop(*map(_name, STATISTICS)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
