@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import partial
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -100,15 +101,21 @@ class UnitEncoder:
     def _learn(self, hashes: np.ndarray, units: list[bytes], simple: np.ndarray) -> None:
         model, texts = self.tokenizer.model, [u.decode("utf-8", "replace") for u in units]
         whole = iter(self._ids([t for t, s in zip(texts, simple, strict=True) if not s]))
-        for h, text, plain in zip(hashes, texts, simple.tolist(), strict=True):
-            ids = [t.id for t in model.tokenize(text.lower())] if plain else next(whole)
-            slot = int(self._slots(np.array([h]))[0]) if self.keys[int(h) >> (64 - CACHE_BITS)] else int(h) >> (64 - CACHE_BITS)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), "<u4")])
-            self.keys[slot], self.start[slot], self.size[slot] = h, self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.held += 1
+        found = [[t.id for t in model.tokenize(text.lower())] if plain else next(whole) for text, plain in zip(texts, simple.tolist(), strict=True)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used += int(sizes.sum())
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), self.used - len(self.pool)), "<u4")])
+        self.pool[self.used - int(sizes.sum()) : self.used] = np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum()))
+        keys, mask, slots = self.keys, (1 << CACHE_BITS) - 1, []
+        for h, slot in zip(hashes.tolist(), (hashes >> np.uint64(64 - CACHE_BITS)).tolist(), strict=True):
+            while keys[slot]:  # the hash is new, so its place is the next one that is free
+                slot = (slot + 1) & mask
+            keys[slot] = h
+            slots.append(slot)
+        self.start[slots], self.size[slots] = starts, sizes
+        self.held += len(slots)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text."""
