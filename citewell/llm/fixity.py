@@ -62,7 +62,8 @@ def tree(records: DataFrame) -> list[DataFrame]:
     level = keep(leaves.groupBy("archive", "node").agg(_ordered_hash("offset", "hash").alias("hash")), "fixity-ranges")
     levels = [level]
     for _ in range(LEVELS - 1):
-        level = level.withColumn("up", F.shiftright("node", FANOUT_BITS)).groupBy("archive", F.col("up").alias("node")).agg(_ordered_hash("node", "hash").alias("hash"))
+        up = level.withColumn("up", F.shiftright("node", FANOUT_BITS)).groupBy("archive", F.col("up").alias("node"))
+        level = keep(up.agg(_ordered_hash("node", "hash").alias("hash")), "fixity-ranges")  # each level is hashed once
         levels.append(level)
     return [*levels, level.groupBy("archive").agg(_ordered_hash("node", "hash").alias("hash")).withColumn("node", F.lit(0).cast("long"))]
 
@@ -88,8 +89,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         else:
             up = bad.select("archive", F.col("node").alias("up"))
             below = lambda nodes, up=up: nodes.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(up, ["archive", "up"], "left_semi").drop("up")
-        bad = _differ(below(a[k]), below(b[k])).select("archive", "node")
-    bad = keep(bad, "fixity-differing")
+        bad = keep(_differ(below(a[k]), below(b[k])).select("archive", "node"), "fixity-differing")
     in_bad = lambda records: records.withColumn("node", F.floor(F.col("offset") / SPAN).cast("long")).join(bad, ["archive", "node"], "left_semi").withColumn("hash", leaf_hash())
     p, r = in_bad(primary), in_bad(replica)
     at = ["archive", "offset"]
