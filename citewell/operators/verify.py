@@ -75,11 +75,18 @@ def grid_audit(present: DataFrame, on: list[str], url: str | None = None) -> Dat
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.coalesce(F.sum("p"), F.lit(0)).alias("placeholders"))
 
 
-def vector_audit(rows: DataFrame, model: str, dims: int) -> DataFrame:
-    """id, defects: rows id, v, model, normalized, hash; ordered list of what is wrong."""
-    from citewell.functions.vectors import vector_defects
+def vector_audit(rows: DataFrame, model: str, dims: int, rehash: bool = False) -> DataFrame:
+    """id, defects: rows id, v, model, normalized, hash; ordered list of what is wrong.
 
-    more = F.array_compact(F.array(F.when(~F.col("model").eqNullSafe(F.lit(model)), "foreign_model"), F.when(~F.coalesce("normalized", F.lit(False)), "not_marked_normalized"), F.when(F.coalesce("hash", F.lit("")) == "", "no_hash")))
+    rehash: recompute the hash of every vector that is there, and report hash_mismatch where a stored one differs;
+    without it only a blank hash is a defect.
+    """
+    from citewell.functions.vectors import embedding_hash_udf, vector_defects
+
+    there = F.size("v") > 0
+    stale = F.when(there & (F.coalesce("hash", F.lit("")) != "") & (F.col("hash") != embedding_hash_udf()(F.col("model"), F.col("v"))), "hash_mismatch")
+    checks = [F.when(~F.col("model").eqNullSafe(F.lit(model)), "foreign_model"), F.when(~F.coalesce("normalized", F.lit(False)), "not_marked_normalized"), F.when(F.coalesce("hash", F.lit("")) == "", "no_hash")]
+    more = F.array_compact(F.array(*checks, *([stale] if rehash else [])))
     return rows.select("id", F.when(F.col("v").isNull(), F.array(F.lit("missing"))).otherwise(F.concat(vector_defects(F.col("v"), dims), more)).alias("defects"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citewell.functions import overlap
+from citewell.functions.vectors import embedding_hash_udf
 from citewell.operators import coverage as C
 from citewell.operators import retrieval as R
 from citewell.operators import verify
@@ -143,8 +144,9 @@ def retrieval_verdicts(spark, d):
 def _audited(spark, d):
     e = driver_table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     v = F.when(F.col("vec_id") % 11 == 1, F.lit(None)).when(F.col("vec_id") % 13 == 2, F.slice("v", 1, 63)).when(F.col("vec_id") % 17 == 3, F.transform("v", lambda x: x * 2)).when(F.col("vec_id") % 19 == 4, F.transform("v", lambda x: x * 0)).otherwise(F.col("v"))
-    rows = e.select(F.col("vec_id").alias("id"), v.alias("v"), F.when(F.col("vec_id") % 23 == 5, "other").otherwise("m").alias("model"), (F.col("vec_id") % 29 != 6).alias("normalized"), F.when(F.col("vec_id") % 31 != 7, "h").alias("hash"))
-    return verify.vector_audit(rows, "m", 64)
+    rows = e.select(F.col("vec_id").alias("id"), v.alias("v"), F.when(F.col("vec_id") % 23 == 5, "other").otherwise("m").alias("model"), (F.col("vec_id") % 29 != 6).alias("normalized"))
+    rows = rows.withColumn("hash", F.when(F.col("id") % 31 != 7, embedding_hash_udf()(F.col("model"), F.col("v"))))
+    return verify.vector_audit(rows, "m", 64, rehash=True)
 
 
 def vector_audit(spark, d):
@@ -155,6 +157,15 @@ def vector_audit_tally(spark, d):
     return verify.defect_tally(_audited(spark, d))
 
 
+def vector_hash_audit(spark, d):
+    """Vectors that changed after they were hashed (some keep their width and length), and hashes of another model."""
+    e = driver_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    hashed = embedding_hash_udf()(F.when(F.col("id") % 37 == 8, "m0").otherwise("m"), F.col("v"))
+    now = F.when(F.col("id") % 7 == 1, F.transform("v", lambda x: -x)).when(F.col("id") % 13 == 2, F.slice("v", 1, 63)).otherwise(F.col("v"))
+    rows = e.select("id", now.alias("v"), F.lit("m").alias("model"), F.lit(True).alias("normalized"), F.when(F.col("id") % 31 != 7, hashed).alias("hash"))
+    return verify.vector_audit(rows, "m", 64, rehash=True).select(F.col("id").alias("vec_id"), F.array_join("defects", ",").alias("defects"))
+
+
 _AUDIT_SQL = """a AS (SELECT vec_id, CASE WHEN vec_id % 11 = 1 THEN 'missing' ELSE array_to_string(list_filter([
   CASE WHEN vec_id % 13 = 2 THEN 'wrong_width' END,
   CASE WHEN vec_id % 13 <> 2 AND vec_id % 17 <> 3 AND vec_id % 19 = 4 THEN 'zero_norm' END,
@@ -162,6 +173,17 @@ _AUDIT_SQL = """a AS (SELECT vec_id, CASE WHEN vec_id % 11 = 1 THEN 'missing' EL
   CASE WHEN vec_id % 23 = 5 THEN 'foreign_model' END, CASE WHEN vec_id % 29 = 6 THEN 'not_marked_normalized' END, CASE WHEN vec_id % 31 = 7 THEN 'no_hash' END], lambda x: x IS NOT NULL), ',') END AS defects FROM e)"""
 
 
+
+def _hash_sql(model: str, v: str) -> str:
+    parts = f"list_transform({v}, lambda x: regexp_replace(CAST(x AS VARCHAR), '\\.0$', '') || chr(0))"
+    return f"sha256({model} || chr(0) || array_to_string({parts}, '') || chr(1))"
+
+
+_HASH_AUDIT_SQL = f"""h AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 1 THEN list_transform(v, lambda x: -x) WHEN vec_id % 13 = 2 THEN v[:63] ELSE v END AS now, CASE WHEN vec_id % 37 = 8 THEN 'm0' ELSE 'm' END AS model FROM e),
+ha AS (SELECT vec_id, array_to_string(list_filter([CASE WHEN len(now) <> 64 THEN 'wrong_width' END, CASE WHEN abs(sqrt(list_inner_product(now, now)) - 1) > 0.01 THEN 'not_normalized' END,
+  CASE WHEN vec_id % 31 = 7 THEN 'no_hash' WHEN {_hash_sql('model', 'v')} <> {_hash_sql("'m'", 'now')} THEN 'hash_mismatch' END], lambda x: x IS NOT NULL), ',') AS defects FROM h)"""
+
+
 # ---------------------------------------------------------------- overlap
 
 
@@ -216,7 +238,7 @@ def readiness(spark, d):
     return flags.select("source", "lang", F.when(F.col("p") == 1, "available").when(F.col("u") == 1, "processing").otherwise("unavailable").alias("state"), "documents")
 
 
-_NAMES = "range_lookup coverage_by_start coverage_by_range coverage_report mapping_drift passages cosine_topk evidence_chain retrieval_verdicts vector_audit vector_audit_tally quote_coverage quoted_run corroboration_queue readiness"
+_NAMES = "range_lookup coverage_by_start coverage_by_range coverage_report mapping_drift passages cosine_topk evidence_chain retrieval_verdicts vector_audit vector_audit_tally vector_hash_audit quote_coverage quoted_run corroboration_queue readiness"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _LIST = "string_agg(CAST(anchor AS VARCHAR), ',' ORDER BY anchor) FILTER (WHERE {})"
 ORACLES = {
@@ -232,6 +254,7 @@ SELECT * FROM (SELECT coalesce(cc.chunk_id, mm.chunk_id) AS chunk_id, CASE WHEN
     "retrieval_verdicts": f"{_CHAIN_SQL}, v AS (SELECT group_id, anchor, max(CASE tier WHEN 'exact' THEN 3 WHEN 'thematic' THEN 2 ELSE 1 END) AS t FROM chain GROUP BY group_id, anchor) SELECT verdict, n FROM (VALUES ('PASS_EXACT', 3), ('NEEDS_REVIEW_THEMATIC', 2), ('GAP_INSUFFICIENT_EVIDENCE', 1), ('ERROR', 9)) l(verdict, k), LATERAL (SELECT count(*) AS n FROM v WHERE t = k) UNION ALL SELECT 'TOTAL', count(*) FROM v",
     "vector_audit": f"WITH {_E}, {_AUDIT_SQL} SELECT vec_id, defects FROM a",
     "vector_audit_tally": f"WITH {_E}, {_AUDIT_SQL}, u AS (SELECT unnest(string_split(defects, ',')) AS defect FROM a WHERE defects <> '') SELECT defect, count(*) AS n FROM u GROUP BY defect UNION ALL SELECT 'VERDICT', CAST(count(*) > 0 AND count(*) FILTER (WHERE defects <> '') = 0 AS BIGINT) FROM a",
+    "vector_hash_audit": f"WITH {_E}, {_HASH_AUDIT_SQL} SELECT vec_id, defects FROM ha",
     "quote_coverage": f"WITH {_OVERLAP_SQL} SELECT item_id, doc_id, windows, found, round(found / windows, 6) AS coverage FROM pairs WHERE found / windows >= {overlap.QUOTED}",
     "quoted_run": f"WITH {_OVERLAP_SQL}, {_RUN_SQL.format(pairs=f'(SELECT item_id, doc_id FROM pairs WHERE found / windows >= {overlap.QUOTED})')} SELECT * FROM runs",
     "corroboration_queue": f"""WITH {_OVERLAP_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY found / windows DESC, doc_id) AS r FROM pairs WHERE found / windows >= 0.05) WHERE r = 1), {_RUN_SQL.format(pairs='best')}

@@ -131,6 +131,21 @@ def test_vector_audit(spark):
     assert found == {"ok": [], "null": ["missing"], "w": ["wrong_width"], "f": ["foreign_model", "not_marked_normalized", "no_hash"]}
 
 
+def test_vector_audit_recomputes_hashes(spark):
+    import hashlib
+
+    plain = lambda model, *parts: hashlib.sha256(f"{model}\0".encode() + b"".join(f"{x}\0".encode() for x in parts) + b"\1").hexdigest()
+    good = plain("m", "0.6", "0.8")
+    data = [("ok", [0.6, 0.8], "m", good), ("swapped", [0.8, 0.6], "m", good), ("sign", [-0.6, 0.8], "m", good), ("constant", [0.6, 0.8], "m", "h"), ("model", [0.6, 0.8], "x", good), ("own", [0.6, 0.8], "x", plain("x", "0.6", "0.8")), ("w", [1.0], "m", good), ("blank", [0.6, 0.8], "m", ""), ("null", None, "m", good), ("empty", [], "m", good)]
+    rows = spark.createDataFrame([(i, v, m, True, h) for i, v, m, h in data], "id string, v array<double>, model string, normalized boolean, hash string")
+    audited = verify.vector_audit(rows, "m", 2, rehash=True)
+    found = {r["id"]: r["defects"] for r in audited.collect()}
+    bad = ["hash_mismatch"]
+    assert found == {"ok": [], "swapped": bad, "sign": bad, "constant": bad, "model": ["foreign_model", *bad], "own": ["foreign_model"], "w": ["wrong_width", *bad], "blank": ["no_hash"], "null": ["missing"], "empty": ["missing"]}
+    tally = {r["defect"]: r["n"] for r in verify.defect_tally(audited.where("id in ('ok', 'sign')")).collect()}
+    assert tally == {"hash_mismatch": 1, "VERDICT": 0}
+
+
 def test_decisions(spark):
     log = spark.createDataFrame([(1, 1, 1, "escalate", "r", None), (1, 2, 2, "approve", "r", None), (1, 3, 3, "reject", "r", None), (2, 1, 4, "edit_approve", "r", None), (2, 2, 5, "edit_approve", "r", "t"), (3, 1, 6, "odd", "r", None), (3, 2, 7, "reject", " ", None)], "item_id int, ts int, seq int, decision string, reviewer string, text string")
     outcome = {r["seq"]: r["outcome"] for r in review.fold_decisions(log).collect()}
