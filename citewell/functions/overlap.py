@@ -81,7 +81,8 @@ def verdict(run: Column, introduced: Column, quoted: Column, min_run: int = MIN_
 def coverage_pairs(verses: DataFrame, passages: DataFrame, k: int = WINDOW, least: float = QUOTED) -> DataFrame:
     """verse_id, passage_id, windows, found, coverage of all pairs that reach `least`.
 
-    verses: verse_id, text; passages: passage_id, text. Windows of passages meet those of verses in an equi-join:
+    verses: verse_id, text; passages: passage_id, text. A verse shorter than k is one window of its own length, so
+    passages also give the windows of each such length that occurs (below k, so a few numbers to collect). Windows of passages meet those of verses in an equi-join:
     a passage's distinct windows are first narrowed to the verses' windows by a semi-join, so what is shuffled is
     proportional to the matches. A window in very many passages spreads by AQE's skew handling, and each (verse,
     passage) pair is aggregated on the map side first.
@@ -89,13 +90,14 @@ def coverage_pairs(verses: DataFrame, passages: DataFrame, k: int = WINDOW, leas
     folded = verses.select("verse_id", match_form(F.coalesce("text", F.lit(""))).alias("v"))
     own = folded.select("verse_id", F.explode(F.when(F.length("v") >= k, windows(F.col("v"), k)).when(F.length("v") > 0, F.array("v"))).alias("w"))
     own = own.groupBy("verse_id", "w").agg(F.count("*").alias("times"))
+    shorter = [r[0] for r in folded.where((F.length("v") > 0) & (F.length("v") < k)).select(F.length("v")).distinct().collect()]
     totals = own.groupBy("verse_id").agg(F.sum("times").alias("windows"))
     wanted = own.select("w").distinct()
     chars = F.split(match_form(F.coalesce("text", F.lit(""))), "")
     p = passages.select("passage_id", chars.alias("c"))
-    slid = F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.array_join(F.slice("c", i, k), ""))
+    slid = lambda m: F.when(F.size("c") >= m, F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - m + 1, F.lit(1))), lambda i: F.array_join(F.slice("c", i, m), ""))).otherwise(F.array().cast("array<string>"))
     # array_distinct before the join: a passage counts a window once
-    grams = p.where(F.size("c") >= k).select("passage_id", F.explode(F.array_distinct(slid)).alias("w"))
+    grams = p.select("passage_id", F.explode(F.array_distinct(F.concat(*map(slid, (k, *sorted(shorter)))))).alias("w"))
     met = grams.join(wanted, "w", "left_semi").join(own, "w").groupBy("verse_id", "passage_id").agg(F.sum("times").alias("found"))
     pairs = met.join(totals, "verse_id").withColumn("coverage", F.col("found") / F.col("windows"))
     return pairs.where(F.col("coverage") >= least).select("verse_id", "passage_id", F.col("windows").cast("long"), F.col("found").cast("long"), "coverage")

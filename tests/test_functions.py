@@ -90,6 +90,17 @@ def test_coverage_plans_agree(spark):
     assert joined == indexed and joined
 
 
+def test_short_items_are_found_on_both_sides_of_the_switch(spark):
+    verses = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "tiny"), (3, ""), (4, "a"), (5, "brown f"), (6, "tiny"), (7, "absent"), (8, "eightlng")], "verse_id int, text string")
+    passages = spark.createDataFrame([(1, "see the quick brown fox jumps over"), (2, "a tiny tiny thing"), (3, None), (4, "tiny"), (5, ""), (6, "x eightlng y")], "passage_id int, text string")
+    below = {tuple(r) for r in overlap.coverage_pairs_indexed(verses, passages, least=0.1).collect()}
+    above = {tuple(r) for r in overlap.coverage_pairs_indexed(verses, passages, least=0.1, max_windows=1).collect()}
+    pairs = verses.crossJoin(passages.withColumnRenamed("text", "p")).withColumn("c", overlap.quote_coverage(F.col("text"), F.col("p")))
+    assert below == above
+    assert {(r[0], r[1]): r[4] for r in above} == {(r["verse_id"], r["passage_id"]): r["c"] for r in pairs.where("c >= 0.1").collect()}
+    assert {(2, 2, 1, 1, 1.0), (2, 4, 1, 1, 1.0), (5, 1, 1, 1, 1.0), (6, 4, 1, 1, 1.0)} <= above
+
+
 @pytest.mark.parametrize("a,b,want", [([1.0, 0.0], [1.0, 0.0], 1), ([1.0, 0.0], [0.0, 1.0], 0), ([1.0, 0.0], [-1.0, 0.0], -1), ([1.0], [1.0, 2.0], 0), ([0.0, 0.0], [1.0, 0.0], 0), ([3.0, 4.0], [6.0, 8.0], 1)])
 def test_cosine(spark, a, b, want):
     array = lambda v: F.array(*map(F.lit, v))
