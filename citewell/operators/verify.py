@@ -54,7 +54,7 @@ def extras(stored: DataFrame, group_sizes: DataFrame) -> DataFrame:
 
 
 def set_hash(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """keys, set_hash, versions: sha256 over the lines order TAB value NEWLINE, in order."""
+    """keys, set_hash, n: sha256 over the lines order TAB value NEWLINE, in order. Versions are not looked at."""
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     text = F.array_join(F.transform(lines, lambda x: F.concat(x["o"].cast("string"), F.lit("\t"), x["v"], F.lit("\n"))), "")
     return rows.groupBy(*keys).agg(content_hash(text).alias("set_hash"), F.count("*").alias("n"))
