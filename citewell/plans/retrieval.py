@@ -212,7 +212,11 @@ def quoted_run(spark, d):
 
 
 def corroboration_queue(spark, d):
-    """Every benchmark item with the document that quotes it best and a verdict; weakest first."""
+    """Every benchmark item with the document that quotes it best and a verdict; weakest first.
+
+    Only the document of best coverage is judged, and only at a coverage of 0.05 or more: below it the item is a gap
+    even where a run of MIN_RUN words occurs, and runs in other documents are not looked at. The oracle does the same.
+    """
     best = _pairs(spark, d, 0.05).groupBy("verse_id").agg(F.max(F.struct("coverage", (-F.col("passage_id")).alias("neg"))).alias("b"))
     best = best.select("verse_id", (-F.col("b.neg")).alias("passage_id"), "b.coverage")
     scored = _with_run(spark, d, best).select("verse_id", "passage_id", "coverage", "run", "introduced")
