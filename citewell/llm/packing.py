@@ -324,10 +324,10 @@ def waste_bound(lengths: list[int], capacity: int) -> int:
 
 
 def complete(lengths: list[int], capacity: int, incumbent: list[list[int]], nodes: int = NODE_LIMIT) -> list[list[int]]:
-    """Branch and bound: fills the bin of the largest piece in every undominated way, best first.
+    """Branch and bound: fills the bin of the largest piece in the ways that _all_fillings keeps, best first.
 
-    Prunes where the bins used plus the waste bound of what remains reach the incumbent. Ends with the proven
-    optimum, or with the best bins found when `nodes` are used up.
+    Prunes where the bins used plus the waste bound of what remains reach the incumbent. Ends with the best bins
+    found: the optimum where the bound is reached or no filling was cut off, maybe not where `nodes` are used up.
     """
     best, floor = incumbent, waste_bound(lengths, capacity)
     budget = [nodes]
@@ -364,7 +364,10 @@ def complete(lengths: list[int], capacity: int, incumbent: list[list[int]], node
 
 
 def _all_fillings(counts: dict[int, int], room: int, most: int = 64) -> list[tuple[int, ...]]:
-    """Maximal fillings of a room, fullest first, without those that swapping a part for one larger piece beats."""
+    """Maximal fillings of a room, fullest first, without those that swapping a part for one larger piece beats.
+
+    Of the first 8 * most that are enumerated, the `most` fullest.
+    """
     lengths = sorted((x for x in counts if x <= room), reverse=True)
     found: list[tuple[int, ...]] = []
 
