@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +20,28 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; a cluster has none that its executors share, so
+    that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="citewell-")
-    spark.sparkContext.setCheckpointDir(own)
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citewell-"))
     return shared_dir(spark)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
+    """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors.
+
+    The table stays until its scratch() block ends, or else until Python does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -38,17 +49,52 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end."""
+    first, results = len(_written), []
+
+    def result(df: DataFrame) -> DataFrame:
+        out = keep(df, name)
+        results.append(_written[-1])
+        return out
+
+    try:
+        yield result
+    finally:
+        _delete([x for x in _written[first:] if x not in results])
+        _written[first:] = results
+
+
 #: Rows of an Arrow batch where rows hold whole texts; the session's default of 10,000 puts no bound on its bytes.
 TEXTS_A_BATCH = 1024
+#: Characters of texts that a task works on at once, about; a longer text is alone.
+CHARS_A_BLOCK = 250_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to TEXTS_A_BATCH rows, unless the user has set it."""
+    """Lowers the session's Arrow batch size to TEXTS_A_BATCH rows, unless the session sets one, whatever it is."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(name):
         spark.conf.set(name, str(TEXTS_A_BATCH))
 
 
+def text_blocks(texts, chars: int = CHARS_A_BLOCK, most: int = TEXTS_A_BATCH):
+    """(index of the first, texts) of runs of an Arrow column of texts: about `chars` characters, at most `most` texts.
+
+    Null counts as empty. What a task holds is bounded by the length of texts, not by their number alone.
+    """
+    lo, part, held = 0, [], 0
+    for i in range(len(texts)):
+        part.append(texts[i].as_py() or "")
+        held += len(part[-1])
+        if held >= chars or len(part) >= most:
+            yield lo, part
+            lo, part, held = i + 1, [], 0
+    if part:
+        yield lo, part
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system; workers outlive their tasks."""
     import ctypes
@@ -62,14 +108,19 @@ def release() -> None:
         return
 
 
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
+def _delete(written: list[tuple[SparkSession, str]]) -> None:
+    """Deletes tables; one that cannot be deleted (its session has ended) does not keep the others."""
+    for spark, path in written:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has ended; the folder's owner clears it
-            return
+        except Exception:  # noqa: BLE001, S112  the folder's owner clears it
+            continue
+
+
+@atexit.register
+def _sweep() -> None:
+    _delete(_written)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Best-fit packing of tokenized documents by bin completion with branch and bound.
 
 A sequence is decided by the lengths in it, and there are at most `max_tokens` lengths, so the search runs on
-the histogram of lengths: its size does not depend on the number of documents. Fillings around the largest
-remaining length are enumerated without the dominated ones, the one with the least waste is used as often as
-the histogram allows, and what remains (a few hundred pieces) goes to a depth-first search that prunes by the
-waste bound and starts from the best-fit solution as its incumbent. Then every piece takes the place that its
-rank among the pieces of its length stands for.
+the histogram of lengths: its size does not depend on the number of documents. Best-fit decreasing gives the
+incumbent. Bins are then completed around the largest remaining length: its undominated fillings are enumerated,
+fullest first, each used as often as the histogram allows, and branches are pruned by a waste bound. All
+pieces are decided by this search. It ends where the bound is reached or the tree is exhausted (the optimum), or
+after STEPS steps with the best packing found, never a worse one than best-fit decreasing. Then every piece takes
+the place that its rank among the pieces of its length stands for.
 
 Scale: the text is read once. Pieces (a few numbers each, no text) are written to the shared folder; the
 histogram has one row a length. Ranks within a length come from counts over hash slices plus a window inside
@@ -15,28 +16,26 @@ one slice of one length, so a length that a third of all documents have is sprea
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from bisect import bisect_left, insort
 from functools import partial
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, keep, release
+from citewell.llm.common import bounded_batches, keep, release, text_blocks
 from citewell.llm.shingles import span_hashes
 
 MAX_TOKENS = 2048
 END_ID = 0
-#: Pieces that the depth-first search gets, and the nodes that it may open.
-RESIDUAL = 96
-NODE_LIMIT = 20_000
+#: Steps that the search may take (about a second); beyond them its best solution so far stands.
+STEPS = 500_000
 #: Rows of one window, about.
 ROWS_A_SLICE = 2_000
 #: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
 CACHE_BITS, CACHE_IDS = 20, 4_000_000
-#: Characters that are encoded at once, about.
-BLOCK = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -178,7 +177,7 @@ def _cut(batches, path: str, max_tokens: int, end_id: int, with_ids: bool):
     encoder, end = _encoder(path), np.array([end_id], "<u4")
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for lo, part in _blocks(texts):
+        for lo, part in text_blocks(texts):
             doc_id, piece, start, length, crc, own = [], [], [], [], [], []
             for d, tokens in zip(ids[lo : lo + len(part)], encoder.encode(part), strict=True):
                 tokens = np.concatenate([tokens, end])
@@ -199,19 +198,6 @@ def _cut(batches, path: str, max_tokens: int, end_id: int, with_ids: bool):
     release()
 
 
-def _blocks(texts):
-    """(index of the first, texts) of runs of texts with about BLOCK characters."""
-    lo, part, chars = 0, [], 0
-    for i in range(len(texts)):
-        part.append(texts[i].as_py() or "")
-        chars += len(part[-1])
-        if chars >= BLOCK:
-            yield lo, part
-            lo, part, chars = i + 1, [], 0
-    if part:
-        yield lo, part
-
-
 def tokenized_pieces(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False) -> DataFrame:
     """One row a piece: a document's ids and the end id, cut after every max_tokens ids. Null text is empty."""
     bounded_batches(docs.sparkSession)
@@ -271,161 +257,189 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, t) for same in rooms.values() for p, t in same.items()]
 
 
-def fillings(counts: dict[int, int], room: int, most_items: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings of a room, least waste first: no filling that another one contains or could replace.
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on the bins: by volume and waste, and by how many pieces of some length or more a bin holds.
 
-    For one item only the largest that fits is undominated; for two, each first item with the largest second
-    that fits beside it; and so on. A filling that leaves no waste ends the enumeration.
+    Waste is the room beside a piece of more than half the capacity that no small piece can fill.
     """
-    lengths = np.array(sorted(x for x, n in counts.items() if n and x <= room), np.int64)
-    if not len(lengths):
-        return [()]
-    many = np.array([counts[int(x)] for x in lengths])
-    best: list[tuple[int, tuple[int, ...]]] = [(room - int(lengths[-1]), (int(lengths[-1]),))]
-    if best[0][0] and most_items >= 2:
-        at = np.searchsorted(lengths, room - lengths, "right") - 1
-        ok = (at >= 0) & (at <= np.arange(len(lengths)))
-        ok &= (at != np.arange(len(lengths))) | (many > 1)
-        if ok.any():
-            first = np.flatnonzero(ok)
-            sums = lengths[first] + lengths[at[first]]
-            for k in first[np.lexsort((-lengths[first], -sums))[:8]]:
-                best.append((room - int(lengths[k] + lengths[at[k]]), (int(lengths[k]), int(lengths[at[k]]))))
-    if min(best)[0] and most_items >= 3:
-        for k in range(len(lengths) - 1, -1, -1):
-            rest = room - int(lengths[k])
-            if rest < 2 * int(lengths[0]) or lengths[k] * 3 < room - min(best)[0]:
-                continue
-            sub = {int(x): int(counts[int(x)]) - (x == lengths[k]) for x in lengths if x <= min(rest, lengths[k])}
-            for two in fillings(sub, rest, 2)[:1]:
-                if two:
-                    best.append((rest - sum(two), (int(lengths[k]), *two)))
-            if min(best)[0] == 0:
-                break
-    best.sort(key=lambda x: (x[0], len(x[1]), [-y for y in x[1]]))
-    return [x for _, x in dict.fromkeys(best)]
-
-
-def waste_bound(lengths: list[int], capacity: int) -> int:
-    """Fewest bins by volume, counting the room that no remaining piece can fill as waste."""
-    ordered = sorted(lengths)
-    total, waste, carried, small = sum(ordered), 0, 0, 0
-    for large in reversed(ordered):
-        if large <= capacity // 2:
+    order = sorted(counts, reverse=True)
+    total, waste, carried, small = sum(x * n for x, n in counts.items()), 0, 0, len(order) - 1
+    for large in order:
+        if 2 * large <= capacity:
             break
         room = capacity - large
-        while small < len(ordered) and ordered[small] <= room:
-            carried += ordered[small]
-            small += 1
-        used = min(carried, room)
-        waste += room - used
+        while small >= 0 and order[small] <= room:
+            carried += order[small] * counts[order[small]]
+            small -= 1
+        used = min(carried, room * counts[large])
+        waste += room * counts[large] - used
         carried -= used
-    return -(-(total + waste) // capacity)
-
+    most, pieces = -(-(total + waste) // capacity), 0
+    for x in order:
+        pieces += counts[x]
+        most = max(most, -(-pieces // (capacity // x)))
+    return most
 
-def complete(lengths: list[int], capacity: int, incumbent: list[list[int]], nodes: int = NODE_LIMIT) -> list[list[int]]:
-    """Branch and bound: fills the bin of the largest piece in the ways that _all_fillings keeps, best first.
 
-    Prunes where the bins used plus the waste bound of what remains reach the incumbent. Ends with the best bins
-    found: the optimum where the bound is reached or no filling was cut off, maybe not where `nodes` are used up.
-    """
-    best, floor = incumbent, waste_bound(lengths, capacity)
-    budget = [nodes]
+class Budget:
+    """Steps that the search may still take; every sum, piece and test of the enumeration is one."""
 
-    def go(counts: dict[int, int], bins: list[list[int]]) -> None:
-        nonlocal best
-        rest = [x for x, n in counts.items() for _ in range(n)]
-        if not rest:
-            if len(bins) < len(best):
-                best = [list(b) for b in bins]
-            return
-        if len(best) <= floor or budget[0] <= 0 or len(bins) + waste_bound(rest, capacity) >= len(best):
-            return
-        budget[0] -= 1
-        largest = max(rest)
-        counts[largest] -= 1
-        if not counts[largest]:
-            del counts[largest]
-        for filling in _all_fillings(counts, capacity - largest):
-            child = dict(counts)
-            for x in filling:
-                child[x] -= 1
-                if not child[x]:
-                    del child[x]
-            go(child, [*bins, [largest, *filling]])
-            if len(best) <= floor or budget[0] <= 0:
-                return
+    def __init__(self, steps: int):
+        self.left = steps
 
-    start: dict[int, int] = {}
-    for x in lengths:
-        start[x] = start.get(x, 0) + 1
-    go(start, [])
-    return best
+    def spend(self, steps: int) -> bool:
+        self.left -= steps
+        return self.left > 0
 
 
-def _all_fillings(counts: dict[int, int], room: int, most: int = 64) -> list[tuple[int, ...]]:
-    """Maximal fillings of a room, fullest first, without those that swapping a part for one larger piece beats.
+def dominated(filling: tuple[int, ...], counts: dict[int, int], room: int) -> bool:
+    """Whether one more piece could stand for some pieces of the filling, or for none, and waste no more.
 
-    Of the first 8 * most that are enumerated, the `most` fullest.
+    That is: an unused piece x and a part of the filling with the sum s, where s <= x <= s + (room left). A filling
+    that another one dominates by putting several pieces into one of its own has such an x (the largest piece of the
+    other that does not stand for itself), so this is the whole test. A piece does not stand for its equal.
     """
-    lengths = sorted((x for x in counts if x <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
-
-    def extend(at: int, left: int, chosen: list[int]) -> None:
-        if len(found) >= 8 * most:
+    slack = room - sum(filling)
+    single, several = 0, 1  # bits: sums of one piece, and of none or of two and more
+    for y in filling:
+        several |= (several & ~1) << y | single << y
+        single |= 1 << y
+    free = 0
+    for x, n in counts.items():
+        if x <= room and n > filling.count(x):
+            free |= 1 << x
+    return bool(_smeared(several, slack) & free or slack and _smeared(single << 1, slack - 1) & free)
+
+
+def _smeared(bits: int, by: int) -> int:
+    """Every bit also at the `by` places above it."""
+    done = 0
+    while done < by:
+        more = min(done + 1, by - done)
+        bits |= bits << more
+        done += more
+    return bits
+
+
+def fillings(counts: dict[int, int], room: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of a room, the fullest first, those of few large pieces first; lazily.
+
+    For each piece, largest first, the sums that it and all smaller ones reach are bits of a number. So every branch
+    of the enumeration ends in a filling, and the work between two fillings is bounded by the number of lengths. It
+    ends early only where the budget ends.
+    """
+    if counts.get(room):
+        yield (room,)  # the only undominated filling: it can stand for any other
+        return
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    if not lengths:
+        yield ()
+        return
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lengths):
+        sums, left, step = reach[-1], min(counts[x], room // x), 1
+        while left:
+            step = min(step, left)
+            sums |= (sums << (step * x)) & mask
+            left -= step
+            step *= 2
+        reach.append(sums)
+    reach.reverse()  # reach[i]: sums of lengths[i:]
+    if not budget.spend(2 * len(lengths)):
+        return
+    sums = reach[0]
+    while sums > 1:
+        target = sums.bit_length() - 1
+        sums ^= 1 << target
+        for found in _exactly(target, lengths, counts, reach, budget):
+            if not budget.spend(4 + len(found)):
+                return
+            if not dominated(found, counts, room):
+                yield found
+
+
+def _exactly(target: int, lengths: list[int], counts: dict[int, int], reach: list[int], budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Fillings with this sum, lexicographically largest first."""
+    stack = [(0, target, ())]
+    while stack:
+        i, left, chosen = stack.pop()
+        while left and budget.left > 0:
+            budget.left -= 1
+            x = lengths[i]
+            most = min(counts[x], left // x)
+            tails = [k for k in range(most + 1) if reach[i + 1] >> (left - k * x) & 1]
+            budget.left -= most
+            for k in tails[:-1]:
+                stack.append((i + 1, left - k * x, (*chosen, *[x] * k)))
+            k = tails[-1]
+            i, left, chosen = i + 1, left - k * x, (*chosen, *[x] * k)
+        if left:
             return
-        grew = False
-        for k in range(at, len(lengths)):
-            x = lengths[k]
-            if x <= left and chosen.count(x) < counts[x]:
-                grew = True
-                extend(k, left - x, [*chosen, x])
-        if not grew and not any(x <= left and chosen.count(x) < counts[x] for x in lengths):
-            found.append(tuple(chosen))
+        yield chosen
 
-    extend(0, room, [])
-    kept = [f for f in found if not any(_dominates(x, f, counts) for x in lengths)]
-    return sorted(set(kept) or {()}, key=lambda f: (-sum(f), len(f)))[:most]
 
+def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], steps: int = STEPS) -> list[tuple[Pattern, int]]:
+    """Bin completion by branch and bound over the whole histogram, from the incumbent on.
+
+    The bin of the largest piece is filled in every undominated way, best first. A filling is used as often as the
+    histogram allows at once, and taken back one bin at a time, so the tree is the one of single bins. A branch is
+    left where the bins used and the bound of the rest reach the best solution. The search ends with the
+    optimum if it reaches the bound of the whole or has no branch left, else after `steps`, with the best found.
+    """
+    rest = dict(counts)
+    best, fewest, floor = incumbent, sum(t for _, t in incumbent), least_bins(counts, capacity)
+    budget = Budget(steps)
+    volume = sum(x * n for x, n in counts.items())
+    frames: list[list] = []  # [pattern, times, how many fillings of that bin were tried, the pattern's volume]
+    used, tried, visits = 0, 0, 0
+
+    def put(pattern: Pattern, times: int) -> None:
+        for x, k in pattern:
+            rest[x] = rest.get(x, 0) + k * times
+            if not rest[x]:
+                del rest[x]
 
-def _dominates(x: int, filling: tuple[int, ...], counts: dict[int, int]) -> bool:
-    """One piece x, not all used, that two or more pieces of the filling would fit into and that fills as much."""
-    if filling.count(x) >= counts[x]:
-        return False
-    small = sorted(y for y in filling if y < x)
-    return len(small) >= 2 and sum(small[:2]) == x
+    while fewest > floor and budget.left > 0:
+        # at a node: fillings of the next bin from number `tried` on
+        visits += 1
+        open_ = used + -(-volume // capacity) < fewest
+        if open_ and rest and (tried or visits % 16 == 0 or len(rest) <= 64):
+            budget.spend(len(rest))
+            open_ = used + least_bins(rest, capacity) < fewest
+        if not rest:
+            if used < fewest:
+                best, fewest = [(p, t) for p, t, _, _ in frames], used
+            open_ = False
+        pattern = None
+        if open_:
+            largest = max(rest)
+            put(((largest, 1),), -1)
+            found = next(islice(fillings(rest, capacity - largest, budget), tried, None), None)
+            put(((largest, 1),), 1)
+            if found is not None:
+                pattern = _pattern((largest, *found))
+        if pattern is not None:
+            times = min(rest[x] // k for x, k in pattern)
+            each = sum(x * k for x, k in pattern)
+            put(pattern, -times)
+            frames.append([pattern, times, tried, each])
+            used, volume, tried = used + times, volume - times * each, 0
+            continue
+        if not frames:
+            break
+        last = frames[-1]  # take one bin back and go on with its next filling
+        put(last[0], 1)
+        used, volume, tried = used - 1, volume + last[3], last[2] + 1
+        last[1] -= 1
+        if not last[1]:
+            frames.pop()
+    return best
 
 
-def solve(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+def solve(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; together they hold every piece of the histogram exactly once."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
-    incumbent = best_fit(counts, capacity)
-    rest, out = dict(counts), []
-    while sum(rest.values()) > RESIDUAL:
-        largest = max(rest)
-        rest[largest] -= 1
-        filling = fillings(rest, capacity - largest)[0]
-        room = capacity - largest - sum(filling)
-        whole = [largest, *filling]
-        rest[largest] += 1
-        while room >= min(rest):  # more than three pieces: go on with the best fit
-            spare = [x for x, n in rest.items() if x <= room and n > whole.count(x)]
-            if not spare:
-                break
-            whole.append(max(spare))
-            room -= whole[-1]
-        pattern = _pattern(whole)
-        times = min(rest[x] // k for x, k in pattern)
-        for x, k in pattern:
-            rest[x] -= k * times
-            if not rest[x]:
-                del rest[x]
-        out.append((pattern, times))
-    lengths = [x for x, n in rest.items() for _ in range(n)]
-    if lengths:
-        seed = [[x for x, k in p for _ in range(k)] for p, t in best_fit(rest, capacity) for _ in range(t)]
-        out += [(_pattern(b), 1) for b in complete(lengths, capacity, seed)]
-    return out if sum(t for _, t in out) <= sum(t for _, t in incumbent) else incumbent
+    return complete(counts, capacity, best_fit(counts, capacity), steps)
 
 
 # ---------------------------------------------------------------- places

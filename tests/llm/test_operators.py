@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -328,14 +329,64 @@ def _fewest(lengths: list[int], cap: int) -> int:
     return best
 
 
-@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("seed", range(16))
 def test_search_finds_the_fewest(seed):
     draw = random.Random(seed)
-    lengths = [draw.randint(10, 70) for _ in range(11)]
+    lengths = [draw.randint(*draw.choice([(10, 70), (25, 45), (1, 99)])) for _ in range(14)]
     found = packing.solve(Counter(lengths), 100)
     assert sum(t for _, t in found) == _fewest(list(lengths), 100)
 
 
+def _feasible(counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
+    out = [()]
+    for x in sorted(counts, reverse=True):
+        out = [(*f, *[x] * k) for f in out for k in range(counts[x] + 1) if sum(f) + k * x <= room]
+    return out
+
+
+def _beats(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """By definition: the pieces of b can be put into those of a, taken as bins."""
+    rooms = list(a)
+
+    def go(rest: tuple[int, ...], rooms: list[int]) -> bool:
+        return not rest or any(rooms[k] >= rest[0] and go(rest[1:], [*rooms[:k], rooms[k] - rest[0], *rooms[k + 1 :]]) for k in range(len(rooms)))
+
+    return go(tuple(sorted(b, reverse=True)), rooms)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fillings_are_the_undominated_ones(seed):
+    draw = random.Random(seed)
+    counts, room = Counter(draw.randint(2, 20) for _ in range(7)), draw.randint(12, 40)
+    every = _feasible(counts, room)
+    want = {f for f in every if not any(g != f and _beats(g, f) for g in every)}
+    got = list(packing.fillings(counts, room, packing.Budget(10**6)))
+    assert set(got) == want and len(got) == len(want)
+    assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_search_ends_soon_and_never_below_the_bound():
+    draw = random.Random(11)
+    shapes = [[draw.randint(500, 1100) for _ in range(34)] + [draw.randint(1, 40) for _ in range(62)], [draw.randint(500, 1100) for _ in range(30)] + [draw.randint(1, 25) for _ in range(66)], list(range(1, 40)), [draw.randint(400, 1000) for _ in range(5000)]]
+    for _ in range(60):
+        lo = draw.choice([1, 20, 100, 300, 500])
+        shapes.append([draw.randint(lo, min(2048, lo + draw.choice([10, 40, 200, 1500]))) for _ in range(draw.randint(1, 300))])
+    for lengths in shapes:
+        counts, began = Counter(lengths), time.perf_counter()
+        found = sum(t for _, t in packing.solve(counts, 2048))
+        assert time.perf_counter() - began < 5  # about one second on an idle machine
+        assert packing.least_bins(counts, 2048) <= found <= sum(t for _, t in packing.best_fit(counts, 2048))
+
+
+def test_search_improves_on_best_fit():
+    draw = random.Random(0)
+    better = 0
+    for _ in range(20):
+        counts = Counter(draw.randint(300, 900) for _ in range(60))
+        better += sum(t for _, t in packing.solve(counts, 2048)) < sum(t for _, t in packing.best_fit(counts, 2048))
+    assert better
+
+
 @pytest.mark.parametrize("n,lo,hi", [(3000, 1, 2047), (3000, 300, 1500), (500, 1025, 2047), (1, 5, 5), (800, 1, 30)])
 def test_search_uses_every_piece_once(n, lo, hi):
     draw = random.Random(n + lo)
