@@ -38,13 +38,34 @@ def archived(pages: DataFrame, page_id="page_id", url="url", html="html", per_ar
     """The pages written one after the other into archives of per_archive consecutive ids.
 
     archive, offset, length, sha256, page_id of each record. Null url and html count as empty; pages without an id
-    share archive -1. Repeated rows follow each other.
+    are dealt by their hash into archives of their own, -1 and below, of about per_archive records. Repeated rows
+    follow each other; pages of one id are ordered by their hash. An empty table gives no rows.
     """
     record = record_bytes(F.col(url), F.col(page_id), F.col(html))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("sha256"))
-    rows = rows.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).cast("long"))
-    before = Window.partitionBy("archive").orderBy("page_id", "sha256").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("archive", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "sha256", "page_id")
+    return _placed(rows, "sha256", "length", per_archive).select("archive", "offset", "length", "sha256", "page_id")
+
+
+def _placed(rows: DataFrame, order: str, size: str, per_archive: int) -> DataFrame:
+    """rows with their archive and offset: the `size` of all earlier records, by page_id and then by the hash `order`.
+
+    Running sums come from sums by (page, first two digits of the hash) plus a window inside one of these, so an id
+    that very many pages share is dealt over 256 windows; equal rows are one row of the windows with a count.
+    """
+    spread = keep(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")), "fixity-records")
+    lost = spread.where("page_id is null").agg(F.sum("_n")).first()[0] or 0
+    own = F.floor(F.col("page_id") / per_archive)
+    nowhere = -1 - F.pmod(F.conv(F.substring(order, -8, 8), 16, 10).cast("long"), F.lit(max(1, lost // per_archive)))
+    spread = spread.withColumn("archive", F.coalesce(own, nowhere).cast("long")).withColumn("_p", F.substring(order, 1, 2)).withColumn("_of", F.coalesce("page_id", F.lit(0)))
+    at = ["archive", "_of", "_p"]
+    sums = spread.groupBy(*at).agg(F.sum(F.col(size) * F.col("_n")).alias("_s"))
+    before = Window.partitionBy("archive").orderBy("_of", "_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*at, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = spread.withColumn("_here", F.coalesce(F.sum(F.col(size) * F.col("_n")).over(here), F.lit(0))).join(sums, at)
+    copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    offset = F.col("_before") + F.col("_here") + F.col("_copy") * F.col(size)
+    return copies.withColumn("offset", offset.cast("long")).drop("_n", "_p", "_of", "_before", "_here", "_copy")
 
 
 def _ordered_hash(place: str, value: str) -> Column:
@@ -78,7 +99,9 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
     Both tables have archive, offset, length, sha256 and page_id. kind is `altered`, `missing` (not in the replica)
     or `extra` (only there). A whole archive that one side lacks is found by its root. Records at one and the same
-    place are compared as a set. Equal tables, and empty ones, give no rows.
+    place are compared as a multiset: equal ones cancel out as often as both sides have them, and those left are
+    paired by (length, hash); a pair is one altered record. Equal tables, and empty ones, give no rows. Lengths and
+    hashes are not null.
     """
     a, b = tree(primary), tree(replica)
     roots = keep(_differ(a[-1], b[-1]).select("archive", F.col("primary_hash").alias("primary_root"), F.col("replica_hash").alias("replica_root")), "fixity-roots")
@@ -90,12 +113,24 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             up = bad.select("archive", F.col("node").alias("up"))
             below = lambda nodes, up=up: nodes.withColumn("up", F.shiftright("node", FANOUT_BITS)).join(up, ["archive", "up"], "left_semi").drop("up")
         bad = keep(_differ(below(a[k]), below(b[k])).select("archive", "node"), "fixity-differing")
-    in_bad = lambda records: records.withColumn("node", F.floor(F.col("offset") / SPAN).cast("long")).join(bad, ["archive", "node"], "left_semi").withColumn("hash", leaf_hash())
-    p, r = in_bad(primary), in_bad(replica)
     at = ["archive", "offset"]
-    here = lambda df, side: df.select(*at, F.col("length").alias(f"{side}_length"), F.col("sha256").alias(f"{side}_sha256"), F.col("hash").alias(f"{side}_leaf"), F.col("page_id").alias(f"{side}_page"))
-    both = here(p, "primary").join(here(r, "replica"), at, "full_outer").where(~F.col("primary_leaf").eqNullSafe(F.col("replica_leaf")))
-    kind = F.when(F.col("replica_leaf").isNull(), "missing").when(F.col("primary_leaf").isNull(), "extra").otherwise("altered")
+
+    def in_bad(records: DataFrame, side: str) -> DataFrame:
+        """Records of differing ranges with how often each occurs."""
+        near = records.withColumn("node", F.floor(F.col("offset") / SPAN).cast("long")).join(bad, ["archive", "node"], "left_semi")
+        return near.groupBy(*at, "length", "sha256").agg(F.count("*").alias(f"{side}_n"), F.min("page_id").alias(f"{side}_page"))
+
+    counted = in_bad(primary, "primary").join(in_bad(replica, "replica"), [*at, "length", "sha256"], "full_outer")
+    more = F.coalesce("primary_n", F.lit(0)) - F.coalesce("replica_n", F.lit(0))  # what one side has beyond the other
+    surplus = keep(counted.withColumn("more", more).where("more <> 0"), "fixity-surplus")
+
+    def left(side: str, sign: int) -> DataFrame:
+        own = surplus.where(F.col("more") * sign > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("more"))))
+        here = Window.partitionBy(*at).orderBy("length", "sha256", "copy")
+        return own.select(*at, F.row_number().over(here).alias("rank"), F.col("length").alias(f"{side}_length"), F.col("sha256").alias(f"{side}_sha256"), f"{side}_page")
+
+    both = left("primary", 1).join(left("replica", -1), [*at, "rank"], "full_outer")
+    kind = F.when(F.col("replica_length").isNull(), "missing").when(F.col("primary_length").isNull(), "extra").otherwise("altered")
     return both.join(roots, "archive").select(
         "archive", "offset", F.coalesce("primary_page", "replica_page").alias("page_id"), kind.alias("kind"), "primary_length", "replica_length", "primary_sha256", "replica_sha256", "primary_root", "replica_root"
     )
@@ -114,10 +149,9 @@ def damaged(pages: DataFrame) -> DataFrame:
     whole = record_bytes(F.col("url"), F.col("page_id"), F.col("html"))
     found = record_bytes(F.col("url"), F.col("page_id"), F.col("bad"))
     rows = kept.select(
-        "page_id", "pick", F.octet_length(whole).cast("long").alias("whole"), F.sha2(whole.cast("binary"), 256).alias("order"), F.octet_length(found).cast("long").alias("length"), F.sha2(found.cast("binary"), 256).alias("sha256")
-    ).withColumn("archive", F.coalesce(F.floor(F.col("page_id") / PAGES), F.lit(-1)).cast("long"))
-    before = Window.partitionBy("archive").orderBy("page_id", "order").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("offset", F.coalesce(F.sum("whole").over(before), F.lit(0)).cast("long"))
+        F.col("page_id").cast("long").alias("page_id"), "pick", F.octet_length(whole).cast("long").alias("whole"), F.sha2(whole.cast("binary"), 256).alias("order"), F.octet_length(found).cast("long").alias("length"), F.sha2(found.cast("binary"), 256).alias("sha256")
+    )
+    placed = _placed(rows, "order", "whole", PAGES)
     copies = F.when(F.col("pick") == 11, F.array().cast("array<int>")).when(F.col("pick") == 17, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return placed.withColumn("stray", F.explode(copies)).select("archive", (F.col("offset") + F.col("stray")).alias("offset"), "length", "sha256", "page_id")
 

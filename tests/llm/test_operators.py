@@ -37,6 +37,42 @@ def test_audit_descends_only_where_needed(spark):
     assert [(r["page_id"], r["kind"]) for r in fixity.audit(a, b).collect()] == [(321, "altered")]
 
 
+def _differences(a: list[tuple], b: list[tuple]) -> Counter:
+    """Plain multiset comparison of (offset, length, hash) at each place."""
+    out = Counter()
+    for place in {x[0] for x in a + b}:
+        p, r = Counter(x[1:] for x in a if x[0] == place), Counter(x[1:] for x in b if x[0] == place)
+        p, r = sorted((p - r).elements()), sorted((r - p).elements())
+        for k in range(max(len(p), len(r))):
+            out[place, p[k] if k < len(p) else None, r[k] if k < len(r) else None] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_audit_of_repeated_places(spark, seed):
+    draw = random.Random(seed)
+    record = lambda: (draw.choice([0, 0, 5, 20_000, 900_000]), draw.randint(1, 2), draw.choice("abc"))
+    a = [record() for _ in range(14)]
+    b = list(a) if seed == 0 else [x for x in a if draw.random() < 0.8] + [record() for _ in range(2)]
+    if seed == 0:  # two undamaged records and a damaged one at one place; a repeat that is lost
+        a = [(0, 1, "A"), (0, 1, "B"), (7, 1, "C"), (30, 2, "D"), (30, 2, "D")]
+        b = [(0, 1, "A"), (0, 1, "B"), (7, 1, "x"), (30, 2, "D")]
+    table = lambda rows: spark.createDataFrame([(1, *x, 0) for x in rows], "archive long, offset long, length long, sha256 string, page_id long")
+    got = fixity.audit(table(a), table(b)).collect()
+    side = lambda r, s: None if r[f"{s}_length"] is None else (r[f"{s}_length"], r[f"{s}_sha256"])
+    assert Counter((r["offset"], side(r, "primary"), side(r, "replica")) for r in got) == _differences(a, b)
+    assert all(r["kind"] == ("missing" if side(r, "replica") is None else "extra" if side(r, "primary") is None else "altered") for r in got)
+
+
+def test_archives_have_no_holes_with_repeated_and_null_ids(spark):
+    pages = [(i % 7, "u", f"p{i % 50}") for i in range(900)] + [(None, "u", f"q{i % 300}") for i in range(1500)]
+    got = fixity.archived(spark.createDataFrame(pages, "page_id long, url string, html string"), per_archive=200).toPandas()
+    assert len(got) == len(pages) and got.archive.min() == -7
+    for _, own in got.sort_values("offset").groupby("archive"):
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]]
+        assert own.page_id.fillna(-1).is_monotonic_increasing
+
+
 # ---------------------------------------------------------------- 2
 
 
