@@ -5,13 +5,17 @@ A text's k-mers of code points are numbered by occurrence, so repeats count. For
 component when they chose the same k-mers in the same order; the share of equal components is the likeness.
 
 Scale: a fingerprint needs its own text only. Pairing each document with the next one needs one shuffle of the
-texts, by ranges of doc_id with about equally many rows; the first document of each range also goes to the range
-before it. Only range bounds and the ids of those first documents reach the driver, never texts.
+texts. The order is that of (doc_id, hash of the text); a table of these keys, without texts, is range-sorted, and
+the first key of each range bounds it, so ids that many rows share, null among them, are split like any others. The
+first document of each range also goes to the range before it. A task streams its sorted ranges and holds two
+texts. Rows that are equal in id and text more than MANY times are fingerprinted once. Only the bounds reach the
+driver, never texts or fingerprints.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -19,11 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citewell.llm.common import bounded_batches, keep
+
 #: k-mer length in code points; k-mers a tuple; tuples a fingerprint; the seed of the hash orders.
 K, L, M, SEED = 5, 2, 64, 11
-#: Rows of a range: from the first number on, up to the second where there would be too many ranges.
-ROWS_A_RANGE, MOST_ROWS_A_RANGE = 1500, 20_000
-BROADCAST_RANGES = 100_000
+#: Rows of a range, about, unless that makes more ranges than the second number.
+ROWS_A_RANGE, MOST_RANGES = 1500, 100_000
+#: Equal rows from this number on are one row of the ranges; keys of such rows that may be broadcast.
+MANY, BROADCAST_KEYS = 16, 100_000
 _BLOCK = 1 << 18  # numbers hashed at once
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -106,30 +113,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _pairs(frame: pd.DataFrame, hasher: OrderMinHash) -> pd.DataFrame:
-    """Of one range: rows in the order of documents, then the first row of the range that follows."""
-    frame = frame.sort_values(["guest", "no_id", "id", "tie"], ascending=[True, True, False, True], kind="stable")
-    n = int((~frame["guest"]).sum())
-    texts = frame["text"].tolist()[: n + 1]
-    out, following = [], hasher.signature(texts[n])
-    for i in range(n - 1, -1, -1):
-        other = edited(texts[i], texts[i + 1])
-        own, changed = hasher.signature(texts[i]), hasher.signature(other)
-        out.append(
-            (
-                None if frame["no_id"].iat[i] else int(frame["id"].iat[i]),
-                len(texts[i]),
-                hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(),
-                own.astype(">u4").tobytes().hex(),
-                changed.astype(">u4").tobytes().hex(),
-                likeness(own, changed),
-                likeness(own, following),
-            )
-        )
-        following = own
-    done = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], dtype=object)
-    # never by way of floats: ids may need all 64 bits
-    return done.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": float, "near_next": float})
+class _Row:
+    def __init__(self, no_id: bool, down: int, text: str, n: int):
+        self.id, self.text, self.n = None if no_id else ~down, text, n
+
+
+def _stream(batches, hasher: OrderMinHash) -> Iterator:
+    """Rows come sorted by range, its own rows in order and then the first of the next range, of which the first counts."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+    hexadecimal = lambda x: x.astype(">u4").tobytes().hex()
+
+    def row(own: _Row, sign: np.ndarray, text: str, following: np.ndarray) -> tuple:
+        other = edited(own.text, text)
+        changed = hasher.signature(other)
+        return own.id, len(own.text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), hexadecimal(sign), hexadecimal(changed), likeness(sign, changed), likeness(sign, following)
+
+    last, sign, part, done = None, None, None, False
+    for batch in batches:
+        out = []
+        columns = [batch.column(batch.schema.names.index(c)) for c in ("part", "guest", "no_id", "down", "text", "n")]
+        for i in range(batch.num_rows):
+            at, guest, no_id, down, text, n = (c[i].as_py() for c in columns)
+            if at != part:
+                part, last, done = at, None, False
+            if done:
+                continue
+            own = _Row(no_id, down, text, n)
+            mark = hasher.signature(text)
+            if last is not None:
+                out.append(row(last, sign, text, mark))
+            if not guest and n > 1:  # equal rows that stand for one: all but the last are followed by their equal
+                out += [row(own, mark, text, mark)] * (n - 1)
+            last, sign, done = own, mark, guest
+        for lo in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[lo : lo + 4096], strict=True), kinds, strict=True)], names)
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, seed=SEED) -> DataFrame:  # noqa: E741
@@ -139,34 +159,47 @@ def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", k=K, l=L, m=M, s
     other by a hash of the text, null ids come last. Null text is empty. A table of one row is its own next.
     Two empty texts are alike (1); an empty and another text are not (0). An empty table gives no rows.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    source = source.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "text", F.xxhash64("text").alias("tie"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
-    n = ids.count()
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    order = ["no_id", "down", "tie"]  # down: the complement of the id, so that the largest comes first
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.col("id").isNull().alias("no_id"), F.bitwise_not(F.coalesce("id", F.lit(0))).alias("down"), F.xxhash64("text").alias("tie"), "text")
+    keys = keep(rows.groupBy(*order).agg(F.count("*").alias("n")), "order-keys")
+    n = keys.agg(F.sum(F.least("n", F.lit(MANY)))).first()[0]
     if not n:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    ranges = -(-n // min(MOST_ROWS_A_RANGE, max(ROWS_A_RANGE, n // BROADCAST_RANGES)))
-    shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * ranges)).alias("b")).first()[0] if shares else []
-    bounds = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series((len(bounds) - np.searchsorted(bounds, x.to_numpy(np.int64), "left")).astype(np.int32))
-
-    dealt = source.withColumn("part", F.when(F.col("no_id"), len(bounds) + 1).otherwise(range_of("id")))
-    # largest doc_id first, then the smallest tie; a null id is below all others
-    first = F.max(F.struct(F.col("id").alias("id"), F.bitwise_not("tie").alias("rest")))
-    heads = sorted((r["part"], r["head"]["id"], ~r["head"]["rest"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, head in enumerate(heads)}
-    table = docs.sparkSession.createDataFrame([(*head, q) for head, q in before.items()], "part int, head_id long, head_tie long, goes_to int")
-    heads_of = F.broadcast(table) if len(before) <= BROADCAST_RANGES else table  # one row a range
-    joined = dealt.join(heads_of, "part")
-    is_head = (F.col("id") == F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
-    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))
-    copies = F.when(is_head, F.concat(copies, F.array(F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("guest"))))).otherwise(copies)
-    rows = joined.select("no_id", "id", "text", "tie", F.explode(copies).alias("x")).select("no_id", "id", "text", "tie", "x.part", "x.guest")
-    return rows.groupBy("part").applyInPandas(partial(_pairs, hasher=OrderMinHash(k, l, m, seed)), SCHEMA)
+        return spark.createDataFrame([], SCHEMA)
+    ranges = max(1, min(MOST_RANGES, -(-n // ROWS_A_RANGE)))
+    ordered = keys.repartitionByRange(ranges, *order) if ranges > 1 else keys.coalesce(1)
+    firsts = ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*order)).alias("k")).select("k.*").collect()  # at most `ranges` rows
+    bounds = sorted((r["no_id"], r["down"], r["tie"]) for r in firsts)
+    numbers = np.array([_key(*b) for b in bounds], "S17")
+
+    @F.pandas_udf("struct<part int, first boolean>")
+    def range_of(no_id: pd.Series, down: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        own = np.array([_key(*x) for x in zip(no_id.tolist(), down.tolist(), tie.tolist(), strict=True)], "S17")
+        part = np.maximum(np.searchsorted(numbers, own, "right") - 1, 0)
+        return pd.DataFrame({"part": part.astype(np.int32), "first": numbers[part] == own})
+
+    many = keys.where(F.col("n") >= MANY)
+    n_many = many.count()
+    if n_many:
+        known = F.broadcast(many) if n_many <= BROADCAST_KEYS else many
+        equal = rows.join(known, order).groupBy(*order, "n").agg(F.first("text").alias("text"))
+        rows = rows.join(known, order, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(equal)
+    else:
+        rows = rows.withColumn("n", F.lit(1).cast("long"))
+    dealt = rows.withColumn("at", range_of(*order))
+    own = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.col("at.part") - 1, F.lit(len(bounds))).cast("int").alias("part"), F.lit(True).alias("guest"))
+    copies = F.explode(F.when(F.col("at.first"), F.array(own, guest)).otherwise(F.array(own)))
+    dealt = dealt.select(*order, "text", "n", copies.alias("x")).select("x.part", "x.guest", *order, "n", "text")
+    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", *order)
+    return dealt.mapInArrow(partial(_stream, hasher=OrderMinHash(k, l, m, seed)), SCHEMA)
+
+
+def _key(no_id: bool, down: int, tie: int) -> bytes:
+    """A key as bytes that sort as it does."""
+    return bytes([no_id]) + (down + (1 << 63)).to_bytes(8, "big") + (tie + (1 << 63)).to_bytes(8, "big")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -184,16 +184,85 @@ def test_mixture_of_two_languages(docs, spark, sf):
 # ---------------------------------------------------------------- 5
 
 
-def test_fingerprints_against_plain_order(spark, sf, docs):
+def plain_choice(text: str, h: order_minhash.OrderMinHash) -> list[list[tuple[str, int]]]:
+    """For each hash order the l smallest occurrence-numbered k-mers, in the order of the text."""
+    k = min(h.k, len(text))
+    seen, grams = Counter(), []
+    for i in range(len(text) - k + 1):
+        gram = text[i : i + k]
+        grams.append((gram, seen[gram]))
+        seen[gram] += 1
+
+    def mixed(x: int) -> int:
+        x ^= x >> 16
+        x = x * 0x7FEB352D % 2**32
+        x ^= x >> 15
+        x = x * 0x846CA68B % 2**32
+        return x ^ x >> 16
+
+    def code(gram: str, occurrence: int) -> int:
+        c = len(gram)
+        for p in gram:
+            c = (c + ord(p)) * 0x9E3779B1 % 2**32
+            c ^= c >> 15
+        return mixed((c + occurrence * 0x85EBCA77) % 2**32)
+
+    codes = [code(*g) for g in grams]
+    out = []
+    for shift, times in zip(h.shift[:, 0].tolist(), h.times[:, 0].tolist(), strict=True):
+        smallest = sorted(range(len(grams)), key=lambda i: (codes[i] ^ shift) * times % 2**32)[: h.l]
+        out.append([grams[i] for i in sorted(smallest)])
+    return out
+
+
+def plain_likeness(a: str, b: str, h: order_minhash.OrderMinHash) -> float:
+    if not a or not b:
+        return float(a == b)
+    return float(np.mean([x == y for x, y in zip(plain_choice(a, h), plain_choice(b, h), strict=True)]))
+
+
+def test_fingerprints_against_plain_order(spark, docs):
+    own = docs.sort_values("doc_id", ascending=False).head(40)
+    texts = [t[:1500] for t in own.text]  # a short fixture: the plain version is slow
+    texts[5:9] = ["", "abc", "aaaaaaaaaa", "ab" * 40]
+    table = spark.createDataFrame(list(zip(own.doc_id.tolist(), texts, strict=True)), "doc_id long, text string")
+    got, h = {r["doc_id"]: r for r in order_minhash.fingerprints(table).collect()}, order_minhash.OrderMinHash()
+    for k, (i, t) in enumerate(zip(own.doc_id, texts, strict=True)):
+        following = texts[(k + 1) % len(texts)]
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        row = got[i]
+        assert (row["n_chars"], row["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+        assert row["near_next"] == pytest.approx(plain_likeness(t, following, h), abs=0.02)
+        assert row["near_edited"] == pytest.approx(plain_likeness(t, changed, h), abs=0.02)
+        assert (row["fingerprint"] == row["edited_fingerprint"]) == (row["near_edited"] == 1) and len(row["fingerprint"]) == 8 * h.m
+        same = sum(row["fingerprint"][8 * j : 8 * j + 8] == row["edited_fingerprint"][8 * j : 8 * j + 8] for j in range(h.m))
+        assert row["near_edited"] == same / h.m
+
+
+def test_every_document_has_its_next_one(spark, sf, docs):
     got = order_minhash.op5(spark, sf).toPandas().set_index("doc_id")
     own = docs.sort_values("doc_id", ascending=False)
-    texts, h = own.text.tolist(), order_minhash.OrderMinHash()
+    texts = own.text.tolist()
+    assert len(got) == len(docs)
     for k, (i, t) in enumerate(zip(own.doc_id, texts, strict=True)):
         following = texts[(k + 1) % len(texts)]
-        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        row = got.loc[i]
-        assert (row.n_chars, row.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert row.near_next == order_minhash.likeness(h.signature(t), h.signature(following))
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert (got.n_chars[i], got.edited_sha256[i]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
+
+
+def test_null_and_repeated_ids_are_dealt_over_ranges(spark, monkeypatch):
+    """5,000 rows without an id, equal rows by the hundred, and ids that many texts share, over many ranges."""
+    monkeypatch.setattr(order_minhash, "ROWS_A_RANGE", 300)
+    table = [(None, f"text {i % 900} of no one") for i in range(5000)] + [(7, "the same words")] * 700 + [(9, f"other words {i}") for i in range(800)] + [(i, f"own {i}") for i in range(100, 400)]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    got = order_minhash.fingerprints(frame).toPandas()
+    tie = {r["text"]: r["t"] for r in frame.select("text", F.xxhash64("text").alias("t")).distinct().collect()}
+    order = sorted(table, key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        want[i, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + following[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter(zip([None if pd.isna(x) else int(x) for x in got.doc_id], got.n_chars, got.edited_sha256, strict=True)) == want
 
 
 def test_order_counts():
