@@ -4,7 +4,8 @@ Shallow boosted trees are grown on statistics of labelled documents; every path
 rule; a logistic regression with an L1 penalty keeps few of the rules; what remains is compiled into one Spark
 column expression, so scoring is plain arithmetic inside whole-stage code after the statistics.
 
-Scale: the classifier is fitted on at most SAMPLE labelled rows, those with the smallest hashes of their ids (a
+Scale: the classifier is fitted on the documents of at most SAMPLE labelled ids, those with the smallest hashes,
+and on at most SAMPLE different ones of these, again by hash, each with the number of its repeats as its weight (a
 documented bound; it makes the fit's cost constant). Statistics are computed for every document over its whole
 text in one pass without a shuffle.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from citewell.llm.common import bounded_batches, fold, release
 
-#: The most labelled rows to learn from, and their order.
+#: The most labelled ids, and the most different documents of theirs, to learn from; the order that picks them.
 SAMPLE, SEED = 20_000, 31
 #: Trees, their depth, the smallest leaf (share of rows), the bins of a statistic, the step of boosting.
 TREES, DEPTH, LEAF, BINS, STEP = 40, 3, 0.002, 48, 0.3
@@ -97,10 +98,11 @@ def _name(statistic: str) -> str:
 
 
 def with_statistics(docs: DataFrame, text="text") -> DataFrame:
-    """docs and a column _q_<statistic> for each statistic of the whole text (null: empty)."""
+    """docs and a column _q_<statistic> for each statistic of the whole text (null: empty); clashing ones are replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(*(c for c in map(_name, STATISTICS) if c != text))
     schema = StructType([*docs.schema.fields, *(StructField(_name(s), DoubleType()) for s in STATISTICS)])
     return docs.mapInArrow(partial(_append, at=docs.columns.index(text)), schema)
 
@@ -110,24 +112,27 @@ def with_statistics(docs: DataFrame, text="text") -> DataFrame:
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which hold
 
 
-def _grow(bins: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, rows: np.ndarray, depth: int, least: int) -> list[tuple[tuple, np.ndarray, float]]:
+def _grow(bins: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, weight: np.ndarray, rows: np.ndarray, depth: int, least: float) -> list[tuple[tuple, np.ndarray, float]]:
     """Paths of one regression tree: (conditions, rows, mean) of every node below the root."""
     out = []
+    heavy = residual * weight
 
     def split(own: np.ndarray, path: tuple, left_depth: int) -> None:
-        if not left_depth or len(own) < 2 * least:
+        r, n = heavy[own], weight[own]
+        every = n.sum()
+        if not left_depth or every < 2 * least:
             return
-        r, total, best = residual[own], residual[own].sum(), (1e-9, None)
-        base = total * total / len(own)
+        total, best = r.sum(), (1e-9, None)
+        base = total * total / every
         for f in range(bins.shape[1]):
             if not len(cuts[f]):
                 continue
             b = bins[own, f]
-            count = np.cumsum(np.bincount(b, minlength=len(cuts[f]) + 1))[:-1]
+            count = np.cumsum(np.bincount(b, n, minlength=len(cuts[f]) + 1))[:-1]
             part = np.cumsum(np.bincount(b, r, minlength=len(cuts[f]) + 1))[:-1]
-            ok = (count >= least) & (len(own) - count >= least)
+            ok = (count >= least) & (every - count >= least)
             with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(ok, part**2 / count + (total - part) ** 2 / (len(own) - count) - base, -1)
+                gain = np.where(ok, part**2 / count + (total - part) ** 2 / (every - count) - base, -1)
             k = int(gain.argmax())
             if gain[k] > best[0]:
                 best = (float(gain[k]), (f, k))
@@ -138,7 +143,7 @@ def _grow(bins: np.ndarray, cuts: list[np.ndarray], residual: np.ndarray, rows:
         for side in (False, True):
             rows_in = own[above == side]
             here = (*path, (f, side, float(cuts[f][k])))
-            out.append((here, rows_in, float(residual[rows_in].mean())))
+            out.append((here, rows_in, float(heavy[rows_in].sum() / weight[rows_in].sum())))
             split(rows_in, here, left_depth - 1)
 
     split(rows, (), depth)
@@ -154,17 +159,19 @@ def _simplify(path: tuple) -> Rule:
     return tuple(sorted((f, above, cut) for (f, above), cut in kept.items()))
 
 
-def grow_rules(x: np.ndarray, y: np.ndarray, trees=TREES, depth=DEPTH, seed=SEED) -> list[Rule]:
+def grow_rules(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees=TREES, depth=DEPTH, seed=SEED) -> list[Rule]:
+    weight = np.ones(len(y)) if weight is None else weight.astype(float)
+    mean = float((y * weight).sum() / weight.sum())
     draw = np.random.RandomState(seed)
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
     cuts = [c[c < x[:, f].max()] if len(x) else c for f, c in enumerate(cuts)]
     bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)], axis=1)
-    score = np.full(len(y), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    score = np.full(len(y), np.log((mean + 1e-3) / (1 - mean + 1e-3)))
     rules: dict[Rule, None] = {}
     for _ in range(trees):
         residual = y - 1 / (1 + np.exp(-score))
         rows = np.sort(draw.permutation(len(y))[: max(200, len(y) // 2)])
-        for path, _, _ in (nodes := _grow(bins, cuts, residual, rows, depth, max(5, int(LEAF * len(y))))):
+        for path, _, _ in (nodes := _grow(bins, cuts, residual, weight, rows, depth, max(5, int(LEAF * weight.sum())))):
             rules.setdefault(_simplify(path))
         inner = {p[:-1] for p, _, _ in nodes}
         for path, _, mean in nodes:
@@ -180,7 +187,7 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def lasso_logistic(r1: np.ndarray, y: np.ndarray, penalty: float, start: np.ndarray | None = None, use: np.ndarray | None = None, steps: int = 150) -> np.ndarray:
     """Weights by accelerated proximal gradient steps; the first column of r1 is all ones and not penalised.
 
-    `use`: rows that count (all by default); the matrix is never copied.
+    `use`: how much each row counts (1 by default); the matrix is never copied.
     """
     use = np.ones(len(y), np.float32) if use is None else use.astype(np.float32)
     n = float(use.sum())
@@ -211,12 +218,16 @@ class RuleEnsemble:
         self.rules, self.weights, self.intercept = rules, weights, intercept
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
-        """No rows: score 0.5. One class: the smoothed share of it. Both: rules and their lasso weights."""
+    def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> RuleEnsemble:
+        """No rows: score 0.5. One class: the smoothed share of it. Both: rules and their lasso weights.
+
+        weight: how often each row counts (1 by default).
+        """
+        weight = np.ones(len(y)) if weight is None else weight.astype(float)
         if not len(y) or y.min() == y.max():
-            share = (y.sum() + 1) / (len(y) + 2)
+            share = ((y * weight).sum() + 1) / (weight.sum() + 2)
             return cls([], [], float(np.log(share / (1 - share))))
-        rules = grow_rules(x, y)
+        rules = grow_rules(x, y, weight)
         r1 = np.ones((len(y), len(rules) + 1), np.float32)
         for k, rule in enumerate(rules, 1):
             r1[:, k] = holds(rule, x)
@@ -224,11 +235,11 @@ class RuleEnsemble:
         best, w = (np.inf, PENALTIES[0]), None
         if back.any() and len(set(y[~back])) == 2:
             for penalty in PENALTIES:
-                w = lasso_logistic(r1, y, penalty, w, ~back)
+                w = lasso_logistic(r1, y, penalty, w, np.where(back, 0, weight))
                 s = np.clip(1 / (1 + np.exp(-(r1 @ w.astype(np.float32))[back].astype(float))), 1e-9, 1 - 1e-9)
-                loss = -np.mean(np.where(y[back] > 0, np.log(s), np.log(1 - s)))
+                loss = -np.average(np.where(y[back] > 0, np.log(s), np.log(1 - s)), weights=weight[back])
                 best = min(best, (loss, penalty))
-        w = lasso_logistic(r1, y, best[1], w)
+        w = lasso_logistic(r1, y, best[1], w, weight)
         live = [k for k in range(len(rules)) if abs(w[k + 1]) > 1e-4]
         return cls([rules[k] for k in live], [float(w[k + 1]) for k in live], float(w[0]))
 
@@ -248,9 +259,10 @@ class RuleEnsemble:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", learn: Column | None = None, sample=SAMPLE) -> RuleEnsemble:
-    """Fits on documents with a non-null 0/1 label where `learn` holds, at most `sample` of them by hash of the id.
+    """Fits on documents with a non-null 0/1 label where `learn` holds: of at most `sample` ids, by their hash.
 
-    An id with several labels counts as 1 if one of them is; repeated documents count as often as they occur. Without
+    An id with several labels counts as 1 if one of them is; repeated documents weigh as often as they occur. Of
+    ids with several texts, at most `sample` documents (different in their statistics) count, again by hash. Without
     labelled documents the score is 0.5; with one class it is the smoothed share of that class.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
@@ -258,8 +270,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     rows = rows.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
     rows = rows.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample)
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(rows), "_id")  # at most `sample` rows
-    found = with_statistics(own, "text").drop("text").orderBy("_id", *map(_name, STATISTICS)).limit(2 * sample).toPandas()
-    return RuleEnsemble.fit(found[[_name(s) for s in STATISTICS]].to_numpy(float), found["_y"].to_numpy(float))
+    names = list(map(_name, STATISTICS))
+    found = with_statistics(own, "text").drop("text").groupBy("_id", "_y", *names).agg(F.count("*").alias("_n"))
+    found = found.orderBy(F.xxhash64(F.lit(SEED), "_id", *names), "_id", *names).limit(sample).toPandas().sort_values(["_id", *names])
+    return RuleEnsemble.fit(found[names].to_numpy(float), found["_y"].to_numpy(float), found["_n"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text="text", threshold=THRESHOLD) -> DataFrame:
