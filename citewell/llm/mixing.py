@@ -25,6 +25,8 @@ SEED = 20_240_607
 #: Rows of one window, about; and the most sources whose table is sent to every task.
 ROWS_A_RANGE = 2_000
 BROADCAST_SOURCES = 50_000
+#: Keys of repeated rows that are sent to every task, at most.
+BROADCAST_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_ratio=BUDGET_RATIO, max_copies=MAX_COPIES) -> DataFrame:
@@ -59,23 +61,28 @@ def _finish(copy: int | Column) -> Column:
     return (F.col("source_size") * copy + F.col("upto")) / F.col("target")
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, budget_ratio=BUDGET_RATIO, max_copies=MAX_COPIES, seed=SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", **parameters) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken, first_finish, upto.
 
     Rows are globally range-sorted by the finish time of their first copy (numbers only; no text is moved).
+    Parameters are those of decide().
 
     Null text counts as empty (size 0; such documents are never taken: they have no words to give). Null
-    sources are one source, ordered last. Repeated rows are separate documents. An empty table gives no rows.
+    sources are one source, ordered last. Repeated rows are separate documents; rows of one id are ordered by their
+    size and a hash of the text, so reruns agree. An empty table gives no rows.
     """
-    sized = keep(
-        docs.select(
-            F.col(doc_id).alias("doc_id"),
-            F.col(source).alias("source"),
-            F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    )
-    spark = docs.sparkSession
+    decided = decide(_sized(docs, doc_id, text, source, F.xxhash64(text)), **parameters).drop("tie")
+    return decided.repartitionByRange("first_finish", "doc_id").sortWithinPartitions("first_finish", "doc_id")
+
+
+def _sized(docs: DataFrame, doc_id: str, text: str, source: str, tie: Column) -> DataFrame:
+    size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
+    return keep(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), tie.alias("tie")), "mix-sizes")
+
+
+def decide(sized: DataFrame, weights=WEIGHTS, budget_ratio=BUDGET_RATIO, max_copies=MAX_COPIES, seed=SEED) -> DataFrame:
+    """The columns of mix() and tie for rows of doc_id, source, size and tie (any number that orders rows of one id)."""
+    spark = sized.sparkSession
     targets = keep(source_targets(sized, weights, budget_ratio, max_copies).coalesce(1), "mix-targets")
     n, n_sources = sized.count(), targets.count()
     small = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
@@ -84,23 +91,24 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     order = F.conv(F.left(F.sha2(key.cast("binary"), 256), F.lit(15)), 16, 10).cast("long")
     rows = sized.join(small, sized["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sized["source"], "size", "sid", "source_size", "target", order.alias("dealt")
+        "doc_id", sized["source"], "size", "tie", "sid", "source_size", "target", order.alias("dealt")
     )
     rows = rows.withColumn("range", F.shiftright("dealt", 60 - bits) if bits else F.lit(0).cast("long"))
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("earlier"))
-    within = Window.partitionBy("sid", "range").orderBy("dealt", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("sid", "range").orderBy("dealt", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     dealt = rows.withColumn("here", F.sum("size").over(within)).join(sums, ["sid", "range"])
     dealt = keep(dealt.withColumn("upto", F.col("earlier") + F.col("here")).drop("earlier", "here", "range"), "mix-dealt")
 
     cut = _cut(dealt, max_copies, spark)
     copies = sum((F.when(_taken(c, cut), 1).otherwise(0) for c in range(max_copies)), F.lit(0))
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    decided = dealt.select(
+    return dealt.select(
         "doc_id",
         "source",
         "size",
+        "tie",
         "source_size",
         "target",
         copies.cast("int").alias("copies"),
@@ -108,7 +116,6 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
         F.when(F.col("target") > 0, _finish(0)).alias("first_finish"),
         "upto",
     )
-    return decided.repartitionByRange("first_finish", "doc_id").sortWithinPartitions("first_finish", "doc_id")
 
 
 def _taken(copy: int, cut: tuple | None) -> Column:
@@ -145,22 +152,35 @@ def _cut(dealt: DataFrame, max_copies: int, spark) -> tuple | None:
 
 
 def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="source", ordered=True, **parameters) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken.
+    """The documents that the mix takes, each as often as it is taken; keeps the columns of docs.
 
     ordered: globally range-sorted by finish time, which moves all texts once more; a step that deals documents
-    anew (such as packing) does not need it. Keeps the columns of docs. Repeated rows are matched by their place among the equals, so none is lost.
+    anew (such as packing) does not need it. Null and empty texts are never taken. Rows meet their decisions by a
+    hash of the whole row (so no column may be a map); rows that are equal in all columns are one document of that
+    join and appear as often as all of them are taken. Reruns give the same rows. An empty table gives no rows.
     """
-    names = docs.columns
-    size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
-    mixed = mix(docs, doc_id, text, source, **parameters).where("copies > 0")
-    key = [F.col(doc_id).cast("string"), F.col(source), size]
-    row_of = lambda df, k: df.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy(k)))
-    left = row_of(mixed.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("a"), F.col("source").alias("b"), F.col("size").alias("c"))).alias("_key"), "copies", "source_size", "target", "upto"), "upto")
-    right = row_of(docs.select(F.to_json(F.struct(key[0].alias("a"), key[1].alias("b"), key[2].alias("c"))).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc")), F.lit(0))
-    copies = right.join(left, ["_key", "_row"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    copies = copies.withColumn("_finish", (F.col("source_size") * F.col("_copy") + F.col("upto")) / F.col("target"))
-    copies = copies.repartitionByRange("_finish", "_key").sortWithinPartitions("_finish", "_key") if ordered else copies
-    return copies.select("_doc.*")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(F.lit(SEED), *names, *[F.col(f"`{c}`").isNull() for c in docs.columns])  # a hash skips nulls
+    decided = keep(decide(_sized(docs, doc_id, text, source, row), **parameters).where("copies > 0").select("tie", "copies", "source_size", "target", "upto"), "mix-decided")
+    repeated = keep(decided.groupBy("tie").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
+    held = docs.select(F.struct(*names).alias("_doc"), row.alias("_tie"))
+    finish = (F.col("source_size") * F.col("_copy") + F.col("upto")) / F.col("target")
+    copies = decided.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("tie", finish.alias("_finish"))
+    n = repeated.count()
+    if n:
+        # equal rows: one text for each slice of about ROWS_A_RANGE of their copies
+        known = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+        again = copies.join(known, "tie").withColumn("_slice", F.pmod(F.xxhash64("_finish"), F.ceil(F.col("n") / ROWS_A_RANGE)))
+        one = held.join(known, F.col("_tie") == F.col("tie")).groupBy("_tie", "n").agg(F.first("_doc").alias("_doc"))
+        one = one.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / ROWS_A_RANGE) - 1)))
+        again = one.drop("n").join(again.drop("n"), (F.col("_tie") == F.col("tie")) & (one["_slice"] == again["_slice"])).select("_doc", "_finish", "_tie")
+        lone = copies.join(known, "tie", "left_anti")
+    else:
+        again, lone = None, copies
+    taken = held.join(lone, F.col("_tie") == F.col("tie")).select("_doc", "_finish", "_tie")
+    taken = taken.unionByName(again) if again is not None else taken
+    taken = taken.repartitionByRange("_finish", "_tie").sortWithinPartitions("_finish", "_tie") if ordered else taken
+    return taken.select("_doc.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -109,6 +109,23 @@ def test_mixed_documents_repeat_as_decided(spark, sf):
     assert Counter(r["doc_id"] for r in mixing.mixed_documents(table).select("doc_id").collect()) == decided
 
 
+def test_equal_and_repeated_rows_are_mixed_alike_each_time(spark, monkeypatch):
+    """Copies of one id, source and size that differ in text or in another column, and thousands of equal rows."""
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 100)
+    table = [(1, f"{a} {b}", "s", i % 3) for i, (a, b) in enumerate((x, y) for x in "abcdefgh" for y in "abcdefgh")]
+    table += [(None, "no id here", None, 0)] * 3000 + [(2, "two words", "t", 1)] * 40 + [(i, "some more words", "t", None) for i in range(10, 300)] + [(5, None, "t", 0), (6, " ", "t", 0)]
+    frame = spark.createDataFrame(table, "doc_id long, text string, source string, extra int")
+    take = lambda ordered, n: Counter(tuple(r) for r in mixing.mixed_documents(frame.repartition(n), ordered=ordered).collect())
+    got = take(False, 3)
+    assert got == take(True, 5)
+    decided = mixing.mix(frame).toPandas()
+    assert sum(got.values()) == decided.copies.sum()
+    by_source = Counter({x: int(n) for x, n in decided.assign(source=decided.source.fillna("")).groupby("source").copies.sum().items()})
+    assert Counter({x: sum(n for r, n in got.items() if (r[2] or "") == x) for x in by_source}) == by_source
+    often = Counter(table)
+    assert all(n <= 2 * often[r] for r, n in got.items()) and not any(r[0] in (5, 6) for r in got)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -181,6 +198,63 @@ def test_mixture_of_two_languages(docs, spark, sf):
     assert {x for x, _ in found[0]} == {"en", "de"} and [x for x, _ in found[1]] == ["en"] and found[2] == [] and found[3] == []
 
 
+def plain_mixture(t: str, model: language.Model) -> dict[str, float]:
+    """The penalised choice of languages by a plain EM in double precision."""
+    bucket, _ = language.trigrams([t])
+    if not len(bucket):
+        return {}
+    p = model.p[:, bucket].astype(float)
+    likelihood = lambda share: float(np.log(share @ p).sum())
+
+    def climb(share):
+        for _ in range(language.STEPS):
+            joint = share[:, None] * p
+            share = (joint / joint.sum(axis=0)).sum(axis=1) / p.shape[1]
+        return share
+
+    n = len(model.langs)
+    share = climb(np.full(n, 1 / n))
+    full, best = likelihood(share), int(np.log(p).sum(axis=1).argmax())
+    chosen, result = {best}, np.eye(n)[best]
+    reached = likelihood(result)
+    for x in np.argsort(-share, kind="stable").tolist():
+        if language.INDEPENDENT * (full - reached) <= language.PENALTY:
+            break
+        if x in chosen:
+            continue
+        start = np.array([max(share[k], 1e-3) if k in chosen | {x} else 0 for k in range(n)])
+        wider = climb(start / start.sum())
+        gain = likelihood(wider) - reached
+        if language.INDEPENDENT * gain <= language.PENALTY or wider[x] < language.LEAST_SHARE:
+            break
+        chosen, result, reached = chosen | {x}, wider, reached + gain
+    return {model.langs[k]: result[k] for k in chosen}
+
+
+def test_predictions_against_a_plain_mixture(spark, sf, docs):
+    model = language.learn(spark.read.parquet(f"{sf}/documents.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    got = language.op4(spark, sf).toPandas().set_index("doc_id")
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        want = plain_mixture(t, model)
+        best = max(want, key=lambda x: (want[x], x), default="und")
+        if sorted(want.values())[-2:-1] and sorted(want.values())[-2] > want[best] - 1e-3:
+            continue  # too near to tell in single precision
+        assert got.lang_pred[i] == best and got.score[i] == pytest.approx(want.get(best, 0), abs=2e-3), i
+        assert {x.split(":")[0] for x in got.mixture[i].split(",") if x} == set(want), i
+
+
+def test_learned_counts(docs):
+    bucket, text = language.trigrams(["Ab", "", "é1"])
+    raw = [b"  Ab  ", "  é1  ".encode()]
+    fold = lambda b: bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in b)
+    want = []
+    for k, r in zip((0, 2), map(fold, raw), strict=True):
+        for j in range(1, len(r) - 1):
+            if r[j] != 32:
+                want.append((k, (((r[j - 1] << 16) | (r[j] << 8) | r[j + 1]) * 0x9E3779B1 % 2**32) >> 16))
+    assert list(zip(text.tolist(), bucket.tolist(), strict=True)) == want
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -376,6 +450,70 @@ def test_quality_of_held_out_rows(spark, sf):
     assert (held.predicted == held.quality).mean() > 0.9 and got.score.between(0, 1).all()
 
 
+def plain_statistics(t: str) -> list[float]:
+    raw, ws, lines = t.encode(), t.split(), t.split("\n")
+    if not t:
+        return [0.0] * len(quality.STATISTICS)
+    share = lambda chars: sum(b in bytes(chars) for b in raw) / len(raw)
+    pairs = list(zip(ws, ws[1:], strict=False))
+    return [
+        math.log1p(len(t)), math.log1p(len(ws)), sum(map(len, ws)) / max(len(ws), 1), max(map(len, ws), default=0),
+        share(range(65, 91)), share(range(48, 58)), share([32, 9, 10, 11, 12, 13]), share(range(128, 256)), share(b"."), share(b",;:"), share(b"!?"),
+        share(b"#$%&*@^~+="), share(b"|\\/_"), share(b"<>{}[]()"), share(b"\"'`-"), math.log1p(len(lines)), len(t) / len(lines),
+        sum(len(x) * (n - 1) for x, n in Counter(lines).items()) / len(t), len(set(ws)) / max(len(ws), 1), max(Counter(ws).values(), default=0) / max(len(ws), 1),
+        1 - len(set(pairs)) / max(len(ws) - 1, 1),
+    ]
+
+
+def test_scores_are_those_of_the_rules_on_plain_statistics(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels, learn=quality.learned())
+    got = quality.op8(spark, sf).toPandas().set_index("doc_id")
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        x = plain_statistics(t)
+        total = model.intercept
+        for rule, weight in zip(model.rules, model.weights, strict=True):
+            total += weight * all(x[f] > cut if above else x[f] <= cut for f, above, cut in rule)
+        assert got.score[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6), i
+        assert got.predicted[i] == (got.score[i] >= 0.3) and got.held_out[i] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_rules_are_paths_of_trees_with_lasso_weights():
+    draw = np.random.RandomState(5)
+    x = draw.rand(800, 4)
+    y = (((x[:, 0] > 0.6) & (x[:, 1] < 0.5)) | (draw.rand(800) < 0.05)).astype(float)
+    rules = quality.grow_rules(x, y)
+    assert len(rules) == len(set(rules)) and all(1 <= len(r) <= quality.DEPTH for r in rules)
+    cuts = {f: set(x[:, f].tolist()) for f in range(4)}
+    assert all(cut in cuts[f] for r in rules for f, _, cut in r)  # thresholds are values of the rows
+    r1 = np.stack([np.ones(800), *[quality.holds(r, x) for r in rules]], axis=1).astype(np.float32)
+    w = quality.lasso_logistic(r1, y, 0.005, steps=4000)
+    slope = r1.T @ (1 / (1 + np.exp(-(r1 @ w))) - y) / 800
+    live = np.abs(w) > 1e-7
+    live[0] = True
+    assert abs(slope[0]) < 1e-3 and np.allclose(slope[1:][live[1:]], -0.005 * np.sign(w[1:][live[1:]]), atol=1e-3)
+    assert (np.abs(slope[~live]) <= 0.005 + 1e-3).all()  # the conditions that hold at the optimum alone
+
+
+def test_weights_count_as_repeats():
+    draw = np.random.RandomState(6)
+    x, n = draw.rand(300, 3), draw.randint(1, 4, 300)
+    y = (x[:, 0] + 0.2 * draw.rand(300) > 0.6).astype(float)
+    r1 = np.c_[np.ones(300), x > 0.5].astype(np.float32)
+    a = quality.lasso_logistic(r1, y, 1e-3, use=n, steps=3000)
+    b = quality.lasso_logistic(np.repeat(r1, n, axis=0), np.repeat(y, n), 1e-3, steps=3000)
+    assert np.allclose(a, b, atol=1e-2)
+
+
+def test_repeated_and_clashing_documents_are_learned_by_weight(spark):
+    table = [(i, "good clean words here " * (i % 5 + 1)) for i in range(60)] + [(i, "X$$ %% 9") for i in range(60, 90)] + [(3, "good clean words here")] * 500
+    frame = spark.createDataFrame(table, "doc_id long, text string").withColumn("_q_chars", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(90)], "doc_id long, quality int")
+    model = quality.fit(frame, labels, sample=80)
+    got = quality.score(frame, model).toPandas()
+    assert (got.predicted == (got.doc_id < 60)).mean() > 0.95 and len(got) == len(table)
+
+
 def test_column_equals_the_ensemble(spark):
     draw = np.random.RandomState(5)
     x = draw.rand(600, len(quality.STATISTICS))
