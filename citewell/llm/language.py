@@ -6,8 +6,8 @@ its trigrams; then the set of languages grows from the most likely one, in the o
 the likelihood gained exceeds a penalty for each language more.
 
 Scale: one pass counts trigrams by language (partial sums of at most languages x 2^16 numbers a task), one pass
-predicts; neither shuffles a text. The model, languages x 2^16 numbers, is all that the driver holds; languages
-are the values of a label column, so their number does not grow with the data.
+predicts; neither shuffles a text. The model, languages x 2^16 numbers, is all that the driver holds and each task
+gets; more than MOST_LANGUAGES different labels (which are then hardly languages) are an error, before any count.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from citewell.llm.common import bounded_batches, fold
 
 BUCKET_BITS = 16
+MOST_LANGUAGES = 256
 SMOOTHING = 0.2
 STEPS = 8
 #: Trigrams overlap: a third of them counts as independent. Nats that a further language must gain, and its least share.
@@ -75,9 +76,11 @@ class Model:
 
 
 def learn(docs: DataFrame, text="text", lang="lang") -> Model:
-    """Counts over all rows of docs whose lang is not null."""
+    """Counts over all rows of docs whose lang is not null. More than MOST_LANGUAGES labels raise ValueError."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique(), key=lambda x: x.encode())
     counts = np.zeros((len(langs), 1 << BUCKET_BITS))
