@@ -1,13 +1,16 @@
 """Secret scans by a trigram inverted index (DataFrame functions only).
 
 Every rule's regular expression gives a Boolean query over trigrams that any match must contain. The index holds,
-for each trigram that some query names, its postings as one bit of each document: posting lists aligned with the
-rows, so intersecting them is an AND of bits and needs no shuffle. Documents that satisfy a rule's query are
-verified with the rule itself; rules without a mandatory trigram scan every document.
-
-Scale: one narrow pass over the text. Trigram tests are substring searches over the bytes; the regular expressions
-run only where the index lets them. The index can be kept as a table (`trigram_index`) and inverted into posting
-lists (`postings`) where the same texts are scanned again with other rules.
+for each document, one bit for each trigram that some query names: posting lists turned by document, so
+intersecting postings is an AND of bits. It is built first and kept as a table. A scan reads the index, evaluates the
+queries on it, and gets for each rule the documents that can match; only those are verified with the rule itself.
+Rules without a mandatory trigram scan every document.
+
+Scale: two narrow passes over the text, and a table of a few bytes a document. The documents that satisfy some
+query are sent to every task if they number at most BROADCAST_DOCS, so no text is shuffled; beyond that they are
+joined by id. An id that several rows share has the bits of all of them, which can only add candidates. The index
+can be kept (`trigram_index`) for later scans of the same texts, and inverted into lists (`postings`). Places of
+spans come from two-level sums, so many matches in one text cost n^1.5 additions instead of n^2 copies.
 """
 
 from __future__ import annotations
@@ -19,7 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import text_or_empty
+from citewell.llm.common import keep, text_or_empty
+
+#: Candidate documents that are sent to every task, at most.
+BROADCAST_DOCS = 500_000
+#: Characters of the pieces in which texts are redacted.
+PIECE = 1024
 
 
 @dataclass(frozen=True)
@@ -185,12 +193,23 @@ class TrigramIndex:
 
 
 def trigram_index(docs: DataFrame, doc_id="doc_id", text="text", index: TrigramIndex | None = None) -> DataFrame:
-    """The index as a table: doc_id and bits (array<long>)."""
+    """The index as a table: doc_id and bits (array<long>), one row for each row of docs; null text has no bits."""
     index = index or TrigramIndex()
-    both = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t")).withColumn("l", F.lower("t"))
+    both = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_or_empty(f"`{text}`").alias("t")).withColumn("l", F.lower("t"))
     return both.select("doc_id", index.bits("t", "l").alias("bits"))
 
 
+def candidates(table: DataFrame, index: TrigramIndex | None = None) -> DataFrame:
+    """doc_id and rules (the bits of those rules with a query that the document satisfies), where there is one.
+
+    One row an id; rows of the index with one id, null included, are taken together.
+    """
+    index = index or TrigramIndex()
+    tests = [(k, index.candidate(r.kind, "bits")) for k, r in enumerate(index.rules) if index.queries[r.kind] is not None]
+    held = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << k)).otherwise(F.lit(0)) for k, test in tests], F.lit(0)).cast("long")
+    return table.select("doc_id", held.alias("rules")).where("rules <> 0").groupBy("doc_id").agg(F.bit_or("rules").alias("rules"))
+
+
 def postings(table: DataFrame, index: TrigramIndex | None = None) -> DataFrame:
     """The table inverted: one row for each trigram and document that has it."""
     index = index or TrigramIndex()
@@ -205,6 +224,24 @@ def _java(rule: Rule) -> str:
     return ("(?i)" if rule.either_case else "") + (rule.only_long or rule.pattern)
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sums of array<int> up to and including each element: sums of blocks of sqrt(n), then inside a block."""
+
+    def summed(x: Column) -> Column:
+        n = F.size(x)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+        total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: total(F.slice(x, b * width + 1, width)))
+        return _once(blocks, lambda sums: _once(F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b))), lambda before: F.transform(x, lambda _, i: F.get(before, F.floor(i / width).cast("int")) + total(F.slice(x, F.floor(i / width).cast("int") * width + 1, i % width + 1)))))
+
+    return _once(numbers, lambda x: F.when(F.size(x) > 0, summed(x)).otherwise(x))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _rule_spans(rule: Rule, text: str, gate: Column) -> Column:
     """array<struct<start, end>> of the rule's matches, leftmost and not overlapping, code points, short ones dropped.
 
@@ -215,42 +252,42 @@ def _rule_spans(rule: Rule, text: str, gate: Column) -> Column:
     matches = F.regexp_extract_all(t, pattern, F.lit(0))
     counted = F.regexp_extract_all(t, pattern, F.lit(rule.group)) if rule.group else matches
     pieces = F.split(t, _java(rule), -1)
-    steps = F.zip_with(
-        F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"))),
-        counted,
-        lambda s, c: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), F.length(c).alias("counted")),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["len"]
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["counted"] >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    def spans(m: Column) -> Column:
+        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(m)), m, lambda p, x: F.length(p) + F.length(x))
+        ends = F.zip_with(running_sums(steps), m, lambda e, x: F.struct((e - F.length(x)).alias("start"), e.alias("end")))
+        every = F.zip_with(ends, counted, lambda s, c: F.when(F.length(c) >= rule.least, s))
+        return F.array_compact(every)
 
-    live = F.filter(steps, lambda x: x["len"].isNotNull())
-    found = F.aggregate(live, start, step, lambda s: s["spans"])
-    return F.when(gate & F.regexp_like(t, pattern), found).otherwise(empty)
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.when(gate & F.regexp_like(t, pattern), _once(matches, spans)).otherwise(empty)
 
 
 def _labelled(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def scan(docs: DataFrame, text="text", rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, text="text", rules=RULES, doc_id="doc_id", index: DataFrame | None = None) -> DataFrame:
     """docs and the column spans: array<struct<start, rank, kind, end>> by start, then the order of the rules.
 
-    Null text counts as empty and has no spans. Spans of one rule do not overlap; those of different rules may. A
-    column named spans is replaced.
+    index: a table that trigram_index() gave for these documents and rules; by default it is built and kept first. Null
+    text counts as empty and has no spans. Spans of one rule do not overlap; those of different rules may. A column
+    named spans is replaced; no other column is touched. Repeated and null ids are scanned like others, repeated rows
+    each; an empty table gives no rows.
     """
-    index = TrigramIndex(rules)
-    rows = docs.drop("spans").withColumn("_t", text_or_empty(text))
-    rows = rows.withColumn("_l", F.lower("_t")).withColumn("_bits", index.bits("_t", "_l"))
+    about = TrigramIndex(rules)
+    table = index if index is not None else keep(trigram_index(docs, doc_id, text, about), "secret-index")
+    found = keep(candidates(table, about), "secret-candidates").withColumnRenamed("doc_id", "id")
+    few = found.count() <= BROADCAST_DOCS
+    names = [c for c in docs.columns if c != "spans"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{doc_id}`").alias("own"), text_or_empty(f"`{text}`").alias("t"))
+    rows = rows.join(F.broadcast(found) if few else found, F.col("own").eqNullSafe(F.col("id")), "left")
     parts = []
     for rank, rule in enumerate(rules):
-        parts.append(_labelled(_rule_spans(rule, "_t", index.candidate(rule.kind, "_bits")), rank, rule.kind))
-    return rows.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_t", "_l", "_bits")
+        gate = F.lit(True) if about.queries[rule.kind] is None else F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << rank)) != 0, F.lit(False))
+        parts.append(_labelled(_rule_spans(rule, "t", gate), rank, rule.kind))
+    spans = F.array_sort(F.concat(*parts)).alias("spans")
+    return rows.select(*[F.col("doc")[c].alias(c) for c in names], spans)
 
 
 def written(spans: Column) -> Column:
@@ -258,22 +295,57 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, text="text", mark="[SECRET]", rules=RULES) -> DataFrame:
+def redacted(docs: DataFrame, text="text", mark="[SECRET]", rules=RULES, doc_id="doc_id", index: DataFrame | None = None) -> DataFrame:
     """docs with each stretch of the text that spans cover replaced by a mark; overlapping spans are one stretch.
 
-    Texts without spans, and null texts, stay as they are.
+    Texts without spans, and null texts, stay as they are. Long texts are put together from pieces of PIECE
+    characters, each cut where stretches begin and end in it, so no text is walked from its start for each span.
     """
-    rows = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_text")), "_text", rules)
-    t = F.col("_text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    rows = scan(held, "text", rules, "doc_id", index)
+    t = F.col("text")
+
+    def cut(piece: Column, k: Column, stretches: Column) -> Column:
+        """One piece without what stretches cover, with a mark where a stretch begins."""
+        low, high = k * PIECE, k * PIECE + F.length(piece)
+        here = F.filter(stretches, lambda s: (s["start"] < high) & (s["end"] > low))
+        part = lambda a, b: F.substring(piece, a - low + 1, F.greatest(b - a, F.lit(0)))
+        before = lambda own, i: F.when(i == 0, low).otherwise(F.get(own, i - 1)["end"])
+        shown = lambda own: F.transform(own, lambda s, i: F.concat(part(before(own, i), s["start"]), F.when(s["start"] >= low, F.lit(mark)).otherwise(F.lit(""))))
+        last = lambda own: part(F.element_at(own, -1)["end"], high)
+        return _once(here, lambda own: F.when(F.size(own) == 0, piece).otherwise(F.concat(F.array_join(shown(own), ""), last(own))))
+
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    whole = _once(_stretches(F.col("spans")), lambda stretches: F.array_join(F.transform(pieces, lambda p, k: cut(p, k, stretches)), ""))
+    changed = F.when(F.size("spans") > 0, whole).otherwise(t)
+    return rows.select(*[(changed if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], t.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], fresh).otherwise(state["out"]).alias("out"))
 
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], t.substr(s["at"] + 1, F.length(t))))
-    changed = F.when(F.size("spans") > 0, whole).otherwise(t)
-    return rows.select(*[(changed if c == text else F.col("_doc")[c]).alias(c) for c in docs.columns])
+def _stretches(spans: Column) -> Column:
+    """Spans, sorted by start, as stretches that do not overlap: a span that begins inside an earlier one is cut off there.
+
+    A span begins a stretch if no earlier one reaches beyond its start. The furthest end before each is found by
+    blocks, as running_sums() finds sums.
+    """
+
+    def merged(x: Column) -> Column:
+        n = F.size(x)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+        furthest = lambda part: F.aggregate(part, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: furthest(F.slice(x, b * width + 1, width)))
+        most = lambda part: F.aggregate(part, F.lit(0), lambda a, e: F.greatest(a, e))
+        before = lambda sums: F.transform(sums, lambda _, b: most(F.slice(sums, F.lit(1), b)))
+        reach = lambda earlier, i: F.greatest(F.get(earlier, F.floor(i / width).cast("int")), furthest(F.slice(x, F.floor(i / width).cast("int") * width + 1, i % width)))
+        ends = _once(blocks, lambda sums: _once(before(sums), lambda earlier: F.transform(x, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), reach(earlier, i).alias("reach")))))
+        return ends
+
+    def joined(x: Column) -> Column:
+        """Starts of stretches, and the furthest end before the next start."""
+        begins = F.filter(F.transform(x, lambda s, i: F.when((i == 0) | (s["start"] >= s["reach"]), F.struct(s["start"].alias("start"), s["reach"].alias("reach")))), lambda s: s.isNotNull())
+        last = F.array_max(F.transform(x, lambda s: s["end"]))
+        return _once(begins, lambda b: F.transform(b, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(b, i + 1)["reach"], last).alias("end"))))
+
+    return _once(spans, lambda x: _once(merged(x), joined))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
