@@ -4,18 +4,20 @@
    sketch: a bitmap of parities into which all samples are folded. Texts with equal sets form one class.
 2. Classes that share a band key are candidates. They are never paired up: each bucket ties its members to its
    smallest one, and the connected components of these ties (clusters) hold every candidate pair.
-3. A cluster is dealt into blocks. For every two blocks that share a bucket, the population count of the XOR of
-   two odd sketches estimates the similarity of each pair; pairs that may reach the threshold are confirmed on
-   the full sets unless confirmed links connect them already. What leaves a task is a forest of confirmed links.
-4. Components of the confirmed links give each document its component, the smallest doc_id in it.
-
+3. A small cluster is one block, and so is dealt to one task. In a larger one every class is first verified against one
+   leader of its buckets; what that confirms already (a page and its thousands of near copies) is one group. Only classes
+   whose buckets hold several groups are then dealt into blocks, and two blocks meet if they share such a bucket.
+   For every pair of a task the population count of the XOR of two odd sketches estimates the similarity; pairs that
+   may reach the threshold are confirmed on the full sets unless confirmed links connect them already. What leaves a
+   task is a forest of confirmed links.
 A pair at exactly the threshold 0.8 shares no bucket with probability (1 - 0.8^6)^40 = 5e-6. A pair at the
 threshold differs in about 80 of the 512 bits of its sketches (standard deviation 11); only pairs with more than
 SKETCH_DISTANCE = 150 are left out. Both figures are for a single link; groups usually have several.
 
 Scale: texts are read twice (the second time only for documents in clusters). Copies collapse by partial
-aggregation. Ties are linear in the number of bucket members, components are found by alternating large-star and
-small-star steps on tables in the shared folder, and a block task holds at most two blocks.
+aggregation. Ties are linear in the number of bucket members; components are found by alternating large-star and
+small-star steps on tables in the shared folder, with nodes of very many neighbours joined apart from the others; and
+a block task holds at most two blocks. Texts are hashed in runs of bounded length.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, keep, release
+from citewell.llm.common import bounded_batches, keep, release, text_blocks
 from citewell.llm.shingles import mix64, shingle_sets
 
 #: The contract of the query: shingles of four words, linked at 80 % of the union.
@@ -37,7 +39,9 @@ SKETCH_DISTANCE = 150
 BLOCK = 192
 BROADCAST_IDS = 500_000
 _NO_ID = -(2**63)
-#: Texts that are hashed at once.
+#: A node with more neighbours is joined by a table of such nodes that every task gets, if they are at most the second number.
+HUB, HUBS = 4096, 100_000
+#: Texts that are hashed at once, at most.
 _TEXTS = 64
 
 SIGNATURES = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"
@@ -88,8 +92,8 @@ def _sign(batches, words: int, sampler: Sampler):
 
     for batch in batches:
         ids = batch.column(0)
-        for at in range(0, len(ids), _TEXTS):
-            sets = shingle_sets(batch.column(1).slice(at, _TEXTS).to_pylist(), words)
+        for at, texts in text_blocks(batch.column(1), most=_TEXTS):
+            sets = shingle_sets(texts, words)
             full = [i for i, s in enumerate(sets) if len(s)]
             samples = np.array([sampler.samples(sets[i]) for i in full], np.uint32).reshape(len(full), -1)
             keys, sketches = [None] * len(sets), [None] * len(sets)
@@ -99,7 +103,7 @@ def _sign(batches, words: int, sampler: Sampler):
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(at, _TEXTS).cast(pa.int64()),
+                    ids.slice(at, len(texts)).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
@@ -120,8 +124,8 @@ def _sets(batches, words: int):
     import pyarrow as pa
 
     for batch in batches:
-        for at in range(0, batch.num_rows, _TEXTS):
-            sets = shingle_sets(batch.column(0).slice(at, _TEXTS).to_pylist(), words)
+        for _, texts in text_blocks(batch.column(0), most=_TEXTS):
+            sets = shingle_sets(texts, words)
             digests = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -136,8 +140,16 @@ def components(ties: DataFrame, name: str) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least")
+        upward = both.where("v > u")
+        hubs = least.where(F.col("n") > HUB)
+        few = hubs.count()
+        if 0 < few <= HUBS:  # all neighbours of a hub would meet in one task
+            hubs = F.broadcast(hubs)
+            joined = upward.join(hubs, "u").unionByName(upward.join(hubs, "u", "left_anti").join(least, "u"))
+        else:
+            joined = upward.join(least, "u")
+        large = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = keep(small, f"{name}-edges")
@@ -170,8 +182,8 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def confirmed_forest(nodes_a, sketch_a, sets_a, nodes_b, sketch_b, sets_b, percent=PERCENT, distance=SKETCH_DISTANCE) -> list[tuple[int, int]]:
-    """Links between rows of a and rows of b (the same lists: within one block) that span all confirmed ones."""
+def confirmed_forest(nodes_a, groups_a, sketch_a, sets_a, nodes_b, groups_b, sketch_b, sets_b, percent=PERCENT, distance=SKETCH_DISTANCE) -> list[tuple[int, int]]:
+    """Links between rows of a and rows of b (the same lists: within one block) that, with the groups, span all confirmed ones."""
     size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (sets_a, sets_b))
     xor = np.zeros((len(nodes_a), len(nodes_b)), np.int32)
     wa, wb = (np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (sketch_a, sketch_b))
@@ -181,6 +193,7 @@ def confirmed_forest(nodes_a, sketch_a, sets_a, nodes_b, sketch_b, sets_b, perce
     maybe = (xor <= distance) & (100 * small >= percent * big)
     if nodes_a is nodes_b:
         maybe &= np.tri(len(nodes_a), k=-1, dtype=bool).T
+    maybe &= np.array(groups_a)[:, None] != np.array(groups_b)[None, :]
     i, j = np.nonzero(maybe)
     if not len(i):
         return []
@@ -200,7 +213,7 @@ def confirmed_forest(nodes_a, sketch_a, sets_a, nodes_b, sketch_b, sets_b, perce
         i, j = i[good], j[good]
     out = []
     for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = root(nodes_a[x]), root(nodes_b[y])
+        p, q = root(groups_a[x]), root(groups_b[y])
         if p == q:
             continue
         if shared is None:
@@ -230,11 +243,13 @@ def _link(batches, percent: int, distance: int):
 
     for batch in batches:
         links = []
-        for cluster, i, j, side, node, sketch, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [batch.column(k) for k in range(batch.num_columns)]
+        for at in range(batch.num_rows):
+            cluster, i, j, side, node, group, sketch, hashes = (c[at].as_py() for c in columns)
             if task != (cluster, i, j):
                 links += close()
                 task, held = (cluster, i, j), ([], [])
-            held[side].append((node, sketch, np.frombuffer(hashes, np.uint64)))
+            held[side].append((node, group, sketch, np.frombuffer(hashes, np.uint64)))
         yield batch_of(links)
     yield batch_of(close())
     release()
@@ -270,25 +285,56 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS,
 
 
 def _links(docs, doc_id, text, classes, members, clusters, words, percent, distance) -> DataFrame:
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    needed = keep(placed.join(classes.select("node", "d1", "d2", "doc", "sketch"), "node"), "dedup-placed")
+    """a, b: confirmed links whose components are those of all confirmed links."""
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    needed = keep(clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "n").join(classes.select("node", "d1", "d2", "doc", "sketch"), "node"), "dedup-placed")
     # sets of the classes in clusters, from one document of each
     wanted = needed.select(F.coalesce("doc", F.lit(_NO_ID)).alias("id"))
     if needed.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     sets = source.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_sets, words=words), "d1 long, d2 long, hashes binary")
-    sets = keep(sets.groupBy("d1", "d2").agg(F.first("hashes").alias("hashes")).join(needed, ["d1", "d2"]).select("node", "cluster", "blocks", "block", "sketch", "hashes"), "dedup-sets")
-    # pairs of blocks: all of a cluster that is one block; else those that share a bucket
-    many = members.select("key", "node").join(needed.where("blocks > 1").select("node", "cluster", "block"), "node").select("key", "cluster", "block").distinct()
-    other = many.select("key", "cluster", F.col("block").alias("other"))
-    pairs = many.join(other, ["key", "cluster"]).where("block <= other").select("cluster", F.col("block").alias("i"), F.col("other").alias("j")).distinct()
-    one = sets.where("blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "node", "sketch", "hashes")
-    left = sets.join(pairs, (sets["cluster"] == pairs["cluster"]) & (sets["block"] == pairs["i"])).select(sets["cluster"], "i", "j", F.lit(0).alias("side"), "node", "sketch", "hashes")
-    right = sets.join(pairs, (sets["cluster"] == pairs["cluster"]) & (sets["block"] == pairs["j"]) & (pairs["i"] < pairs["j"])).select(sets["cluster"], "i", "j", F.lit(1).alias("side"), "node", "sketch", "hashes")
-    tasks = one.unionByName(left).unionByName(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
-    return tasks.mapInArrow(partial(_link, percent=percent, distance=distance), "a long, b long")
+    sets = keep(sets.groupBy("d1", "d2").agg(F.first("hashes").alias("hashes")).join(needed, ["d1", "d2"]).select("node", "cluster", "n", "sketch", "hashes"), "dedup-sets")
+    row = lambda df, i, j, side, group: df.select("cluster", F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"), F.lit(side).alias("side"), "node", F.col(group).alias("group"), "sketch", "hashes")
+
+    def linked(tasks: DataFrame) -> DataFrame:
+        tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+        return tasks.mapInArrow(partial(_link, percent=percent, distance=distance), "a long, b long")
+
+    small = row(sets.where(F.col("n") <= BLOCK).withColumn("at", F.lit(0)), "at", "at", 0, "node")
+    large = sets.where(F.col("n") > BLOCK)
+    if not sizes.where(F.col("n") > BLOCK).limit(1).count():
+        return linked(small)
+    # every class against one leader: leader l meets its followers in tasks (l, part of the followers)
+    led = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
+    led = led.join(large.select("node"), "node", "left_semi")
+    parts = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    led = led.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    followers = row(large.join(led, "node"), "leader", "part", 1, "node")
+    leaders = large.join(parts.withColumnRenamed("leader", "node"), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    first = keep(linked(small.unionByName(row(leaders, "node", "part", 0, "node")).unionByName(followers)), "dedup-first")
+    # what is confirmed so far is a group; only buckets that hold several groups are left
+    groups = components(first, "dedup-groups")
+    grouped = members.select("key", "node").join(large.select("node", "cluster"), "node").join(groups, "node", "left")
+    grouped = keep(grouped.select("key", "node", "cluster", F.coalesce("root", "node").alias("group")), "dedup-grouped")
+    mixed = grouped.groupBy("cluster", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("cluster", "key")
+    left = grouped.join(mixed, ["cluster", "key"])
+    about = left.select("node", "cluster", "group").distinct()
+    # a block has classes of one group, if there are enough of them, or of many small groups
+    in_group = about.groupBy("group").agg(F.count("*").alias("g"))
+    in_cluster = about.join(in_group, "group").groupBy("cluster").agg(F.sum(F.when(F.col("g") <= BLOCK, 1).otherwise(0)).alias("few"))
+    placed = about.join(in_group, "group").join(in_cluster, "cluster")
+    lone = F.col("g") > BLOCK
+    block = F.when(lone, F.xxhash64("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / BLOCK)))).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.ceil(F.col("few") / BLOCK), F.lit(1))))
+    placed = keep(placed.select("node", "cluster", "group", block.alias("block"), F.when(lone, F.col("group")).alias("alone")), "dedup-blocks")
+    many = left.select("key", "node").join(placed, "node").select("key", "cluster", "block", "alone").distinct()
+    other = many.select("key", "cluster", F.col("block").alias("other"), F.col("alone").alias("other_alone"))
+    pairs = many.join(other, ["key", "cluster"]).where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("alone") == F.col("other_alone"), F.lit(False)))
+    pairs = keep(pairs.select("cluster", F.col("block").alias("i"), F.col("other").alias("j")).distinct(), "dedup-pairs")
+    rest = large.join(placed.select("node", "group", "block"), "node")
+    one = rest.join(pairs.withColumn("block", F.col("i")), ["cluster", "block"])
+    two = rest.join(pairs.where("i < j").withColumn("block", F.col("j")), ["cluster", "block"])
+    return first.unionByName(linked(row(one, "i", "j", 0, "group").unionByName(row(two, "i", "j", 1, "group"))))
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", **parameters) -> DataFrame:

@@ -599,6 +599,48 @@ def test_large_groups_of_near_copies(spark):
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == components(table, 4, 80)
 
 
+@pytest.mark.parametrize("words_changed", [0, 9])
+def test_large_clusters_of_several_groups(spark, monkeypatch, words_changed):
+    """Clusters far larger than a block: copies of one page, chains of near copies, and groups that share buckets only."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HUB", 30)
+    draw = random.Random(17)
+    base = [f"w{draw.randint(0, 999)}" for _ in range(90)]
+    table, chain = [], list(base)
+    for i in range(260):
+        own = list(base)
+        if i < 120:
+            for _ in range(draw.randint(0, 7 + words_changed)):
+                own[draw.randrange(90)] = f"x{draw.randint(0, 10**6)}"
+        else:
+            chain[draw.randrange(90)] = f"y{draw.randint(0, 10**6)}"
+            own = list(chain)
+        table.append((i, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == components(table, 4, 80)
+
+
+def test_a_page_and_its_copies_need_no_block_pairs(spark, monkeypatch):
+    """20,000 near copies of one page: all are confirmed against leaders, so hardly any block meets another."""
+    kept, keep = {}, near_dedup.keep
+    monkeypatch.setattr(near_dedup, "keep", lambda df, name: kept.setdefault(name, keep(df, name)) if name == "dedup-pairs" else keep(df, name))
+    draw = random.Random(19)
+    base = [f"w{draw.randint(0, 999)}" for _ in range(60)]
+    table = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(20_000)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"))
+    assert got.groupBy("component_id").count().collect() == [(0, 20_000)]
+    assert kept["dedup-pairs"].count() <= 200  # of more than 5,000
+
+
+def test_long_texts_are_hashed_in_bounded_runs():
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 100_000] * 10 + [None, "", "y" * 2_000_000, "z"])
+    runs = list(near_dedup.text_blocks(texts, most=64))
+    assert [lo for lo, _ in runs] == [0, 3, 6, 9, 13] and sum(len(p) for _, p in runs) == 14
+    assert all(sum(map(len, p[:-1])) < 250_000 for _, p in runs)
+
+
 def test_matrix_intersections():
     draw = np.random.RandomState(6)
     a, b = ([np.unique(draw.randint(0, 9000, draw.randint(1, 6000)).astype(np.uint64)) for _ in range(7)] for _ in range(2))
