@@ -162,7 +162,7 @@ def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="sourc
     names = [F.col(f"`{c}`") for c in docs.columns]
     row = F.xxhash64(F.lit(SEED), *names, *[F.col(f"`{c}`").isNull() for c in docs.columns])  # a hash skips nulls
     decided = keep(decide(_sized(docs, doc_id, text, source, row), **parameters).where("copies > 0").select("tie", "copies", "source_size", "target", "upto"), "mix-decided")
-    repeated = keep(decided.groupBy("tie").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
+    repeated = decided.groupBy("tie").agg(F.count("*").alias("n")).where("n > 1")
     held = docs.select(F.struct(*names).alias("_doc"), row.alias("_tie"))
     finish = (F.col("source_size") * F.col("_copy") + F.col("upto")) / F.col("target")
     copies = decided.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select("tie", finish.alias("_finish"))
@@ -177,7 +177,8 @@ def mixed_documents(docs: DataFrame, doc_id="doc_id", text="text", source="sourc
         lone = copies.join(known, "tie", "left_anti")
     else:
         again, lone = None, copies
-    taken = held.join(lone, F.col("_tie") == F.col("tie")).select("_doc", "_finish", "_tie")
+    # decisions grow with the documents: never broadcast, so that the plan is the same at every size
+    taken = held.join(lone.hint("merge"), F.col("_tie") == F.col("tie")).select("_doc", "_finish", "_tie")
     taken = taken.unionByName(again) if again is not None else taken
     taken = taken.repartitionByRange("_finish", "_tie").sortWithinPartitions("_finish", "_tie") if ordered else taken
     return taken.select("_doc.*")
