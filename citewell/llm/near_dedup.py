@@ -139,13 +139,16 @@ def components(ties: DataFrame, name: str) -> DataFrame:
     edges = keep(ties.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
     seen = None
     while True:
+        degrees = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"))
+        *state, few = degrees.agg(F.sum("n"), F.sum("s"), F.count_if(F.col("n") > HUB)).first()
+        if state == seen:
+            break
+        seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least")
-        upward = both.where("v > u")
-        hubs = least.where(F.col("n") > HUB)
-        few = hubs.count()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         if 0 < few <= HUBS:  # all neighbours of a hub would meet in one task
-            hubs = F.broadcast(hubs)
+            hubs = F.broadcast(least.join(degrees.where(F.col("n") > HUB).select(F.col("v").alias("u")), "u", "left_semi"))
             joined = upward.join(hubs, "u").unionByName(upward.join(hubs, "u", "left_anti").join(least, "u"))
         else:
             joined = upward.join(least, "u")
@@ -153,10 +156,6 @@ def components(ties: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = keep(small, f"{name}-edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
-            break
-        seen = state
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

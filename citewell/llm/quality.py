@@ -273,7 +273,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     names = list(map(_name, STATISTICS))
     found = with_statistics(own, "text").drop("text").groupBy("_id", "_y", *names).agg(F.count("*").alias("_n"))
     found = found.orderBy(F.xxhash64(F.lit(SEED), "_id", *names), "_id", *names).limit(sample).toPandas().sort_values(["_id", *names])
-    return RuleEnsemble.fit(found[names].to_numpy(float), found["_y"].to_numpy(float), found["_n"].to_numpy(float))
+    model = RuleEnsemble.fit(found[names].to_numpy(float), found["_y"].to_numpy(float), found["_n"].to_numpy(float))
+    del found
+    release()  # the driver's memory
+    return model
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text="text", threshold=THRESHOLD) -> DataFrame:
