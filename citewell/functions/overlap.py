@@ -13,6 +13,9 @@ QUOTED = 0.5
 MIN_RUN = 4
 INTRODUCING = ("يخبر تعالى", "يقول تعالى", "قال تعالى")
 
+#: Windows of an index that every task gets, at most.
+MAX_WINDOWS = 500_000
+
 
 def bound(value: Column, body) -> Column:
     """body(value) with value evaluated once: inner lambdas see a variable instead of the expression."""
@@ -103,37 +106,106 @@ def coverage_pairs(verses: DataFrame, passages: DataFrame, k: int = WINDOW, leas
     return pairs.where(F.col("coverage") >= least).select("verse_id", "passage_id", F.col("windows").cast("long"), F.col("found").cast("long"), "coverage")
 
 
-def coverage_pairs_indexed(verses: DataFrame, passages: DataFrame, k: int = WINDOW, least: float = QUOTED, max_windows: int = 500_000) -> DataFrame:
+def coverage_pairs_indexed(verses: DataFrame, passages: DataFrame, k: int = WINDOW, least: float = QUOTED, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """coverage_pairs by an inverted index of the verses' windows that every task gets, if it has at most max_windows
-    entries (checked); beyond that, by the equi-join. Passages are read once and nothing of them is shuffled."""
+    entries (checked); beyond that, by the equi-join. Both give the same rows. Passages are read once and nothing of
+    them is shuffled."""
+    found = _indexed(verses, passages, k, least, max_windows, runs=False, best=False)
+    return coverage_pairs(verses, passages, k, least) if found is None else found
+
+
+def scored_pairs(verses: DataFrame, passages: DataFrame, k: int = WINDOW, least: float = QUOTED, best: bool = False, phrases=INTRODUCING, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The rows of coverage_pairs with run (longest_quoted_run) and introduced (has_introduction).
+
+    best: of each verse only the passage of the largest coverage, of equals the smallest passage_id. Under max_windows
+    all of it happens where a passage is read, so no text moves; beyond that the texts of the pairs left are joined.
+    """
+    found = _indexed(verses, passages, k, least, max_windows, runs=True, best=best, phrases=phrases)
+    if found is None:
+        pairs = coverage_pairs(verses, passages, k, least)
+        pairs = _best(pairs) if best else pairs
+        texts = passages.select("passage_id", F.col("text").alias("_p"))
+        joined = pairs.join(texts, "passage_id").join(verses.select("verse_id", F.col("text").alias("_v")), "verse_id")
+        return joined.select("verse_id", "passage_id", "windows", "found", "coverage", longest_quoted_run(F.col("_v"), F.col("_p")).cast("long").alias("run"), has_introduction(F.col("_p"), phrases).alias("introduced"))
+    return _best(found) if best else found
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """By partial aggregates; passage ids are numbers."""
+    rest = [c for c in pairs.columns if c not in ("verse_id", "passage_id", "coverage")]
+    top = pairs.groupBy("verse_id").agg(F.max(F.struct("coverage", (-F.col("passage_id")).alias("neg"), *rest)).alias("b"))
+    return top.select("verse_id", (-F.col("b.neg")).alias("passage_id"), "b.coverage", *[F.col(f"b.{c}") for c in rest]).select(*pairs.columns)
+
+
+def _run(words: list[str], passage: str) -> int:
+    low = best = 0
+    for high in range(1, len(words) + 1):
+        while low < high and " ".join(words[low:high]) not in passage:
+            low += 1
+        best = max(best, high - low)
+    return best
+
+
+def _indexed(verses, passages, k, least, max_windows, runs: bool, best: bool, phrases=()) -> DataFrame | None:
+    """Pairs by the broadcast index, or None if it would be too large.
+
+    A passage's windows are first hashed as numbers and tested against a bitmap of the index's hashes; only those that
+    pass become strings and are looked up.
+    """
     import numpy as np
     import pandas as pd
 
+    spark = verses.sparkSession
     folded = verses.select("verse_id", match_form(F.coalesce("text", F.lit(""))).alias("v"))
     n = folded.agg(F.sum(F.greatest(F.length("v") - k + 1, F.lit(1)))).first()[0] or 0
     if n > max_windows:
-        return coverage_pairs(verses, passages, k, least)
+        return None
     index: dict[str, list[int]] = {}
     rows = [(r["verse_id"], r["v"]) for r in folded.collect() if r["v"]]
-    ids, total = [x for x, _ in rows], np.array([max(len(v) - k + 1, 1) for _, v in rows], np.int64)
+    ids, total = [x for x, _ in rows], [max(len(v) - k + 1, 1) for _, v in rows]
     for at, (_, v) in enumerate(rows):
         for i in range(max(len(v) - k + 1, 1)):
             index.setdefault(v[i : i + k], []).append(at)
-    shared = verses.sparkSession.sparkContext.broadcast((index, ids, total, sorted({len(w) for w in index if len(w) < k})))
+    folds = [r[0] for r in spark.createDataFrame([(x,) for x in phrases], "t string").select(match_form(F.col("t"))).collect()] if runs and phrases else []
+    bits = 22
+
+    def hashes(text: str, m: int) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out = np.zeros(max(len(codes) - m + 1, 0), np.uint64)
+        for j in range(m if len(out) else 0):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(out)]
+        return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+    known = np.zeros(1 << bits, bool)
+    for w in index:
+        known[hashes(w, len(w))] = True
+    shared = spark.sparkContext.broadcast((index, ids, total, sorted({len(w) for w in index}), known, [[w for w in v.split(" ") if w] for _, v in rows] if runs else None, folds))
+    names = ["verse_id", "passage_id", "windows", "found", "coverage", *(["run", "introduced"] if runs else [])]
 
     def find(frames):
-        index, ids, total, shorter = shared.value
+        index, ids, total, sizes, known, words, folds = shared.value
         for frame in frames:
-            out = []
+            out, top = [], {}
             for passage_id, text in zip(frame["passage_id"], frame["p"], strict=True):
                 found: dict[int, int] = {}
-                for m in (k, *shorter):
-                    for w in {text[i : i + m] for i in range(len(text) - m + 1)} & index.keys():
+                for m in sizes:
+                    for w in {text[i : i + m] for i in np.flatnonzero(known[hashes(text, m)]).tolist()} & index.keys():
                         for at in index[w]:
                             found[at] = found.get(at, 0) + 1
-                out += [(ids[at], passage_id, int(total[at]), c, c / total[at]) for at, c in found.items() if c / total[at] >= least]
-            yield pd.DataFrame(out, columns=["verse_id", "passage_id", "windows", "found", "coverage"])
+                for at, c in found.items():
+                    share = c / total[at]
+                    if share < least or best and top.get(at, (-1.0,)) >= (share, -passage_id):
+                        continue
+                    row = (ids[at], passage_id, total[at], c, share)
+                    if runs:
+                        row += (_run(words[at], text), any(x in text for x in folds))
+                    if best:
+                        top[at] = (share, -passage_id, row)
+                    else:
+                        out.append(row)
+            yield pd.DataFrame([x[2] for x in top.values()] if best else out, columns=names)
 
     kinds = dict(verses.dtypes)["verse_id"], dict(passages.dtypes)["passage_id"]
     source = passages.select("passage_id", match_form(F.coalesce("text", F.lit(""))).alias("p"))
-    return source.mapInPandas(find, f"verse_id {kinds[0]}, passage_id {kinds[1]}, windows bigint, found bigint, coverage double")
+    more = ", run bigint, introduced boolean" if runs else ""
+    return source.mapInPandas(find, f"verse_id {kinds[0]}, passage_id {kinds[1]}, windows bigint, found bigint, coverage double{more}")

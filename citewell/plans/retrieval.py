@@ -188,42 +188,34 @@ ha AS (SELECT vec_id, array_to_string(list_filter([CASE WHEN len(now) <> 64 THEN
 # ---------------------------------------------------------------- overlap
 
 
-def _pairs(spark, d, least):
+def _texts(spark, d):
     verses = driver_table(spark, d, "benchmark").select(F.col("item_id").alias("verse_id"), "text")
-    passages = driver_table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    return overlap.coverage_pairs_indexed(verses, passages, least=least)
+    return verses, driver_table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
 
 
-def quote_coverage(spark, d):
+def quote_coverage(spark, d, **parameters):
     """Pairs of a benchmark item and a document that quotes at least half of it."""
-    found = _pairs(spark, d, overlap.QUOTED)
+    found = overlap.coverage_pairs_indexed(*_texts(spark, d), least=overlap.QUOTED, **parameters)
     return found.select(F.col("verse_id").alias("item_id"), F.col("passage_id").alias("doc_id"), "windows", "found", F.round("coverage", 6).alias("coverage"))
 
 
-def _with_run(spark, d, pairs):
-    items = driver_table(spark, d, "benchmark").select(F.col("item_id").alias("verse_id"), F.col("text").alias("v"))
-    docs = driver_table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("p"))
-    return pairs.join(docs, "passage_id").join(items, "verse_id").withColumn("run", overlap.longest_quoted_run(F.col("v"), F.col("p"))).withColumn("introduced", overlap.has_introduction(F.col("p")))
-
-
-def quoted_run(spark, d):
+def quoted_run(spark, d, **parameters):
     """The longest run of words that each of these pairs shares."""
-    return _with_run(spark, d, _pairs(spark, d, overlap.QUOTED)).select(F.col("verse_id").alias("item_id"), F.col("passage_id").alias("doc_id"), F.col("run").cast("long").alias("run"))
+    found = overlap.scored_pairs(*_texts(spark, d), least=overlap.QUOTED, **parameters)
+    return found.select(F.col("verse_id").alias("item_id"), F.col("passage_id").alias("doc_id"), "run")
 
 
-def corroboration_queue(spark, d):
+def corroboration_queue(spark, d, **parameters):
     """Every benchmark item with the document that quotes it best and a verdict; weakest first.
 
     Only the document of best coverage is judged, and only at a coverage of 0.05 or more: below it the item is a gap
     even where a run of MIN_RUN words occurs, and runs in other documents are not looked at. The oracle does the same.
     """
-    best = _pairs(spark, d, 0.05).groupBy("verse_id").agg(F.max(F.struct("coverage", (-F.col("passage_id")).alias("neg"))).alias("b"))
-    best = best.select("verse_id", (-F.col("b.neg")).alias("passage_id"), "b.coverage")
-    scored = _with_run(spark, d, best).select("verse_id", "passage_id", "coverage", "run", "introduced")
-    rows = driver_table(spark, d, "benchmark").select(F.col("item_id").alias("verse_id")).join(scored, "verse_id", "left")
-    has = F.col("passage_id").isNotNull()
-    word = overlap.verdict(F.col("run"), F.col("introduced"), F.col("coverage") >= overlap.QUOTED, has_passage=has)
-    return rows.select(F.col("verse_id").alias("item_id"), F.coalesce("passage_id", F.lit(-1)).alias("doc_id"), F.coalesce("run", F.lit(0)).cast("long").alias("run"), F.coalesce(F.round("coverage", 6), F.lit(0.0)).alias("coverage"), word.alias("verdict")).orderBy("run", "item_id")
+    verses, passages = _texts(spark, d)
+    scored = overlap.scored_pairs(verses, passages, least=0.05, best=True, **parameters)
+    rows = verses.select("verse_id").join(scored, "verse_id", "left")
+    word = overlap.verdict(F.col("run"), F.col("introduced"), F.col("coverage") >= overlap.QUOTED, has_passage=F.col("passage_id").isNotNull())
+    return rows.select(F.col("verse_id").alias("item_id"), F.coalesce("passage_id", F.lit(-1)).alias("doc_id"), F.coalesce("run", F.lit(0).cast("long")).alias("run"), F.coalesce(F.round("coverage", 6), F.lit(0.0)).alias("coverage"), word.alias("verdict")).orderBy("run", "item_id")
 
 
 _OVERLAP_SQL = f"""b AS (SELECT item_id, {match_sql('text')} AS v FROM benchmark), dd AS (SELECT doc_id, {match_sql('text')} AS p FROM documents),
