@@ -230,6 +230,12 @@ def summarize(text: Column, n: int = 400) -> Column:
 
 
 def split_header(text: Column) -> Column:
-    """struct(header, body) at the first line of three dashes; without one everything is body."""
+    """struct(header, body, ok) at the first line of three dashes. Without one the file is not accepted: ok is false."""
     at = F.instr(text, "\n---\n")
-    return F.when(at > 0, F.struct(F.left(text, at - 1).alias("header"), F.substr(text, at + 5).alias("body"))).otherwise(F.struct(F.lit("").alias("header"), text.alias("body")))
+    return F.when(at > 0, F.struct(F.left(text, at - 1).alias("header"), F.substr(text, at + 5).alias("body"), F.lit(True).alias("ok"))).otherwise(F.struct(F.lit("").alias("header"), text.alias("body"), F.lit(False).alias("ok")))
+
+
+def body_of(text: Column) -> Column:
+    """The body below the header; a text without the separator is an error."""
+    parts = split_header(text)
+    return F.when(parts["ok"], parts["body"]).otherwise(F.raise_error(F.lit("no header separator")).cast("string"))

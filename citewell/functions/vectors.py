@@ -39,11 +39,6 @@ def vector_defects(v: Column, dims: int = 0, tolerance: float = NORM_TOLERANCE)
     )
 
 
-def vector_hash(model: Column, v: Column) -> Column:
-    """sha256 over the model and the components as Spark prints doubles. See embedding_hash_udf for the portable form."""
-    return F.sha2(F.concat(model, F.lit("\x00"), F.array_join(F.transform(v, lambda x: x.cast("double").cast("string")), "\x00")).cast("binary"), 256)
-
-
 def shortest_decimal(x: float) -> str:
     """The shortest decimal that reads back as x: no exponent between 1e-4 and 1e21, else a two-digit exponent."""
     text = repr(float(x))

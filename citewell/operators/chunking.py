@@ -97,11 +97,11 @@ def chunk_anchor_map(chunks: DataFrame) -> DataFrame:
 
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, default_model: str) -> DataFrame:
     """chunks with vector, model (blank: the default), width, normalized and hash of the vectors given by id."""
-    from citewell.functions.vectors import norm, vector_hash
+    from citewell.functions.vectors import embedding_hash_udf, norm
 
     model = F.when(T.is_blank(F.col("model")), F.lit(default_model)).otherwise(F.col("model"))
     own = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"), model.alias("embedding_model"))
-    own = own.withColumns({"embedding_dimensions": F.size("embedding"), "embedding_normalized": F.abs(norm(F.col("embedding")) - 1) <= 0.01, "embedding_hash": vector_hash(F.col("embedding_model"), F.col("embedding"))})
+    own = own.withColumns({"embedding_dimensions": F.size("embedding"), "embedding_normalized": F.abs(norm(F.col("embedding")) - 1) <= 0.01, "embedding_hash": embedding_hash_udf()(F.col("embedding_model"), F.col("embedding"))})
     return chunks.join(own, "id", "left")
 
 
@@ -116,15 +116,57 @@ def ingest(sections: DataFrame, sources: DataFrame, stored: DataFrame, model: st
     return planned, run_report(planned).crossJoin(stale)  # two tables of one row
 
 
+def ingest_all(sections: DataFrame, sources: DataFrame, stored: DataFrame, mappings: DataFrame, embedder, model: str, width: int, now: Column, cap: int = CHUNK_CAP) -> dict[str, DataFrame]:
+    """The next snapshots of chunks, mappings and sources, and one report row: all of an ingest but the writes.
+
+    Sections of usable sources become chunks; all are validated before anything is embedded (a violation is an error that
+    names them); chunks that are stored with this model keep their vectors, the others are embedded; rows are upserted,
+    mappings follow, what the same sources no longer give goes, and the sources are marked as ingested.
+
+    stored: id, source_id, source_version, group_id, start, end, mapping_type, text, content_hash, model, embedding,
+    created_at, updated_at; mappings: the columns of chunk_anchor_map.
+    """
+    from citewell.operators.incremental import upsert
+
+    planned, report = ingest(sections, sources, stored, model, cap)
+    bad = F.array_compact(F.array(F.when(T.is_blank(F.col("text")), "no text"), F.when(~range_valid(F.col("mapping_type"), F.col("start"), F.col("end")), "bad range"), F.when(F.col("content_hash") != T.content_hash(F.col("text")), "hash differs")))
+    enforce(planned.select("id", bad.alias("violations")), "chunks")
+    vectors = embed_batches(planned.where("state = 'embed'"), embedder, model, width).select("id", F.col("embedding").alias("_new"))
+    known = stored.select("id", F.col("embedding").alias("_old"))
+    full = planned.join(vectors, "id", "left").join(known, "id", "left").withColumn("embedding", F.coalesce("_new", "_old"))
+    own = sections.select("source_id", "source_version").distinct().join(sources.where(usable_source()).select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    gone = lambda table, key: table.join(own, ["source_id", "source_version"], "left_semi").join(planned.select(F.col("id").alias(key)), key, "left_anti").select(key)
+    kept = stored.join(gone(stored, "id"), "id", "left_anti")
+    chunks = upsert(kept, full, ["id"], now)
+    fresh = chunk_anchor_map(planned)
+    old = mappings.join(gone(mappings, "chunk_id"), "chunk_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+    marked = sources.join(own.select(F.col("source_id").alias("id"), F.lit(True).alias("_done")).distinct(), "id", "left")
+    done = marked.withColumns({"ingestion_status": F.when(F.col("_done"), "ingested").otherwise(F.col("ingestion_status")), "ingested_at": F.when(F.col("_done"), now).otherwise(F.col("ingested_at"))}).select(*sources.columns)
+    return {"chunks": chunks, "mappings": old.select(*fresh.columns).unionByName(fresh), "sources": done, "report": report}
+
+
+def usable_source() -> Column:
+    from citewell.operators.incremental import usable
+
+    return usable()
+
+
 def embed_batches(chunks: DataFrame, embedder, model: str, width: int) -> DataFrame:
-    """id, embedding, model: texts go to embedder(list of texts) in Arrow batches; a wrong count or width is an error."""
+    """id, embedding, model: texts go to embedder(list of texts) in Arrow batches; all of them or an error.
+
+    A wrong count or width is an error, and so is what the embedder raises; the message names the ids of the batch.
+    """
     import pandas as pd
 
     def run(frames):
         for frame in frames:
-            vectors = embedder(frame["text"].tolist())
+            span = f"{frame['id'].iat[0]} to {frame['id'].iat[-1]}" if len(frame) else "none"
+            try:
+                vectors = embedder(frame["text"].tolist())
+            except Exception as e:
+                raise ValueError(f"embedding failed for ids {span}: {e}") from e
             if len(vectors) != len(frame) or any(len(v) != width for v in vectors):
-                raise ValueError("embedder returned another number or width of vectors than asked for")
+                raise ValueError(f"embedder returned another number or width of vectors than asked for, ids {span}")
             yield pd.DataFrame({"id": frame["id"], "embedding": [list(map(float, v)) for v in vectors], "model": model})
 
     return chunks.select("id", "text").mapInPandas(run, "id string, embedding array<double>, model string")

@@ -79,3 +79,28 @@ def passage_text(pieces: DataFrame) -> DataFrame:
 def missing_anchors(present: DataFrame, group_sizes: DataFrame) -> DataFrame:
     grid = group_sizes.where("n >= 1").select("group_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("anchor"))
     return grid.join(present.select("group_id", "anchor"), ["group_id", "anchor"], "left_anti")
+
+
+def drift_sentence(drift: DataFrame) -> DataFrame:
+    """One row: the drift in words, or `none`."""
+    n = {k: F.count_if(F.col("shape") == k) for k in ("chunk_only", "mapping_only", "mismatch")}
+    words = F.concat_ws(", ", F.concat(n["chunk_only"].cast("string"), F.lit(" unmapped chunks")), F.concat(n["mapping_only"].cast("string"), F.lit(" orphan mappings")), F.concat(n["mismatch"].cast("string"), F.lit(" mismatched")))
+    return drift.agg(F.when(F.count("*") == 0, "none").otherwise(words).alias("drift"))
+
+
+def piece_counts(sections: DataFrame, cap: int) -> DataFrame:
+    """sections (id, text) with length and pieces: how many chunks of at most cap characters its paragraphs need, about."""
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda p: F.ceil(F.length(p) / cap).cast("long"))
+    return sections.select("id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"), F.aggregate(own, F.lit(0).cast("long"), lambda a, b: a + b).alias("pieces"))
+
+
+def piece_histogram(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("pieces").agg(F.count("*").alias("sections"))
+
+
+def chunk_estimate(counts: DataFrame) -> DataFrame:
+    """One row: sections, those of several pieces, the longest one (of equals the smallest id), and the chunks to expect."""
+    longest = F.max(F.struct("length", (-F.col("id")).alias("neg")))
+    return counts.agg(
+        F.count("*").alias("sections"), F.count_if(F.col("pieces") > 1).alias("split"), longest["length"].alias("longest"), (-longest["neg"]).alias("longest_id"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("chunks")
+    )

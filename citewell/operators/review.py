@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citewell.functions import text as T
-from citewell.operators.registry import snapshot_of
+from citewell.operators.incremental import usable
+from citewell.operators.registry import evidence_with_pin, snapshot_of
 from citewell.operators.rules import decision_status
 
 
@@ -48,7 +49,7 @@ def review_queue(items: DataFrame, chunks: DataFrame, sources: DataFrame) -> Dat
     differs = (F.size("evidence") > 0) & ~now.eqNullSafe(F.col("snapshot"))
     return rows.select(
         "item_id", "group_id", "start", F.transform("evidence", lambda e: e["chunk_id"]).alias("evidence"), "missing", F.coalesce("title", F.lit("")).alias("citation"), differs.alias("mismatch")
-    )
+    ).orderBy("group_id", "start", "item_id")
 
 
 def fold_decisions(log: DataFrame) -> DataFrame:
@@ -89,6 +90,41 @@ def introduction_state(introductions: DataFrame) -> DataFrame:
     return grouped.select("group_id", "style", F.when(F.col("p") == 1, "published").when(F.col("u") == 1, "processing").otherwise("unavailable").alias("state"))
 
 
+def publication_problem(items: DataFrame, chunks: DataFrame, sources: DataFrame, pins: DataFrame, versions: DataFrame) -> DataFrame:
+    """item_id and the first reason why an item may not be published, or null.
+
+    items: item_id, refs, claims (array<struct<text, source_refs>>), snapshot; chunks: chunk_id, source_id, source_version,
+    source_version_hash, verified; sources: id and statuses; pins: id, version; versions: id, content_hash. Every claim
+    has text and cites references of the item; every reference is a verified chunk of a usable source, at the
+    source's pinned version and hash; and the snapshot is that of these versions.
+    """
+    empty = F.exists("claims", lambda c: T.is_blank(c["text"]) | (F.coalesce(F.size(c["source_refs"]), F.lit(0)) <= 0))
+    stray = F.exists("claims", lambda c: F.size(F.array_except(c["source_refs"], F.col("refs"))) > 0)
+    own = F.when((F.coalesce(F.size("refs"), F.lit(0)) <= 0) | (F.coalesce(F.size("claims"), F.lit(0)) <= 0), "nothing_cited").when(empty, "empty_claim").when(stray, "stray_ref")
+    state = sources.select(F.col("id").alias("source_id"), usable().alias("_usable"))
+    known = evidence_with_pin(chunks.where("verified"), pins, versions).join(state, "source_id", "left")
+    refs = items.select("item_id", F.explode(F.array_distinct("refs")).alias("chunk_id")).join(known.select("chunk_id", "source_version", "problem", "_usable"), "chunk_id", "left")
+    each = F.when(F.col("source_version").isNull(), "1 unresolved").when(~F.coalesce("_usable", F.lit(False)), "2 unusable_source").when(F.col("problem").isNotNull(), "3 not_pinned")
+    per = refs.groupBy("item_id").agg(F.min(each).alias("_each"), snapshot_of(F.collect_set("source_version")).alias("_now"))
+    found = F.coalesce(own, F.substr("_each", F.lit(3)), F.when(~F.col("_now").eqNullSafe(F.col("snapshot")), "stale_snapshot"))
+    return items.join(per, "item_id", "left").select("item_id", found.alias("problem"))
+
+
+def introduction_queue(items: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pending introductions in the order (group_id, style, item_id) with their evidence, titles and why approval is blocked.
+
+    items: item_id, group_id, style, refs, snapshot, review_status. block: missing_refs, no_evidence, changed or null.
+    """
+    own = items.where("review_status = 'pending'")
+    resolved = resolve_refs(own, chunks)
+    named = resolved.select("item_id", F.explode_outer(F.array_distinct(F.transform("evidence", lambda e: e["source_id"]))).alias("id")).join(sources.select("id", "title"), "id", "left")
+    titles = named.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("title")), "; ").alias("titles"))
+    now = snapshot_of(F.transform("evidence", lambda e: e["source_version"]))
+    block = F.when(F.size("missing") > 0, "missing_refs").when(F.size("evidence") == 0, "no_evidence").when(~now.eqNullSafe(F.col("snapshot")), "changed")
+    rows = own.select("item_id", "group_id", "style", "snapshot").join(resolved, "item_id").join(titles, "item_id")
+    return rows.select("item_id", "group_id", "style", F.size("evidence").alias("evidence"), "missing", "titles", block.alias("block")).orderBy("group_id", "style", "item_id")
+
+
 def stale_items(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Extension: published items whose evidence has another snapshot now than when they were published."""
     resolved = resolve_refs(items.where("review_status = 'published'"), chunks)

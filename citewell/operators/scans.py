@@ -64,3 +64,38 @@ def fields(schema, prefix: str = "") -> list[str]:
 def forbidden(df: DataFrame, names: set[str]) -> list[str]:
     """Paths of fields, at any depth, whose name must not be shown."""
     return [p for p in fields(df.schema) if p.rpartition(".")[2] in names]
+
+
+def parse_list(text: str) -> list[tuple[int, int]]:
+    """Numbers and ranges such as `3, 7-12` as (first, last), in order; anything else is an error."""
+    out = []
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        low, dash, high = part.partition("-")
+        try:
+            out.append((int(low), int(high if dash else low)))
+        except ValueError:
+            raise ValueError(f"bad entry or range: {part!r}") from None
+    return sorted(out)
+
+
+def select_entries(entries: DataFrame, number: str, wanted: str = "", queue: Column | None = None) -> DataFrame:
+    """Entries in the order of their number: those of a list with ranges (a number that is missing is an error, one that
+    is asked for twice comes twice), else those in the queue, else all."""
+    if not wanted:
+        return (entries if queue is None else entries.where(queue)).orderBy(number)
+    asked = entries.sparkSession.createDataFrame(parse_list(wanted), "_lo long, _hi long").where("_lo <= _hi")
+    asked = asked.select(F.explode(F.sequence("_lo", "_hi")).alias("_n"))
+    missing = asked.join(entries.select(F.col(number).cast("long").alias("_n")), "_n", "left_anti").orderBy("_n").limit(5).collect()
+    if missing:
+        raise LookupError("no such entry: " + ", ".join(str(r[0]) for r in missing))
+    return entries.join(F.broadcast(asked), F.col(number) == F.col("_n")).drop("_n").orderBy(number)  # as long as the list
+
+
+def gated_group(chunks: DataFrame, group_id) -> DataFrame:
+    """The verified chunks of a group in the order (start, id)."""
+    return chunks.where((F.col("group_id") == group_id) & F.col("verified")).orderBy("start", "id")
+
+
+def pending_anchors(rows: DataFrame) -> DataFrame:
+    """One row: how many different anchors have something pending."""
+    return rows.where("review_status = 'pending'").agg(F.count_distinct("group_id", "anchor").alias("pending"))

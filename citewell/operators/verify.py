@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewell.functions import text as T
+
 from citewell.functions.text import content_hash, letter_key
 from citewell.operators.rules import is_placeholder
 
@@ -60,6 +62,21 @@ def set_hash(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFr
     return rows.groupBy(*keys).agg(content_hash(text).alias("set_hash"), F.count("*").alias("n"))
 
 
+def versioned_set_hash(rows: DataFrame, keys: list[str], order: str, value: str, version: str) -> DataFrame:
+    """set_hash with the version of the rows; keys whose rows have several versions (or none) get an error instead."""
+    seen = rows.groupBy(*keys).agg(F.count_distinct(version).alias("_kinds"), F.min(version).alias("version"), F.count_if(F.col(version).isNull()).alias("_none"))
+    error = F.when(F.col("_kinds") > 1, "mixed_versions").when((F.col("_kinds") == 0) | (F.col("_none") > 0), "no_version")
+    both = set_hash(rows, keys, order, value).join(seen, keys)
+    return both.select(*keys, F.when(error.isNull(), F.col("version")).alias("version"), F.when(error.isNull(), F.col("set_hash")).alias("set_hash"), "n", error.alias("error"))
+
+
+def anchor_integrity(subjects: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Subjects (group_id, anchor) whose anchor is not in the corpus or has no text there."""
+    own = anchors.select("group_id", "anchor", T.is_blank(F.col("text")).alias("_blank"))
+    problem = F.when(F.col("_blank").isNull(), "not_in_corpus").when(F.col("_blank"), "empty_text")
+    return subjects.select("group_id", "anchor").distinct().join(own, ["group_id", "anchor"], "left").withColumn("problem", problem).where("problem is not null").drop("_blank")
+
+
 def missing_of_grid(left: DataFrame, right: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     """Combinations of two dimension tables that no present row has.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.plans import maintenance, retrieval, texts  # noqa: E402
+from citewell.plans import inventory, maintenance, retrieval, texts
 
-MODULES: list = [texts, retrieval, maintenance]
+MODULES: list = [texts, retrieval, maintenance, inventory]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

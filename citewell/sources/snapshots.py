@@ -63,6 +63,21 @@ def digest_markdown(title: str, rows: DataFrame) -> str:
     return "\n".join([f"# {title}", "", "| anchor | run | coverage | verdict |", "| --- | --- | --- | --- |", *lines]) + "\n"
 
 
+def provenance_digest(title: str, header: dict[str, object], rows: DataFrame, wanted: str = "", min_run: int = 4) -> str:
+    """A review digest: provenance lines, the separator, counts by verdict, and the selected entries, weakest first.
+
+    rows: anchor, run, coverage, verdict. Without `wanted` the uncorroborated ones are shown. Below the separator
+    the text depends on the rows alone, so a check can compare bodies.
+    """
+    from citewell.operators.scans import select_entries
+
+    counts = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    chosen = select_entries(rows, "anchor", wanted, F.col("verdict") == "uncorroborated")
+    head = "".join(f"{k}: {header[k]}\n" for k in sorted(header))
+    tally = "".join(f"- {k}: {counts[k]}\n" for k in sorted(counts))
+    return f"{head}\n---\n{digest_markdown(title, chosen)}\nA run of {min_run} words corroborates.\n\n{tally}"
+
+
 def unchanged(path: str, text: str) -> bool:
     """Whether a file already holds exactly this text (the check mode of writers)."""
     try:

@@ -85,8 +85,8 @@ def test_coverage(spark, verse, passage, want):
 def test_coverage_plans_agree(spark):
     verses = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "tiny"), (3, "")], "verse_id int, text string")
     passages = spark.createDataFrame([(1, "see the quick brown fox jumps over"), (2, "a tiny thing"), (3, None), (4, "quick brown")], "passage_id int, text string")
-    joined = {tuple(r) for r in overlap.coverage_pairs(verses, passages, least=0.1).collect() if r["verse_id"] != 2}
-    indexed = {tuple(r) for r in overlap.coverage_pairs_indexed(verses, passages, least=0.1).collect() if r["verse_id"] != 2}
+    joined = {tuple(r) for r in overlap.coverage_pairs(verses, passages, least=0.1).collect()}
+    indexed = {tuple(r) for r in overlap.coverage_pairs_indexed(verses, passages, least=0.1).collect()}
     assert joined == indexed and joined
 
 
