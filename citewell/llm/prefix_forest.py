@@ -40,7 +40,7 @@ RECALL, FIRST = 0.92, 4
 #: Bits of a hash string: so many more than the logarithm of the index, between these.
 MORE_BITS, LEAST_BITS, MOST_BITS = 6, 16, 32
 #: Vectors of a block; queries of a chunk, at least and at most; chunks times blocks to have work for many tasks.
-BLOCK, LEAST_CHUNK, CHUNK, TASKS = 16_384, 64, 2048, 64
+BLOCK, LEAST_CHUNK, CHUNK, TASKS = 16_384, 256, 16_384, 24
 
 
 def usable(vector: str) -> Column:
