@@ -345,7 +345,8 @@ def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", **parameters) ->
     rows = near_duplicates(docs, doc_id, text, **parameters).groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_gone"))
     gone = keep(rows.agg(F.max(F.col("kept").cast("int")).alias("stays")).where("stays = 0").select("_gone"), "dedup-gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)) == F.col("_gone"), "left_anti")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_NO_ID)).alias("own"))
+    return held.join(F.broadcast(gone) if few else gone, F.col("own") == F.col("_gone"), "left_anti").select("doc.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

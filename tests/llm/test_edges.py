@@ -31,6 +31,98 @@ def test_awkward_rows(name, spark):
     assert rows
 
 
+def by_text(rows, docs, column):
+    """doc_id -> the set of values of a column, for ids that are not null."""
+    out = {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            out.setdefault(r["doc_id"], set()).add(r[column])
+    return out
+
+
+def test_defined_values_of_awkward_rows(spark):
+    """What the docstrings say about null, empty, equal and repeated texts."""
+    docs = awkward(spark)
+    mixed = mixing.mix(docs).collect()
+    sizes = by_text(mixed, docs, "size")
+    assert sizes[0] == sizes[1] == sizes[2] == sizes[99] == {0} and sizes[10] == {40_000} and sizes[4] == {12}
+    assert all(r["taken"] == 0 for r in mixed if r["size"] == 0) and all(r["taken"] <= 2 * r["size"] for r in mixed)
+    near = near_dedup.near_duplicates(docs).collect()
+    component, n = by_text(near, docs, "component_id"), by_text(near, docs, "n_shingles")
+    assert component[4] == component[5] == component[6] == component[7] == {4} and n[0] == n[1] == n[2] == {0} and n[3] == {1}
+    assert component[0] == {0} and component[1] == {1} and component[99] == {99}  # empty sets are linked with nothing
+    assert sum(r["kept"] for r in near if r["doc_id"] == 4) == 3  # repeated rows of the component's id
+    language_rows = language.predict(docs, language.learn(docs)).collect()
+    predicted, score = by_text(language_rows, docs, "lang_pred"), by_text(language_rows, docs, "score")
+    assert predicted[0] == predicted[1] == predicted[2] == {"und"} and score[0] == {0.0} and predicted[4] <= {"en", "fr"}
+    packed = packing.pack(docs).collect()
+    lengths = by_text(packed, docs, "length")
+    assert lengths[0] == lengths[1] == lengths[2] == lengths[99] == {1} and max(lengths[10]) == 2048
+    assert sum(r["doc_id"] == 4 for r in packed) == 3
+    prints = by_text(order_minhash.fingerprints(docs).collect(), docs, "fingerprint")
+    assert prints[0] == prints[1] == prints[99] == {"0" * 512} and prints[4] == prints[5] != prints[6]
+    lattice = by_text(lattice_lm.score(docs, F.col("doc_id") % 2 == 0).collect(), docs, "n_tokens")
+    assert lattice[0] == lattice[1] == {1} and lattice[3] == {2}
+    rated = by_text(quality.score(docs, fitted(docs)).collect(), docs, "score")
+    assert rated[0] == rated[1] == rated[99] and rated[4] == rated[5] and all(0 <= x <= 1 for v in rated.values() for x in v)
+
+
+def fitted(docs):
+    return quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+
+
+def test_columns_with_the_names_that_operators_use(spark):
+    names = ["_t", "_l", "_bits", "_tie", "_doc", "_q_chars", "_text", "own", "rules", "doc", "t", "tie", "_gone", "_row", "id"]
+    docs = spark.createDataFrame([(1, "secret: abcdefgh and more words", "s"), (2, "other words here", "s")], "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    kept = lambda df: [tuple(r[n] for n in names) for r in df.collect()]
+    want = tuple(f"own {n}" for n in names)
+    assert set(kept(secrets.scan(docs))) == set(kept(secrets.redacted(docs))) == set(kept(near_dedup.deduplicated(docs))) == set(kept(mixing.mixed_documents(docs))) == {want}
+    scored = quality.score(docs, quality.RuleEnsemble([], [], 0.0))
+    assert [r["_t"] for r in scored.collect()] == ["own _t"] * 2 and mixing.mix(docs).count() == 2
+
+
+def test_the_shared_folder_is_not_a_local_one_on_a_cluster(spark, monkeypatch):
+    from citewell.llm import common
+
+    class Conf:
+        def get(self, name, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                class Sc:
+                    def getCheckpointDir(self):  # noqa: N802
+                        class Nothing:
+                            def isDefined(self):  # noqa: N802
+                                return False
+
+                        return Nothing()
+
+                return Sc()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_scratch_deletes_all_but_results(spark):
+    import os
+
+    from citewell.llm import common
+
+    with common.scratch("result") as result:
+        inner = common.keep(spark.range(5), "inner").inputFiles()[0]
+        out = result(spark.range(7))
+    assert out.count() == 7 and not os.path.exists(inner.removeprefix("file://"))
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(name, spark):
     assert OPERATORS[name](awkward(spark).where("false")).collect() == []
