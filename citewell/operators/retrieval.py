@@ -43,15 +43,20 @@ def topk_in_group(queries: DataFrame, candidates: DataFrame, k: int = THEMATIC_K
     """query_id, chunk_id, score: the k candidates of the query's group with the largest cosine, ties to smaller ids.
 
     queries: query_id, group_id, v; candidates: chunk_id, group_id, v (arrays of numbers). Candidates are dealt into
-    blocks, queries go to all blocks of their group, and each block returns its best k, so pairs never become rows.
+    blocks and queries into portions of that size; each portion meets every block of its group, and each meeting returns
+    the best k, so pairs never become rows and no task holds more than about one portion and one block of a group.
     """
     sizes = candidates.groupBy("group_id").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    c = candidates.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")))
-    q = queries.join(sizes, "group_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    asked = queries.groupBy("group_id").agg(F.ceil(F.count("*") / block).cast("long").alias("portions"))
+    sizes = sizes.join(asked, "group_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    c = candidates.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks"))).withColumn("portion", every("portions"))
+    q = queries.join(sizes, "group_id").withColumn("portion", F.pmod(F.xxhash64("query_id"), F.col("portions"))).withColumn("block", every("blocks"))
     kinds = dict(queries.dtypes)["query_id"], dict(candidates.dtypes)["chunk_id"]
     # fresh columns: both sides may come from one table
-    q = q.select(*[F.col(x).alias(x) for x in ("group_id", "block", "query_id", "v")])
-    best = q.groupBy("group_id", "block").cogroup(c.select("group_id", "block", "chunk_id", "v").groupBy("group_id", "block"))
+    q = q.select(*[F.col(x).alias(x) for x in ("group_id", "portion", "block", "query_id", "v")])
+    meet = "group_id", "portion", "block"
+    best = q.groupBy(*meet).cogroup(c.select(*meet, "chunk_id", "v").groupBy(*meet))
     found = best.applyInPandas(partial(_best, k=k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

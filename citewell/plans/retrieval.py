@@ -112,13 +112,14 @@ _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS
 
 
 def _chain(spark, d):
-    """The table has no roles: a third of the ids is mapped, and only id % 20 = 11 (5 %) are verified thematic chunks."""
+    """The table has no roles: ids that 3 divides are mapped, every other vector is a thematic chunk; both have a verified flag."""
     e = driver_table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
     anchors = e.select(F.col("label").alias("group_id"), F.col("vec_id").cast("int").alias("anchor"), F.when(F.col("vec_id") % 41 != 0, F.col("v")).alias("v"))
     sizes = e.groupBy(F.col("label").alias("group_id")).agg((F.max("vec_id") + 2).alias("n"))
-    own = e.where((F.col("vec_id") % 3 == 0) & (F.col("vec_id") > 0))
+    mapped = (F.col("vec_id") % 3 == 0) & (F.col("vec_id") > 0)
+    own = e.where(mapped)
     mappings = own.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group_id"), F.col("vec_id").cast("int").alias("start"), (F.col("vec_id") + 1).cast("int").alias("end"), (F.col("vec_id") % 5 != 0).alias("verified"))
-    thematic = e.where(F.col("vec_id") % 10 == 1).select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group_id"), "v", (F.col("vec_id") % 4 != 1).alias("verified"))
+    thematic = e.where(~mapped).select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("group_id"), "v", (F.col("vec_id") % 4 != 1).alias("verified"))
     return R.evidence_chain(anchors, mappings, sizes, thematic, K)
 
 
@@ -130,7 +131,7 @@ def evidence_chain(spark, d):
 _CHAIN_SQL = f"""WITH {_E},
 x AS (SELECT a.label AS group_id, a.vec_id AS anchor, m.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.label, a.vec_id ORDER BY m.vec_id) AS rank FROM e a JOIN e m ON m.label = a.label AND m.vec_id % 3 = 0 AND m.vec_id > 0 AND m.vec_id % 5 <> 0 AND a.vec_id BETWEEN m.vec_id AND m.vec_id + 1),
 gaps AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.group_id = e.label AND x.anchor = e.vec_id)),
-s AS (SELECT q.label AS group_id, q.vec_id AS anchor, t.vec_id AS chunk_id, round(list_cosine_similarity(q.v, t.v), 12) AS sc FROM gaps q JOIN e t ON t.label = q.label AND t.vec_id % 10 = 1 AND t.vec_id % 4 <> 1 WHERE q.vec_id % 41 <> 0),
+s AS (SELECT q.label AS group_id, q.vec_id AS anchor, t.vec_id AS chunk_id, round(list_cosine_similarity(q.v, t.v), 12) AS sc FROM gaps q JOIN e t ON t.label = q.label AND NOT (t.vec_id % 3 = 0 AND t.vec_id > 0) AND t.vec_id % 4 <> 1 WHERE q.vec_id % 41 <> 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY group_id, anchor ORDER BY sc DESC, chunk_id) AS rank FROM s),
 chain AS (SELECT group_id, anchor, 'exact' AS tier, rank, chunk_id, -9.0::DOUBLE AS score FROM x
 UNION ALL SELECT group_id, anchor, 'thematic', rank, chunk_id, round(sc, 6) FROM k WHERE rank <= {K}

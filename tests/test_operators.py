@@ -214,3 +214,18 @@ def test_registry_checks(spark):
     files = spark.createDataFrame([("f", "other")], "path string, content_hash string")
     found = {(r[0], r[1]) for r in registry.registry_integrity(reg, ids("s"), ids("v", content_hash="h"), ids("d"), files).collect()}
     assert found == {("x", "no_source"), ("x", "no_version"), ("s", "hash_differs")}
+
+
+def test_topk_in_portions_and_blocks(spark):
+    vectors = [(i, 1 if i % 4 else 2, [float((i * 7) % 11 - 5), float((i * 3) % 13 - 6), 1.0]) for i in range(40)]
+    own = spark.createDataFrame(vectors, "chunk_id int, group_id int, v array<double>")
+    asked = own.where("chunk_id < 20 or group_id = 2").withColumnRenamed("chunk_id", "query_id")
+    few, one = (retrieval.topk_in_group(asked, own, 3, block=b).select("query_id", "rank", "chunk_id", "score") for b in (4, 4096))
+    assert sorted(few.collect()) == sorted(one.collect()) and few.count() == 3 * asked.count()
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    for i, group, v in vectors[:20]:
+        best = sorted((-round(cosine(v, w), 12), j) for j, other, w in vectors if other == group)[:3]
+        assert [r["chunk_id"] for r in few.where(F.col("query_id") == i).orderBy("rank").collect()] == [j for _, j in best]
