@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from citewell.functions import text as T
 
@@ -56,10 +57,50 @@ def extras(stored: DataFrame, group_sizes: DataFrame) -> DataFrame:
 
 
 def set_hash(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """keys, set_hash, n: sha256 over the lines order TAB value NEWLINE, in order. Versions are not looked at."""
-    lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    text = F.array_join(F.transform(lines, lambda x: F.concat(x["o"].cast("string"), F.lit("\t"), x["v"], F.lit("\n"))), "")
-    return rows.groupBy(*keys).agg(content_hash(text).alias("set_hash"), F.count("*").alias("n"))
+    """keys, set_hash, n: sha256 over the lines order TAB value NEWLINE, in order. Versions are not looked at.
+
+    Equal orders go by value. A row whose order or value is null gives no line but counts in n; a null key is a key.
+    One digest runs over a group's lines, so a group is one task's; its rows are sorted on disk where they are many and
+    stream through the digest, so no task holds a group.
+    """
+    line = F.concat(F.col("_o").cast("string"), F.lit("\t"), F.col("_v").cast("string"), F.lit("\n")).cast("binary")
+    dealt = rows.select(*keys, F.col(order).alias("_o"), F.col(value).alias("_v")).repartition(*keys).sortWithinPartitions(*keys, "_o", "_v")
+    fields = StructType([*rows.select(*keys).schema.fields, StructField("set_hash", StringType()), StructField("n", LongType())])
+    return dealt.select(*keys, line.alias("_line")).mapInArrow(_hash_runs, fields)
+
+
+def _hash_runs(batches):
+    """A row for each run of equal keys; the last column of a batch holds the lines."""
+    import hashlib
+
+    import pyarrow as pa
+
+    key, digest, n, kinds, names = None, hashlib.sha256(), 0, [], []
+
+    def rows_of(done):
+        columns = list(zip(*[(*k, h, c) for k, h, c in done], strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    for batch in batches:
+        done, lo = [], 0
+        kinds = [*batch.schema.types[:-1], pa.string(), pa.int64()]
+        names = [*batch.schema.names[:-1], "set_hash", "n"]
+        keys = list(zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True))
+        lines = batch.columns[-1].to_pylist()
+        while lo < len(keys):
+            hi = lo + 1
+            while hi < len(keys) and keys[hi] == keys[lo]:
+                hi += 1
+            if keys[lo] != key:
+                if key is not None:
+                    done.append((key, digest.hexdigest(), n))
+                key, digest, n = keys[lo], hashlib.sha256(), 0
+            digest.update(b"".join(x for x in lines[lo:hi] if x is not None))
+            n += hi - lo
+            lo = hi
+        yield rows_of(done)
+    if key is not None:
+        yield rows_of([(key, digest.hexdigest(), n)])
 
 
 def versioned_set_hash(rows: DataFrame, keys: list[str], order: str, value: str, version: str) -> DataFrame:

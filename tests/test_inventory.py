@@ -114,3 +114,28 @@ def test_a_failing_embedder_names_its_batch(spark):
 
     with pytest.raises(Exception, match="ids a to b: busy"):
         chunking.embed_batches(table, broken, "m", 2).collect()
+
+
+def test_set_hash_of_runs_nulls_ties_and_many_batches(spark):
+    import hashlib
+    from collections import defaultdict
+
+    rows = [(g, i % 900, f"v{i * 7919 % 1000}") for i in range(5000) for g in ("a", "b") if g == "a" or i % 5 == 0]
+    rows += [(None, 1, "x"), (None, None, "y"), ("c", 2, None), ("c", 10, "é"), ("c", 9, "e"), ("d", None, None)]
+    table = spark.createDataFrame(rows, "g string, n int, h string").repartition(7)
+    want = defaultdict(list)
+    for g, n, h in rows:
+        want[g].append((n, h))
+    plain = {}
+    for g, own in want.items():
+        lines = sorted(x for x in own if None not in x)
+        plain[g] = (hashlib.sha256("".join(f"{n}\t{h}\n" for n, h in lines).encode()).hexdigest(), len(own))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for records in ("10000", "700", "1"):  # a group in one batch, in several, in one a row
+        spark.conf.set(name, records)
+        try:
+            got = {r["g"]: (r["set_hash"], r["n"]) for r in verify.set_hash(table, ["g"], "n", "h").collect()}
+        finally:
+            spark.conf.unset(name)
+        assert got == plain
+    assert verify.set_hash(table.where("false"), ["g"], "n", "h").count() == 0
