@@ -13,7 +13,7 @@ from citewell.operators import coverage as C
 from citewell.operators import retrieval as R
 from citewell.operators import verify
 from citewell.plans.common import match_sql
-from citewell.sources.tables import driver_table
+from citewell.sources.tables import driver_table, text_table
 
 K = 5
 
@@ -191,7 +191,7 @@ ha AS (SELECT vec_id, array_to_string(list_filter([CASE WHEN len(now) <> 64 THEN
 
 def _texts(spark, d):
     verses = driver_table(spark, d, "benchmark").select(F.col("item_id").alias("verse_id"), "text")
-    return verses, driver_table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    return verses, text_table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "passage_id")
 
 
 def quote_coverage(spark, d, **parameters):

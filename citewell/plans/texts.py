@@ -9,7 +9,7 @@ from citewell.operators import chunking, ranking, rules, verify
 from citewell.plans.common import (
     clean_html_sql, letter_key_sql, lexical_sql, match_sql, paragraphs_sql, q, search_sql, trim_sql, words_sql,
 )
-from citewell.sources.tables import driver_table, size_of_group
+from citewell.sources.tables import driver_table, size_of_group, text_table
 
 CAP = 400
 
@@ -21,7 +21,7 @@ LITERALS = (
 
 
 def lexical_form(spark, d):
-    docs = driver_table(spark, d, "documents").select("doc_id", T.lexical_form(F.col("text")).alias("t"))
+    docs = text_table(spark, d, "documents", "doc_id", "text").select("doc_id", T.lexical_form(F.col("text")).alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_lex"), T.content_hash(F.col("t")).alias("sha_lex"), T.has_diacritics(F.col("t")).alias("marked"))
 
 
@@ -43,17 +43,17 @@ def _strip_sql(guard: str) -> str:
 
 
 def clean_html(spark, d):
-    pages = driver_table(spark, d, "pages").select("page_id", T.clean_html(F.col("html")).alias("t"))
+    pages = text_table(spark, d, "pages", "page_id", "html").select("page_id", T.clean_html(F.col("html")).alias("t"))
     return pages.select("page_id", F.length("t").cast("long").alias("n_chars"), T.content_hash(F.col("t")).alias("sha"))
 
 
 def html_paragraphs(spark, d):
-    pages = driver_table(spark, d, "pages").select("page_id", T.split_paragraphs(T.clean_html(F.col("html"))).alias("p"))
+    pages = text_table(spark, d, "pages", "page_id", "html").select("page_id", T.split_paragraphs(T.clean_html(F.col("html"))).alias("p"))
     return pages.select("page_id", F.size("p").cast("long").alias("n_paragraphs"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 def pack_words(spark, d):
-    docs = driver_table(spark, d, "documents").select("doc_id", T.pack_words_udf(CAP)(F.col("text")).alias("p"))
+    docs = text_table(spark, d, "documents", "doc_id", "text").select("doc_id", T.pack_words_udf(CAP)(F.col("text")).alias("p"))
     return docs.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).cast("long").alias("longest"), T.content_hash(F.array_join("p", "\x01")).alias("sha"))
 
 

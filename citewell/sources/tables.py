@@ -26,6 +26,26 @@ def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files that spread() moves at most: what a scan task reads by default.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table in fewer files than the session has cores, dealt over all cores.
+
+    A file of one row group is one task's, however many splits it has. Only a table of at most SPREAD_BYTES is moved
+    (checked), so the shuffle does not grow; any other table is returned as it is. Rows stay the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size > SPREAD_BYTES or len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a driver's table for work that takes long for each row."""
+    return spread(driver_table(spark, sf_dir, name).select(*columns))
+
+
 def read_json(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """A JSON array or one record a line; malformed input is an error, not a null row."""
     return spark.read.schema(SCHEMAS[entity]).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -152,3 +152,14 @@ def test_decode_output(spark):
 def test_request_body(spark):
     got = one(spark, rules.request_body(F.lit("brief"), F.array(F.lit("p"), F.lit("q"))))
     assert got == '{"system":"brief","evidence":"[1] p\\n[2] q"}'
+
+
+def test_small_tables_in_few_files_are_dealt_over_the_cores(spark, tmp_path):
+    from citewell.sources import tables
+
+    spark.range(500).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    spark.range(500).repartition(9).write.parquet(str(tmp_path / "many.parquet"))
+    one, many = (tables.text_table(spark, str(tmp_path), x, "id") for x in ("one", "many"))
+    assert "RoundRobinPartitioning" in one._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" not in many._jdf.queryExecution().toString()
+    assert sorted(r[0] for r in one.collect()) == sorted(r[0] for r in many.collect()) == list(range(500))
