@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citewell.operators.numbering import numbered
+
 
 def duplicate_index(df: DataFrame, keys: list[str], order: list[str], name: str = "dup") -> DataFrame:
     """Position, from 0, among rows with equal keys, in the given order."""
@@ -12,8 +14,8 @@ def duplicate_index(df: DataFrame, keys: list[str], order: list[str], name: str
 
 
 def batched(df: DataFrame, size: int, order: list[str], within: list[str] | None = None, name: str = "batch") -> DataFrame:
-    """Windows of `size` rows in order. Without `within` this numbers the whole table: use it for short lists."""
-    return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)) - 1) / size).cast("long"))
+    """Windows of `size` rows in order, over the table or within groups; numbered range by range, never in one task."""
+    return numbered(df, order, "_n", within).withColumn(name, F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 
 def bounded(df: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -22,10 +24,6 @@ def bounded(df: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, DataFra
     return df.orderBy(*order).limit(n), total
 
 
-def top_k(df: DataFrame, keys: list[str], k: int, order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
-
-
 def first_seen_distinct(values: Column, drop_empty: bool = False) -> Column:
     """Distinct elements in the order of their first occurrence."""
     kept = F.filter(values, lambda x: x != "") if drop_empty else values

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citewell.functions import text as T
 from citewell.operators import incremental as I
-from citewell.operators import ranking, registry, review, rules, scans, verify
+from citewell.operators import numbering, ranking, registry, review, rules, scans, verify
 from citewell.plans.common import letter_key_sql
 from citewell.sources.tables import driver_table
 
@@ -106,6 +106,12 @@ def batches(spark, d):
     return docs.groupBy("source").agg(F.count("*").alias("documents"), (F.max("batch") + 1).alias("last_batch"), ranking.planned_calls(F.count("*")).alias("calls"))
 
 
+def numbered_documents(spark, d):
+    """Every document's number in the order of source and id, and its window of 32."""
+    docs = driver_table(spark, d, "documents").select("doc_id", "source")
+    return numbering.numbered(docs, ["source", "doc_id"], "number").withColumn("batch", F.floor(F.col("number") / 32).cast("long"))
+
+
 def missing_grid(spark, d):
     """Nations and market segments without a customer above a balance."""
     customers = driver_table(spark, d, "customer")
@@ -233,7 +239,7 @@ def reader_page(spark, d):
 
 
 _NAMES = (
-    "group_scan point_lookup ordered_list narrowed delta_plan upsert_prune vector_upsert undecided_upsert approval_gate latest_status duplicate_keys batches missing_grid grid_audit "
+    "group_scan point_lookup ordered_list narrowed delta_plan upsert_prune vector_upsert undecided_upsert approval_gate latest_status duplicate_keys batches numbered_documents missing_grid grid_audit "
     "pin_resolution attribution review_queue cited_problems range_text decision_fold final_decisions introduction_state rerun_policy attempt_outcomes cross_source_verify verification_tally reader_page"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -264,6 +270,7 @@ ORACLES = {
     "latest_status": "SELECT user_id, event_type AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "batches": "SELECT source, count(*) AS documents, CAST(floor((count(*) - 1) / 32) + 1 AS BIGINT) AS last_batch, CAST(ceil(count(*) / 32.0) AS BIGINT) AS calls FROM documents GROUP BY source",
+    "numbered_documents": "SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) - 1 AS number, CAST(floor((row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST) - 1) / 32) AS BIGINT) AS batch FROM documents",
     "missing_grid": "SELECT n_nationkey, segment FROM nation, (SELECT DISTINCT c_mktsegment AS segment FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000",
     "grid_audit": "WITH h AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n, count(*) FILTER (WHERE contains(lower(url), 'example.com') OR contains(lower(url), 'placeholder') OR contains(lower(url), 'localhost')) AS p FROM pages GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum(p) AS BIGINT) AS placeholders FROM h",
     "pin_resolution": """WITH docs AS (SELECT doc_id, source || '-' || lang AS source, text FROM documents), v AS (SELECT 'v' || doc_id AS id, source, CASE WHEN doc_id % 5 <> 0 THEN sha256(text) ELSE '' END AS h FROM docs WHERE doc_id % 17 = 3),
