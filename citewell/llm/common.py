@@ -51,7 +51,10 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end."""
+    """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end.
+
+    The function's step(df, name) is keep() by a shorter way: a table that goes.
+    """
     first, results = len(_written), []
 
     def result(df: DataFrame) -> DataFrame:
@@ -59,6 +62,7 @@ def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
         results.append(_written[-1])
         return out
 
+    result.step = keep
     try:
         yield result
     finally:
