@@ -2,74 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewell.sources.shared import keep, scratch, shared_dir  # noqa: F401  operators take them from here
+
 #: One or more characters that are not ASCII white space: what counts as a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a local session gets a temporary folder; a cluster has none that its executors share, so
-    that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if context.isDefined():
-        return context.get().rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citewell-"))
-    return shared_dir(spark)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors.
-
-    The table stays until its scratch() block ends, or else until Python does.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citewell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end.
-
-    The function's step(df, name) is keep() by a shorter way: a table that goes.
-    """
-    first, results = len(_written), []
-
-    def result(df: DataFrame) -> DataFrame:
-        out = keep(df, name)
-        results.append(_written[-1])
-        return out
-
-    result.step = keep
-    try:
-        yield result
-    finally:
-        _delete([x for x in _written[first:] if x not in results])
-        _written[first:] = results
-
-
 #: Rows of an Arrow batch where rows hold whole texts; the session's default of 10,000 puts no bound on its bytes.
 TEXTS_A_BATCH = 1024
 #: Characters of texts that a task works on at once, about; a longer text is alone.
@@ -112,21 +54,6 @@ def release() -> None:
         return
 
 
-def _delete(written: list[tuple[SparkSession, str]]) -> None:
-    """Deletes tables; one that cannot be deleted (its session has ended) does not keep the others."""
-    for spark, path in written:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001, S112  the folder's owner clears it
-            continue
-
-
-@atexit.register
-def _sweep() -> None:
-    _delete(_written)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from citewell.llm import fixity, mixing, near_dedup, secrets
+from citewell.llm import conversations, fixity, mixing, near_dedup, secrets, vector_codes
 from citewell.llm.common import WORD
 
 _SPACE = WORD.replace("[^", "[")
@@ -59,4 +59,4 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_audit": fixity.ORACLE, "op2_fair_mix": fair_mix(), "op6_trigram_secrets": secret_spans(), "op9_odd_sketch": near_duplicates()}
+    return {"op1_merkle_audit": fixity.ORACLE, "op2_fair_mix": fair_mix(), "op6_trigram_secrets": secret_spans(), "op9_odd_sketch": near_duplicates(), "op12_role_repair": conversations.oracle(), "op13_part_codes": vector_codes.oracle()}

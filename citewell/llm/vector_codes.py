@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import scratch, table
+from citewell.llm.common import keep, scratch, table
 
 #: Parts of a vector, entries of a codebook, rounds, and the factor that turns components into integers.
 PARTS, ENTRIES, ROUNDS, FACTOR = 8, 16, 6, 4096
@@ -186,7 +186,7 @@ def encode(vectors: DataFrame, vec_id="vec_id", vector="embedding", label="label
     schema = "vec_id long, code string, error long, label_error long, codebooks_sha256 string"
     with scratch("codes") as result:
         given = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
-        ints = result.step(given.mapInArrow(partial(_integers, parts=parts, factor=factor), f"id long, label {kind}, v array<int>"), "integers")
+        ints = keep(given.mapInArrow(partial(_integers, parts=parts, factor=factor), f"id long, label {kind}, v array<int>"), "integers")
         first = ints.orderBy(F.col("id").asc_nulls_last(), "v").select("v").limit(1).collect()
         if not first:
             return result(spark.createDataFrame([], schema))
@@ -196,7 +196,7 @@ def encode(vectors: DataFrame, vec_id="vec_id", vector="embedding", label="label
         books = fit(ints, np.array([r["v"] for r in start], np.int64).reshape(len(start), parts, -1), parts, rounds)
         digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
         trees = spark.sparkContext.broadcast([KdTree(b) for b in books])
-        coded = result.step(ints.mapInArrow(partial(_codes, trees=trees), f"id long, label {kind}, code string, error long"), "coded")
+        coded = keep(ints.mapInArrow(partial(_codes, trees=trees), f"id long, label {kind}, code string, error long"), "coded")
         longest = F.lit(2**63 - 1).cast("decimal(38,0)")
         totals = coded.groupBy(F.col("label").alias("_label")).agg(F.least(F.sum(F.col("error").cast("decimal(38,0)")), longest).cast("long").alias("label_error"))
         joined = coded.join(totals, F.col("label").eqNullSafe(F.col("_label")))
