@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from citewell.llm import conversations, fixity, language, lattice_lm, mixing, near_dedup, oracles, order_minhash, packing, prefix_forest, quality, secrets, vector_codes
+from citewell.llm import conversations, fixity, language, lattice_lm, main_text, mixing, near_dedup, oracles, order_minhash, packing, prefix_forest, quality, secrets, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rule_ensemble": quality.op8,
         "op9_odd_sketch": near_dedup.op9,
         "op10_bin_completion": packing.op10,
+        "op11_best_stretch": main_text.op11,
         "op12_role_repair": conversations.op12,
         "op13_part_codes": vector_codes.op13,
         "pipeline": corpus_pipeline.run,
