@@ -44,7 +44,7 @@ def document_violations(documents: DataFrame) -> DataFrame:
     An empty section is skipped; one of white space only is an error; a document needs one section with text.
     """
     blank = lambda c: T.is_blank(F.col(c))
-    texts = F.transform(F.coalesce("sections", F.array().cast("array<struct<text:string>>")), lambda s: F.coalesce(s["text"], F.lit("")))
+    texts = F.coalesce(F.transform("sections", lambda s: F.coalesce(s["text"], F.lit(""))), F.array().cast("array<string>"))
     white = F.exists(texts, lambda t: (t != "") & (T.trim_unicode(t) == ""))
     some = F.exists(texts, lambda t: T.trim_unicode(t) != "")
     found = F.array(

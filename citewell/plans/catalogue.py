@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citewell.plans import inventory, maintenance, retrieval, texts
+from citewell.plans import inventory, maintenance, retrieval, runs, texts
 
-MODULES: list = [texts, retrieval, maintenance, inventory]
+MODULES: list = [texts, retrieval, maintenance, inventory, runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

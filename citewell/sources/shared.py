@@ -44,6 +44,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own for tables, which goes as those of keep() do."""
+    path = f"{shared_dir(spark)}/citewell-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 @contextmanager
 def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end."""
