@@ -38,8 +38,8 @@ def chunk_violations() -> Column:
     )
 
 
-def document_violations(documents: DataFrame) -> DataFrame:
-    """document_id, violations: of documents with an array of sections (ordinal, text, ...).
+def document_violations(documents: DataFrame, *more) -> DataFrame:
+    """document_id, violations (and more columns, if asked for): of documents with an array of sections (ordinal, text, ...).
 
     An empty section is skipped; one of white space only is an error; a document needs one section with text.
     """
@@ -53,7 +53,7 @@ def document_violations(documents: DataFrame) -> DataFrame:
         F.when(white, "section of white space"),
         F.when(~some, "no section with text"),
     )
-    return documents.select(F.col("id").alias("document_id"), F.array_compact(found).alias("violations"))
+    return documents.select(F.col("id").alias("document_id"), F.array_compact(found).alias("violations"), *more)
 
 
 def enforce(violations: DataFrame, what: str) -> None:
@@ -64,29 +64,34 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: " + "; ".join(f"{r[0]}: {', '.join(r['violations'])}" for r in first))
 
 
-def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False, pack=None) -> DataFrame:
+def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False, pack=None, also: list[str] | None = None) -> DataFrame:
     """Chunks of sections, one row a piece.
 
     sections: document_id, group_id (0 or null: doc_group_id counts), doc_group_id, source_id, source_version, ordinal,
     start, end, mapping_type, text. Text is split at blank lines, pieces over the cap are packed by words. Sections
     without pieces vanish. A section that gives several pieces is their parent. Equal pieces at equal anchors are told
     apart by a running number in document order. legacy leaves the document out of the identity. pack: another packer
-    (text column -> array column), e.g. text.pack_words_udf(cap) for very long paragraphs.
+    (text column -> array column), e.g. text.pack_words_udf(cap) for very long paragraphs. also: columns of sections that
+    chunks carry too.
+
+    One shuffle, of pieces; no piece carries its section's or paragraph's text.
     """
     packer = pack or (lambda t: T.pack_words(t, cap))
     group = F.when(F.coalesce("group_id", F.lit(0)) > 0, F.col("group_id")).otherwise(F.col("doc_group_id"))
-    paragraphs = sections.withColumn("group_id", group).select("*", F.posexplode(T.split_paragraphs(F.col("text"))).alias("_p", "_paragraph"))
-    pieces = paragraphs.select("*", F.posexplode(packer(F.col("_paragraph"))).alias("_q", "piece"))
-    section = Window.partitionBy("document_id", "ordinal")
-    pieces = pieces.withColumn("_n", F.count("*").over(section)).withColumn("content_hash", T.content_hash(F.col("piece")))
+    own = ["document_id", "source_id", "source_version", "ordinal", "start", "end", "mapping_type", *(also or [])]
+    split = sections.select(*own, group.alias("group_id"), T.content_hash(F.col("text")).alias("_whole"), T.split_paragraphs(F.col("text")).alias("_ps"))
+    own += ["group_id", "_whole"]
+    paragraphs = split.select(*own, (F.size("_ps") > 1).alias("_many"), F.posexplode("_ps").alias("_p", "_paragraph"))
+    packed = paragraphs.select(*own, "_many", "_p", packer(F.col("_paragraph")).alias("_qs"))
+    pieces = packed.select(*own, (F.col("_many") | (F.size("_qs") > 1)).alias("_many"), "_p", F.posexplode("_qs").alias("_q", "piece")).withColumn("content_hash", T.content_hash(F.col("piece")))
     key = ["document_id", "group_id", "start", "end", "mapping_type", "content_hash"]
     numbered = pieces.withColumn("dup", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "_p", "_q")) - 1)
     document = None if legacy else F.col("document_id")
     ident = lambda h, dup: T.chunk_id(F.col("source_id"), F.col("source_version"), F.col("start"), F.col("end"), F.col("mapping_type"), h, dup, document)
-    parent = F.when(F.col("_n") > 1, ident(T.content_hash(F.col("text")), F.lit(0)))
+    parent = F.when(F.col("_many"), ident(F.col("_whole"), F.lit(0)))
     return numbered.select(
         ident(F.col("content_hash"), F.col("dup")).alias("id"), "document_id", parent.alias("parent_chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type",
-        F.col("piece").alias("text"), T.lexical_form(F.col("piece")).alias("text_normalized"), "content_hash", "dup", "ordinal", F.col("_p").alias("paragraph"), F.col("_q").alias("part"),
+        F.col("piece").alias("text"), T.lexical_form(F.col("piece")).alias("text_normalized"), "content_hash", "dup", "ordinal", F.col("_p").alias("paragraph"), F.col("_q").alias("part"), *(also or []),
     )
 
 
@@ -155,6 +160,7 @@ def embed_batches(chunks: DataFrame, embedder, model: str, width: int) -> DataFr
     """id, embedding, model: texts go to embedder(list of texts) in Arrow batches; all of them or an error.
 
     A wrong count or width is an error, and so is what the embedder raises; the message names the ids of the batch.
+    operators.embedding numbers batches over the whole input and checks every vector.
     """
     import pandas as pd
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from citewell.functions.vectors import NORM_TOLERANCE
 from citewell.operators.numbering import numbered
@@ -64,28 +65,28 @@ def _batch(frame: pd.DataFrame, embedder: Embedder, width: int, attempts: int, b
         error = f"got {len(vectors)} vectors for {len(frame)} texts"
     if error is None:
         error = next((f"{i}: {x}" for i, v in zip(frame["id"], vectors, strict=True) if (x := vector_error(v, width))), None)
-    return pd.DataFrame({"id": frame["id"], "n": frame["n"], "batch": frame["batch"], "embedding": vectors if error is None else None, "attempts": done, "error": error})
+    return frame.assign(embedding=vectors if error is None else None, attempts=done, error=error)
 
 
 def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5) -> DataFrame:
-    """id, n, batch, embedding, attempts, error: a table of what every batch of rows (id, text, order) gave.
+    """rows (id, text, any others) with n, batch, embedding, attempts, error: a table of what every batch gave.
 
     A batch either has a vector for each row or an error for each. An empty table gives no rows.
     """
-    own = numbered(rows.select("id", "text", *[c for c in order if c not in ("id", "text")]), order, "n").select("id", "text", "n", F.floor(F.col("n") / batch).cast("long").alias("batch"))
-    kind = dict(rows.dtypes)["id"]
+    own = numbered(rows, order, "n").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return _batch(frame, embedder, width, attempts, backoff)
 
-    return keep(own.groupBy("batch").applyInPandas(run, f"id {kind}, n long, batch long, embedding array<double>, attempts int, error string"), "embedded")
+    schema = StructType([*own.schema, *StructType.fromDDL("embedding array<double>, attempts int, error string")])
+    return keep(own.groupBy("batch").applyInPandas(run, schema), "embedded")
 
 
 def embedded(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5) -> DataFrame:
-    """id, embedding of every row, or the BatchError of the first range that failed."""
+    """rows with column embedding, or the BatchError of the first range that failed."""
     out = embedded_rows(rows, embedder, width, order, batch, attempts, backoff)
     bad = out.where("error is not null").groupBy("batch").agg(F.min("n").alias("start"), (F.max("n") + 1).alias("end"), F.max("attempts").alias("attempts"), F.max("error").alias("error"))
     first = bad.orderBy("batch").limit(1).collect()
     if first:
         raise BatchError(first[0]["start"], first[0]["end"], first[0]["attempts"], first[0]["error"])
-    return out.select("id", "embedding")
+    return out.select(*rows.columns, "embedding")

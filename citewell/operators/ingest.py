@@ -52,19 +52,19 @@ def pinned(documents: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def check_documents(documents: DataFrame) -> None:
-    """Raises with the first documents that break a rule: their own rules, the pinned version, a group."""
-    own = chunking.document_violations(documents)
-    more = documents.select(F.col("id").alias("document_id"), F.array_compact(F.array(F.when(F.col("_other"), "source_version is not the pinned one"), F.when(F.coalesce("group_id", F.lit(0)) < 1, "group_id below 1"))).alias("_more"))
-    both = own.join(more, own["document_id"].eqNullSafe(more["document_id"])).select(own["document_id"], F.concat("violations", "_more").alias("violations"))
-    chunking.enforce(both, "documents")
+def document_facts(documents: DataFrame) -> DataFrame:
+    """document_id, source_id, source_version, usable, violations of pinned documents: their own rules, the pin, a group."""
+    more = F.array_compact(F.array(F.when(F.col("_other"), "source_version is not the pinned one"), F.when(F.coalesce("group_id", F.lit(0)) < 1, "group_id below 1")))
+    own = chunking.document_violations(documents, "source_id", "source_version", "usable", more.alias("_more"))
+    return own.select("document_id", "source_id", "source_version", "usable", F.concat("violations", "_more").alias("violations"))
 
 
 def chunks_of(documents: DataFrame, model: str, cap: int) -> DataFrame:
     """Chunks of pinned documents, with all that a stored chunk carries but its vector, and their order."""
-    facts = documents.select(F.col("id").alias("document_id"), "language", "content_type", "authority_tier", "source_version_hash")
-    sections = documents.select(F.col("id").alias("document_id"), F.col("group_id").alias("doc_group_id"), "source_id", "source_version", F.explode("sections").alias("s")).select("document_id", "doc_group_id", "source_id", "source_version", "s.*")
-    built = chunking.build_chunks(sections, cap, pack=T.pack_words_udf(cap)).join(facts, "document_id")
+    also = ["language", "content_type", "authority_tier", "source_version_hash"]
+    sections = documents.select(F.col("id").alias("document_id"), F.col("group_id").alias("doc_group_id"), "source_id", "source_version", *also, F.explode("sections").alias("s"))
+    sections = sections.select("document_id", "doc_group_id", "source_id", "source_version", *also, "s.*")
+    built = chunking.build_chunks(sections, cap, pack=T.pack_words_udf(cap), also=also)
     return built.withColumns({"review_status": F.lit("pending"), "model": F.lit(model)})
 
 
@@ -78,40 +78,40 @@ def ingest(commits: K.Commits, documents: DataFrame, sources: DataFrame, embedde
     """
     base = commits.state()[0]
     with scratch("ingest"):
-        known = keep(pinned(documents, sources), "pinned")
-        refused = [r[0] for r in known.where("not usable").select("source_id").distinct().orderBy("source_id").limit(5).collect()]
+        known = pinned(documents, sources)
+        facts = keep(document_facts(known), "facts")  # no texts
+        refused = [r[0] for r in facts.where("not usable").select("source_id").distinct().orderBy("source_id").limit(5).collect()]
         if refused and not (preview and dry_run):
             raise Refused(f"sources not approved: {', '.join(map(str, refused))}")
-        check_documents(known)
+        chunking.enforce(facts.select("document_id", "violations"), "documents")
         counts = Observation()
         keys = ["id"]
-        built = keep(chunks_of(known, model, cap), "chunks")
-        chunking.enforce(built.select("id", complete_chunk_violations().alias("violations")), "chunks")
-        size = commits.buckets("chunks", buckets)
-        stored = commits.read("chunks", CHUNKS, K.touched_buckets(built, keys, size), base)
+        built = chunks_of(known, model, cap)
+        stored = commits.read("chunks", CHUNKS, number=base)
         state = F.when(F.col("_model") == F.col("model"), "reuse").otherwise("embed")
         planned = built.join(stored.select("id", F.col("model").alias("_model")), "id", "left").withColumn("state", state).drop("_model")
         planned = planned.observe(counts, F.count("*").alias("total"), F.count_if(F.col("state") == "reuse").alias("reused"))
         planned = keep(planned, "planned")
+        chunking.enforce(planned.select("id", complete_chunk_violations().alias("violations")), "chunks")
         report = {k: int(v) for k, v in counts.get.items()}
         report |= {"pending": report["total"] - report["reused"], "calls": -(-(report["total"] - report["reused"]) // batch), "written": 0, "mapped": 0, "deleted": 0, "deleted_mappings": 0, "commit": base}
         if dry_run or not report["total"]:
             return report
-        own = known.select("source_id", "source_version").distinct()
+        own = facts.select("source_id", "source_version").distinct()
         pending = planned.where("state = 'embed'")
         if report["pending"]:
             if embedder is None:
                 raise ValueError("no embedder; only a dry run can do without one")
             try:
-                vectors = embedding.embedded(pending, embedder, width, ORDER, batch, attempts, backoff)
+                full = embedding.embedded(pending, embedder, width, ORDER, batch, attempts, backoff)
             except embedding.BatchError:
                 commits.commit(base, [_status(commits, own, "failed", now, base)])
                 raise
-            full = pending.join(vectors, "id").withColumn("embedding_hash", embedding_hash_udf()(F.col("model"), F.col("embedding")))
+            full = full.withColumn("embedding_hash", embedding_hash_udf()(F.col("model"), F.col("embedding")))
         else:
             full = pending.withColumns({"embedding": F.lit(None).cast("array<double>"), "embedding_hash": F.lit(None).cast("string")})
         values = [c.split()[0] for c in CHUNKS.split(", ")][:-2]
-        full = keep(full.select(*values), "full")
+        full = full.select(*values)
         maps = planned.select(F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type")
         before = commits.read("mappings", MAPPINGS, number=base).select("chunk_id", "source_id", "source_version", "group_id", "start", "end", "mapping_type")
         changed = keep(maps.exceptAll(before), "maps")  # one that was lost comes back too
