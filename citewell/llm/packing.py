@@ -4,9 +4,10 @@ A sequence is decided by the lengths in it, and there are at most `max_tokens` l
 the histogram of lengths: its size does not depend on the number of documents. Best-fit decreasing gives the
 incumbent. Bins are then completed around the largest remaining length: its undominated fillings are enumerated,
 fullest first, each used as often as the histogram allows, and branches are pruned by a waste bound. All
-pieces are decided by this search. It ends where the bound is reached or the tree is exhausted (the optimum), or
-after STEPS steps with the best packing found, never a worse one than best-fit decreasing. Then every piece takes
-the place that its rank among the pieces of its length stands for.
+pieces are decided by this search. Its first descent always reaches a whole packing; what is left of `steps` goes into
+the branches from its end upwards. It ends where the bound is reached or the tree is exhausted (the optimum), or after
+the steps with the best packing found, never a worse one than best-fit decreasing. Then every piece takes the place
+that its rank among the pieces of its length stands for.
 
 Scale: the text is read once. Pieces (a few numbers each, no text) are written to the shared folder; the
 histogram has one row a length. Ranks within a length come from counts over hash slices plus a window inside
@@ -30,8 +31,10 @@ from citewell.llm.shingles import span_hashes
 
 MAX_TOKENS = 2048
 END_ID = 0
-#: Steps that the search may take (about a second); beyond them its best solution so far stands.
+#: Steps that the search may take after its first descent (about two seconds); beyond them its best solution stands.
 STEPS = 500_000
+#: Dominated fillings that the first descent passes over before it takes the fullest one as it is.
+PASSED = 64
 #: Rows of one window, about.
 ROWS_A_SLICE = 2_000
 #: A worker remembers up to half of 2^CACHE_BITS units and CACHE_IDS of their ids, then starts anew.
@@ -321,19 +324,22 @@ def _smeared(bits: int, by: int) -> int:
     return bits
 
 
-def fillings(counts: dict[int, int], room: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+def fillings(counts: dict[int, int], room: int, budget: Budget, after: tuple[int, ...] | None = None, every: bool = False) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of a room, the fullest first, those of few large pieces first; lazily.
 
     For each piece, largest first, the sums that it and all smaller ones reach are bits of a number. So every branch
     of the enumeration ends in a filling, and the work between two fillings is bounded by the number of lengths. It
-    ends early only where the budget ends.
+    ends early only where the budget ends. after: only what comes after this filling in that order; every: dominated
+    fillings too. counts must not change while the enumeration goes on.
     """
-    if counts.get(room):
-        yield (room,)  # the only undominated filling: it can stand for any other
+    if counts.get(room) and not every:
+        if after is None:
+            yield (room,)  # the only undominated filling: it can stand for any other
         return
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     if not lengths:
-        yield ()
+        if after is None:
+            yield ()
         return
     mask, reach = (1 << (room + 1)) - 1, [1]
     for x in reversed(lengths):
@@ -347,14 +353,17 @@ def fillings(counts: dict[int, int], room: int, budget: Budget) -> Iterator[tupl
     reach.reverse()  # reach[i]: sums of lengths[i:]
     if not budget.spend(2 * len(lengths)):
         return
-    sums = reach[0]
+    last = None if after is None else sum(after)
+    sums = reach[0] if last is None else reach[0] & ((1 << (last + 1)) - 1)
     while sums > 1:
         target = sums.bit_length() - 1
         sums ^= 1 << target
         for found in _exactly(target, lengths, counts, reach, budget):
             if not budget.spend(4 + len(found)):
                 return
-            if not dominated(found, counts, room):
+            if target == last and found >= after:
+                continue
+            if every or not dominated(found, counts, room):
                 yield found
 
 
@@ -378,6 +387,34 @@ def _exactly(target: int, lengths: list[int], counts: dict[int, int], reach: lis
         yield chosen
 
 
+def descend(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """One whole packing: the bin of the largest piece gets the fullest undominated filling, as often as there is enough.
+
+    Where the PASSED fullest fillings are all dominated, the fullest one is taken, so the work at a bin is bounded.
+    """
+    rest, out = dict(counts), []
+    while rest:
+        largest = max(rest)
+        _put(rest, ((largest, 1),), -1)
+        room, free = capacity - largest, Budget(1 << 62)
+        found = next((f for f in islice(fillings(rest, room, free, every=True), PASSED) if not dominated(f, rest, room)), None)
+        if found is None:
+            found = next(fillings(rest, room, free, every=True))
+        _put(rest, ((largest, 1),), 1)
+        pattern = _pattern((largest, *found))
+        times = min(rest[x] // k for x, k in pattern)
+        _put(rest, pattern, -times)
+        out.append((pattern, times))
+    return out
+
+
+def _put(rest: dict[int, int], pattern: Pattern, times: int) -> None:
+    for x, k in pattern:
+        rest[x] = rest.get(x, 0) + k * times
+        if not rest[x]:
+            del rest[x]
+
+
 def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Pattern, int]], steps: int = STEPS) -> list[tuple[Pattern, int]]:
     """Bin completion by branch and bound over the whole histogram, from the incumbent on.
 
@@ -385,57 +422,68 @@ def complete(counts: dict[int, int], capacity: int, incumbent: list[tuple[Patter
     histogram allows at once, and taken back one bin at a time, so the tree is the one of single bins. A branch is
     left where the bins used and the bound of the rest reach the best solution. The search ends with the
     optimum if it reaches the bound of the whole or has no branch left, else after `steps`, with the best found.
+    The steps count from the end of the first descent on, which is the packing that descend() gives.
     """
-    rest = dict(counts)
     best, fewest, floor = incumbent, sum(t for _, t in incumbent), least_bins(counts, capacity)
+    if fewest <= floor:
+        return best
+    first = descend(counts, capacity)
+    if (n := sum(t for _, t in first)) < fewest:
+        best, fewest = first, n
     budget = Budget(steps)
-    volume = sum(x * n for x, n in counts.items())
-    frames: list[list] = []  # [pattern, times, how many fillings of that bin were tried, the pattern's volume]
-    used, tried, visits = 0, 0, 0
-
-    def put(pattern: Pattern, times: int) -> None:
-        for x, k in pattern:
-            rest[x] = rest.get(x, 0) + k * times
-            if not rest[x]:
-                del rest[x]
+    rest: dict[int, int] = {}
+    # a bin: its pattern, how often it stands, its volume, and the enumeration that goes on when all of them are taken back
+    frames: list[list] = [[p, t, sum(x * k for x, k in p), None] for p, t in first]
+    used, volume, visits = sum(t for _, t in first), 0, 0
+    going: Iterator[tuple[int, ...]] | None = iter(())  # the first descent is done: go back at once
 
     while fewest > floor and budget.left > 0:
-        # at a node: fillings of the next bin from number `tried` on
+        # at a node: fillings of the next bin, from `going` on (None: all of them)
         visits += 1
         open_ = used + -(-volume // capacity) < fewest
-        if open_ and rest and (tried or visits % 16 == 0 or len(rest) <= 64):
+        if open_ and rest and (going is not None or visits % 16 == 0 or len(rest) <= 64):
             budget.spend(len(rest))
             open_ = used + least_bins(rest, capacity) < fewest
         if not rest:
             if used < fewest:
-                best, fewest = [(p, t) for p, t, _, _ in frames], used
+                best, fewest = [(f[0], f[1]) for f in frames], used
             open_ = False
-        pattern = None
+        found = None
         if open_:
             largest = max(rest)
-            put(((largest, 1),), -1)
-            found = next(islice(fillings(rest, capacity - largest, budget), tried, None), None)
-            put(((largest, 1),), 1)
-            if found is not None:
-                pattern = _pattern((largest, *found))
-        if pattern is not None:
+            if going is None:
+                going = _fillings_around(largest, rest, capacity, budget)
+            found = next(going, None)
+        if found is not None:
+            pattern = _pattern((largest, *found))
             times = min(rest[x] // k for x, k in pattern)
             each = sum(x * k for x, k in pattern)
-            put(pattern, -times)
-            frames.append([pattern, times, tried, each])
-            used, volume, tried = used + times, volume - times * each, 0
+            _put(rest, pattern, -times)
+            frames.append([pattern, times, each, going])
+            used, volume, going = used + times, volume - times * each, None
             continue
         if not frames:
             break
         last = frames[-1]  # take one bin back and go on with its next filling
-        put(last[0], 1)
-        used, volume, tried = used - 1, volume + last[3], last[2] + 1
+        _put(rest, last[0], 1)
+        used, volume = used - 1, volume + last[2]
         last[1] -= 1
+        going = last[3] if not last[1] else None
+        if going is None:  # other counts than when it was first filled
+            largest = last[0][0][0]
+            tail = [x for x, k in last[0] for _ in range(k)][1:]
+            going = _fillings_around(largest, rest, capacity, budget, tuple(tail))
         if not last[1]:
             frames.pop()
     return best
 
 
+def _fillings_around(largest: int, rest: dict[int, int], capacity: int, budget: Budget, after: tuple[int, ...] | None = None) -> Iterator[tuple[int, ...]]:
+    counts = dict(rest)
+    _put(counts, ((largest, 1),), -1)
+    return fillings(counts, capacity - largest, budget, after)
+
+
 def solve(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; together they hold every piece of the histogram exactly once."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
@@ -481,15 +529,17 @@ def _place(batches, places: dict[str, np.ndarray]):
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[k] for k in kept), "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False) -> DataFrame:
+def pack(docs: DataFrame, doc_id="doc_id", text="text", tokenizer=None, max_tokens=MAX_TOKENS, end_id=END_ID, with_ids=False, steps=STEPS) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
+    steps: how long the search goes on after its first descent.
+
     Null and empty texts are documents of the end id alone. Repeated rows are packed as often as they occur.
     A null doc_id stays null. An empty table gives no rows. Other columns are not read.
     """
     pieces = keep(tokenized_pieces(docs, doc_id, text, tokenizer, max_tokens, end_id, with_ids), "pack-pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most max_tokens rows
-    places = _places(solve({r[0]: r[1] for r in histogram}, max_tokens))
+    places = _places(solve({r[0]: r[1] for r in histogram}, max_tokens, steps))
     slices = max(1, -(-sum(r[1] for r in histogram) // ROWS_A_SLICE))
     dealt = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)))
     sums = dealt.groupBy("length", "slice").agg(F.count("*").alias("n"))
