@@ -11,7 +11,7 @@ from citewell.functions import overlap
 from citewell.functions.vectors import embedding_hash_udf
 from citewell.operators import coverage as C
 from citewell.operators import retrieval as R
-from citewell.operators import verify
+from citewell.operators import shared_runs, verify
 from citewell.plans.common import match_sql
 from citewell.sources.tables import driver_table, text_table
 
@@ -219,6 +219,18 @@ def corroboration_queue(spark, d, **parameters):
     return rows.select(F.col("verse_id").alias("item_id"), F.coalesce("passage_id", F.lit(-1)).alias("doc_id"), F.coalesce("run", F.lit(0).cast("long")).alias("run"), F.coalesce(F.round("coverage", 6), F.lit(0.0)).alias("coverage"), word.alias("verdict")).orderBy("run", "item_id")
 
 
+def corroborated_items(spark, d):
+    """Every benchmark item: the longest run of words that it shares with any document, which document, and the verdict.
+
+    A run of MIN_RUN words in any document, or a document that quotes half of the item, corroborates it.
+    """
+    verses, passages = _texts(spark, d)
+    runs = shared_runs.longest_runs(verses, passages)
+    quoted = overlap.coverage_pairs_indexed(verses, passages, least=overlap.QUOTED).select("verse_id").distinct().withColumn("quoted", F.lit(True))
+    rows = runs.join(quoted, "verse_id", "left").withColumn("quoted", F.coalesce("quoted", F.lit(False)))
+    return rows.select(F.col("verse_id").alias("item_id"), F.coalesce("passage_id", F.lit(-1)).alias("doc_id"), "run", "quoted", overlap.verdict(F.col("run"), F.lit(False), F.col("quoted")).alias("verdict")).orderBy("run", "item_id")
+
+
 _OVERLAP_SQL = f"""b AS (SELECT item_id, {match_sql('text')} AS v FROM benchmark), dd AS (SELECT doc_id, {match_sql('text')} AS p FROM documents),
 w AS (SELECT item_id, unnest(list_transform(range(1, length(v) - 6), lambda i: substring(v, i, 8))) AS w FROM b WHERE length(v) >= 8 UNION ALL SELECT item_id, v FROM b WHERE length(v) BETWEEN 1 AND 7),
 wd AS (SELECT item_id, w, count(*) AS times FROM w GROUP BY ALL), tot AS (SELECT item_id, sum(times) AS windows FROM wd GROUP BY item_id),
@@ -236,7 +248,7 @@ def readiness(spark, d):
     return flags.select("source", "lang", F.when(F.col("p") == 1, "available").when(F.col("u") == 1, "processing").otherwise("unavailable").alias("state"), "documents")
 
 
-_NAMES = "range_lookup coverage_by_start coverage_by_range coverage_report mapping_drift passages cosine_topk evidence_chain retrieval_verdicts vector_audit vector_audit_tally vector_hash_audit quote_coverage quoted_run corroboration_queue readiness"
+_NAMES = "range_lookup coverage_by_start coverage_by_range coverage_report mapping_drift passages cosine_topk evidence_chain retrieval_verdicts vector_audit vector_audit_tally vector_hash_audit quote_coverage quoted_run corroboration_queue corroborated_items readiness"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 _LIST = "string_agg(CAST(anchor AS VARCHAR), ',' ORDER BY anchor) FILTER (WHERE {})"
 ORACLES = {
@@ -259,5 +271,15 @@ SELECT * FROM (SELECT coalesce(cc.chunk_id, mm.chunk_id) AS chunk_id, CASE WHEN
 SELECT b.item_id, coalesce(best.doc_id, -1) AS doc_id, coalesce(run, 0) AS run, coalesce(round(found / windows, 6), 0.0) AS coverage,
   CASE WHEN best.doc_id IS NULL THEN 'gap' WHEN run >= {overlap.MIN_RUN} OR found / windows >= {overlap.QUOTED} OR contains(p, 'يخبر تعالي') OR contains(p, 'يقول تعالي') OR contains(p, 'قال تعالي') THEN 'corroborated' ELSE 'uncorroborated' END AS verdict
 FROM b LEFT JOIN best ON best.item_id = b.item_id LEFT JOIN runs ON runs.item_id = b.item_id LEFT JOIN dd ON dd.doc_id = best.doc_id""",
+    "corroborated_items": f"""WITH {_OVERLAP_SQL}, bw AS (SELECT item_id, list_filter(string_split(v, ' '), lambda x: x <> '') AS words FROM b), dw AS (SELECT doc_id, list_filter(string_split(p, ' '), lambda x: x <> '') AS words FROM dd),
+gb AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(words) - {overlap.MIN_RUN - 2}), lambda i: array_to_string(words[i:i + {overlap.MIN_RUN - 1}], ' '))) AS g FROM bw WHERE len(words) >= {overlap.MIN_RUN}),
+gd AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(words) - {overlap.MIN_RUN - 2}), lambda i: array_to_string(words[i:i + {overlap.MIN_RUN - 1}], ' '))) AS g FROM dw WHERE len(words) >= {overlap.MIN_RUN}),
+near AS (SELECT DISTINCT item_id, doc_id FROM gb JOIN gd USING (g)), spaced AS (SELECT doc_id, ' ' || array_to_string(words, ' ') || ' ' AS t FROM dw),
+lo AS (SELECT item_id, words, unnest(range(1, len(words) + 1)) AS lo FROM bw), stretch AS (SELECT item_id, lo, unnest(range(lo + {overlap.MIN_RUN - 1}, len(words) + 1)) AS hi, words FROM lo),
+joined AS (SELECT item_id, hi - lo + 1 AS run, ' ' || array_to_string(words[lo:hi], ' ') || ' ' AS s FROM stretch),
+hit AS (SELECT j.item_id, near.doc_id, max(run) AS run FROM joined j JOIN near USING (item_id) JOIN spaced USING (doc_id) WHERE contains(t, s) GROUP BY ALL),
+top AS (SELECT item_id, doc_id, run FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY run DESC, doc_id) AS r FROM hit) WHERE r = 1),
+quoted AS (SELECT DISTINCT item_id FROM pairs WHERE found / windows >= {overlap.QUOTED})
+SELECT b.item_id, coalesce(doc_id, -1) AS doc_id, coalesce(run, 0) AS run, quoted.item_id IS NOT NULL AS quoted, CASE WHEN run >= {overlap.MIN_RUN} OR quoted.item_id IS NOT NULL THEN 'corroborated' ELSE 'uncorroborated' END AS verdict FROM b LEFT JOIN top ON top.item_id = b.item_id LEFT JOIN quoted ON quoted.item_id = b.item_id""",
     "readiness": "SELECT source, lang, CASE WHEN max(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) = 1 THEN 'available' WHEN max(CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'processing' ELSE 'unavailable' END AS state, count(*) AS documents FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source, lang",
 }
