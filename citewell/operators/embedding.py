@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from citewell.functions.vectors import NORM_TOLERANCE
 from citewell.operators.numbering import numbered
-from citewell.sources.shared import keep
+from citewell.sources.shared import scratch
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -68,23 +68,25 @@ def _batch(frame: pd.DataFrame, embedder: Embedder, width: int, attempts: int, b
     return frame.assign(embedding=vectors if error is None else None, attempts=done, error=error)
 
 
-def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5) -> DataFrame:
+def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (id, text, any others) with n, batch, embedding, attempts, error: a table of what every batch gave.
 
-    A batch either has a vector for each row or an error for each. An empty table gives no rows.
+    A batch either has a vector for each row or an error for each. An empty table gives no rows. save: writes the table
+    (sources.shared.keep if none is given); the numbered rows go once it is written.
     """
-    own = numbered(rows, order, "n").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return _batch(frame, embedder, width, attempts, backoff)
 
-    schema = StructType([*own.schema, *StructType.fromDDL("embedding array<double>, attempts int, error string")])
-    return keep(own.groupBy("batch").applyInPandas(run, schema), "embedded")
+    with scratch("embedded") as result:
+        own = numbered(rows, order, "n").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
+        schema = StructType([*own.schema, *StructType.fromDDL("embedding array<double>, attempts int, error string")])
+        return (save or result)(own.groupBy("batch").applyInPandas(run, schema))
 
 
-def embedded(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5) -> DataFrame:
+def embedded(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows with column embedding, or the BatchError of the first range that failed."""
-    out = embedded_rows(rows, embedder, width, order, batch, attempts, backoff)
+    out = embedded_rows(rows, embedder, width, order, batch, attempts, backoff, save)
     bad = out.where("error is not null").groupBy("batch").agg(F.min("n").alias("start"), (F.max("n") + 1).alias("end"), F.max("attempts").alias("attempts"), F.max("error").alias("error"))
     first = bad.orderBy("batch").limit(1).collect()
     if first:

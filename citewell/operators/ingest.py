@@ -33,7 +33,8 @@ class Refused(ValueError):
 
 def complete_chunk_violations() -> Column:
     """chunking.chunk_violations, and the other required fields and the group."""
-    more = [F.when(T.is_blank(F.col(c)), f"{c} missing") for c in ("document_id", "language", "mapping_type", "text_normalized", "content_hash", "review_status")]
+    more = [F.when(T.is_blank(F.col(c)), f"{c} missing") for c in ("document_id", "language", "mapping_type", "content_hash", "review_status")]
+    more.append(F.when(T.lexical_form(F.coalesce("text", F.lit(""))) == "", "text_normalized missing"))
     more.append(F.when(F.coalesce("group_id", F.lit(0)) < 1, "group_id below 1"))
     return F.concat(chunking.chunk_violations(), F.array_compact(F.array(*more)))
 
@@ -60,12 +61,12 @@ def document_facts(documents: DataFrame) -> DataFrame:
 
 
 def chunks_of(documents: DataFrame, model: str, cap: int) -> DataFrame:
-    """Chunks of pinned documents, with all that a stored chunk carries but its vector, and their order."""
+    """Chunks of pinned documents, with what a stored chunk carries but its normal form and its vector, and their order."""
     also = ["language", "content_type", "authority_tier", "source_version_hash"]
     sections = documents.select(F.col("id").alias("document_id"), F.col("group_id").alias("doc_group_id"), "source_id", "source_version", *also, F.explode("sections").alias("s"))
     sections = sections.select("document_id", "doc_group_id", "source_id", "source_version", *also, "s.*")
     built = chunking.build_chunks(sections, cap, pack=T.pack_words_udf(cap), also=also)
-    return built.withColumns({"review_status": F.lit("pending"), "model": F.lit(model)})
+    return built.drop("text_normalized").withColumns({"review_status": F.lit("pending"), "model": F.lit(model)})
 
 
 def ingest(commits: K.Commits, documents: DataFrame, sources: DataFrame, embedder: embedding.Embedder | None, model: str, width: int, now: Column, cap: int = chunking.CHUNK_CAP, batch: int = 32, buckets: int = 64, prune: bool = True, dry_run: bool = False, preview: bool = False, attempts: int = 3, backoff: float = 0.5) -> dict[str, int]:
@@ -77,59 +78,59 @@ def ingest(commits: K.Commits, documents: DataFrame, sources: DataFrame, embedde
     dry run writes no table and calls no embedder. No documents: nothing is done.
     """
     base = commits.state()[0]
-    with scratch("ingest"):
+    with scratch("ingest"), scratch("ingest") as lasting:
         known = pinned(documents, sources)
         facts = keep(document_facts(known), "facts")  # no texts
         refused = [r[0] for r in facts.where("not usable").select("source_id").distinct().orderBy("source_id").limit(5).collect()]
         if refused and not (preview and dry_run):
             raise Refused(f"sources not approved: {', '.join(map(str, refused))}")
         chunking.enforce(facts.select("document_id", "violations"), "documents")
-        counts = Observation()
-        keys = ["id"]
-        built = chunks_of(known, model, cap)
-        stored = commits.read("chunks", CHUNKS, number=base)
-        state = F.when(F.col("_model") == F.col("model"), "reuse").otherwise("embed")
-        planned = built.join(stored.select("id", F.col("model").alias("_model")), "id", "left").withColumn("state", state).drop("_model")
-        planned = planned.observe(counts, F.count("*").alias("total"), F.count_if(F.col("state") == "reuse").alias("reused"))
-        planned = keep(planned, "planned")
-        chunking.enforce(planned.select("id", complete_chunk_violations().alias("violations")), "chunks")
-        report = {k: int(v) for k, v in counts.get.items()}
-        report |= {"pending": report["total"] - report["reused"], "calls": -(-(report["total"] - report["reused"]) // batch), "written": 0, "mapped": 0, "deleted": 0, "deleted_mappings": 0, "commit": base}
-        if dry_run or not report["total"]:
-            return report
         own = facts.select("source_id", "source_version").distinct()
-        pending = planned.where("state = 'embed'")
-        if report["pending"]:
-            if embedder is None:
-                raise ValueError("no embedder; only a dry run can do without one")
-            try:
-                full = embedding.embedded(pending, embedder, width, ORDER, batch, attempts, backoff)
-            except embedding.BatchError:
-                commits.commit(base, [_status(commits, own, "failed", now, base)])
-                raise
-            full = full.withColumn("embedding_hash", embedding_hash_udf()(F.col("model"), F.col("embedding")))
-        else:
-            full = pending.withColumns({"embedding": F.lit(None).cast("array<double>"), "embedding_hash": F.lit(None).cast("string")})
-        values = [c.split()[0] for c in CHUNKS.split(", ")][:-2]
-        full = full.select(*values)
-        maps = planned.select(F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type")
-        before = commits.read("mappings", MAPPINGS, number=base).select("chunk_id", "source_id", "source_version", "group_id", "start", "end", "mapping_type")
+        with scratch("planned"):  # whole texts go as soon as the next table has them
+            planned, report = _planned(commits, chunks_of(known, model, cap), batch, base)
+            chunking.enforce(planned.select("id", complete_chunk_violations().alias("violations")), "chunks")
+            if dry_run or not report["total"]:
+                return report
+            maps = lasting(planned.select(F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type"))
+            full = planned.where("state = 'embed'")
+            if report["pending"]:
+                if embedder is None:
+                    raise ValueError("no embedder; only a dry run can do without one")
+                try:
+                    full = embedding.embedded(full, embedder, width, ORDER, batch, attempts, backoff, lasting)
+                except embedding.BatchError:
+                    commits.commit(base, [_status(commits, own, "failed", now, base)])
+                    raise
+            else:
+                full = lasting(full.withColumn("embedding", F.lit(None).cast("array<double>")))
+        hashed = F.when(F.col("embedding").isNotNull(), embedding_hash_udf()(F.col("model"), F.col("embedding")))
+        full = full.withColumns({"text_normalized": T.lexical_form(F.col("text")), "embedding_hash": hashed})
+        full = full.select(*[c.split()[0] for c in CHUNKS.split(", ")][:-2])
+        chunks = K.upsert(commits, "chunks", full, ["id"], now, CHUNKS, buckets, base)
+        before = commits.read("mappings", MAPPINGS, number=base).select(*maps.columns)
         changed = keep(maps.exceptAll(before), "maps")  # one that was lost comes back too
-        chunks = K.upsert(commits, "chunks", full, keys, now, CHUNKS, buckets, base)
         mapped = K.upsert(commits, "mappings", changed, ["chunk_id"], now, MAPPINGS, buckets, base)
         report |= {"written": report["pending"], "mapped": changed.count()}
         if prune:
-            chunks, report["deleted"] = _pruned(commits, "chunks", planned.select("id"), own, keys, base, chunks)
-            mapped, report["deleted_mappings"] = _pruned(commits, "mappings", maps.select("chunk_id"), own, ["chunk_id"], base, mapped)
+            ids = maps.select(F.col("chunk_id").alias("id"))
+            chunks, report["deleted"] = K.prune(commits, "chunks", ids, own, ["id"], base, chunks, count=True)
+            mapped, report["deleted_mappings"] = K.prune(commits, "mappings", maps.select("chunk_id"), own, ["chunk_id"], base, mapped, count=True)
         report["commit"] = commits.commit(base, [chunks, mapped, _status(commits, own, "ingested", now, base)])
         return report
 
 
+def _planned(commits: K.Commits, built: DataFrame, batch: int, base: int) -> tuple[DataFrame, dict[str, int]]:
+    """The chunks with their state (reuse, embed) as a table, and the counts of a report; one job gives both."""
+    counts = Observation()
+    stored = commits.read("chunks", CHUNKS, number=base).select("id", F.col("model").alias("_model"))
+    state = F.when(F.col("_model") == F.col("model"), "reuse").otherwise("embed")
+    planned = built.join(stored, "id", "left").withColumn("state", state).drop("_model")
+    planned = keep(planned.observe(counts, F.count("*").alias("total"), F.count_if(F.col("state") == "reuse").alias("reused")), "planned")
+    report = {k: int(v) for k, v in counts.get.items()}
+    pending = report["total"] - report["reused"]
+    return planned, report | {"pending": pending, "calls": -(-pending // batch), "written": 0, "mapped": 0, "deleted": 0, "deleted_mappings": 0, "commit": base}
+
+
 def _status(commits: K.Commits, own: DataFrame, status: str, now: Column, base: int) -> K.Stage:
     """A row for every source and version: small, one bucket."""
     return K.upsert(commits, "status", own.withColumn("status", F.lit(status)), ["source_id", "source_version"], now, STATUS, 1, base)
-
-
-def _pruned(commits: K.Commits, table: str, keep_keys: DataFrame, own: DataFrame, key: list[str], base: int, staged: K.Stage) -> tuple[K.Stage, int]:
-    """Drops what these sources and versions do not give any more; how many rows that is."""
-    return K.prune(commits, table, keep_keys, own, key, base, staged, count=True)

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_held: list[tuple[SparkSession, str]] = []  # results of scratch() blocks that are still open
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,13 +60,18 @@ def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
     def result(df: DataFrame) -> DataFrame:
         out = keep(df, name)
         results.append(_written[-1])
+        _held.append(_written[-1])
         return out
 
     try:
         yield result
     finally:
-        delete([x for x in _written[first:] if x not in results])
-        _written[first:] = results
+        for x in results:
+            _held.remove(x)
+        own = _written[first:]
+        stays = [x for x in own if x in results or x in _held]
+        delete([x for x in own if x not in stays])
+        _written[first:] = stays
 
 
 def delete(written: list[tuple[SparkSession, str]]) -> None:
