@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, FractionalType, IntegralType, StringType, StructType
 
+from citewell.functions.overlap import bound
+
 NONE = "array<string>"
 
 
@@ -24,20 +26,21 @@ def json_value(text: Column) -> Column:
     The parser takes a value and leaves what follows, so the text is read inside of brackets and inside of braces: what
     follows a value can end only one of the two.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    alone = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & named.isNotNull()
-    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+    def whole(t: Column) -> Column:
+        named = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+        listed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+        return bound(listed, lambda v: F.when((F.size(F.try_variant_get(v, "$", "array<variant>")) == 1) & named.isNotNull(), F.try_variant_get(v, "$[0]", "variant")))
+
+    return bound(text, whole)
 
 
 def kind_of(v: Column) -> Column:
     """object, array, string, boolean, integer, number or null."""
-    s = F.schema_of_variant(v)
     whole = F.try_variant_get(v, "$", "double")
-    return (
+    return bound(F.schema_of_variant(v), lambda s: (
         F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
         .when((s == "BIGINT") | (whole == F.floor(whole)), "integer").otherwise("number")
-    )
+    ))
 
 
 def field(v: Column, name: str) -> Column:
@@ -64,17 +67,20 @@ def violations(v: Column, schema: dict, path: Column | str = "$", root: dict | N
     """array<string> of what a VARIANT value breaks, outermost first; empty for a good value."""
     root = schema if root is None else root
     at = F.lit(path) if isinstance(path, str) else path
+    return bound(v, lambda x: bound(kind_of(x), lambda kind: _violations(x, kind, schema, at, root, _open)))
+
+
+def _violations(v: Column, kind: Column, schema: dict, at: Column, root: dict, _open: tuple[str, ...]) -> Column:
     if "$ref" in schema:
         ref = schema["$ref"]
         if ref in _open:
             raise ValueError(f"{ref} refers to itself")
         target = reduce(lambda d, k: d[k.replace("~1", "/").replace("~0", "~")], ref.removeprefix("#/").split("/"), root)
-        return violations(v, target, at, root, (*_open, ref))
+        return _violations(v, kind, target, at, root, (*_open, ref))
     deeper = lambda value, s, p: violations(value, s, p, root, _open)
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else list(kinds or [])
     allowed = set(kinds) | ({"null"} if schema.get("nullable") else set()) | ({"integer"} if "number" in kinds else set())
-    kind = kind_of(v)
     parts: list[Column] = []
     text, number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
     if "enum" in schema or "const" in schema:
@@ -144,7 +150,10 @@ def from_openapi(document: dict) -> dict[tuple[str, int], dict]:
 
 def answer_problems(body: Column, operation: Column, status: Column, contracts: dict[tuple[str, int], dict], root: dict | None = None) -> Column:
     """array<string>: what is wrong with an answer. Unknown operation or status, text that is not JSON, violations."""
-    value = json_value(body)
+    return bound(json_value(body), lambda value: _answer_problems(value, operation, status, contracts, root))
+
+
+def _answer_problems(value: Column, operation: Column, status: Column, contracts: dict, root: dict | None) -> Column:
     known = F.lit(False)
     out = None
     for (name, code), schema in contracts.items():

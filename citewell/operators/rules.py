@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citewell.functions import text as T
+from citewell.functions.overlap import bound
 from citewell.operators.contract import json_value, kind_of, schema_of, violations
 
 MAX_DRAFT = 2000
@@ -148,9 +149,15 @@ def introduction_reason(sections: Column, requires_review: Column, style: Column
 
 def _structured(raw: Column, schema: str) -> Column:
     """struct(value, error) of a text that must be one JSON object of this schema and nothing else."""
-    v = json_value(raw)
-    bad = F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", "empty").when(v.isNull() | (kind_of(v) != "object"), "malformed").when(F.size(violations(v, schema_of(schema))) > 0, "malformed")
-    return F.struct(F.when(bad.isNull(), F.from_json(raw, schema)).alias("value"), bad.alias("error"))
+
+    def judged(t: Column, v: Column) -> Column:
+        return F.when(F.trim(F.coalesce(t, F.lit(""))) == "", "empty").when(v.isNull() | (kind_of(v) != "object"), "malformed").when(F.size(violations(v, schema_of(schema))) > 0, "malformed")
+
+    def told(t: Column) -> Column:
+        error = bound(json_value(t), lambda v: judged(t, v))
+        return bound(error, lambda e: F.struct(F.when(e.isNull(), F.from_json(t, schema)).alias("value"), e.alias("error")))
+
+    return bound(raw, told)
 
 
 def decode_output(raw: Column, schema: str) -> Column:
@@ -159,10 +166,13 @@ def decode_output(raw: Column, schema: str) -> Column:
     error: empty, blocked (a provider's refusal in place of an output), malformed (anything else but one such object:
     lists, strings, text before or after it, fields of other types), or null.
     """
-    refused = F.coalesce(F.get_json_object(raw, "$.promptFeedback.blockReason"), F.lit("")) != ""
-    out = _structured(raw, schema)
-    error = F.when(refused, "blocked").otherwise(out["error"])
-    return F.struct(F.when(error.isNull(), out["value"]).alias("value"), error.alias("error"))
+
+    def told(t: Column) -> Column:
+        refused = F.coalesce(F.get_json_object(t, "$.promptFeedback.blockReason"), F.lit("")) != ""
+        error = lambda out: F.when(refused, "blocked").otherwise(out["error"])
+        return bound(_structured(t, schema), lambda out: bound(error(out), lambda e: F.struct(F.when(e.isNull(), out["value"]).alias("value"), e.alias("error"))))
+
+    return bound(raw, told)
 
 
 def decode_answer(body: Column, schema: str) -> Column:
@@ -171,25 +181,26 @@ def decode_answer(body: Column, schema: str) -> Column:
     error: malformed; error: <message>; blocked: <reason>; no_candidates; no_parts; malformed_output (the first part of the
     first candidate is not one JSON object of the schema); empty_content (neither content nor sections); or null.
     """
-    v = json_value(body)
-    at = lambda path: F.try_variant_get(v, path, "string")
-    many = lambda path: F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")), F.lit(0))
-    text = at("$.candidates[0].content.parts[0].text")
-    out = _structured(text, schema)
     fields = {f.name for f in StructType.fromDDL(schema)}
-    value = out["value"]
-    filled = [value["content"] != ""] * ("content" in fields) + [F.size(value["sections"]) > 0] * ("sections" in fields)
-    error = (
-        F.when(v.isNull() | ~kind_of(v).isin("object", "null"), "malformed")
-        .when(F.coalesce(at("$.error.message"), F.lit("")) != "", F.concat(F.lit("error: "), at("$.error.message")))
-        .when(F.coalesce(at("$.promptFeedback.blockReason"), F.lit("")) != "", F.concat(F.lit("blocked: "), at("$.promptFeedback.blockReason")))
-        .when(many("$.candidates") < 1, "no_candidates")
-        .when(many("$.candidates[0].content.parts") < 1, "no_parts")
-        .when(out["error"].isNotNull(), "malformed_output")
-    )
-    if filled:
-        error = error.when(~F.greatest(*[F.coalesce(f, F.lit(False)) for f in filled]) if len(filled) > 1 else ~F.coalesce(filled[0], F.lit(False)), "empty_content")
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"), at("$.candidates[0].finishReason").alias("finish"))
+
+    def told(v: Column, out: Column) -> Column:
+        at = lambda path: F.try_variant_get(v, path, "string")
+        many = lambda path: F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")), F.lit(0))
+        filled = F.lit("content" not in fields and "sections" not in fields)
+        filled = filled | F.coalesce(out["value"]["content"] != "", F.lit(False)) if "content" in fields else filled
+        filled = filled | F.coalesce(F.size(out["value"]["sections"]) > 0, F.lit(False)) if "sections" in fields else filled
+        error = (
+            F.when(v.isNull() | ~kind_of(v).isin("object", "null"), "malformed")
+            .when(F.coalesce(at("$.error.message"), F.lit("")) != "", F.concat(F.lit("error: "), at("$.error.message")))
+            .when(F.coalesce(at("$.promptFeedback.blockReason"), F.lit("")) != "", F.concat(F.lit("blocked: "), at("$.promptFeedback.blockReason")))
+            .when(many("$.candidates") < 1, "no_candidates")
+            .when(many("$.candidates[0].content.parts") < 1, "no_parts")
+            .when(out["error"].isNotNull(), "malformed_output")
+            .when(~filled, "empty_content")
+        )
+        return bound(error, lambda e: F.struct(F.when(e.isNull(), out["value"]).alias("value"), e.alias("error"), at("$.candidates[0].finishReason").alias("finish")))
+
+    return bound(json_value(body), lambda v: bound(_structured(F.try_variant_get(v, "$.candidates[0].content.parts[0].text", "string"), schema), lambda out: told(v, out)))
 
 
 def request_body(system: Column, evidence: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from citewell.functions import text as T
-from citewell.operators import embedding, ingest as ingest_run
+from citewell.operators import contract, embedding, introduction, rules
+from citewell.operators import ingest as ingest_run
 from citewell.plans import maintenance
-from citewell.plans.common import clean_html_sql, paragraphs_sql
+from citewell.plans.common import clean_html_sql, lexical_sql, paragraphs_sql
 from citewell.plans.texts import CAP, _pack_sql
 from citewell.sources import commits as K
 from citewell.sources.shared import folder
@@ -117,5 +120,118 @@ f AS (SELECT *, n // 32 AS batch, CASE l % 97 WHEN 1 THEN 'contains NaN or Inf'
 b AS (SELECT batch, min(n) AS s, max(n) + 1 AS e, count(*) AS c, arg_min(l, n) % 31 = 5 AS short, min(n) FILTER (WHERE fault IS NOT NULL) AS k FROM f GROUP BY batch)
 SELECT b.batch, s AS start, e AS "end", CAST(1 AS BIGINT) AS attempts, CAST(CASE WHEN short OR k IS NOT NULL THEN 0 ELSE c END AS BIGINT) AS vectors, CASE WHEN short THEN 'got ' || (c - 1) || ' vectors for ' || c || ' texts' WHEN k IS NOT NULL THEN doc_id || ': ' || fault ELSE '' END AS error FROM b LEFT JOIN f ON f.n = k"""
 
-QUERIES = {f.__name__: f for f in (bucket_upsert, ingest_report, batch_checks)}
-ORACLES = {"bucket_upsert": maintenance.ORACLES["upsert_prune"], "ingest_report": _ingest_sql(), "batch_checks": _BATCH_SQL}
+# ---------------------------------------------------------------- introductions
+
+
+def write_introduction(request: str) -> str:
+    """A deterministic generator: what it answers follows from the number of evidence lines of the request."""
+    lines = json.loads(json.loads(request)["body"])["evidence"].split("\n")
+    n = len(lines)
+    if n % 5 == 3:
+        return "[]"
+    claims = [{"text": "claim one", "source_refs": ["1"]}, {"text": "claim two", "source_refs": [str(n), "9"] if n % 5 == 2 else [str(n)]}]
+    out = {"sections": [{"type": "context", "title": "t", "claims": claims}], "differing_reports": [{"text": "other", "source_refs": ["2"]}] if n > 1 else [], "requires_review": n % 5 != 4}
+    return json.dumps(out)
+
+
+def introduction_run(spark, d):
+    """Two runs over the good documents of each hundred as evidence: outcomes, drafts, and what the second run asked."""
+    docs = driver_table(spark, d, "documents").join(driver_table(spark, d, "labels"), "doc_id", "left")
+    line = T.lexical_form(F.coalesce("text", F.lit("")))
+    chunks = docs.where(line != "").select(F.col("doc_id").cast("string").alias("id"), F.floor(F.col("doc_id") / 100).alias("group_id"), F.col("doc_id").alias("start"), "source", line.alias("text"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("verified"))
+    chunks = chunks.withColumnRenamed("source", "source_id").withColumn("source_version", F.concat(F.lit("v-"), F.col("source_id")))
+    sources = docs.select("source").where("source is not null").distinct().select(F.col("source").alias("id"), F.concat(F.lit("v-"), F.col("source")).alias("version_id"), F.lit(True).alias("usable"))
+    groups = docs.where("doc_id is not null").select(F.floor(F.col("doc_id") / 100).alias("group_id")).distinct()
+    evidence = groups.join(introduction.load_evidence(chunks, sources), "group_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<id:string,source_id:string,source_version:string,text:string>>")))
+    log = K.Commits(spark, folder(spark, "store"))
+    decided = docs.where("toxic = 1").select(F.floor(F.col("doc_id") / 100).alias("group_id")).distinct()  # a toxic document: somebody has decided
+    values = [c for c in introduction.INTRODUCTIONS.replace(introduction.SECTIONS, "S").replace(introduction.CLAIMS, "C").split(", ")]
+    blank = {c.split()[0]: F.lit(None).cast({"S": introduction.SECTIONS, "C": introduction.CLAIMS}.get(c.split()[1], c.split()[1])) for c in values if c.split()[0] not in ("group_id", "created_at", "updated_at")}
+    planted = decided.select("group_id", *[v.alias(k) for k, v in (blank | {"style": F.lit("en"), "review_status": F.lit("published")}).items()])
+    log.commit(0, [K.upsert(log, "introductions", planted, introduction.KEY, at(T0), introduction.INTRODUCTIONS, 8)])
+    run = lambda moment: introduction.run(log, evidence, "en", "beginner", "brief", write_introduction, "m", at(moment), 8)
+    done, _ = run(T1)
+    again, counts = run(T1)
+    drafts = log.read("introductions").select("group_id", "review_status", F.size("sections").alias("n_sections"), F.col("sections")[0]["content"].alias("content"), F.array_join("source_refs", ",").alias("refs"), F.col("source_version_snapshot").alias("snapshot"))
+    joined = done.join(again.select("group_id", F.col("outcome").alias("outcome_again")), "group_id").join(drafts, "group_id", "left")
+    return joined.select(
+        "group_id", "outcome", F.coalesce("reason", F.lit("")).alias("reason"), "outcome_again", F.lit(counts["calls"]).cast("long").alias("calls_again"), F.coalesce("review_status", F.lit("")).alias("status"),
+        F.coalesce("content", F.lit("")).alias("content"), F.coalesce("refs", F.lit("")).alias("refs"), F.coalesce("snapshot", F.lit("")).alias("snapshot"),
+    )
+
+
+def _introduction_sql() -> str:
+    text = lexical_sql("coalesce(text, '')")
+    return f"""
+WITH x AS (SELECT doc_id, CAST(floor(doc_id / 100) AS BIGINT) AS group_id, source, {text} AS t, coalesce(quality = 1 AND toxic = 0, false) AS ok, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+g AS (SELECT group_id, coalesce(bool_or(toxic = 1), false) AS decided FROM x WHERE doc_id IS NOT NULL GROUP BY group_id),
+e AS (SELECT group_id, doc_id, source, row_number() OVER (PARTITION BY group_id ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY group_id) AS n FROM x WHERE ok AND t <> '' AND source IS NOT NULL),
+n AS (SELECT g.group_id, decided, coalesce(max(n), 0) AS n FROM g LEFT JOIN e USING (group_id) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN n = 0 THEN 'insufficient_evidence' WHEN n % 5 = 3 THEN 'invalid_output' WHEN n % 5 = 4 OR n % 5 = 2 AND n < 9 OR n = 9 AND n % 5 = 2 THEN 'invalid_draft' WHEN decided THEN 'decided' ELSE 'pending' END AS outcome FROM n),
+cited AS (SELECT o.group_id, e.doc_id, source, CASE WHEN k = 1 THEN 1 WHEN k = n2.n THEN 2 WHEN k = 9 AND n2.n % 5 = 2 THEN 3 ELSE 4 END AS pos FROM o JOIN n n2 USING (group_id) JOIN e USING (group_id) WHERE k = 1 OR k = n2.n OR k = 9 AND n2.n % 5 = 2 OR k = 2 AND n2.n > 1),
+r AS (SELECT group_id, string_agg(doc_id, ',' ORDER BY pos) AS refs, string_agg(DISTINCT 'v-' || source, '+' ORDER BY 'v-' || source) AS snapshot FROM cited GROUP BY group_id)
+SELECT o.group_id, outcome, CASE WHEN outcome = 'invalid_output' THEN 'malformed' WHEN n % 5 = 4 THEN 'review not required' WHEN outcome = 'invalid_draft' THEN 'section 0 claim 1: source_ref does not resolve' ELSE '' END AS reason, outcome AS outcome_again, CAST(0 AS BIGINT) AS calls_again,
+  CASE WHEN decided THEN 'published' WHEN outcome = 'pending' THEN 'pending' ELSE '' END AS status, CASE WHEN outcome = 'pending' THEN 'claim one claim two' ELSE '' END AS content, CASE WHEN outcome = 'pending' THEN refs ELSE '' END AS refs, CASE WHEN outcome = 'pending' THEN snapshot ELSE '' END AS snapshot FROM o LEFT JOIN r USING (group_id)"""
+
+
+# ---------------------------------------------------------------- contracts and answers
+
+
+def _order_contract() -> dict:
+    line = {"type": "object", "required": ["part", "quantity"], "properties": {"part": {"type": "integer", "minimum": 1}, "quantity": {"type": "number", "maximum": 45}, "flag": {"type": "string", "enum": ["N", "R"]}}, "additionalProperties": False}
+    order = {"type": "object", "required": ["id", "status", "lines"], "properties": {"id": {"type": "integer"}, "status": {"type": "string", "enum": ["F", "O"]}, "priority": {"type": "string", "pattern": "^[1-4]-"}, "lines": {"type": "array", "maxItems": 6, "items": line}}, "additionalProperties": False}
+    return {("getOrder", 200): order, ("getOrder", 404): {"type": "object", "required": ["error"], "properties": {"error": {"type": "string", "minLength": 1}}}}
+
+
+def contract_problems(spark, d):
+    """Orders with their lines, rendered as JSON answers of an operation and status, held against a contract."""
+    lines = driver_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag")).alias("line")))).alias("x"))
+    orders = driver_table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.transform("x", lambda e: e["line"]).alias("lines")))
+    urgent = F.col("o_orderpriority") == "5-LOW"
+    status = F.when(urgent & (F.col("o_totalprice") > 200000), 500).when(urgent, 404).otherwise(200)
+    cut = F.when(F.col("o_totalprice") > 400000, F.substring(body, 1, 40)).otherwise(body)  # a body that ends early
+    rows = orders.select("o_orderkey", cut.alias("body"), F.lit("getOrder").alias("operation"), status.alias("status"))
+    found = contract.check_answers(rows, _order_contract()).select(F.explode("problems").alias("p"))
+    kind = F.regexp_replace("p", r"\[\d+\]", "[]")
+    return found.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"))
+
+
+_CONTRACT_SQL = """
+WITH o AS (SELECT *, CASE WHEN o_orderpriority = '5-LOW' AND o_totalprice > 200000 THEN 500 WHEN o_orderpriority = '5-LOW' THEN 404 ELSE 200 END AS code FROM orders),
+good AS (SELECT * FROM o WHERE code = 200 AND NOT o_totalprice > 400000), l AS (SELECT g.o_orderkey, li.* FROM good g JOIN lineitem li ON l_orderkey = o_orderkey),
+p AS (SELECT 'no contract for getOrder 500' AS problem FROM o WHERE code = 500
+UNION ALL SELECT '$: not valid JSON' FROM o WHERE code <> 500 AND o_totalprice > 400000
+UNION ALL SELECT '$.error: missing' FROM o WHERE code = 404 AND NOT o_totalprice > 400000
+UNION ALL SELECT '$.status: not one of the values, ' || o_orderstatus FROM good WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT '$.priority: does not match ^[1-4]-' FROM good WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')
+UNION ALL SELECT '$.lines: missing' FROM good WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT '$.lines: more than 6 items' FROM l GROUP BY o_orderkey HAVING count(*) > 6
+UNION ALL SELECT '$.lines[].part: below 1' FROM l WHERE l_partkey < 1
+UNION ALL SELECT '$.lines[].quantity: above 45' FROM l WHERE l_quantity > 45
+UNION ALL SELECT '$.lines[].flag: not one of the values, ' || l_returnflag FROM l WHERE l_returnflag NOT IN ('N', 'R'))
+SELECT problem, count(*) AS n FROM p GROUP BY problem"""
+
+
+def decoded_answers(spark, d):
+    """Assistant turns as a provider's answers, whole and broken by the length of the text: the error of each, and the content."""
+    talk = driver_table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text") % 13
+    inner = F.to_json(F.struct(F.col("text").alias("content"), F.array(F.lit("1")).alias("source_refs")))
+    inner = F.when(n == 1, F.lit("[]")).when(n == 2, F.lit('"x"')).when(n == 3, F.concat(inner, F.lit(" and more"))).when(n == 4, F.lit('{"content":""}')).when(n == 5, F.lit('{"content":7}')).otherwise(inner)
+    part = F.struct(F.array(F.struct(inner.alias("text"))).alias("parts"))
+    body = F.to_json(F.struct(F.array(F.struct(part.alias("content"), F.lit("STOP").alias("finishReason"))).alias("candidates")))
+    body = F.when(n == 6, F.lit('{"candidates":[]}')).when(n == 7, F.lit('{"candidates":[{"content":{"parts":[]}}]}')).when(n == 8, F.lit('{"promptFeedback":{"blockReason":"SAFETY"}}')).when(n == 9, F.lit('{"error":{"message":"quota"}}')).when(n == 10, F.left(body, F.lit(30))).otherwise(body)
+    out = talk.withColumn("a", rules.decode_answer(body, "content string, source_refs array<string>"))
+    return out.select("conv_id", "turn", F.coalesce("a.error", F.lit("")).alias("error"), F.coalesce("a.finish", F.lit("")).alias("finish"), F.sha2(F.coalesce("a.value.content", F.lit("")), 256).alias("content"))
+
+
+_DECODED_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, length(coalesce(text, '')) % 13 AS n FROM conversations WHERE role = 'assistant'),
+e AS (SELECT *, CASE WHEN n IN (1, 2, 3, 5) THEN 'malformed_output' WHEN n = 4 THEN 'empty_content' WHEN n = 6 THEN 'no_candidates' WHEN n = 7 THEN 'no_parts' WHEN n = 8 THEN 'blocked: SAFETY' WHEN n = 9 THEN 'error: quota' WHEN n = 10 THEN 'malformed' WHEN text = '' THEN 'empty_content' ELSE '' END AS error FROM t)
+SELECT conv_id, turn, error, CASE WHEN n BETWEEN 6 AND 10 THEN '' ELSE 'STOP' END AS finish, sha256(CASE WHEN error = '' THEN text ELSE '' END) AS content FROM e"""
+
+QUERIES = {f.__name__: f for f in (bucket_upsert, ingest_report, batch_checks, introduction_run, contract_problems, decoded_answers)}
+ORACLES = {
+    "bucket_upsert": maintenance.ORACLES["upsert_prune"], "ingest_report": _ingest_sql(), "batch_checks": _BATCH_SQL, "introduction_run": _introduction_sql(), "contract_problems": _CONTRACT_SQL, "decoded_answers": _DECODED_SQL,
+}
