@@ -6,8 +6,9 @@ its trigrams; then the set of languages grows from the most likely one, in the o
 the likelihood gained exceeds a penalty for each language more.
 
 Scale: one pass counts trigrams by language (partial sums of at most languages x 2^16 numbers a task), one pass
-predicts; neither shuffles a text. The model, languages x 2^16 numbers, is all that the driver holds and each task
-gets; more than MOST_LANGUAGES different labels (which are then hardly languages) are an error, before any count.
+predicts; neither shuffles a text. The model, languages x 2^16 numbers, is all that the driver holds (it comes as one
+row a language) and each task gets; more than MOST_LANGUAGES different labels (which are then hardly languages) are an
+error, before any count. A task works on texts by their length, and on a long text by parts.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citewell.llm.common import bounded_batches, fold
+from citewell.llm.common import CHARS_A_BLOCK, bounded_batches, fold, text_blocks
 
 BUCKET_BITS = 16
 MOST_LANGUAGES = 256
@@ -27,7 +29,8 @@ STEPS = 8
 #: Trigrams overlap: a third of them counts as independent. Nats that a further language must gain, and its least share.
 INDEPENDENT, PENALTY, LEAST_SHARE = 1 / 3, 6.0, 0.02
 UNKNOWN = "und"
-_TEXTS = 128
+#: The most texts that are worked on at once, bytes whose trigrams are, and numbers (languages x characters) that are.
+_TEXTS, _BYTES, _NUMBERS = 128, 1 << 20, 16 * CHARS_A_BLOCK
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -46,26 +49,55 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(begins, at, "right") - 1
 
 
+def tallied(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text * 2^BUCKET_BITS + bucket, how often), in that order; long texts are counted part by part."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    begins = np.cumsum([0, *(len(r) + 2 for r in raw)])
+    whole = b"  " + b"  ".join(raw) + b"  "
+    parts = []
+    for lo in range(0, len(whole) - 2, _BYTES):
+        data = _LETTER[np.frombuffer(whole, np.uint8, min(_BYTES + 2, len(whole) - lo), lo)].astype(np.uint32)
+        at = np.flatnonzero(data[1:-1] != 0x20)
+        code = (data[at] << np.uint32(16)) | (data[at + 1] << np.uint32(8)) | data[at + 2]
+        bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+        parts.append(np.unique(((np.searchsorted(begins, at + lo, "right") - 1) << BUCKET_BITS) | bucket, return_counts=True))
+        if len(parts) > 16:
+            parts = [_merged(parts)]
+    return _merged(parts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    keys, index = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    times = np.zeros(len(keys), np.int64)
+    np.add.at(times, index, np.concatenate([n for _, n in parts]))
+    return keys, times
+
+
 def _count(batches):
     import pyarrow as pa
 
     sums: dict[str, np.ndarray] = {}
-    size = 1 << BUCKET_BITS
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for at in range(0, batch.num_rows, _TEXTS):
-            own = langs[at : at + _TEXTS]
-            kinds = sorted(set(own))
-            bucket, text = trigrams([t or "" for t in batch.column(0).slice(at, _TEXTS).to_pylist()])
-            index = np.array([kinds.index(x) for x in own])
-            found = np.bincount(index[text] * size + bucket, minlength=len(kinds) * size).reshape(len(kinds), size)
-            for k, row in zip(kinds, found, strict=True):
-                sums[k] = row if k not in sums else sums[k] + row
+        for lo, texts in text_blocks(batch.column(0), most=_TEXTS):
+            keys, times = tallied(texts)
+            cuts = np.searchsorted(keys, np.arange(len(texts) + 1) << BUCKET_BITS)
+            for k, lang in enumerate(langs[lo : lo + len(texts)]):
+                own = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
+                own[keys[cuts[k] : cuts[k + 1]] & ((1 << BUCKET_BITS) - 1)] += times[cuts[k] : cuts[k + 1]]
     for k, row in sums.items():
         live = np.flatnonzero(row)
         yield pa.RecordBatch.from_arrays([pa.array([k] * len(live), pa.string()), pa.array(live, pa.int32()), pa.array(row[live], pa.int64())], ["lang", "bucket", "n"])
 
 
+def _packed(own: pd.DataFrame) -> pd.DataFrame:
+    """One row: the buckets and counts of a language as bytes."""
+    own = own.sort_values("bucket")
+    return pd.DataFrame({"lang": own["lang"].iloc[:1], "bucket": [own["bucket"].to_numpy("<i4").tobytes()], "n": [own["n"].to_numpy("<i8").tobytes()]})
+
+
 class Model:
     """log and plain probabilities of buckets by language; languages in the order of code points."""
 
@@ -81,20 +113,20 @@ def learn(docs: DataFrame, text="text", lang="lang") -> Model:
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique(), key=lambda x: x.encode())
-    counts = np.zeros((len(langs), 1 << BUCKET_BITS))
-    counts[[{k: i for i, k in enumerate(langs)}[x] for x in found["lang"]], found["bucket"].to_numpy(int)] = found["n"]
+    found = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = sorted(found.groupBy("lang").applyInPandas(_packed, "lang string, bucket binary, n binary").collect(), key=lambda r: r["lang"].encode())
+    langs, counts = [r["lang"] for r in found], np.zeros((len(found), 1 << BUCKET_BITS))
+    for row, r in zip(counts, found, strict=True):
+        row[np.frombuffer(r["bucket"], "<i4")] = np.frombuffer(r["n"], "<i8")
     return Model(langs, counts)
 
 
 def mixtures(texts: list[str], model: Model) -> list[list[tuple[str, float]]]:
     """Languages of each text with their proportions, largest first; none for a text without trigrams."""
     n_langs, out = len(model.langs), [[] for _ in texts]
-    bucket, text = trigrams(texts)
-    if not n_langs or not len(bucket):
+    keys, times = tallied(texts)
+    if not n_langs or not len(keys):
         return out
-    keys, times = np.unique((text << BUCKET_BITS) | bucket, return_counts=True)
     owner, times = keys >> BUCKET_BITS, times.astype(np.float32)
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     docs, row = owner[starts], np.cumsum(np.r_[False, owner[1:] != owner[:-1]])
@@ -142,9 +174,8 @@ def _predict(batches, model: Model, at: int):
     import pyarrow as pa
 
     for batch in batches:
-        for lo in range(0, batch.num_rows, _TEXTS):
-            part = batch.slice(lo, _TEXTS)
-            texts = [t or "" for t in part.column(at).to_pylist()]
+        for lo, texts in text_blocks(batch.column(at), max(1, min(CHARS_A_BLOCK, _NUMBERS // max(len(model.langs), 1))), _TEXTS):
+            part = batch.slice(lo, len(texts))
             found = mixtures(texts, model)
             found = [f if any(map(str.isalpha, t)) else [] for f, t in zip(found, texts, strict=True)]
             columns = [
