@@ -84,11 +84,14 @@ def unescape_common(text: Column) -> Column:
     return F.regexp_replace(text, "&amp;?", "&")
 
 
-def clean_html(html: Column, unescape=unescape_common) -> Column:
+def clean_html(html: Column, unescape=None) -> Column:
     """Plain text of markup: block tags become line breaks, other tags go, their text stays (also of scripts).
 
-    Entities are resolved after the tags are gone; lines are trimmed, runs of blank lines cut to one. Null is empty.
+    Entities (all of HTML, or as `unescape` does it) are resolved after the tags are gone; lines are trimmed, runs of
+    blank lines cut to one. Null is empty.
     """
+    if unescape is None:
+        from citewell.functions.entities import unescape_html as unescape
     t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</({BLOCK_TAGS})\b[^>]*>", "\n\n")
     t = F.regexp_replace(t, rf"(?i)<({BLOCK_TAGS})\b[^>]*>", "\n")
     t = unescape(F.regexp_replace(t, r"<[^>]*>", ""))
