@@ -177,39 +177,49 @@ SELECT o.group_id, outcome, CASE WHEN outcome = 'invalid_output' THEN 'malformed
 # ---------------------------------------------------------------- contracts and answers
 
 
-def _order_contract() -> dict:
-    line = {"type": "object", "required": ["part", "quantity"], "properties": {"part": {"type": "integer", "minimum": 1}, "quantity": {"type": "number", "maximum": 45}, "flag": {"type": "string", "enum": ["N", "R"]}}, "additionalProperties": False}
-    order = {"type": "object", "required": ["id", "status", "lines"], "properties": {"id": {"type": "integer"}, "status": {"type": "string", "enum": ["F", "O"]}, "priority": {"type": "string", "pattern": "^[1-4]-"}, "lines": {"type": "array", "maxItems": 6, "items": line}}, "additionalProperties": False}
-    return {("getOrder", 200): order, ("getOrder", 404): {"type": "object", "required": ["error"], "properties": {"error": {"type": "string", "minLength": 1}}}}
+_CONTRACT = {
+    ("getConversation", 200): {
+        "type": "object", "required": ["id", "turns"], "additionalProperties": False,
+        "properties": {
+            "id": {"type": "integer", "minimum": 1},
+            "turns": {
+                "type": "array", "maxItems": 6,
+                "items": {
+                    "type": "object", "required": ["turn", "role", "text"], "additionalProperties": False,
+                    "properties": {"turn": {"type": "integer", "maximum": 5}, "role": {"type": "string", "enum": ["user", "assistant"]}, "text": {"type": "string", "minLength": 1, "maxLength": 1500}},
+                },
+            },
+        },
+    },
+    ("getConversation", 404): {"type": "object", "required": ["error"], "properties": {"error": {"type": "string", "minLength": 1}}},
+}
 
 
 def contract_problems(spark, d):
-    """Orders with their lines, rendered as JSON answers of an operation and status, held against a contract."""
-    lines = driver_table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag")).alias("line")))).alias("x"))
-    orders = driver_table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.transform("x", lambda e: e["line"]).alias("lines")))
-    urgent = F.col("o_orderpriority") == "5-LOW"
-    status = F.when(urgent & (F.col("o_totalprice") > 200000), 500).when(urgent, 404).otherwise(200)
-    cut = F.when(F.col("o_totalprice") > 400000, F.substring(body, 1, 40)).otherwise(body)  # a body that ends early
-    rows = orders.select("o_orderkey", cut.alias("body"), F.lit("getOrder").alias("operation"), status.alias("status"))
-    found = contract.check_answers(rows, _order_contract()).select(F.explode("problems").alias("p"))
-    kind = F.regexp_replace("p", r"\[\d+\]", "[]")
-    return found.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"))
+    """Conversations rendered as JSON answers of an operation and status, held against a contract: problems by place."""
+    talk = driver_table(spark, d, "conversations").where("conv_id is not null and turn is not null and role is not null and text is not null")
+    turns = talk.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.sum(F.length("text")).alias("chars"))
+    body = F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))
+    body = F.when(F.col("chars") > 5000, F.left(body, F.lit(4000))).otherwise(body)  # one that ends early
+    status = F.when(F.size("turns") > 7, 500).when(F.col("answers") == 0, 404).otherwise(200)
+    rows = turns.select(body.alias("body"), F.lit("getConversation").alias("operation"), status.alias("status"))
+    found = contract.check_answers(rows, _CONTRACT).select(F.explode("problems").alias("p"))
+    return found.groupBy(F.regexp_replace("p", r"\[\d+\]", "[]").alias("problem")).agg(F.count("*").alias("n"))
 
 
 _CONTRACT_SQL = """
-WITH o AS (SELECT *, CASE WHEN o_orderpriority = '5-LOW' AND o_totalprice > 200000 THEN 500 WHEN o_orderpriority = '5-LOW' THEN 404 ELSE 200 END AS code FROM orders),
-good AS (SELECT * FROM o WHERE code = 200 AND NOT o_totalprice > 400000), l AS (SELECT g.o_orderkey, li.* FROM good g JOIN lineitem li ON l_orderkey = o_orderkey),
-p AS (SELECT 'no contract for getOrder 500' AS problem FROM o WHERE code = 500
-UNION ALL SELECT '$: not valid JSON' FROM o WHERE code <> 500 AND o_totalprice > 400000
-UNION ALL SELECT '$.error: missing' FROM o WHERE code = 404 AND NOT o_totalprice > 400000
-UNION ALL SELECT '$.status: not one of the values, ' || o_orderstatus FROM good WHERE o_orderstatus NOT IN ('F', 'O')
-UNION ALL SELECT '$.priority: does not match ^[1-4]-' FROM good WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')
-UNION ALL SELECT '$.lines: missing' FROM good WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT '$.lines: more than 6 items' FROM l GROUP BY o_orderkey HAVING count(*) > 6
-UNION ALL SELECT '$.lines[].part: below 1' FROM l WHERE l_partkey < 1
-UNION ALL SELECT '$.lines[].quantity: above 45' FROM l WHERE l_quantity > 45
-UNION ALL SELECT '$.lines[].flag: not one of the values, ' || l_returnflag FROM l WHERE l_returnflag NOT IN ('N', 'R'))
+WITH t AS (SELECT * FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE role = 'assistant') AS answers, sum(length(text)) AS chars FROM t GROUP BY conv_id),
+s AS (SELECT *, CASE WHEN n > 7 THEN 500 WHEN answers = 0 THEN 404 ELSE 200 END AS code, chars > 5000 AS cut FROM c), good AS (SELECT * FROM s WHERE code = 200 AND NOT cut), l AS (SELECT t.* FROM t JOIN good USING (conv_id)),
+p AS (SELECT 'no contract for getConversation 500' AS problem FROM s WHERE code = 500
+UNION ALL SELECT '$: not valid JSON' FROM s WHERE code <> 500 AND cut
+UNION ALL SELECT '$.error: missing' FROM s WHERE code = 404 AND NOT cut
+UNION ALL SELECT '$.id: below 1' FROM good WHERE conv_id < 1
+UNION ALL SELECT '$.turns: more than 6 items' FROM good WHERE n > 6
+UNION ALL SELECT '$.turns[].turn: above 5' FROM l WHERE turn > 5
+UNION ALL SELECT '$.turns[].role: not one of the values, ' || role FROM l WHERE role NOT IN ('user', 'assistant')
+UNION ALL SELECT '$.turns[].text: shorter than 1' FROM l WHERE text = ''
+UNION ALL SELECT '$.turns[].text: longer than 1500' FROM l WHERE length(text) > 1500)
 SELECT problem, count(*) AS n FROM p GROUP BY problem"""
 
 
