@@ -33,7 +33,8 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "n", within:
     ends = placed.groupBy(at.cast("int").alias("r")).agg(F.count("*").alias("n")).orderBy("r").collect()  # a row a range
     starts = list(zip([r["r"] for r in ends], accumulate([r["n"] for r in ends], initial=0), strict=False))
     if len(starts) > 1:
-        known = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start long"))
+        listed = F.array(*[F.struct(F.lit(r).alias("_range"), F.lit(n).cast("long").alias("_start")) for r, n in starts])
+        known = F.broadcast(df.sparkSession.range(1).select(F.inline(listed)))
         placed = placed.join(known, at.cast("int") == F.col("_range")).withColumn(_PLACE, F.col("_start") + F.col(_PLACE).bitwiseAND(F.lit((1 << _BITS) - 1)))
     elif starts:  # one range holds all, whichever it is
         placed = placed.withColumn(_PLACE, F.col(_PLACE).bitwiseAND(F.lit((1 << _BITS) - 1)))
