@@ -4,9 +4,10 @@ Every source is a queue. Its documents are shuffled by a seeded hash; a copy of
 finish time (words of the source up to and including the copy) / (the source's target), so all sources reach
 time 1 when each has given its target. Copies are taken in the order of finish time up to the total budget.
 
-Scale: the text is read once, to count words. Running sums within a source come from sums over hash ranges
-(partial aggregates) plus a window inside one range of one source, so a source with a third of all rows is
-spread over as many windows as it needs. The cut is a single tuple: copies that finish by time 1 always fit,
+Scale: the text is read once, to count words. Rows are numbered over the table in the order of source and hash; running
+sums within a source come from sums over every ROWS_A_RANGE numbers (partial aggregates) plus a window inside one such
+range, so a source, an id (null among them) or an equal row with a third of all rows is spread over as many windows as
+it needs. The cut is a single tuple: copies that finish by time 1 always fit,
 and only the few that finish just after it are ordered together.
 """
 
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.llm.common import WORD, keep, power_of_two_at_least, text_or_empty
+from citewell.llm.common import WORD, keep, text_or_empty
+from citewell.operators.numbering import numbered
 
 #: Weights by the rank of a source, repeating; the share of all words to take; the most copies.
 WEIGHTS = (5, 2, 1)
@@ -84,22 +86,23 @@ def decide(sized: DataFrame, weights=WEIGHTS, budget_ratio=BUDGET_RATIO, max_cop
     """The columns of mix() and tie for rows of doc_id, source, size and tie (any number that orders rows of one id)."""
     spark = sized.sparkSession
     targets = keep(source_targets(sized, weights, budget_ratio, max_copies).coalesce(1), "mix-targets")
-    n, n_sources = sized.count(), targets.count()
+    n_sources = targets.count()
     small = F.broadcast(targets) if n_sources <= BROADCAST_SOURCES else targets
-    bits = power_of_two_at_least(max(1, n / ROWS_A_RANGE))
     # 60 bits of a hash that SQL engines share; ties fall back to the id and the size
     key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     order = F.conv(F.left(F.sha2(key.cast("binary"), 256), F.lit(15)), 16, 10).cast("long")
     rows = sized.join(small, sized["source"].eqNullSafe(targets["source"])).select(
         "doc_id", sized["source"], "size", "tie", "sid", "source_size", "target", order.alias("dealt")
     )
-    rows = rows.withColumn("range", F.shiftright("dealt", 60 - bits) if bits else F.lit(0).cast("long"))
+    # windows of ROWS_A_RANGE rows of the order, whatever repeats: no id, and no row, can fill one beyond that
+    rows = numbered(rows.withColumn("row", F.monotonically_increasing_id()), ["sid", "dealt", "doc_id", "size", "tie", "row"], "n")
+    rows = rows.withColumn("range", F.floor(F.col("n") / ROWS_A_RANGE).cast("long"))
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("in_range"))
     earlier = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("earlier"))
-    within = Window.partitionBy("sid", "range").orderBy("dealt", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("sid", "range").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     dealt = rows.withColumn("here", F.sum("size").over(within)).join(sums, ["sid", "range"])
-    dealt = keep(dealt.withColumn("upto", F.col("earlier") + F.col("here")).drop("earlier", "here", "range"), "mix-dealt")
+    dealt = keep(dealt.withColumn("upto", F.col("earlier") + F.col("here")).drop("earlier", "here", "range", "n", "row"), "mix-dealt")
 
     cut = _cut(dealt, max_copies, spark)
     copies = sum((F.when(_taken(c, cut), 1).otherwise(0) for c in range(max_copies)), F.lit(0))
