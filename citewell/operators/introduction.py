@@ -67,7 +67,10 @@ def _claims_problem(claims: Column, ids: Column, where: Column) -> Column:
 
 
 def draft_problem(output: Column, evidence: Column, style: Column) -> Column:
-    """The first check that an output fails, in order: sections, review, their type, title and claims, reports, script."""
+    """The first check that an output fails, in order: sections, review, their type, title and claims, reports, script.
+
+    evidence: array of structs with id, in the order of the request.
+    """
     ids = F.transform(evidence, lambda e: e["id"])
     sections, reports = output["sections"], F.coalesce(output["differing_reports"], F.array().cast(CLAIMS))
 
@@ -113,9 +116,8 @@ def ask(commits: K.Commits, requests: DataFrame, generator: Callable[[str], str]
     again by the next run.
     """
     base = commits.state()[0]
-    hashes = requests.dropDuplicates(["request_hash"])
-    known = commits.read("answers", ANSWERS, K.touched_buckets(hashes, ["request_hash"], commits.buckets("answers", buckets)), base).select("request_hash", F.col("raw").alias("_known"))
-    open_ = hashes.join(known, "request_hash", "left_anti").select(F.col("request_hash").alias("item_id"), "request")
+    known = commits.read("answers", ANSWERS, K.touched_buckets(requests, ["request_hash"], commits.buckets("answers", buckets)), base).select("request_hash", F.col("raw").alias("_known"))
+    open_ = requests.join(known, "request_hash", "left_anti").dropDuplicates(["request_hash"]).select(F.col("request_hash").alias("item_id"), "request")
     given = keep(generation.generate(open_, generator, retries), "asked")  # asked once, whatever comes after
     calls = given.agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
     new = given.where("error is null").select(F.col("item_id").alias("request_hash"), "raw", "calls")
@@ -137,11 +139,13 @@ def run(commits: K.Commits, evidence: DataFrame, style: str, level: str, brief:
     with scratch("introductions") as result:
         fine = F.size(rules.evidence_violations(F.col("evidence"))) == 0
         request = F.to_json(F.struct(F.lit("introduce").alias("task"), F.lit(LANGUAGES[style]).alias("language"), F.lit(style).alias("style"), rules.request_body(F.lit(brief), F.transform("evidence", lambda e: e["text"])).alias("body")))
-        rows = keep(evidence.select(F.col("group_id").cast("long").alias("group_id"), "evidence", F.when(fine, request).alias("request")).withColumn("request_hash", T.content_hash(F.col("request"))), "requests")
-        answers, calls = ask(commits, rows.where("request is not null").select("request_hash", "request"), generator, now, buckets, retries)
+        slim = F.transform("evidence", lambda e: F.struct(e["id"].alias("id"), e["source_version"].alias("source_version")))  # texts are in the request alone
+        asked = keep(evidence.select(F.col("group_id").cast("long").alias("group_id"), slim.alias("evidence"), F.when(fine, request).alias("request")).withColumn("request_hash", T.content_hash(F.col("request"))), "requests")
+        rows = asked.select("group_id", "evidence", "request_hash")
+        answers, calls = ask(commits, asked.where("request is not null").select("request_hash", "request"), generator, now, buckets, retries)
         base = commits.state()[0]
         output = rules.decode_output(F.col("raw"), OUTPUT)
-        told = keep(rows.drop("request").join(answers, "request_hash", "left").withColumn("out", output).drop("raw"), "decoded")
+        told = keep(rows.join(answers, "request_hash", "left").withColumn("out", output).drop("raw"), "decoded")
         told = told.withColumn("problem", draft_problem(F.col("out.value"), F.col("evidence"), F.lit(style)))
         outcome = F.when(F.col("request_hash").isNull(), "insufficient_evidence").when(F.col("error").isNotNull(), "provider_error").when(F.col("out.error").isNotNull(), "invalid_output").when(F.col("problem").isNotNull(), "invalid_draft").otherwise("pending")
         reason = F.when(outcome == "provider_error", F.col("error")).when(outcome == "invalid_output", F.col("out.error")).when(outcome == "invalid_draft", F.col("problem"))

@@ -13,7 +13,7 @@ from citewell.plans import maintenance
 from citewell.plans.common import clean_html_sql, lexical_sql, paragraphs_sql
 from citewell.plans.texts import CAP, _pack_sql
 from citewell.sources import commits as K
-from citewell.sources.shared import folder
+from citewell.sources.shared import folder, keep
 from citewell.sources.tables import driver_table
 
 T0, T1 = "2024-01-01 00:00:00", maintenance.NOW
@@ -143,6 +143,7 @@ def introduction_run(spark, d):
     sources = docs.select("source").where("source is not null").distinct().select(F.col("source").alias("id"), F.concat(F.lit("v-"), F.col("source")).alias("version_id"), F.lit(True).alias("usable"))
     groups = docs.where("doc_id is not null").select(F.floor(F.col("doc_id") / 100).alias("group_id")).distinct()
     evidence = groups.join(introduction.load_evidence(chunks, sources), "group_id", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<struct<id:string,source_id:string,source_version:string,text:string>>")))
+    evidence = keep(evidence, "evidence")  # both runs read it
     log = K.Commits(spark, folder(spark, "store"))
     decided = docs.where("toxic = 1").select(F.floor(F.col("doc_id") / 100).alias("group_id")).distinct()  # a toxic document: somebody has decided
     values = [c for c in introduction.INTRODUCTIONS.replace(introduction.SECTIONS, "S").replace(introduction.CLAIMS, "C").split(", ")]
