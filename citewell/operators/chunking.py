@@ -95,8 +95,12 @@ def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False
     )
 
 
-def chunk_anchor_map(chunks: DataFrame) -> DataFrame:
-    """The mapping of each chunk: a view over chunks, so it cannot drift."""
+def chunk_anchor_map(chunks: DataFrame, strict: bool = False) -> DataFrame:
+    """The mapping of each chunk: a view over chunks, so it cannot drift. strict: the first invalid range that is met is an error."""
+    if strict:
+        told = F.raise_error(F.concat(F.lit("invalid range of chunk "), F.coalesce("id", F.lit("?"))))
+        valid = range_valid(F.col("mapping_type"), F.col("start"), F.col("end"))
+        chunks = chunks.withColumn("mapping_type", F.when(valid, F.col("mapping_type")).otherwise(told.cast("string")))
     return chunks.select("id", F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type", (~range_valid(F.col("mapping_type"), F.col("start"), F.col("end"))).alias("invalid"))
 
 

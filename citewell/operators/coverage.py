@@ -69,6 +69,11 @@ def mapping_drift(mappings: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("chunk_id", shape.alias("shape")).where("shape is not null")
 
 
+def no_drift(drift: DataFrame) -> DataFrame:
+    """One row: whether chunks and mappings agree, which they do where mapping_drift has no row."""
+    return drift.agg((F.count("*") == 0).alias("no_drift"))
+
+
 def passage_text(pieces: DataFrame) -> DataFrame:
     """group_id, anchor, passage: the texts of an anchor's pieces in order, each after a space."""
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "text")))

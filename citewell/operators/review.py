@@ -27,6 +27,18 @@ def resolve_refs(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return every.select("item_id", F.coalesce("evidence", empty).alias("evidence"), F.coalesce(F.transform("_lost", lambda x: x["chunk_id"]), F.array().cast("array<string>")).alias("missing"))
 
 
+def carried_citations(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """item_id, pos, chunk_id, source_id, source_version: the citations of items in their stored order; one that does not
+    resolve is an error that names the item and the reference.
+
+    items: item_id, refs (array<string>). Blank references are skipped, repeats kept.
+    """
+    resolved = resolve_refs(items, chunks)
+    lost = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(" cites a missing chunk: "), F.col("missing")[0])
+    sure = F.when(F.size("missing") > 0, F.raise_error(lost)).otherwise(F.col("evidence"))
+    return resolved.select("item_id", F.explode(sure).alias("e")).select("item_id", "e.*")
+
+
 def range_text(items: DataFrame, anchors: DataFrame) -> DataFrame:
     """item_id, text: the texts of anchors start..end of the item's group, one a line, blank ones left out."""
     wanted = items.where("start >= 1 and end >= start").select("item_id", "group_id", F.explode(F.sequence("start", "end")).alias("anchor"))

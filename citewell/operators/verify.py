@@ -50,6 +50,22 @@ def verification_tally(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+#: Verdicts of cross_verify, as its precedence has them.
+VERDICTS = ("ok", "confirmed", "disputed", "unsettled", "not_stored", "differs", "bad_hash")
+
+
+def verification_summary(verdicts: DataFrame, primary: DataFrame, second: DataFrame, stored: DataFrame) -> DataFrame:
+    """what, n: every verdict, with 0 where there is none; skipped (keys that the second source lacks), extras (stored
+    keys that the primary lacks) and third_only; and total."""
+    spark = verdicts.sparkSession
+    listed = spark.range(1).select(F.posexplode(F.array(*[F.lit(v) for v in VERDICTS])).alias("_k", "what")).select("what")
+    counts = listed.join(verification_tally(verdicts).withColumnRenamed("verdict", "what"), "what", "left").select("what", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    lacking = lambda a, b, what: a.select("key").join(b.select("key"), "key", "left_anti").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    alone = verdicts.agg(F.count_if("third_only").alias("n")).select(F.lit("third_only").alias("what"), "n")
+    total = verdicts.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), "n")
+    return counts.unionByName(lacking(primary, second, "skipped")).unionByName(lacking(stored, primary, "extras")).unionByName(alone).unionByName(total)
+
+
 def extras(stored: DataFrame, group_sizes: DataFrame) -> DataFrame:
     """Stored keys outside 1..n of their group, ordered."""
     sized = stored.join(group_sizes, "group_id", "left")
@@ -153,3 +169,8 @@ def defect_tally(audited: DataFrame) -> DataFrame:
     each = audited.select(F.explode("defects").alias("defect")).groupBy("defect").agg(F.count("*").alias("n"))
     verdict = audited.agg(((F.count("*") > 0) & (F.count_if(F.size("defects") > 0) == 0)).cast("long").alias("n"))
     return each.unionByName(verdict.select(F.lit("VERDICT").alias("defect"), "n"))
+
+
+def needs_embedding(audited: DataFrame) -> DataFrame:
+    """The rows of a vector audit that have to be embedded anew: those with any defect."""
+    return audited.where(F.size("defects") > 0)

@@ -228,6 +228,18 @@ def verification_tally(spark, d):
     return verify.verification_tally(cross_source_verify(spark, d))
 
 
+def verification_summary(spark, d):
+    """Documents against two other sources that differ by language, with lost and surplus rows: all counts, zeros too."""
+    docs = driver_table(spark, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    primary = docs.select("key", "text")
+    stored = docs.where(~F.coalesce(F.col("source") == "src3", F.lit(False))).select("key", F.when(F.col("lang") == "es", F.concat("text", F.lit("z"))).otherwise(F.col("text")).alias("text"), T.content_hash(F.col("text")).alias("content_hash"))
+    surplus = docs.where("source = 'src4'").select((-F.col("key") - 1).alias("key"), "text", T.content_hash(F.col("text")).alias("content_hash"))
+    second = docs.where("lang is not null and lang <> 'de'").select("key", F.when(F.col("lang") == "fr", F.concat("text", F.lit("x"))).otherwise(F.replace("text", F.lit(" "), F.lit(""))).alias("text"))
+    third = docs.where("source <> 'src1'").select("key", F.when(F.col("source") == "src2", F.concat("text", F.lit("y"))).otherwise(F.col("text")).alias("text"))
+    stored = stored.unionByName(surplus)
+    return verify.verification_summary(verify.cross_verify(stored, primary, second, third), primary, second, stored)
+
+
 def reader_page(spark, d):
     """Anchors with the latest explanation and media of each."""
     lines = driver_table(spark, d, "lineitem")
@@ -240,7 +252,7 @@ def reader_page(spark, d):
 
 _NAMES = (
     "group_scan point_lookup ordered_list narrowed delta_plan upsert_prune vector_upsert undecided_upsert approval_gate latest_status duplicate_keys batches numbered_documents missing_grid grid_audit "
-    "pin_resolution attribution review_queue cited_problems range_text decision_fold final_decisions introduction_state rerun_policy attempt_outcomes cross_source_verify verification_tally reader_page"
+    "pin_resolution attribution review_queue cited_problems range_text decision_fold final_decisions introduction_state rerun_policy attempt_outcomes cross_source_verify verification_tally verification_summary reader_page"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -292,5 +304,14 @@ SELECT item_id, item_id % 10 AS group_id, evidence, missing, citation, evidence
     "attempt_outcomes": "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'insufficient_evidence' WHEN o_orderkey % 7 = 0 THEN 'invalid_grounding' WHEN o_orderkey % 11 = 0 THEN 'corpus_mismatch' WHEN o_orderkey % 13 = 0 THEN 'dry_run' WHEN o_orderkey % 17 = 0 THEN 'provider_error' WHEN o_orderkey % 19 = 0 THEN 'validation_failed' WHEN o_orderkey % 23 = 0 THEN 'write_failed' ELSE 'pending' END AS outcome, count(*) AS n FROM orders GROUP BY 1",
     "cross_source_verify": f"WITH {_VERIFY_SQL} SELECT key, stored_ok, hash_ok, verdict, third_only FROM v",
     "verification_tally": f"WITH {_VERIFY_SQL} SELECT verdict, count(*) AS n FROM v GROUP BY verdict",
+    "verification_summary": f"""WITH d AS (SELECT doc_id AS key, coalesce(text, '') AS text, lang, source FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT key, CASE WHEN lang = 'es' THEN text || 'z' ELSE text END AS text, sha256(text) AS h FROM d WHERE NOT coalesce(source = 'src3', false) UNION ALL SELECT -key - 1, text, sha256(text) FROM d WHERE source = 'src4'),
+b AS (SELECT key, CASE WHEN lang = 'fr' THEN text || 'x' ELSE replace(text, ' ', '') END AS text FROM d WHERE lang IS NOT NULL AND lang <> 'de'), t AS (SELECT key, CASE WHEN source = 'src2' THEN text || 'y' ELSE text END AS text FROM d WHERE source <> 'src1'),
+j AS (SELECT d.key, coalesce(s.text = d.text, false) AS stored_ok, coalesce(s.h = sha256(s.text), false) AS hash_ok, s.text IS NULL AS lost, b.text IS NOT NULL AND {letter_key_sql('b.text')} <> {letter_key_sql('d.text')} AS bb, t.text IS NOT NULL AND {letter_key_sql('t.text')} <> {letter_key_sql('d.text')} AS tb, t.text IS NULL AS no_third
+  FROM d LEFT JOIN s USING (key) LEFT JOIN b USING (key) LEFT JOIN t USING (key)),
+v AS (SELECT CASE WHEN lost THEN 'not_stored' WHEN NOT stored_ok THEN 'differs' WHEN NOT hash_ok THEN 'bad_hash' WHEN bb THEN CASE WHEN no_third THEN 'unsettled' WHEN tb THEN 'disputed' ELSE 'confirmed' END ELSE 'ok' END AS verdict, tb AND NOT bb AS third_only FROM j)
+SELECT what, (SELECT count(*) FROM v WHERE verdict = what) AS n FROM (VALUES ('ok'), ('confirmed'), ('disputed'), ('unsettled'), ('not_stored'), ('differs'), ('bad_hash')) l(what)
+UNION ALL SELECT 'skipped', count(*) FROM d WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'extras', count(*) FROM s WHERE key NOT IN (SELECT key FROM d)
+UNION ALL SELECT 'third_only', count(*) FILTER (WHERE third_only) FROM v UNION ALL SELECT 'total', count(*) FROM v""",
     "reader_page": "WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS m FROM lineitem WHERE l_linenumber = 1) SELECT o_orderkey AS group_id, coalesce(CAST(a.l_partkey AS VARCHAR), '') AS explanation, coalesce(CAST(b.l_suppkey AS VARCHAR), '') AS url FROM orders LEFT JOIN x a ON a.l_orderkey = o_orderkey AND a.r = 1 LEFT JOIN x b ON b.l_orderkey = o_orderkey AND b.m = 1 AND b.l_suppkey % 2 = 0",
 }
