@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Spark DDL of the entities.
@@ -96,6 +96,38 @@ def parse_corpus(texts: DataFrame, group_id: int) -> DataFrame:
     return rows.where(F.col("group_id") == group_id).select("path", "group_id", "anchor", "text")
 
 
+#: Records of a window when headings are carried on, about.
+_CARRY = 2_000
+
+
+def read_corpus(spark: SparkSession, path: str, group_id: int) -> DataFrame:
+    """path, group_id, anchor, text: the rows of parse_corpus over files of any size; a file is many tasks' work.
+
+    Files are split at lines that begin with `## `. What such a line begins is a section if it is an anchored heading;
+    anything else goes on with the last section before it, also where that lies in another task's part of the file: records are
+    numbered in the order of the files, and the last heading is carried over windows of _CARRY records.
+    """
+    from citewell.operators.numbering import numbered
+
+    records = spark.read.text(path, lineSep="\n## ").select(F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_m", F.monotonically_increasing_id())
+    records = numbered(records, ["path", "_at", "_m"], "_n")
+    opens = F.when((F.col("_at") == 0) & F.startswith("value", F.lit("## ")), F.substring(F.col("value"), F.lit(4), F.length("value"))).when(F.col("_at") >= 0, F.col("value"))
+    first = F.min("_n").alias("_first")
+    starts = records.groupBy("path").agg(first)
+    rows = records.join(starts, "path").withColumn("_body", F.when((F.col("_n") > F.col("_first")) | F.startswith("value", F.lit("## ")), F.when(F.col("_n") > F.col("_first"), F.col("value")).otherwise(opens)))
+    heading = r"^ *(\d+):(\d+)[ \t]*\r?(?:\n|$)"
+    rows = rows.withColumn("_h", F.when(F.col("_body").rlike(heading), F.col("_n"))).withColumn("_block", F.floor(F.col("_n") / _CARRY))
+    blocks = rows.groupBy("path", "_block").agg(F.max("_h").alias("_last"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for _CARRY records
+    blocks = blocks.select("path", "_block", F.max("_last").over(earlier).alias("_before"))
+    here = Window.partitionBy("path", "_block").orderBy("_n")
+    carried = rows.withColumn("_own", F.max("_h").over(here)).join(blocks, ["path", "_block"]).withColumn("_s", F.coalesce("_own", "_before")).where("_s is not null")
+    parts = carried.groupBy("path", "_s").agg(F.array_sort(F.collect_list(F.struct("_n", "_body"))).alias("p"))  # a section is one row
+    whole = F.array_join(F.transform("p", lambda x: x["_body"]), "\n## ")
+    sections = parts.select("path", whole.alias("t")).select("path", F.regexp_extract("t", heading, 1).cast("int").alias("group_id"), F.regexp_extract("t", heading, 2).cast("int").alias("anchor"), F.regexp_replace(F.regexp_replace("t", heading, ""), r"^\s+|\s+$", "").alias("text"))
+    return sections.where(F.col("group_id") == group_id)
+
+
 def corpus_violations(sections: DataFrame, n: int) -> DataFrame:
     """group_id, violations: of a parsed corpus that should have anchors 1..n once each, none empty."""
     spark = sections.sparkSession
