@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citewell.functions.overlap import MIN_RUN
+from citewell.functions.overlap import MIN_RUN, bound
 from citewell.functions.text import match_form
 
 
@@ -26,11 +26,18 @@ def words_of(text: Column) -> Column:
 
 
 def seeds(words: Column, least: int) -> Column:
-    """array<struct<h, g>>: two hashes of every stretch of `least` words, in order; their index is the position."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - least + 1, F.lit(1)))
-    stretch = lambda i: F.array_join(F.slice(words, i, least), " ")
-    found = F.transform(starts, lambda i: F.struct(F.xxhash64(stretch(i)).alias("h"), F.hash(stretch(i)).alias("g")))
-    return F.when(F.size(words) >= least, found).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
+    """array<struct<h, g>>: two hashes of every stretch of `least` words, in order; their index is the position.
+
+    Words are hashed once each, and stretches from the hashes of their words, so no stretch becomes a string.
+    """
+
+    def stretches(x: Column) -> Column:
+        own = lambda i: [F.get(x, i + k) for k in range(least)]
+        starts = F.sequence(F.lit(0), F.greatest(F.size(x) - least, F.lit(0)))
+        found = F.transform(starts, lambda i: F.struct(F.xxhash64(*own(i)).alias("h"), F.hash(*own(i)).alias("g")))
+        return F.when(F.size(x) >= least, found).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), stretches)
 
 
 def _seeded(texts: DataFrame, key: str, position: str, least: int) -> DataFrame:
