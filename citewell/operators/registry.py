@@ -9,6 +9,15 @@ from citewell.functions import text as T
 from citewell.operators.incremental import usable
 
 
+#: The most rows of a table of sources that is sent to every executor; with more, chunks move to them.
+BROADCAST_SOURCES = 500_000
+
+
+def small(by_source: DataFrame) -> DataFrame:
+    """A table of narrow rows, one a source, marked for broadcast where it has BROADCAST_SOURCES at most (counted)."""
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def resolve_pins(sources: DataFrame, versions: DataFrame) -> DataFrame:
     """id, version, reason of every source: the pointer wins, else the only version; otherwise version is null and
     reason tells why (dangling_pointer, wrong_owner, no_hash, none, ambiguous).
@@ -85,11 +94,15 @@ def registry_integrity(registered: DataFrame, sources: DataFrame, versions: Data
     return lacks(sources, "source_id", "no_source").unionByName(lacks(versions, "version_id", "no_version")).unionByName(lacks(documents, "document_id", "no_document")).unionByName(differs)
 
 
-def evidence_with_pin(chunks: DataFrame, pins: DataFrame, versions: DataFrame) -> DataFrame:
-    """chunks with problem: null, no_pin, version_differs or hash_differs against the pinned version."""
+def evidence_with_pin(chunks: DataFrame, pins: DataFrame, versions: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """chunks with problem: null, no_pin, version_differs or hash_differs against the pinned version.
+
+    state: source_id and more columns of every source, which chunks get too. Chunks meet one table of sources, once.
+    """
     pin = pins.where("version is not null").select(F.col("id").alias("source_id"), F.col("version").alias("_pin")).join(versions.select(F.col("id").alias("_pin"), F.col("content_hash").alias("_hash")), "_pin", "left")
+    known = small(pin if state is None else pin.join(state, "source_id", "full"))
     problem = F.when(F.col("_pin").isNull(), "no_pin").when(F.col("source_version") != F.col("_pin"), "version_differs").when(~F.col("source_version_hash").eqNullSafe(F.col("_hash")), "hash_differs")
-    return chunks.join(pin, "source_id", "left").withColumn("problem", problem).drop("_pin", "_hash")
+    return chunks.join(known, "source_id", "left").withColumn("problem", problem).drop("_pin", "_hash")
 
 
 def apply_record(tables: dict[str, DataFrame], record: DataFrame, file_hash: str, now) -> dict[str, DataFrame]:

@@ -113,13 +113,16 @@ def publication_problem(items: DataFrame, chunks: DataFrame, sources: DataFrame,
     empty = F.exists("claims", lambda c: T.is_blank(c["text"]) | (F.coalesce(F.size(c["source_refs"]), F.lit(0)) <= 0))
     stray = F.exists("claims", lambda c: F.size(F.array_except(c["source_refs"], F.col("refs"))) > 0)
     own = F.when((F.coalesce(F.size("refs"), F.lit(0)) <= 0) | (F.coalesce(F.size("claims"), F.lit(0)) <= 0), "nothing_cited").when(empty, "empty_claim").when(stray, "stray_ref")
+    own = items.select("item_id", "refs", own.alias("_own"), "snapshot")  # claims stay where they are; an item with a reason of its own looks nothing up
     state = sources.select(F.col("id").alias("source_id"), usable().alias("_usable"))
-    known = evidence_with_pin(chunks.where("verified"), pins, versions).join(state, "source_id", "left")
-    refs = items.select("item_id", F.explode(F.array_distinct("refs")).alias("chunk_id")).join(known.select("chunk_id", "source_version", "problem", "_usable"), "chunk_id", "left")
-    each = F.when(F.col("source_version").isNull(), "1 unresolved").when(~F.coalesce("_usable", F.lit(False)), "2 unusable_source").when(F.col("problem").isNotNull(), "3 not_pinned")
-    per = refs.groupBy("item_id").agg(F.min(each).alias("_each"), snapshot_of(F.collect_set("source_version")).alias("_now"))
-    found = F.coalesce(own, F.substr("_each", F.lit(3)), F.when(~F.col("_now").eqNullSafe(F.col("snapshot")), "stale_snapshot"))
-    return items.join(per, "item_id", "left").select("item_id", found.alias("problem"))
+    known = evidence_with_pin(chunks.where("verified"), pins, versions, state)
+    each = F.when(F.col("source_version").isNull(), 1).when(~F.coalesce("_usable", F.lit(False)), 2).when(F.col("problem").isNotNull(), 3)
+    known = known.select("chunk_id", "source_version", each.cast("byte").alias("_each"), F.lit(True).alias("_there"))
+    refs = own.where("_own is null").select("item_id", F.explode(F.array_distinct("refs")).alias("chunk_id")).join(known, "chunk_id", "left")
+    per = refs.groupBy("item_id").agg(F.min(F.when(F.col("_there"), F.col("_each")).otherwise(1)).alias("_each"), snapshot_of(F.collect_set("source_version")).alias("_now"))
+    told = F.when(F.col("_each") == 1, "unresolved").when(F.col("_each") == 2, "unusable_source").when(F.col("_each") == 3, "not_pinned")
+    found = F.coalesce("_own", told, F.when(~F.col("_now").eqNullSafe(F.col("snapshot")), "stale_snapshot"))
+    return own.drop("refs").join(per, "item_id", "left").select("item_id", found.alias("problem"))
 
 
 def introduction_queue(items: DataFrame, chunks: DataFrame, sources: DataFrame) -> DataFrame:

@@ -90,12 +90,17 @@ def chunk_estimate(spark, d):
 _PIECES_SQL = f"WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS length, CAST(list_sum(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: ceil(length(x) / {CAP}))) AS BIGINT) AS pieces FROM documents)"
 
 
-def _lines(spark, d):
-    """Line items as rows with a group, an anchor, statuses and texts."""
-    return driver_table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("int").alias("anchor"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("id"),
+def _lines(spark, d, together: bool = False):
+    """Line items as rows with a group, an anchor, statuses and texts; together: the rows of a group in one partition, for those who group them next.
+
+    Distinct by four numbers, which the id is made of, so no text is moved.
+    """
+    rows = driver_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").cast("int").alias("anchor"), "l_partkey", "l_suppkey")
+    rows = (rows.repartition("group_id") if together else rows).distinct()
+    return rows.select(
+        "group_id", "anchor", F.concat_ws("-", *[F.col(c).cast("string") for c in rows.columns]).alias("id"),
         F.when(F.col("l_suppkey") % 3 == 0, "pending").when(F.col("l_suppkey") % 3 == 1, "published").otherwise("rejected").alias("review_status"), "l_partkey", "l_suppkey",
-    ).dropDuplicates(["id"])
+    )
 
 
 _LINES_SQL = "l AS (SELECT DISTINCT l_orderkey AS group_id, CAST(l_linenumber AS INTEGER) AS anchor, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, CASE l_suppkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'published' ELSE 'rejected' END AS review_status, l_partkey, l_suppkey FROM lineitem)"
@@ -237,12 +242,12 @@ def _versions(sources):
     return sources.select(F.explode(two).alias("v"), F.col("id").alias("source_id")).select(F.concat("source_id", "v").alias("id"), "source_id", F.sha2(F.concat("source_id", "v").cast("binary"), 256).alias("content_hash"))
 
 
-def _evidence(spark, d):
+def _evidence(spark, d, together: bool = False):
     """Line items as chunks of their suppliers: some of an older version, some with another hash, some not verified."""
     key = F.col("l_suppkey").cast("string")
     version = F.concat(key, F.when(F.col("l_partkey") % 19 == 0, "@0").otherwise("@1"))
     good = F.sha2(version.cast("binary"), 256)
-    return _lines(spark, d).select("group_id", "anchor", F.col("id").alias("chunk_id"), key.alias("source_id"), version.alias("source_version"), F.when(F.col("l_partkey") % 23 == 0, "x").otherwise(good).alias("source_version_hash"), (F.col("l_partkey") % 13 != 0).alias("verified"))
+    return _lines(spark, d, together).select("group_id", "anchor", F.col("id").alias("chunk_id"), key.alias("source_id"), version.alias("source_version"), F.when(F.col("l_partkey") % 23 == 0, "x").otherwise(good).alias("source_version_hash"), (F.col("l_partkey") % 13 != 0).alias("verified"))
 
 
 def pinned_evidence(spark, d):
@@ -260,7 +265,7 @@ def publication_problems(spark, d):
     """The first reason why each order, as an introduction that cites its lines, may not be published."""
     sources = _sources(spark, d)
     versions = _versions(sources)
-    chunks = _evidence(spark, d)
+    chunks = _evidence(spark, d, together=True)
     k = F.col("item_id")
     refs = F.transform(F.array_sort(F.collect_list(F.struct("anchor", "chunk_id"))), lambda x: x["chunk_id"])
     items = chunks.groupBy(F.col("group_id").alias("item_id")).agg(refs.alias("refs"), registry.snapshot_of(F.collect_set("source_version")).alias("snapshot"))
@@ -276,7 +281,7 @@ SELECT item_id, CASE WHEN item_id % 17 = 0 THEN 'nothing_cited' WHEN item_id % 1
 
 
 def introduction_queue(spark, d):
-    chunks = _evidence(spark, d)
+    chunks = _evidence(spark, d, together=True)
     items = chunks.groupBy(F.col("group_id").alias("item_id")).agg(F.array_sort(F.collect_list("chunk_id")).alias("refs"), registry.snapshot_of(F.collect_set("source_version")).alias("snapshot"))
     k = F.col("item_id")
     items = items.select("item_id", (k % 9).alias("group_id"), F.when(k % 2 == 0, "en").otherwise("simplified_ar").alias("style"), F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("refs")).alias("refs"), F.when(k % 5 == 0, "old").otherwise(F.col("snapshot")).alias("snapshot"), F.when(k % 3 == 0, "published").otherwise("pending").alias("review_status"))
