@@ -64,7 +64,7 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: " + "; ".join(f"{r[0]}: {', '.join(r['violations'])}" for r in first))
 
 
-def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False, pack=None, also: list[str] | None = None) -> DataFrame:
+def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False, pack=None, also: list[str] | None = None, stored: DataFrame | None = None) -> DataFrame:
     """Chunks of sections, one row a piece.
 
     sections: document_id, group_id (0 or null: doc_group_id counts), doc_group_id, source_id, source_version, ordinal,
@@ -74,6 +74,9 @@ def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False
     (text column -> array column), e.g. text.pack_words_udf(cap) for very long paragraphs. also: columns of sections that
     chunks carry too.
 
+    stored: id, document_id, model of chunks that are stored; chunks get stored_model then, of the stored chunk with their
+    id (null: none). An id names its document (not with legacy), so both are dealt by document, once.
+
     One shuffle, of pieces; no piece carries its section's or paragraph's text.
     """
     packer = pack or (lambda t: T.pack_words(t, cap))
@@ -83,14 +86,23 @@ def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False
     own += ["group_id", "_whole"]
     paragraphs = split.select(*own, (F.size("_ps") > 1).alias("_many"), F.posexplode("_ps").alias("_p", "_paragraph"))
     packed = paragraphs.select(*own, "_many", "_p", packer(F.col("_paragraph")).alias("_qs"))
-    pieces = packed.select(*own, (F.col("_many") | (F.size("_qs") > 1)).alias("_many"), "_p", F.posexplode("_qs").alias("_q", "piece")).withColumn("content_hash", T.content_hash(F.col("piece")))
+    pieces = packed.select(*own, (F.col("_many") | (F.size("_qs") > 1)).alias("_many"), "_p", F.posexplode("_qs").alias("_q", "piece"))
+    if stored is not None:
+        known = stored.select("document_id", F.col("id").alias("_id"), F.col("model").alias("_model"), F.lit(True).alias("_old"))
+        pieces = pieces.unionByName(known, allowMissingColumns=True).repartition("document_id")
+    pieces = pieces.withColumn("content_hash", T.content_hash(F.col("piece")))
     key = ["document_id", "group_id", "start", "end", "mapping_type", "content_hash"]
     numbered = pieces.withColumn("dup", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "_p", "_q")) - 1)
     document = None if legacy else F.col("document_id")
     ident = lambda h, dup: T.chunk_id(F.col("source_id"), F.col("source_version"), F.col("start"), F.col("end"), F.col("mapping_type"), h, dup, document)
     parent = F.when(F.col("_many"), ident(F.col("_whole"), F.lit(0)))
+    numbered = numbered.withColumn("id", ident(F.col("content_hash"), F.col("dup")))
+    if stored is not None:
+        numbered = numbered.withColumn("id", F.when(F.col("_old"), F.col("_id")).otherwise(F.col("id")))
+        numbered = numbered.withColumn("stored_model", F.max("_model").over(Window.partitionBy("document_id", "id"))).where("_old is null")
+        also = [*(also or []), "stored_model"]
     return numbered.select(
-        ident(F.col("content_hash"), F.col("dup")).alias("id"), "document_id", parent.alias("parent_chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type",
+        "id", "document_id", parent.alias("parent_chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type",
         F.col("piece").alias("text"), T.lexical_form(F.col("piece")).alias("text_normalized"), "content_hash", "dup", "ordinal", F.col("_p").alias("paragraph"), F.col("_q").alias("part"), *(also or []),
     )
 

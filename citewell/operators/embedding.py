@@ -78,8 +78,8 @@ def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[s
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return _batch(frame, embedder, width, attempts, backoff)
 
-    with scratch("embedded") as result:
-        own = numbered(rows, order, "n").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
+    with scratch("embedded", "zstd") as result:
+        own = numbered(rows, order, "n", codec="zstd").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
         schema = StructType([*own.schema, *StructType.fromDDL("embedding array<double>, attempts int, error string")])
         return (save or result)(own.groupBy("batch").applyInPandas(run, schema))
 

@@ -60,12 +60,12 @@ def document_facts(documents: DataFrame) -> DataFrame:
     return own.select("document_id", "source_id", "source_version", "usable", F.concat("violations", "_more").alias("violations"))
 
 
-def chunks_of(documents: DataFrame, model: str, cap: int) -> DataFrame:
-    """Chunks of pinned documents, with what a stored chunk carries but its normal form and its vector, and their order."""
+def chunks_of(documents: DataFrame, model: str, cap: int, stored: DataFrame | None = None) -> DataFrame:
+    """Chunks of pinned documents, with what a stored chunk carries but its normal form and its vector, and their order; stored: as in build_chunks."""
     also = ["language", "content_type", "authority_tier", "source_version_hash"]
     sections = documents.select(F.col("id").alias("document_id"), F.col("group_id").alias("doc_group_id"), "source_id", "source_version", *also, F.explode("sections").alias("s"))
     sections = sections.select("document_id", "doc_group_id", "source_id", "source_version", *also, "s.*")
-    built = chunking.build_chunks(sections, cap, pack=T.pack_words_udf(cap), also=also)
+    built = chunking.build_chunks(sections, cap, pack=T.pack_words_udf(cap), also=also, stored=stored)
     return built.drop("text_normalized").withColumns({"review_status": F.lit("pending"), "model": F.lit(model)})
 
 
@@ -78,7 +78,7 @@ def ingest(commits: K.Commits, documents: DataFrame, sources: DataFrame, embedde
     dry run writes no table and calls no embedder. No documents: nothing is done.
     """
     base = commits.state()[0]
-    with scratch("ingest"), scratch("ingest") as lasting:
+    with scratch("ingest"), scratch("ingest", "zstd") as lasting:
         known = pinned(documents, sources)
         facts = keep(document_facts(known), "facts")  # no texts
         refused = [r[0] for r in facts.where("not usable").select("source_id").distinct().orderBy("source_id").limit(5).collect()]
@@ -86,46 +86,52 @@ def ingest(commits: K.Commits, documents: DataFrame, sources: DataFrame, embedde
             raise Refused(f"sources not approved: {', '.join(map(str, refused))}")
         chunking.enforce(facts.select("document_id", "violations"), "documents")
         own = facts.select("source_id", "source_version").distinct()
-        with scratch("planned"):  # whole texts go as soon as the next table has them
-            planned, report = _planned(commits, chunks_of(known, model, cap), batch, base)
-            chunking.enforce(planned.select("id", complete_chunk_violations().alias("violations")), "chunks")
-            if dry_run or not report["total"]:
-                return report
-            maps = lasting(planned.select(F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type"))
-            full = planned.where("state = 'embed'")
-            if report["pending"]:
-                if embedder is None:
-                    raise ValueError("no embedder; only a dry run can do without one")
-                try:
-                    full = embedding.embedded(full, embedder, width, ORDER, batch, attempts, backoff, lasting)
-                except embedding.BatchError:
-                    commits.commit(base, [_status(commits, own, "failed", now, base)])
-                    raise
-            else:
-                full = lasting(full.withColumn("embedding", F.lit(None).cast("array<double>")))
-        hashed = F.when(F.col("embedding").isNotNull(), embedding_hash_udf()(F.col("model"), F.col("embedding")))
-        full = full.withColumns({"text_normalized": T.lexical_form(F.col("text")), "embedding_hash": hashed})
-        full = full.select(*[c.split()[0] for c in CHUNKS.split(", ")][:-2])
-        chunks = K.upsert(commits, "chunks", full, ["id"], now, CHUNKS, buckets, base)
-        before = commits.read("mappings", MAPPINGS, number=base).select(*maps.columns)
-        changed = keep(maps.exceptAll(before), "maps")  # one that was lost comes back too
-        mapped = K.upsert(commits, "mappings", changed, ["chunk_id"], now, MAPPINGS, buckets, base)
+        planned, report = _planned(commits, known, model, cap, batch, base)
+        chunking.enforce(planned.select("id", "violations"), "chunks")
+        if dry_run or not report["total"]:
+            return report
+        maps = planned.select(F.col("id").alias("chunk_id"), "source_id", "source_version", "group_id", "start", "end", "mapping_type")
+        full = planned.where("state = 'embed'").drop("violations", "state")
+        if report["pending"]:
+            if embedder is None:
+                raise ValueError("no embedder; only a dry run can do without one")
+            try:
+                full = embedding.embedded(full, embedder, width, ORDER, batch, attempts, backoff, lasting)
+            except embedding.BatchError:
+                commits.commit(base, [_status(commits, own, "failed", now, base)])
+                raise
+        else:
+            full = full.withColumn("embedding", F.lit(None).cast("array<double>"))
+        full = full.drop("ordinal", "paragraph", "part")
+        ids = {"keep": planned.select("id"), "scope": own} if prune else {}
+        chunks, report["deleted"] = K.upsert(commits, "chunks", full, ["id"], now, CHUNKS, buckets, base, finish=_derived, count=True, **ids)
+        changed = maps
+        if commits.state(base)[1].get("mappings"):
+            changed = keep(maps.exceptAll(commits.read("mappings", MAPPINGS, number=base).select(*maps.columns)), "maps", "zstd")  # one that was lost comes back too
         report |= {"written": report["pending"], "mapped": changed.count()}
-        if prune:
-            ids = maps.select(F.col("chunk_id").alias("id"))
-            chunks, report["deleted"] = K.prune(commits, "chunks", ids, own, ["id"], base, chunks, count=True)
-            mapped, report["deleted_mappings"] = K.prune(commits, "mappings", maps.select("chunk_id"), own, ["chunk_id"], base, mapped, count=True)
+        ids = {"keep": maps.select("chunk_id"), "scope": own} if prune else {}
+        mapped, report["deleted_mappings"] = K.upsert(commits, "mappings", changed, ["chunk_id"], now, MAPPINGS, buckets, base, count=True, **ids)
         report["commit"] = commits.commit(base, [chunks, mapped, _status(commits, own, "ingested", now, base)])
         return report
 
 
-def _planned(commits: K.Commits, built: DataFrame, batch: int, base: int) -> tuple[DataFrame, dict[str, int]]:
-    """The chunks with their state (reuse, embed) as a table, and the counts of a report; one job gives both."""
+def _derived(chunks: DataFrame) -> DataFrame:
+    """What a stored chunk's text and vector give; made where chunks are stored, so that it does not travel."""
+    hashed = F.when(F.col("embedding").isNotNull(), embedding_hash_udf()(F.col("model"), F.col("embedding")))
+    return chunks.withColumns({"text_normalized": T.lexical_form(F.col("text")), "content_hash": T.content_hash(F.col("text")), "embedding_hash": hashed})
+
+
+def _planned(commits: K.Commits, documents: DataFrame, model: str, cap: int, batch: int, base: int) -> tuple[DataFrame, dict[str, int]]:
+    """The chunks with their state (reuse, embed) and violations as a table, and the counts of a report; one job gives both.
+
+    Chunks are checked in full here; what is reused leaves its text, which is stored, behind.
+    """
     counts = Observation()
-    stored = commits.read("chunks", CHUNKS, number=base).select("id", F.col("model").alias("_model"))
-    state = F.when(F.col("_model") == F.col("model"), "reuse").otherwise("embed")
-    planned = built.join(stored, "id", "left").withColumn("state", state).drop("_model")
-    planned = keep(planned.observe(counts, F.count("*").alias("total"), F.count_if(F.col("state") == "reuse").alias("reused")), "planned")
+    built = chunks_of(documents, model, cap, commits.read("chunks", CHUNKS, number=base).select("id", "document_id", "model"))
+    state = F.when(F.col("stored_model") == F.col("model"), "reuse").otherwise("embed")
+    planned = built.withColumns({"state": state, "violations": complete_chunk_violations()}).drop("stored_model", "content_hash")
+    planned = planned.withColumns({c: F.when(F.col("state") == "embed", F.col(c)) for c in ("text", "parent_chunk_id")})
+    planned = keep(planned.observe(counts, F.count("*").alias("total"), F.count_if(F.col("state") == "reuse").alias("reused")), "planned", "zstd")
     report = {k: int(v) for k, v in counts.get.items()}
     pending = report["total"] - report["reused"]
     return planned, report | {"pending": pending, "calls": -(-pending // batch), "written": 0, "mapped": 0, "deleted": 0, "deleted_mappings": 0, "commit": base}

@@ -20,15 +20,15 @@ _PLACE = "_place"
 _BITS = 33  # monotonically_increasing_id: the range above, the place in it below
 
 
-def numbered(df: DataFrame, order: list[str | Column], name: str = "n", within: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "n", within: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """df and column `name` (from 0) in this order, or for each group of `within` in this order.
 
     Rows that tie on the order take numbers in no defined order: add columns until only equal rows tie. Nulls come
-    first, as Spark sorts them; null groups are groups. An empty table gives no rows.
+    first, as Spark sorts them; null groups are groups. An empty table gives no rows. codec: of the table kept between.
     """
     keys = [F.col(c) for c in within or []] + [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(_PLACE, F.monotonically_increasing_id())
-    placed = keep(placed, "placed")
+    placed = keep(placed, "placed", codec)
     at = F.shiftright(F.col(_PLACE), _BITS)
     ends = placed.groupBy(at.cast("int").alias("r")).agg(F.count("*").alias("n")).orderBy("r").collect()  # a row a range
     starts = list(zip([r["r"] for r in ends], accumulate([r["n"] for r in ends], initial=0), strict=False))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -20,9 +21,14 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citewell.sources.shared import keep as kept_table
+from citewell.sources.shared import scratch
+
 #: The most buckets of a table: what a commit lists.
 BUCKETS = 65_536
 BUCKET = "bucket"
+#: The most keys that are sent to every executor; rows that meet more of them are shuffled.
+FEW = 200_000
 
 
 class Conflict(Exception):
@@ -121,22 +127,31 @@ class Commits:
     def buckets(self, table: str, default: int) -> int:
         return self.state()[1].get(table, {}).get("buckets", default)
 
-    def stage(self, df: DataFrame, table: str, key: list[str], buckets: int, touched: list[int] | None = None) -> Stage:
+    def stage(self, df: DataFrame | None, table: str, key: list[str], buckets: int, touched: list[int] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None, beside: DataFrame | None = None) -> Stage:
         """Writes df as the whole contents of the touched buckets (all, if none are named), without a commit.
 
         Files follow the size of what a bucket gets: small buckets share a task, a large one is split over several.
+        finish: makes the stored columns of df once its rows are dealt, so what it derives does not travel. beside: more
+        rows, read from buckets of this table; they lie as they should and are written where they are read.
         """
         if not 1 <= buckets <= BUCKETS:
             raise ValueError(f"a table has 1 to {BUCKETS} buckets")
         part = uuid.uuid4().hex
         place = f"{self.root}/{table}/part={part}"
-        df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(place)
+        rows = []
+        if df is not None:
+            dealt = df.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", BUCKET)
+            rows.append(finish(dealt.drop(BUCKET)).withColumn(BUCKET, bucket_of(key, buckets)) if finish else dealt)
+        if beside is not None:
+            rows.append(beside.withColumn(BUCKET, bucket_of(key, buckets)))
+        out = reduce(DataFrame.unionByName, rows)
+        out.write.option("compression", "zstd").partitionBy(BUCKET).parquet(place)
         at = self._path(table, f"part={part}")
         written = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith(f"{BUCKET}=")}
         every = range(buckets) if touched is None else touched
         if not written <= set(every):
             raise ValueError("rows outside of the touched buckets")
-        return Stage(table, tuple(key), buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), {b: part if b in written else None for b in every})
+        return Stage(table, tuple(key), buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != BUCKET), {b: part if b in written else None for b in every})
 
     def sweep(self, keep: int = 2) -> int:
         """Deletes commits but the last `keep`, and parts that none of these names; the number of parts that went.
@@ -161,23 +176,51 @@ def touched_buckets(keys: DataFrame, key: list[str], buckets: int) -> list[int]:
     return sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())
 
 
-def upsert(commits: Commits, table: str, incoming: DataFrame, key: list[str], now: Column, schema: str, buckets: int, base: int | None = None, created="created_at", updated="updated_at") -> Stage:
+def few(keys: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(keys) if n <= FEW else keys
+
+
+def _inside(df: DataFrame, scope: dict[str, object] | DataFrame) -> DataFrame:
+    """Rows of a scope: values of columns, or a table of such values; nulls match nothing."""
+    if isinstance(scope, DataFrame):
+        return df.join(scope.distinct(), scope.columns, "left_semi")
+    return df.where(reduce(and_, [F.col(c) == v for c, v in scope.items()]))
+
+
+def upsert(commits: Commits, table: str, incoming: DataFrame, key: list[str], now: Column, schema: str, buckets: int, base: int | None = None, created="created_at", updated="updated_at", finish: Callable[[DataFrame], DataFrame] | None = None, keep: DataFrame | None = None, scope: dict[str, object] | DataFrame | None = None, count: bool = False):
     """incoming.upsert of operators.incremental, on the buckets that the incoming keys fall into alone.
 
-    The stored rows of these buckets meet the incoming ones in a left join, whose other side is the increment, so a small
-    increment is broadcast and the stored side stays where it is; rows that are new come from an anti-join on the
-    key. Both sides' keys are expected to be unique; incoming rows are read twice, so keep them if they cost much.
+    Only keys meet, by a shuffle. Stored rows whose key came again are left out where their bucket is read and written;
+    incoming rows are dealt to buckets once. Both sides' keys are expected to be unique; incoming rows are read up to
+    three times (twice only their keys), so keep them if they cost much. finish: as in Commits.stage.
+
+    keep, scope: drops what prune would, by the same writing; incoming keys are in keep. count: (stage, rows dropped).
     """
     buckets = commits.buckets(table, buckets)
     touched = touched_buckets(incoming, key, buckets)
-    stored = commits.read(table, schema, touched, base)
-    values = [c for c in stored.columns if c not in (*key, created, updated)]
-    new = incoming.select(*key, F.struct(*values).alias("_new"))
-    met = stored.join(new, key, "left")
-    there = F.col("_new").isNotNull()
-    met = met.select(*key, *[F.when(there, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in values], created, F.when(there, now).otherwise(F.col(updated)).alias(updated))
-    fresh = incoming.join(stored.select(*key), key, "left_anti").select(*key, *values, now.alias(created), now.alias(updated))
-    return commits.stage(met.select(*stored.columns).unionByName(fresh), table, key, buckets, touched)
+    there = commits.state(base)[1].get(table, {}).get("parts")
+    if not there:
+        fresh = incoming.withColumns({created: now, updated: now})
+        columns = commits.read(table, schema, number=base).columns
+        whole = (lambda df: finish(df).select(*columns)) if finish else (lambda df: df.select(*columns))
+        stage = commits.stage(fresh, table, key, buckets, touched, whole)
+        return (stage, 0) if count else stage
+    with scratch("upsert"):
+        stored = commits.read(table, schema, number=base)
+        met = commits.read(table, schema, touched, base).select(*key, F.col(created).alias("_created")).join(incoming.select(*key), key, "left_semi").withColumn("_met", F.lit(True))
+        if keep is not None:
+            columns = scope.columns if isinstance(scope, DataFrame) else list(scope)
+            stale = _inside(stored.select(*{*key, *columns}), scope).select(*key).join(keep.select(*key), key, "left_anti")
+            met = met.unionByName(stale.withColumn("_met", F.lit(False)), allowMissingColumns=True)
+        met = kept_table(met, "met", "zstd")
+        found = met.groupBy(bucket_of(key, buckets).alias("b")).agg(F.count("*").alias("n"), F.count_if(~F.col("_met")).alias("gone")).collect()  # a row a bucket
+        n, touched = sum(r["n"] for r in found), sorted({*touched, *(r["b"] for r in found)})
+        again = few(met.where("_met"), n)
+        fresh = incoming.join(again, key, "left").withColumns({created: F.when(F.col("_met"), F.col("_created")).otherwise(now), updated: now}).drop("_created", "_met")
+        whole = (lambda df: finish(df).select(*stored.columns)) if finish else (lambda df: df.select(*stored.columns))
+        rest = commits.read(table, schema, touched, base).join(few(met.select(*key), n), key, "left_anti").select(*stored.columns)
+        stage = commits.stage(fresh, table, key, buckets, touched, whole, rest)
+    return (stage, sum(r["gone"] for r in found)) if count else stage
 
 
 def prune(commits: Commits, table: str, keep: DataFrame, scope: dict[str, object] | DataFrame, key: list[str], base: int | None = None, staged: Stage | None = None, count: bool = False):
@@ -199,17 +242,12 @@ def prune(commits: Commits, table: str, keep: DataFrame, scope: dict[str, object
         paths = [f"{commits.root}/{table}/part={parts[b]}/{BUCKET}={b}" for b in wanted if parts.get(b)]
         return commits.spark.read.schema(schema).parquet(*paths) if paths else commits.spark.createDataFrame([], schema)
 
-    def inside(df: DataFrame) -> DataFrame:
-        if isinstance(scope, DataFrame):
-            return df.join(scope.distinct(), scope.columns, "left_semi")
-        return df.where(reduce(and_, [F.col(c) == v for c, v in scope.items()]))
-
     columns = scope.columns if isinstance(scope, DataFrame) else list(scope)
-    stale = inside(rows(sorted(parts)).select(*{*key, *columns})).select(*key).join(keep.select(*key), key, "left_anti")
-    found = stale.groupBy(bucket_of(key, buckets).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket
-    touched = sorted(r["b"] for r in found)
-    kept = rows(touched)
-    dropped = inside(kept).select(*key).join(keep.select(*key), key, "left_anti")
-    out = commits.stage(kept.join(dropped, key, "left_anti").select(*kept.columns), table, key, buckets, touched)
+    with scratch("prune"):
+        stale = kept_table(_inside(rows(sorted(parts)).select(*{*key, *columns}), scope).select(*key).join(keep.select(*key), key, "left_anti"), "stale", "zstd")
+        found = stale.groupBy(bucket_of(key, buckets).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket
+        touched, n = sorted(r["b"] for r in found), sum(r["n"] for r in found)
+        kept = rows(touched)
+        out = commits.stage(None, table, key, buckets, touched, beside=kept.join(few(stale, n), key, "left_anti").select(*kept.columns))
     stage = Stage(table, tuple(key), buckets, schema, overlay | out.parts)
-    return (stage, sum(r["n"] for r in found)) if count else stage
+    return (stage, n) if count else stage

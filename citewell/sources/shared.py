@@ -33,14 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors.
 
-    The table stays until its scratch() block ends, or else until Python does.
+    The table stays until its scratch() block ends, or else until Python does. codec: of the files (the session's, if none
+    is given); zstd halves hashes in hex.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citewell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,12 +54,12 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def scratch(name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(name: str, codec: str | None = None) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Gives a function that writes a result as a table; all other tables that keep() wrote in the block go at its end."""
     first, results = len(_written), []
 
     def result(df: DataFrame) -> DataFrame:
-        out = keep(df, name)
+        out = keep(df, name, codec)
         results.append(_written[-1])
         _held.append(_written[-1])
         return out

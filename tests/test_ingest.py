@@ -122,3 +122,21 @@ def test_a_lost_mapping_comes_back(spark, tmp_path):
     assert log.read("mappings").count() == 1
     report = run(log, docs(spark, [["a"], ["b"]]), spark, None, 2)
     assert report["mapped"] == 1 and log.read("mappings").count() == 2
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_a_run_writes_each_table_once_and_keeps_what_came_first(spark, tmp_path, monkeypatch, few):
+    """Upsert and prune of a run are one writing; rows of another model are replaced, whether keys are broadcast or not."""
+    monkeypatch.setattr(K, "FEW", few)
+    log, one = log_at(spark, tmp_path), lambda texts: [[1.0, 0.0] for _ in texts]
+    run(log, docs(spark, [["a", "a", "b"], ["c\n\nc\n\nd"], ["gone"]]), spark, one)
+    other = docs(spark, [["a", "a", "new"], ["c\n\nc\n\nd"]])
+    report = run(log, other, spark, one, 2)
+    assert (report["total"], report["reused"], report["deleted"], report["deleted_mappings"], report["mapped"]) == (6, 5, 2, 2, 1)
+    for table in ("chunks", "mappings"):
+        assert len(list((tmp_path / "store" / table).glob("part=*"))) == 2
+    again = I.ingest(log, other, sources(spark), one, "m2", 2, now(3), buckets=4)
+    assert (again["reused"], again["pending"], again["deleted"]) == (0, 6, 0)
+    rows = log.read("chunks").collect()
+    assert sorted((r["text"], r["dup"], r["created_at"].month, r["updated_at"].month, r["model"]) for r in rows) == [("a", 0, 1, 3, "m2"), ("a", 1, 1, 3, "m2"), ("c", 0, 1, 3, "m2"), ("c", 1, 1, 3, "m2"), ("d", 0, 1, 3, "m2"), ("new", 0, 2, 3, "m2")]
+    assert all(r["content_hash"] and r["text_normalized"] and r["embedding_hash"] for r in rows)
