@@ -2,22 +2,23 @@
 
 1. Every text becomes its set of word shingles, MinHash samples of the set, keys of bands of samples, and an odd
    sketch: a bitmap of parities into which all samples are folded. Texts with equal sets form one class.
-2. Classes that share a band key are candidates. They are never paired up: each bucket ties its members to its
-   smallest one, and the connected components of these ties (clusters) hold every candidate pair.
-3. A small cluster is one block, and so is dealt to one task. In a larger one every class is first verified against one
-   leader of its buckets; what that confirms already (a page and its thousands of near copies) is one group. Only classes
-   whose buckets hold several groups are then dealt into blocks, and two blocks meet if they share such a bucket.
-   For every pair of a task the population count of the XOR of two odd sketches estimates the similarity; pairs that
-   may reach the threshold are confirmed on the full sets unless confirmed links connect them already. What leaves a
-   task is a forest of confirmed links.
+2. Classes that share a band key are candidates. They are never paired up: each bucket names its smallest member its
+   leader, and every class is verified against the smallest leader of its buckets. These links form a forest, whose
+   trees are groups; a page and its thousands of near copies are one group then.
+3. Only classes whose buckets hold several groups are left. Each goes into a block of its group's home (a large
+   bucket nearby), or of its group if that is large, and two blocks meet if they share such a bucket.
+For every pair of a task the population count of the XOR of two odd sketches estimates the similarity; pairs that
+may reach the threshold are confirmed on the full sets unless confirmed links connect them already. What leaves a
+task is a forest of confirmed links; those of step 3 link groups, so only groups are contracted further.
 A pair at exactly the threshold 0.8 shares no bucket with probability (1 - 0.8^6)^40 = 5e-6. A pair at the
 threshold differs in about 80 of the 512 bits of its sketches (standard deviation 11); only pairs with more than
 SKETCH_DISTANCE = 150 are left out. Both figures are for a single link; groups usually have several.
 
-Scale: texts are read twice (the second time only for documents in clusters). Copies collapse by partial
-aggregation. Ties are linear in the number of bucket members; components are found by alternating large-star and
-small-star steps on tables in the shared folder, with nodes of very many neighbours joined apart from the others; and
-a block task holds at most two blocks. Texts are hashed in runs of bounded length.
+Scale: texts are read twice (the second time only for documents that share a bucket). Copies collapse by partial
+aggregation. Links of the first kind are at most one a class, and their roots are found by doubling the paths of inner
+nodes alone. Links between groups are contracted by alternating large-star and small-star steps on tables in the
+shared folder, with nodes of very many neighbours joined apart from the others; and a block task holds at most two
+blocks. Texts are hashed in runs of bounded length.
 """
 
 from __future__ import annotations
@@ -137,18 +138,17 @@ def _sets(batches, words: int):
 def components(ties: DataFrame, name: str) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ties (a, b): alternating star contractions."""
     edges = keep(ties.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
-    seen = None
     while True:
-        degrees = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"))
-        *state, few = degrees.agg(F.sum("n"), F.sum("s"), F.count_if(F.col("n") > HUB)).first()
-        if state == seen:
+        ends = edges.select(F.col("u").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("n")))
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("n").alias("n"))
+        unsettled, few = ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("n") > 0))), F.count_if(F.col("n") > HUB)).first()
+        if not unsettled:  # stars, each around its smallest node
             break
-        seen = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         if 0 < few <= HUBS:  # all neighbours of a hub would meet in one task
-            hubs = F.broadcast(least.join(degrees.where(F.col("n") > HUB).select(F.col("v").alias("u")), "u", "left_semi"))
+            hubs = F.broadcast(least.join(ends.where(F.col("n") > HUB).select("u"), "u", "left_semi"))
             joined = upward.join(hubs, "u").unionByName(upward.join(hubs, "u", "left_anti").join(least, "u"))
         else:
             joined = upward.join(least, "u")
@@ -160,6 +160,21 @@ def components(ties: DataFrame, name: str) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def tree_roots(forest: DataFrame, name: str) -> DataFrame:
+    """node, root for every node of a forest: a is the parent of b, smaller than b, and the only one.
+
+    Paths of inner nodes (parents that have a parent) double until they end at roots; all others then need one step.
+    """
+    ends = forest.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(False).alias("inner")).unionByName(forest.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(True).alias("inner")))
+    inner = keep(ends.groupBy("node").agg(F.max("up").alias("up"), F.max("inner").alias("inner")).where("inner and up is not null").select("node", "up"), f"{name}-inner")
+    few = inner.count() <= HUBS
+    step = lambda: (F.broadcast if few else lambda x: x)(inner.select(F.col("node").alias("up"), F.col("up").alias("next")))
+    while inner.join(step(), "up", "left_semi").limit(1).count():
+        inner = keep(inner.join(step(), "up", "left").select("node", F.coalesce("next", "up").alias("up")), f"{name}-inner")
+    roots = forest.select(F.col("b").alias("node"), F.col("a").alias("up")).join(step(), "up", "left").select("node", F.coalesce("next", "up").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
 # ---------------------------------------------------------------- blocks
 
 
@@ -181,17 +196,17 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def confirmed_forest(nodes_a, groups_a, sketch_a, sets_a, nodes_b, groups_b, sketch_b, sets_b, percent=PERCENT, distance=SKETCH_DISTANCE) -> list[tuple[int, int]]:
-    """Links between rows of a and rows of b (the same lists: within one block) that, with the groups, span all confirmed ones."""
+def confirmed_forest(groups_a, sketch_a, sets_a, groups_b, sketch_b, sets_b, percent=PERCENT, distance=SKETCH_DISTANCE) -> list[tuple[int, int]]:
+    """Links between groups of rows of a and of b (the same lists: within one block) that span all confirmed ones."""
     size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (sets_a, sets_b))
-    xor = np.zeros((len(nodes_a), len(nodes_b)), np.int32)
+    xor = np.zeros((len(groups_a), len(groups_b)), np.int32)
     wa, wb = (np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (sketch_a, sketch_b))
     for j in range(wa.shape[1]):
         xor += np.bitwise_count(wa[:, j][:, None] ^ wb[:, j][None, :])
     small, big = np.minimum(size_a[:, None], size_b[None, :]), np.maximum(size_a[:, None], size_b[None, :])
     maybe = (xor <= distance) & (100 * small >= percent * big)
-    if nodes_a is nodes_b:
-        maybe &= np.tri(len(nodes_a), k=-1, dtype=bool).T
+    if groups_a is groups_b:
+        maybe &= np.tri(len(groups_a), k=-1, dtype=bool).T
     maybe &= np.array(groups_a)[:, None] != np.array(groups_b)[None, :]
     i, j = np.nonzero(maybe)
     if not len(i):
@@ -205,7 +220,7 @@ def confirmed_forest(nodes_a, groups_a, sketch_a, sets_a, nodes_b, groups_b, ske
             parent[x] = x = parent[up]
         return x
 
-    shared = intersections(sets_a, sets_b) if len(i) > 4 * (len(nodes_a) + len(nodes_b)) else None
+    shared = intersections(sets_a, sets_b) if len(i) > 4 * (len(groups_a) + len(groups_b)) else None
     if shared is not None:
         common = shared[i, j]
         good = 100 * common >= percent * (size_a[i] + size_b[j] - common)
@@ -220,7 +235,7 @@ def confirmed_forest(nodes_a, groups_a, sketch_a, sets_a, nodes_b, groups_b, ske
             if 100 * common < percent * (len(sets_a[x]) + len(sets_b[y]) - common):
                 continue
         parent[p] = q
-        out.append((nodes_a[x], nodes_b[y]))
+        out.append((groups_a[x], groups_b[y]))
     return out
 
 
@@ -244,11 +259,11 @@ def _link(batches, percent: int, distance: int):
         links = []
         columns = [batch.column(k) for k in range(batch.num_columns)]
         for at in range(batch.num_rows):
-            cluster, i, j, side, node, group, sketch, hashes = (c[at].as_py() for c in columns)
-            if task != (cluster, i, j):
+            i, j, side, group, sketch, hashes = (c[at].as_py() for c in columns)
+            if task != (i, j):
                 links += close()
-                task, held = (cluster, i, j), ([], [])
-            held[side].append((node, group, sketch, np.frombuffer(hashes, np.uint64)))
+                task, held = (i, j), ([], [])
+            held[side].append((group, sketch, np.frombuffer(hashes, np.uint64)))
         yield batch_of(links)
     yield batch_of(close())
     release()
@@ -269,10 +284,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS,
     banded = classes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = keep(banded.join(buckets, "key"), "dedup-members")
-    ties = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    clusters = components(ties, "dedup-clusters")
-    links = _links(docs, doc_id, text, classes, members, clusters, words, percent, distance)
-    roots = components(links, "dedup-links")
+    roots = _roots(docs, doc_id, text, classes, members, words, percent, distance)
 
     own = classes.select("d1", "d2", "doc", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = own.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -283,57 +295,64 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", words=WORDS,
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs, doc_id, text, classes, members, clusters, words, percent, distance) -> DataFrame:
-    """a, b: confirmed links whose components are those of all confirmed links."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    needed = keep(clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "n").join(classes.select("node", "d1", "d2", "doc", "sketch"), "node"), "dedup-placed")
-    # sets of the classes in clusters, from one document of each
+def _roots(docs, doc_id, text, classes, members, words, percent, distance) -> DataFrame:
+    """node, root: the components of all confirmed links."""
+    needed = members.groupBy("node").agg(F.min("leader").alias("leader")).join(classes.select("node", "d1", "d2", "doc", "sketch"), "node")
+    needed = keep(needed, "dedup-placed")
+    # sets of the classes in buckets, from one document of each
     wanted = needed.select(F.coalesce("doc", F.lit(_NO_ID)).alias("id"))
     if needed.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).cast("string").alias("text"))
     sets = source.join(wanted, "id", "left_semi").select("text").mapInArrow(partial(_sets, words=words), "d1 long, d2 long, hashes binary")
-    sets = keep(sets.groupBy("d1", "d2").agg(F.first("hashes").alias("hashes")).join(needed, ["d1", "d2"]).select("node", "cluster", "n", "sketch", "hashes"), "dedup-sets")
-    row = lambda df, i, j, side, group: df.select("cluster", F.col(i).cast("long").alias("i"), F.col(j).cast("long").alias("j"), F.lit(side).alias("side"), "node", F.col(group).alias("group"), "sketch", "hashes")
+    sets = keep(sets.groupBy("d1", "d2").agg(F.first("hashes").alias("hashes")).join(needed, ["d1", "d2"]).select("node", "sketch", "hashes"), "dedup-sets")
 
     def linked(tasks: DataFrame) -> DataFrame:
-        tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+        """tasks: i, j (a task), side, node, group. Sets join last, so that they move for their tasks only."""
+        tasks = tasks.join(sets, "node").select("i", "j", "side", "group", "sketch", "hashes")
+        tasks = tasks.repartition("i", "j").sortWithinPartitions("i", "j", "side")
         return tasks.mapInArrow(partial(_link, percent=percent, distance=distance), "a long, b long")
 
-    small = row(sets.where(F.col("n") <= BLOCK).withColumn("at", F.lit(0)), "at", "at", 0, "node")
-    large = sets.where(F.col("n") > BLOCK)
-    if not sizes.where(F.col("n") > BLOCK).limit(1).count():
-        return linked(small)
+    def parts(counts: DataFrame, *keys: str) -> DataFrame:
+        """Numbers of parts where they are several: at most one row for BLOCK classes, so every task gets them."""
+        return F.broadcast(counts.where(F.col("n") > BLOCK).select(*keys, F.ceil(F.col("n") / BLOCK).alias("parts")))
+
     # every class against one leader: leader l meets its followers in tasks (l, part of the followers)
-    led = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    led = led.join(large.select("node"), "node", "left_semi")
-    parts = led.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    led = led.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    followers = row(large.join(led, "node"), "leader", "part", 1, "node")
-    leaders = large.join(parts.withColumnRenamed("leader", "node"), "node").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    first = keep(linked(small.unionByName(row(leaders, "node", "part", 0, "node")).unionByName(followers)), "dedup-first")
+    led = needed.where("leader < node").select("node", "leader")
+    leaders = led.groupBy("leader").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1).cast("long")))
+    followers = led.join(parts(leaders, "leader"), "leader", "left").select(F.col("leader").alias("i"), part.alias("j"), F.lit(1).alias("side"), "node", F.col("node").alias("group"))
+    leaders = leaders.select(F.col("leader").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)).alias("j"), F.lit(0).alias("side"), F.col("leader").alias("node"), F.col("leader").alias("group"))
+    first = keep(linked(leaders.unionByName(followers)), "dedup-first")
     # what is confirmed so far is a group; only buckets that hold several groups are left
-    groups = components(first, "dedup-groups")
-    grouped = members.select("key", "node").join(large.select("node", "cluster"), "node").join(groups, "node", "left")
-    grouped = keep(grouped.select("key", "node", "cluster", F.coalesce("root", "node").alias("group")), "dedup-grouped")
-    mixed = grouped.groupBy("cluster", "key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("cluster", "key")
-    left = grouped.join(mixed, ["cluster", "key"])
-    about = left.select("node", "cluster", "group").distinct()
-    # a block has classes of one group, if there are enough of them, or of many small groups
-    in_group = about.groupBy("group").agg(F.count("*").alias("g"))
-    in_cluster = about.join(in_group, "group").groupBy("cluster").agg(F.sum(F.when(F.col("g") <= BLOCK, 1).otherwise(0)).alias("few"))
-    placed = about.join(in_group, "group").join(in_cluster, "cluster")
-    lone = F.col("g") > BLOCK
-    block = F.when(lone, F.xxhash64("group", F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / BLOCK)))).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.ceil(F.col("few") / BLOCK), F.lit(1))))
-    placed = keep(placed.select("node", "cluster", "group", block.alias("block"), F.when(lone, F.col("group")).alias("alone")), "dedup-blocks")
-    many = left.select("key", "node").join(placed, "node").select("key", "cluster", "block", "alone").distinct()
-    other = many.select("key", "cluster", F.col("block").alias("other"), F.col("alone").alias("other_alone"))
-    pairs = many.join(other, ["key", "cluster"]).where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("alone") == F.col("other_alone"), F.lit(False)))
-    pairs = keep(pairs.select("cluster", F.col("block").alias("i"), F.col("other").alias("j")).distinct(), "dedup-pairs")
-    rest = large.join(placed.select("node", "group", "block"), "node")
-    one = rest.join(pairs.withColumn("block", F.col("i")), ["cluster", "block"])
-    two = rest.join(pairs.where("i < j").withColumn("block", F.col("j")), ["cluster", "block"])
-    return first.unionByName(linked(row(one, "i", "j", 0, "group").unionByName(row(two, "i", "j", 1, "group"))))
+    groups = keep(tree_roots(first, "dedup-groups"), "dedup-groups")
+    grouped = keep(members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group")), "dedup-grouped")
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
+    left = keep(grouped.join(mixed, "key"), "dedup-left")
+    # a group's home: the largest bucket that its own buckets' groups are in, so that few blocks meet
+    by_group = left.select("key", "group", F.struct("n", "key").alias("home")).distinct()
+    near = by_group.groupBy("group").agg(F.max("home").alias("home"))
+    near = by_group.select("key", "group").join(near, "group").groupBy("key").agg(F.max("home").alias("home"))
+    homes = by_group.select("key", "group").join(near, "key").groupBy("group").agg(F.max("home").alias("home"))
+    about = left.select("node", "group").distinct().join(homes, "group").select("node", "group", F.col("home.key").alias("home"))
+    about = keep(about, "dedup-homes")
+    # a block has classes of one group, if there are enough of them, or of one home
+    alone = parts(about.groupBy("group").agg(F.count("*").alias("n")), "group")
+    placed = about.join(alone, "group", "left").select("node", "group", F.when(F.col("parts").isNotNull(), F.col("group")).alias("alone"), "home")
+    placed = placed.withColumn("home", F.xxhash64(F.coalesce("alone", "home"), F.col("alone").isNotNull()))
+    placed = placed.join(parts(placed.groupBy("home").agg(F.count("*").alias("n")), "home"), "home", "left")
+    placed = placed.select("node", "group", F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("parts", F.lit(1).cast("long")))).alias("block"), "alone")
+    placed = keep(placed, "dedup-blocks")
+    many = left.select("key", "node").join(placed, "node").select("key", "block", "alone").distinct()
+    other = many.select("key", F.col("block").alias("other"), F.col("alone").alias("other_alone"))
+    pairs = many.join(other, "key").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("alone") == F.col("other_alone"), F.lit(False)))
+    pairs = keep(pairs.select(F.col("block").alias("i"), F.col("other").alias("j")).distinct(), "dedup-pairs")
+    one = placed.join(pairs.withColumn("block", F.col("i")), "block").withColumn("side", F.lit(0))
+    two = placed.join(pairs.where("i < j").withColumn("block", F.col("j")), "block").withColumn("side", F.lit(1))
+    joined = components(linked(one.unionByName(two).select("i", "j", "side", "node", "group")), "dedup-links")
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    alone = joined.join(groups.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return groups.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, doc_id="doc_id", text="text", **parameters) -> DataFrame:

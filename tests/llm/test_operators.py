@@ -632,6 +632,45 @@ def test_a_page_and_its_copies_need_no_block_pairs(spark, monkeypatch):
     assert kept["dedup-pairs"].count() <= 200  # of more than 5,000
 
 
+def test_few_tables_for_large_clusters(spark, monkeypatch):
+    """Groups of near copies that share buckets: few steps, each a table, without the components of all buckets."""
+    kept, keep = [], near_dedup.keep
+    monkeypatch.setattr(near_dedup, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    draw = random.Random(23)
+    base = [f"w{i}" for i in range(100)]
+    table = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(draw.randint(0, 12)):
+            own[draw.randrange(100)] = f"x{draw.randint(0, 10**6)}"
+        table.append((i, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == components(table, 4, 80)
+    assert len(kept) <= 18 and not [n for n in kept if "clusters" in n]
+
+
+def test_roots_of_forests_and_of_links(spark):
+    draw = random.Random(29)
+    chain = [(i, i + 1) for i in range(0, 70)]
+    trees = [(100 + (draw.randrange(i) if i > 5 else 0), 100 + i) for i in range(1, 200)] + [(400, 400 + i) for i in range(1, 50)]
+    extra = [(draw.randrange(100, 300), draw.randrange(100, 450)) for _ in range(40)] + [(500, 500)]
+
+    def roots(edges):
+        label = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in range(len(label)):
+            before = dict(label)
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    for edges, find in ((chain + trees, near_dedup.tree_roots), (chain + trees + extra, near_dedup.components), ([], near_dedup.tree_roots), ([], near_dedup.components)):
+        got = find(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+        assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == (roots(edges) if edges else {})
+
+
 def test_long_texts_are_hashed_in_bounded_runs():
     import pyarrow as pa
 
