@@ -92,13 +92,13 @@ def clean_html(html: Column, unescape=None) -> Column:
     """
     if unescape is None:
         from citewell.functions.entities import unescape_html as unescape
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</({BLOCK_TAGS})\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, rf"(?i)<({BLOCK_TAGS})\b[^>]*>", "\n")
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?i)</({BLOCK_TAGS})(?!\w)[^>]*>", "\n\n")
+    t = F.regexp_replace(t, rf"(?i)<({BLOCK_TAGS})(?!\w)[^>]*>", "\n")
     t = unescape(F.regexp_replace(t, r"<[^>]*>", ""))
     t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, r"[ \t\x{A0}]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(t, r"^[ \n]+|[ \n]+\z", "")
 
 
 def unescape_html_udf():

@@ -10,7 +10,7 @@ from citewell.functions import text as T
 from citewell.operators import contract, embedding, introduction, rules
 from citewell.operators import ingest as ingest_run
 from citewell.plans import maintenance
-from citewell.plans.common import clean_html_sql, lexical_sql, paragraphs_sql
+from citewell.plans.common import clean_html_sql, clean_page, lexical_sql, paragraphs_sql
 from citewell.plans.texts import CAP, _pack_sql
 from citewell.sources import commits as K
 from citewell.sources.shared import folder, keep
@@ -48,7 +48,7 @@ def unit_vectors(texts: list[str]) -> list[list[float]]:
 def _documents(spark, d, first: bool):
     """Pages as documents of four sources; the first run lacks every third page and has other texts of every tenth."""
     pages = driver_table(spark, d, "pages")
-    text = T.clean_html(F.col("html"))
+    text = clean_page(F.col("html"))
     if first:
         pages = pages.where("page_id % 3 <> 0")
         text = F.when(F.col("page_id") % 10 == 1, F.concat(text, F.lit(" before"))).otherwise(text)
