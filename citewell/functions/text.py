@@ -31,7 +31,12 @@ def trim_unicode(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(trim_unicode(text) == "", F.lit(True))
+    return F.coalesce(~F.rlike(text, F.lit(f"[^{WHITE_SPACE[1:]}")), F.lit(True))
+
+
+def is_blank_lexical(text: Column) -> Column:
+    """Whether nothing is left of lexical_form(text), without making it; null is blank."""
+    return F.coalesce(~F.rlike(text, F.lit(f"[^{WHITE_SPACE[1:-1]}{LEXICAL_DROPPED[1:]}")), F.lit(True))
 
 
 def lexical_form(text: Column) -> Column:

@@ -45,8 +45,8 @@ def document_violations(documents: DataFrame, *more) -> DataFrame:
     """
     blank = lambda c: T.is_blank(F.col(c))
     texts = F.coalesce(F.transform("sections", lambda s: F.coalesce(s["text"], F.lit(""))), F.array().cast("array<string>"))
-    white = F.exists(texts, lambda t: (t != "") & (T.trim_unicode(t) == ""))
-    some = F.exists(texts, lambda t: T.trim_unicode(t) != "")
+    white = F.exists(texts, lambda t: (t != "") & T.is_blank(t))
+    some = F.exists(texts, lambda t: ~T.is_blank(t))
     found = F.array(
         *[F.when(blank(c), f"{c} missing") for c in ("id", "source_version", "language")],
         F.when(~F.coalesce(F.col("content_type").isin(*CONTENT_TYPES), F.lit(False)), "content_type unknown"),

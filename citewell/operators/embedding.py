@@ -68,6 +68,36 @@ def _batch(frame: pd.DataFrame, embedder: Embedder, width: int, attempts: int, b
     return frame.assign(embedding=vectors if error is None else None, attempts=done, error=error)
 
 
+def _answers(embedder: Embedder, width: int, attempts: int, backoff: float):
+    """For mapInArrow over rows in order of batch and n: what every batch gave. Other columns pass through as they are."""
+    import pyarrow as pa
+
+    def told(table: pa.Table) -> list[pa.RecordBatch]:
+        frame = pd.DataFrame({c: table.column(c).to_pylist() for c in ("id", "text", "n", "batch")})
+        done = [_batch(own, embedder, width, attempts, backoff) for _, own in frame.groupby("batch", sort=False)]
+        columns = {"embedding": pa.list_(pa.float64()), "attempts": pa.int32(), "error": pa.string()}
+        for name, kind in columns.items():
+            table = table.append_column(name, pa.array([x for out in done for x in out[name].tolist()], kind, from_pandas=True))
+        return table.to_batches()
+
+    def run(batches):
+        held = []  # rows of a batch that may go on
+        for rows in filter(len, batches):
+            numbers, cut = rows.column("batch").to_pylist(), 0
+            if held and held[0].column("batch")[0].as_py() != numbers[0]:
+                yield from told(pa.Table.from_batches(held))
+                held = []
+            if numbers[-1] != numbers[0]:
+                cut = numbers.index(numbers[-1])
+                yield from told(pa.Table.from_batches([*held, rows.slice(0, cut)]))
+                held = []
+            held.append(rows.slice(cut))
+        if held:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
 def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows (id, text, any others) with n, batch, embedding, attempts, error: a table of what every batch gave.
 
@@ -75,13 +105,11 @@ def embedded_rows(rows: DataFrame, embedder: Embedder, width: int, order: list[s
     (sources.shared.keep if none is given); the numbered rows go once it is written.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _batch(frame, embedder, width, attempts, backoff)
-
     with scratch("embedded", "zstd") as result:
         own = numbered(rows, order, "n", codec="zstd").withColumn("batch", F.floor(F.col("n") / batch).cast("long"))
         schema = StructType([*own.schema, *StructType.fromDDL("embedding array<double>, attempts int, error string")])
-        return (save or result)(own.groupBy("batch").applyInPandas(run, schema))
+        dealt = own.repartition("batch").sortWithinPartitions("batch", "n")
+        return (save or result)(dealt.mapInArrow(_answers(embedder, width, attempts, backoff), schema))
 
 
 def embedded(rows: DataFrame, embedder: Embedder, width: int, order: list[str], batch: int = 32, attempts: int = 3, backoff: float = 0.5, save: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ class Refused(ValueError):
 def complete_chunk_violations() -> Column:
     """chunking.chunk_violations, and the other required fields and the group."""
     more = [F.when(T.is_blank(F.col(c)), f"{c} missing") for c in ("document_id", "language", "mapping_type", "content_hash", "review_status")]
-    more.append(F.when(T.lexical_form(F.coalesce("text", F.lit(""))) == "", "text_normalized missing"))
+    more.append(F.when(T.is_blank_lexical(F.col("text")), "text_normalized missing"))
     more.append(F.when(F.coalesce("group_id", F.lit(0)) < 1, "group_id below 1"))
     return F.concat(chunking.chunk_violations(), F.array_compact(F.array(*more)))
 

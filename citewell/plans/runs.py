@@ -13,8 +13,8 @@ from citewell.plans import maintenance
 from citewell.plans.common import clean_html_sql, clean_page, lexical_sql, paragraphs_sql
 from citewell.plans.texts import CAP, _pack_sql
 from citewell.sources import commits as K
-from citewell.sources.shared import folder, keep
-from citewell.sources.tables import driver_table
+from citewell.sources.shared import folder, keep, scratch
+from citewell.sources.tables import driver_table, text_table
 
 T0, T1 = "2024-01-01 00:00:00", maintenance.NOW
 WIDTH = 8
@@ -45,24 +45,25 @@ def unit_vectors(texts: list[str]) -> list[list[float]]:
     return [[1.0 if i == len(t) % WIDTH else 0.0 for i in range(WIDTH)] for t in texts]
 
 
-def _documents(spark, d, first: bool):
-    """Pages as documents of four sources; the first run lacks every third page and has other texts of every tenth."""
-    pages = driver_table(spark, d, "pages")
-    text = clean_page(F.col("html"))
+def _documents(pages, first: bool):
+    """Clean pages as documents of four sources; the first run lacks every third page and has other texts of every tenth."""
+    text = F.col("text")
     if first:
         pages = pages.where("page_id % 3 <> 0")
         text = F.when(F.col("page_id") % 10 == 1, F.concat(text, F.lit(" before"))).otherwise(text)
     section = F.struct(F.lit(0).alias("ordinal"), F.lit(0).alias("group_id"), F.lit(1).alias("start"), F.lit(1).alias("end"), F.lit("single_ayah").alias("mapping_type"), text.alias("text"))
     source = F.format_string("web%d", F.col("page_id") % 4)
-    return pages.where(T.trim_unicode(text) != "").select(F.col("page_id").cast("string").alias("id"), source.alias("source_id"), F.lit("").alias("source_version"), F.lit("").alias("language"), F.lit("").alias("content_type"), F.lit(1).alias("group_id"), F.array(section).alias("sections"))
+    return pages.where(~T.is_blank(text)).select(F.col("page_id").cast("string").alias("id"), source.alias("source_id"), F.lit("").alias("source_version"), F.lit("").alias("language"), F.lit("").alias("content_type"), F.lit(1).alias("group_id"), F.array(section).alias("sections"))
 
 
 def _ingested(spark, d):
     sources = spark.range(4).select(F.format_string("web%d", "id").alias("id"), F.lit("verified").alias("verification_status"), F.lit("cleared").alias("licensing_status"), F.lit("v1").alias("version_id"), F.lit("h").alias("version_hash"), F.lit("en").alias("language"), F.lit(1).alias("authority_tier"))
     log = K.Commits(spark, folder(spark, "store"))
-    run = lambda first, moment: ingest_run.ingest(log, _documents(spark, d, first), sources, unit_vectors, "m1", WIDTH, at(moment), CAP, buckets=16)
-    run(True, T0)
-    return log, run(False, T1)
+    with scratch("ingested"):
+        pages = keep(text_table(spark, d, "pages", "page_id", "html").select("page_id", clean_page(F.col("html")).alias("text")), "pages", "zstd")  # cleaned once for both runs
+        run = lambda first, moment: ingest_run.ingest(log, _documents(pages, first), sources, unit_vectors, "m1", WIDTH, at(moment), CAP, buckets=16)
+        run(True, T0)
+        return log, run(False, T1)
 
 
 def ingest_report(spark, d):

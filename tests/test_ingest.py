@@ -140,3 +140,22 @@ def test_a_run_writes_each_table_once_and_keeps_what_came_first(spark, tmp_path,
     rows = log.read("chunks").collect()
     assert sorted((r["text"], r["dup"], r["created_at"].month, r["updated_at"].month, r["model"]) for r in rows) == [("a", 0, 1, 3, "m2"), ("a", 1, 1, 3, "m2"), ("c", 0, 1, 3, "m2"), ("c", 1, 1, 3, "m2"), ("d", 0, 1, 3, "m2"), ("new", 0, 2, 3, "m2")]
     assert all(r["content_hash"] and r["text_normalized"] and r["embedding_hash"] for r in rows)
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 100])
+def test_batches_may_go_on_in_the_next_arrow_batch(size):
+    """Rows come in any portions; every batch is asked for once, with all its rows, and rows keep their other columns."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"id": f"i{n}", "text": "bad" if n == 9 else f"t{n}", "more": [n], "n": n, "batch": n // 4} for n in (*range(4), *range(8, 13))])
+    asked = []
+
+    def embedder(texts):
+        asked.append(texts)
+        return [[0.0, 0.0] if t == "bad" else [1.0, 0.0] for t in texts]
+
+    parts = [rows.slice(at, size) for at in range(0, len(rows), size)]
+    out = pa.Table.from_batches(embedding._answers(embedder, 2, 1, 0.0)(iter([rows.slice(0, 0), *parts]))).to_pylist()
+    assert asked == [["t0", "t1", "t2", "t3"], ["t8", "bad", "t10", "t11"], ["t12"]]
+    assert [{k: r[k] for k in rows.schema.names} for r in out] == rows.to_pylist()
+    assert [(r["embedding"], r["error"], r["attempts"]) for r in out] == [([1.0, 0.0], None, 1)] * 4 + [(None, "i9: zero vector", 1)] * 4 + [([1.0, 0.0], None, 1)]

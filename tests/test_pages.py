@@ -3,8 +3,10 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from citewell.plans import runs
 from tests.rows import rows
 
 PAGES = [
@@ -20,3 +22,20 @@ def test_pages_are_cleaned_as_the_sql_does_it(spark, tmp_path, name):
     duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
     got = entry.queries()[name](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(duck.execute(entry.oracle_sql()[name]).df())
+
+
+def test_ingest_report_cleans_each_page_once(spark, tmp_path, monkeypatch):
+    """Two runs read the same clean pages; before, every run cleaned its pages anew."""
+    cleaned = f"{tmp_path}/cleaned"
+
+    @F.pandas_udf("string")
+    def clean(html: pd.Series) -> pd.Series:
+        with open(cleaned, "a", encoding="utf-8") as f:
+            f.writelines(f"{h}\n" for h in html)
+        return html
+
+    monkeypatch.setattr(runs, "clean_page", clean)
+    texts = [f"text {i}" for i in range(12)]
+    pd.DataFrame({"page_id": range(12), "url": "u", "html": texts}).to_parquet(tmp_path / "pages.parquet")
+    assert runs.ingest_report(spark, str(tmp_path)).first()["total"] == 12
+    assert sorted(open(cleaned, encoding="utf-8").read().split("\n")[:-1]) == sorted(texts)
