@@ -84,9 +84,10 @@ def build_chunks(sections: DataFrame, cap: int = CHUNK_CAP, legacy: bool = False
     own = ["document_id", "source_id", "source_version", "ordinal", "start", "end", "mapping_type", *(also or [])]
     split = sections.select(*own, group.alias("group_id"), T.content_hash(F.col("text")).alias("_whole"), T.split_paragraphs(F.col("text")).alias("_ps"))
     own += ["group_id", "_whole"]
-    paragraphs = split.select(*own, (F.size("_ps") > 1).alias("_many"), F.posexplode("_ps").alias("_p", "_paragraph"))
-    packed = paragraphs.select(*own, "_many", "_p", packer(F.col("_paragraph")).alias("_qs"))
-    pieces = packed.select(*own, (F.col("_many") | (F.size("_qs") > 1)).alias("_many"), "_p", F.posexplode("_qs").alias("_q", "piece"))
+    split = split.withColumn("_many", F.size("_ps") > 1)  # before rows are exploded, else each of them carries the array, also to Python
+    paragraphs = split.select(*own, "_many", F.posexplode("_ps").alias("_p", "_paragraph"))
+    packed = paragraphs.select(*own, "_many", "_p", packer(F.col("_paragraph")).alias("_qs")).withColumn("_many", F.col("_many") | (F.size("_qs") > 1))
+    pieces = packed.select(*own, "_many", "_p", F.posexplode("_qs").alias("_q", "piece"))
     if stored is not None:
         known = stored.select("document_id", F.col("id").alias("_id"), F.col("model").alias("_model"), F.lit(True).alias("_old"))
         pieces = pieces.unionByName(known, allowMissingColumns=True).repartition("document_id")
